@@ -106,3 +106,15 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(top, base / "spotweave", ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(str(base), "zip", base))
     context._spotweave_shipped = True
+
+
+def factorized(words: list[str], texts: list[str]) -> tuple[np.ndarray, list[str]]:
+    """A code for every word, and the distinct words. pandas takes strings to end at a NUL, so texts with one go by a dict."""
+    if any("\x00" in t for t in texts):
+        seen: dict[str, int] = {}
+        code = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+        return code, list(seen)
+    import pandas as pd
+
+    code, distinct = pd.factorize(np.array(words, dtype=object))
+    return code, distinct.tolist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import lines, simhash
+from . import bytebpe, covertree, knn, langid, lines, packing, pii, simhash, substrings, wordbpe
 from .common import ship
 
 
@@ -19,11 +19,19 @@ def _shipped(query):
 
 def queries():
     found = [
+        covertree.op1_embedding_near_dedup,
         lines.op2_line_dedup,
+        pii.op3_pii,
         simhash.op4_simhash,
+        knn.op5_top_k,
+        bytebpe.op6_byte_bpe,
+        substrings.op7_substring_dedup,
+        wordbpe.op8_token_counts,
+        langid.op9_language_id,
+        packing.op10_packing,
     ]
     return {f.__name__: _shipped(f) for f in found}
 
 
 def oracle_sql():
-    return {"op2_line_dedup": lines.OP2_SQL}
+    return {"op1_embedding_near_dedup": covertree.OP1_SQL, "op2_line_dedup": lines.OP2_SQL, "op5_top_k": knn.OP5_SQL}
