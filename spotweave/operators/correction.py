@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.functions.lineage import cut
 from spotweave.operators.knn import padded_graph
 from spotweave.operators.probes import moments
 
@@ -55,7 +56,7 @@ def bbknn(df: DataFrame, key: str, batch: str, vector: str, per_batch: int = 3)
 def harmony(df: DataFrame, key: str, batch: str, vector: str, clusters: int = 8, rounds: int = 5, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, out: str = "z", seed: int = 42) -> DataFrame:
     """Soft clusters penalised for batch imbalance, then a ridge offset per cluster and batch, repeated.
 
-    Each round aggregates cluster x batch sums; rows never leave their partitions. Centres start
+    Each round aggregates cluster x batch sums and is written to the checkpoint folder. Centres start
     from rows in digest order.
     """
     from spotweave.functions.keys import digest
@@ -76,13 +77,13 @@ def harmony(df: DataFrame, key: str, batch: str, vector: str, clusters: int = 8,
         w = x.join(F.broadcast(table), "_b").withColumn("_w", F.zip_with(soft, F.col("_p"), lambda a, b: a * b))  # a row per batch
         s = F.aggregate("_w", F.lit(1e-300), lambda a, b: a + b)
         w = w.withColumn("_w", F.transform("_w", lambda a: a / s)).drop("_p")
-        e = w.select("_b", F.posexplode("_w").alias("k", "w"), out).select("_b", "k", "w", F.posexplode(out).alias("pos", "v"))
-        sums = e.groupBy("_b", "k", "pos").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w")).collect()  # batch x cluster x dimension
+        e = w.select("_b", F.posexplode("_w").alias("_k", "_s"), F.col(out).alias("_z")).select("_b", "_k", "_s", F.posexplode("_z").alias("_pos", "_v"))
+        sums = e.groupBy("_b", "_k", "_pos").agg(F.sum(F.col("_s") * F.col("_v")).alias("s"), F.sum("_s").alias("w")).collect()  # batch x cluster x dimension
         names, dims = sorted(shares), centres.shape[1]
         s_, w_ = np.zeros((len(names), len(centres), dims)), np.zeros((len(names), len(centres)))
         for r in sums:
             i = names.index(r["_b"])
-            s_[i, r["k"], r["pos"]], w_[i, r["k"]] = r["s"], r["w"]
+            s_[i, r["_k"], r["_pos"]], w_[i, r["_k"]] = r["s"], r["w"]
         mean = s_.sum(axis=0) / np.maximum(w_.sum(axis=0)[:, None], 1e-12)
         offset = w_[:, :, None] * (s_ / np.maximum(w_[:, :, None], 1e-12) - mean[None]) / (w_[:, :, None] + ridge)
         expected = w_.sum(axis=0)[None] * np.array([shares[b] / total for b in names])[:, None]
@@ -93,6 +94,7 @@ def harmony(df: DataFrame, key: str, batch: str, vector: str, clusters: int = 8,
         w = w.join(F.broadcast(fix), "_b")  # a row per batch
         moved = F.aggregate(F.zip_with("_w", "_o", lambda a, o: F.transform(o, lambda v: v * a)), F.transform(out, lambda v: v * 0), lambda acc, o: F.zip_with(acc, o, lambda p, q: p + q))
         x = w.withColumn(out, F.zip_with(F.col(out), moved, lambda a, b: a - b)).drop("_w", "_o")
+        x = cut(x)
     return x.drop("_b")
 
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.functions.lineage import cut
+
 
 def chi_square_tail(x: float, dof: int) -> float:
     """P(chi-square >= x): the upper regularised incomplete gamma function, by series or continued fraction."""
@@ -100,7 +102,7 @@ def graph_connectivity(edges: DataFrame, label: DataFrame, rounds: int = 50) ->
     part = l.select("key", "label", F.col("key").alias("part"))
     for _ in range(rounds):
         low = both.join(part.select(F.col("key").alias("b"), "part"), "b").groupBy("a").agg(F.min("part").alias("low"))
-        after = part.join(low, part.key == low.a, "left").select("key", "label", F.least("part", F.coalesce("low", "part")).alias("part"), (F.coalesce("low", "part") < F.col("part")).alias("_moved")).checkpoint()
+        after = cut(part.join(low, part.key == low.a, "left").select("key", "label", F.least("part", F.coalesce("low", "part")).alias("part"), (F.coalesce("low", "part") < F.col("part")).alias("_moved")))
         moved = after.where("_moved").limit(1).count()
         part = after.drop("_moved")
         if not moved:
