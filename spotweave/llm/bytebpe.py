@@ -245,9 +245,10 @@ class ByteBPE:
         cache = self.cache
         if len(cache) > CACHE_ROWS:
             cache.clear()
-        self._fill([w for w in distinct if w not in cache])
+        missed = [w for w in distinct if w not in cache]
+        self._fill(missed)
         parts = [cache[w] for w in distinct]
-        for w in distinct:
+        for w in missed:
             if len(w) > 64:
                 del cache[w]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
