@@ -240,7 +240,7 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
     hint = {"email": ("mail", "contact", "write to"), "ip": ("IP", "host", "from"), "card": ("card", "visa", "pay with"), "phone": ("tel.", "call", "phone")}
     out = []
     for k in range(n):
-        kind = KINDS[k % 4] if k % 2 else None
+        kind = KINDS[k // 2 % 4] if k % 2 else None
         if kind:
             said = good[kind]()
             # a bare digit string is a card number only where the text says so
