@@ -22,7 +22,7 @@ from .common import batch_of, blocks, factorized, ragged
 OVER = 2048
 _NONE = np.int64(1) << 40
 #: Words whose count a worker remembers; the memory is emptied when full.
-CACHE_ROWS = 1 << 19
+CACHE_ROWS = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -145,7 +145,7 @@ class WordBPE:
         pattern = self.tools()[1]
         pieces, counts = [], []
         for w in missed:
-            found = pattern.findall(w)
+            found = [w] if w.isalpha() else pattern.findall(w)
             pieces += found
             counts.append(len(found))
         if pieces:
@@ -176,7 +176,7 @@ class WordBPE:
         if missed:
             self._fill(missed)
         known = np.array([cache[w] for w in distinct], np.int64)
-        for w in distinct:
+        for w in missed:
             if len(w) > 64:
                 del cache[w]
         total = np.concatenate([[0], np.cumsum(known[code])])
