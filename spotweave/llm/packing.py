@@ -8,8 +8,8 @@ Sequences of one bucket are equally long and make uniform batches.
 
 from __future__ import annotations
 
-import zlib
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,10 @@ from .wordbpe import plain_words
 
 SEQUENCE = 4096
 END = 2
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_ROWS = 1 << 18
+#: Words, and pre-tokens, whose ids a worker remembers; the memory is emptied when full.
+CACHE_ROWS = 200_000
+#: Text bytes that are encoded at once.
+BLOCK = 2 << 20
 
 
 def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
@@ -36,17 +38,19 @@ def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
 
 
 class Encoder:
-    """Ids by the tokenizers library. Each distinct word is encoded once a block, and remembered.
+    """Ids by the tokenizers library, which sees each distinct pre-token once and remembers it.
 
     The library merges every pre-token by itself and no pre-token holds white space, so a text's
-    ids are those of its words in a row; special strings are cut out first, as the library does.
+    ids are those of its pre-tokens in a row. Pre-tokens that are not known yet go to the library
+    many to a text, with spaces between; each ends with the one token that bears the end-of-word
+    suffix, which tells them apart again. Special strings are cut out first, as the library does.
     """
 
     def __init__(self, path: str):
-        self.path, self._tools, self.cache = path, None, {}
+        self.path, self._tools, self.words, self.pieces = path, None, {}, {}
 
     def __getstate__(self):
-        return {"path": self.path, "_tools": None, "cache": {}}
+        return {"path": self.path, "_tools": None, "words": {}, "pieces": {}}
 
     def tools(self):
         if self._tools is None:
@@ -56,15 +60,46 @@ class Encoder:
 
             with open(self.path, encoding="utf-8") as f:
                 spec = json.load(f)
-            words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
             cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-            self._tools = Tokenizer.from_file(self.path), words, cut, special
+            suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
+            last = np.zeros(max(vocab.values()) + 1 + len(special), bool)
+            last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+            self._tools = Tokenizer.from_file(self.path), pattern, cut, special, last
         return self._tools
 
+    def _encode(self, pieces: list[str], together: int = 2000) -> None:
+        """Ids of pre-tokens that are not in the cache, as bytes."""
+        library, *_, last = self.tools()
+        for lo in range(0, len(pieces), together):
+            part = pieces[lo : lo + together]
+            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(ends) != len(part):
+                ends, raw = [], b""
+                for p in part:  # a symbol that the vocabulary lacks: one by one
+                    raw += np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                    ends.append(len(raw))
+            at = 0
+            for p, e in zip(part, [int(e) for e in ends], strict=True):
+                self.pieces[p] = raw[at:e]
+                at = e
+
+    def _fill(self, missed: list[str]) -> None:
+        _, pattern, _, special, _ = self.tools()
+        split = [[w] if w.isalpha() else [] if w in special else pattern.findall(w) for w in missed]  # letters alone are one pre-token
+        if len(self.pieces) > CACHE_ROWS:
+            self.pieces.clear()
+        self._encode([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.pieces])
+        get = self.pieces.__getitem__
+        for w, found in zip(missed, split, strict=True):
+            self.words[w] = special[w] if w in special else get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        library, pattern, cut, special = self.tools()
+        library, pattern, cut, special, _ = self.tools()
         normal = library.normalizer.normalize_str
         words, counts = [], []
         for t in texts:
@@ -76,21 +111,20 @@ class Encoder:
             words += found
             counts.append(len(found))
         if not words:
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         code, distinct = factorized(words, texts)
-        cache = self.cache
-        if len(cache) > CACHE_ROWS:
-            cache.clear()
-        missed = [w for w in distinct if w not in cache]
-        if missed:
-            made = library.encode_batch(missed, add_special_tokens=False)
-            cache.update((w, tuple(e.ids)) for w, e in zip(missed, made, strict=True))
-        parts = [cache[w] for w in distinct]
-        for w in distinct:
+        del words
+        if len(self.words) > CACHE_ROWS:
+            self.words.clear()
+        known = self.words
+        missed = [w for w in distinct if w not in known]
+        self._fill(missed)
+        parts = [known[w] for w in distinct]
+        for w in missed:
             if len(w) > 64:
-                del cache[w]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter(chain.from_iterable(parts), np.int64, int(sizes.sum()))
+                del known[w]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
         wide = sizes[code]
         ids = flat[ragged((np.cumsum(sizes) - sizes)[code], wide)]
         total = np.concatenate([[0], np.cumsum(wide)])
@@ -113,22 +147,27 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END, w
 
     def run(batches):
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "text", BLOCK):
             ids, counts = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()])
             stops = np.cumsum(counts)
             raw = ids.astype("<u4")
-            rows, held = [], []
-            for doc, lo, hi in zip(batch.column("doc_id").to_pylist(), (stops - counts).tolist(), stops.tolist(), strict=True):
-                own = np.append(raw[lo:hi], np.uint32(end)).astype("<u4")
-                at = 0
-                for size in piece_lengths(len(own), sequence):
-                    part = own[at : at + size]
-                    rows.append((doc, at, size, zlib.crc32(part), len(own), number, 0, size.bit_length() - 1))
-                    if with_ids:
-                        held.append(part.astype(np.int32))
-                    number += 1
-                    at += size
-            yield batch_of(schema, *zip(*rows, strict=True), *[held] * with_ids)
+            raw = np.insert(raw, stops, np.uint32(end)).astype("<u4")  # every document with its end
+            stops = stops + np.arange(1, len(stops) + 1)
+            data, cuts, sizes, crcs = memoryview(raw).cast("B"), [], [], []
+            for lo, hi in zip((stops - counts - 1).tolist(), stops.tolist(), strict=True):
+                own = piece_lengths(hi - lo, sequence)
+                sizes += own
+                cuts.append(len(own))
+                for size in own:
+                    crcs.append(crc32(data[4 * lo : 4 * (lo + size)]))
+                    lo += size
+            size, pieces = np.array(sizes, np.int64), np.array(cuts)
+            row = np.repeat(np.arange(len(pieces)), pieces)
+            at = np.cumsum(size) - size - (stops - counts - 1)[row]
+            made = [pa.array(at), pa.array(size), pa.array(crcs, pa.int64()), pa.array((counts + 1)[row]), pa.array(np.arange(len(size)) + number)]
+            number += len(size)
+            held = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(raw.astype(np.int32)))] * with_ids
+            yield batch_of(schema, batch.column("doc_id").take(pa.array(row)), *made, pa.array(np.zeros(len(size), np.int64)), pa.array(np.log2(size).astype(np.int32)), *held)
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
