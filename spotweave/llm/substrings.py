@@ -29,6 +29,8 @@ EDGE_BLOCK = 12 << 20
 #: Edges that one bucket should hold; the number of buckets follows from the table's size.
 BUCKET_EDGES = 1 << 21
 MAX_BUCKETS = 1 << 12
+#: Groups of documents for every bucket: a group's occurrences meet in one task.
+DOCUMENT_GROUPS = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -105,21 +107,58 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_EDGES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+_EDGES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("sources", pa.binary())])
 _SOURCES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary())])
 _SOURCES_SQL = "doc_id long, th long, places binary, owners binary, sources binary"
+#: Occurrences of many documents in one row: all columns are packed.
+_GROUPS = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary())])
+_GROUPS_SQL = "part int, ids binary, ths binary, counts binary, places binary, owners binary, sources binary"
 
 
-def _grouped(ids, ths, doc, place, owner, source):
-    """Occurrences to one row per document (doc: index into ids and ths)."""
+def _part_of(ids: np.ndarray, parts: int) -> np.ndarray:
+    """The group of documents that an id belongs to."""
+    return (_mixed(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _grouped(ids, ths, doc, place, owner, source, parts):
+    """Occurrences (doc: index into ids and ths) to one packed row per group of documents."""
     if not len(doc):
-        return batch_of(_SOURCES, [], [], [], [], [])
-    order = np.argsort(doc, kind="stable")
-    doc, place, owner, source = doc[order], place[order], owner[order], source[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ends = np.append(first[1:], len(doc))
-    rows = [(planes(place[a:b], 4), planes(owner[a:b].view(np.uint64), 8), planes(source[a:b], 4)) for a, b in zip(first, ends, strict=True)]
-    return batch_of(_SOURCES, pa.array(ids[doc[first]]), pa.array(ths[doc[first]]), *zip(*rows, strict=True))
+        return batch_of(_GROUPS, *[[]] * 7)
+    part = _part_of(ids, parts)[doc]
+    order = np.lexsort((place, doc, part))
+    part, doc, place, owner, source = part[order], doc[order], place[order], owner[order], source[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist()
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        d = doc[a:b]
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        count = np.diff(np.append(first, len(d)))
+        own = d[first]
+        rows.append((int(part[a]), ids[own].tobytes(), ths[own].tobytes(), planes(count, 4), planes(place[a:b], 4), planes(owner[a:b].view(np.uint64), 8), planes(source[a:b], 4)))
+    return batch_of(_GROUPS, *zip(*rows, strict=True))
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """The packed rows of a group of documents to one row per document."""
+    ids, ths, doc, place, owner, source, base = [], [], [], [], [], [], 0
+    for row in table.to_pylist():
+        own = np.frombuffer(row["ids"], np.int64)
+        ids.append(own)
+        ths.append(np.frombuffer(row["ths"], np.int64))
+        doc.append(np.repeat(np.arange(len(own)) + base, unplanes(row["counts"], 4).astype(np.int64)))
+        place.append(unplanes(row["places"], 4))
+        owner.append(unplanes(row["owners"], 8))
+        source.append(unplanes(row["sources"], 4))
+        base += len(own)
+    ids, ths, doc, place, owner, source = (np.concatenate(x) for x in (ids, ths, doc, place, owner, source))
+    order = np.lexsort((place, ths[doc], ids[doc]))
+    a, b = ids[doc[order]], ths[doc[order]]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    rows = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True):
+        o = order[lo:hi]
+        rows.append((planes(place[o], 4), planes(owner[o], 8), planes(source[o], 4)))
+    return pa.Table.from_batches([batch_of(_SOURCES, pa.array(a[first]), pa.array(b[first]), *zip(*rows, strict=True))])
 
 
 def _first_of(hashes, ids, doc, place):
@@ -134,8 +173,8 @@ def _first_of(hashes, ids, doc, place):
     return order, row, ids[doc[lead]], place[lead]
 
 
-def edge_rows(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
-    """Packed edges by bucket, and (bucket -1) what a block finds repeated among its own documents."""
+def edge_rows(docs: DataFrame, buckets: int, parts: int, k: int = WORDS) -> DataFrame:
+    """Packed edges by bucket, and (bucket below 0: a group of documents) what a block finds repeated among its own documents."""
     bits = buckets.bit_length() - 1
 
     def run(batches):
@@ -155,11 +194,9 @@ def edge_rows(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                 entry = part[o]
                 later = ids[doc[entry]] > owner  # settled here: only the block's smallest id is sent on
                 send = np.concatenate([send, entry[row & ~later]])
-                settled = _grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later])
-                for i in range(0, settled.num_rows, 512):
-                    r = settled.slice(i, 512)
-                    n = r.num_rows
-                    yield batch_of(_EDGES, [-1] * n, [np.int64(x).tobytes() for x in r.column(0).to_pylist()], [np.int64(x).tobytes() for x in r.column(1).to_pylist()], r.column(3), r.column(2), r.column(4))
+                settled = _grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later], parts)
+                if settled.num_rows:
+                    yield batch_of(_EDGES, pa.array(-1 - settled.column(0).to_numpy(), pa.int32()), *[settled.column(c) for c in (1, 2, 3, 5, 4)], settled.column(6))
             bucket = (hashes[send] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(send), np.int64)
             order = np.lexsort((place[send], doc[send], bucket))
             send, bucket = send[order], bucket[order]
@@ -173,14 +210,14 @@ def edge_rows(docs: DataFrame, buckets: int, k: int = WORDS) -> DataFrame:
                 count = np.diff(np.append(first, len(d)))
                 step = np.diff(place[part], prepend=0)
                 step[first] = place[part][first]
-                row = (b, ids[d[first]].tobytes(), ths[d[first]].tobytes(), planes(count, 4), planes(hashes[part], 7), planes(step, 4))
+                row = (b, ids[d[first]].tobytes(), ths[d[first]].tobytes(), planes(count, 4), planes(hashes[part], 7), planes(step, 4), None)
                 yield batch_of(_EDGES, *([x] for x in row))
 
     rows = docs.where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "bucket int, ids binary, ths binary, counts binary, hashes binary, places binary")
+    return rows.mapInArrow(run, "bucket int, ids binary, ths binary, counts binary, hashes binary, places binary, sources binary")
 
 
-def _resolve(table: pa.Table):
+def _resolve(table: pa.Table, parts: int):
     """All edges of a bucket: each repeated one to its source coordinates."""
     ids, ths, doc, hashes, place, base = [], [], [], [], [], 0
     for row in table.to_pylist():
@@ -203,7 +240,7 @@ def _resolve(table: pa.Table):
     o, _, owner, source = _first_of(hashes[part], ids, doc[part], place[part])
     entry = part[o]
     later = ids[doc[entry]] > owner
-    return pa.Table.from_batches([_grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later])])
+    return pa.Table.from_batches([_grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later], parts)])
 
 
 def repeated_edges(docs: DataFrame, k: int = WORDS, buckets: int | None = None) -> DataFrame:
@@ -213,18 +250,17 @@ def repeated_edges(docs: DataFrame, k: int = WORDS, buckets: int | None = None)
         buckets = 1
         while buckets < MAX_BUCKETS and buckets * BUCKET_EDGES < size // 4:
             buckets *= 2
-    edges = edge_rows(docs, buckets, k)
+    parts = buckets * DOCUMENT_GROUPS
+    edges = edge_rows(docs, buckets, parts, k)
 
     def both(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= 0:
-            return _resolve(table)
-        as_int = lambda c: pa.array([int(np.frombuffer(x, np.int64)[0]) for x in table.column(c).to_pylist()], pa.int64())
-        return pa.table([as_int("ids"), as_int("ths"), table.column("hashes"), table.column("counts"), table.column("places")], schema=_SOURCES)
+            return _resolve(table, parts)
+        part = pa.array(-1 - table.column("bucket").to_numpy(), pa.int32())
+        return pa.table([part, *[table.column(c) for c in ("ids", "ths", "counts", "places", "hashes", "sources")]], schema=_GROUPS)
 
-    # the rows settled in blocks are spread over many groups of their own
-    spread = F.when(F.col("bucket") < 0, -1 - F.pmod(F.hash("ids"), F.lit(max(64, buckets)))).otherwise(F.col("bucket"))
-    found = edges.withColumn("bucket", spread).groupBy("bucket").applyInArrow(both, _SOURCES_SQL)
-    return stored(found, "repeated-edges")
+    found = edges.groupBy("bucket").applyInArrow(both, _GROUPS_SQL)
+    return stored(found.groupBy("part").applyInArrow(_by_document, _SOURCES_SQL), "repeated-edges")
 
 
 def _flagged(sources, hashes: np.ndarray):
@@ -254,7 +290,7 @@ def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
-def _compact(rows: DataFrame, k: int) -> DataFrame:
+def _compact(rows: DataFrame, k: int, with_text: bool) -> DataFrame:
     """Documents with their repeated edges to one result row each, and one row per compacted path.
 
     doc rows: n_words, n_removed, kept_sha256; path rows: start, words, owner, source, digest.
@@ -285,7 +321,7 @@ def _compact(rows: DataFrame, k: int) -> DataFrame:
                     covered = np.cumsum(gone[:-1]) > 0
                     keep = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                 kept = b" ".join(keep)
-                out.append((doc_id, th, len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode() if len(keep) < len(words) else None, None, None, None, None, None))
+                out.append((doc_id, th, len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text and len(keep) < len(words) else None, None, None, None, None, None))
             yield batch_of(schema, *zip(*out, strict=True))
 
     spec = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, kept_text string, start long, words long, owner long, source long, digest binary"
@@ -315,8 +351,8 @@ def _failures(paths: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.join(rows, "owner", "left").where("n >= coalesce(count, 1)").select("owner", "source", "words", "digest")
 
 
-def dedup_substrings(docs: DataFrame, k: int = WORDS, buckets: int | None = None) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing goes).
+def dedup_substrings(docs: DataFrame, k: int = WORDS, buckets: int | None = None, with_text: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing goes, or unasked for).
 
     Removes each word covered by a window of k words that also starts in a document of smaller
     id. docs needs doc_id and text; other columns are ignored. Null and empty texts have no
@@ -326,22 +362,27 @@ def dedup_substrings(docs: DataFrame, k: int = WORDS, buckets: int | None = None
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
-    edges = repeated_edges(docs, k, buckets)
-    gc.collect()
-    spark._jvm.System.gc()  # lets the cleaner drop the shuffle of the edges
-    found = edges.groupBy("doc_id", "th").agg(F.collect_list(F.struct("places", "owners", "sources")).alias("found"))
+    edges = repeated_edges(docs, k, buckets).select("doc_id", "th", F.array(F.struct("places", "owners", "sources")).alias("found"))
+    _release(spark)
     none = F.lit(None).cast("array<struct<start:bigint,owner:bigint,source:bigint>>")
-    out = stored(_compact(docs.join(found, ["doc_id", "th"], "left").select("doc_id", "th", "text", "found", none.alias("failed")), k), "paths")
+    out = stored(_compact(docs.join(edges, ["doc_id", "th"], "left").select("doc_id", "th", "text", "found", none.alias("failed")), k, with_text), "paths")
+    _release(spark)
     paths = out.where("owner is not null")
     bad = stored(_failures(paths, docs), "failed-paths")
     if not bad.isEmpty():
         wrong = paths.join(bad, ["owner", "source", "words", "digest"], "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "owner", "source")).alias("failed"))
-        again = docs.join(found, ["doc_id", "th"], "left").join(wrong, ["doc_id", "th"], "left")
-        out = _compact(again.select("doc_id", "th", "text", "found", "failed"), k)
+        again = docs.join(edges, ["doc_id", "th"], "left").join(wrong, ["doc_id", "th"], "left")
+        out = _compact(again.select("doc_id", "th", "text", "found", "failed"), k, with_text)
     return out.where("n_words is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
+def _release(spark) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     """Word counts, removed words and the digest of what stays, for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_substrings(docs).drop("kept_text")
+    return dedup_substrings(docs, with_text=False).drop("kept_text")

@@ -59,6 +59,7 @@ def test_a_false_source_is_not_removed(spark, monkeypatch):
     wrong = [(2, r.th) for r in df.selectExpr("doc_id", "xxhash64(text) th").where("doc_id = 2").collect()]
 
     def forged(docs, k, buckets):
+        assert buckets is None
         p = [substrings.planes(np.array([3]), 4), substrings.planes(np.array([1]), 8), substrings.planes(np.array([3]), 4)]
         return edges(docs, k, buckets).unionByName(spark.createDataFrame([(*wrong[0], *map(bytearray, p))], substrings._SOURCES_SQL))
 
