@@ -25,6 +25,10 @@ from .vectors import PIVOTS, SAMPLE_ROWS, Cells, by_length, choose_pivots, finit
 COSINE = 0.9
 BLOCK_ROWS = 4096
 LEAF = 8
+#: Balls of a larger radius than this and few points are not kept.
+WIDE = 0.25
+#: Balls that are filled at once.
+BALLS = 2048
 #: Radii of the levels below the root.
 RADII = tuple(2.0**-k for k in range(0, 9))
 _SLACK = 1e-9
@@ -51,11 +55,13 @@ class CoverTree:
                 a, b = nodes[node][:2]
                 centre = start_center[node]
                 own = order[a:b]
+                if b - a == 1:
+                    continue
                 dist = np.sqrt(np.maximum(0, ((x[own] - x[centre]) ** 2).sum(axis=1)))
                 nodes[node][3] = float(dist.max(initial=0.0))
                 if b - a <= leaf or depth + 1 >= len(radii) or nodes[node][3] == 0:
                     continue
-                groups, depth = cls._split(x, own, centre, dist, depth, radii)
+                groups, depth = cls._split(x, own, centre, dist, depth, radii, leaf)
                 if groups is None:
                     continue
                 order[a:b] = np.concatenate([g for _, g in groups])
@@ -78,20 +84,35 @@ class CoverTree:
         self.start, self.stop, self.centre, self.first, self.count = (table[:, k].astype(np.int64) for k in (0, 1, 2, 4, 5))
 
     @staticmethod
-    def _split(x, own, centre, dist, depth, radii):
+    def _split(x, own, centre, dist, depth, radii, leaf):
         """Cover a node's points by balls of the next radius that divides them; the node's centre comes first."""
         for k in range(depth + 1, len(radii)):
             if dist.max() <= radii[k]:
                 continue
             r2 = radii[k] ** 2
-            near = dist <= radii[k]
-            groups, rest = [(centre, own[near])], own[~near]
-            while len(rest):
-                c = rest[0]
-                near = 2 - 2 * (x[rest] @ x[c]) <= r2
-                near[0] = True
-                groups.append((c, rest[near]))
-                rest = rest[~near]
+            # which point lies in which ball: single precision will do, true radii are measured later
+            points = x[own].astype(np.float32)
+            least = np.float32(1 - radii[k] ** 2 / 2)
+            first = int(np.flatnonzero(own == centre)[0])
+            open_ = np.ones(len(own), bool)
+            groups = []
+            for lo in range(0, len(own), BALLS):
+                if lo and not open_.any():
+                    break
+                order = np.arange(lo, min(lo + BALLS, len(own)))
+                if not lo:
+                    order = np.concatenate([[first], order[order != first]])
+                inside = points[order] @ points.T >= least
+                for c, near in zip(order.tolist(), inside, strict=True):
+                    if open_[c]:
+                        near = near & open_
+                        near[c] = True
+                        open_ &= ~near
+                        members = own[near]
+                        if len(members) <= leaf and radii[k] > WIDE:  # a wide ball of a few points bounds nothing
+                            groups += [(m, members[n : n + 1]) for n, m in enumerate(members)]
+                        else:
+                            groups.append((own[c], members))
             return groups, k
         return None, depth
 
@@ -102,6 +123,8 @@ class Walk:
     def __init__(self, left, right, cosine: float):
         (self.xa, self.wa, self.ta), (self.xb, self.wb, self.tb) = left, right
         self.same = left is right
+        self.fa, self.fb = self.xa.astype(np.float32), self.xb.astype(np.float32)
+        self.error = (self.xa.shape[1] + 4) * 2.0**-23
         self.cosine, self.t = cosine, float(np.sqrt(2 - 2 * cosine))
         self.na, self.nb = len(self.xa), len(self.xb)
         self.links_a, self.links_b = np.zeros(self.na + 1, np.int64), np.zeros(self.nb + 1, np.int64)
@@ -127,15 +150,20 @@ class Walk:
         own = self.same and a == b
         more = []
         step = max(1, (1 << 21) // max(1, len(cb)))
-        for lo in range(0, len(ca), step):
-            rows = slice(lo, lo + step)
-            d = np.sqrt(np.maximum(0, 2 - 2 * (self.xa[ca[rows]] @ self.xb[cb].T)))
-            i, j = np.nonzero(d <= self.t + _SLACK + ra[rows][:, None] + rb[None])
-            dist = d[i, j]
-            i += lo
+        # points and wider nodes apart: what single precision lets through goes by the largest radius of a side
+        sides = [(p, q) for p in (np.flatnonzero(ra == 0), np.flatnonzero(ra > 0)) for q in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)) if len(p) and len(q)]
+        for p, q in ((p[lo : lo + step], q) for p, q in sides for lo in range(0, len(p), step)):
+            # single precision with room for its error finds what may be in reach; doubles decide
+            reach = self.t + _SLACK + ra[p] + rb[q].max()
+            least = 1 - reach * reach / 2 - self.error
+            i, j = np.divmod(np.flatnonzero((self.fa[ca[p]] @ self.fb[cb[q]].T) >= least.astype(np.float32)[:, None]), len(q))
+            i, j = p[i], q[j]
             if own:
                 keep = i <= j
-                i, j, dist = i[keep], j[keep], dist[keep]
+                i, j = i[keep], j[keep]
+            dist = np.concatenate([[], *[np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.xa[ca[i[k : k + 65536]]], self.xb[cb[j[k : k + 65536]]]))) for k in range(0, len(i), 65536)]])
+            keep = dist <= self.t + _SLACK + ra[i] + rb[j]
+            i, j, dist = i[keep], j[keep], dist[keep]
             point = pa_[i] & pb_[j]
             whole = (dist + ra[i] + rb[j] <= self.t - _SLACK) & ~point
             one = point & (i != j) if own else point
