@@ -37,11 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id, once if its row repeats."""
+    """One document of each near-duplicate group: that with the smallest id, once if its row repeats. Rows without an id stay."""
     ship(spark)
     kept = simhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return once.dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
