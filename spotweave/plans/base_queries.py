@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.keys import digest
+from spotweave.functions.lineage import cut
 from spotweave.functions.labels import canonical, class_support, classes, is_labelled
 from spotweave.operators import bootstrap, cohort, folds, probes, sampling
 from spotweave.plans import probe_sql as S
@@ -296,7 +297,7 @@ _POINT = """
 SELECT v.scope, v.class, round(value, 6) AS value, n_donors, round(lo, 6) AS ci_lo, round(hi, 6) AS ci_hi, coalesce(nb, 0) AS n_boot FROM value v JOIN donors USING (scope)
 LEFT JOIN (SELECT scope, class, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi, count(DISTINCT replicate) AS nb FROM draws GROUP BY ALL) USING (scope, class)""")
 def donor_bootstrap(spark, sf_dir):
-    return rounded(bootstrap.bootstrap_rows(_pred(spark, sf_dir), N_BOOT))
+    return rounded(bootstrap.bootstrap_rows(cut(_pred(spark, sf_dir)), N_BOOT))
 
 
 @query(SQL + S.PREDICTIONS + S.MAJORITY + S.scoped() + S.scoped("major", "other") + S.counts() + S.counts("other", "oc") + S.replicates(N_BOOT) + S.replicates(N_BOOT, "other", "od") + """
@@ -308,7 +309,7 @@ SELECT scope, class, round(va.f - vb.f, 6) AS delta, round(lo, 6) AS ci_lo, roun
 def paired_delta(spark, sf_dir):
     rows = _rows(spark, sf_dir)
     both = probes.paired(probes.leave_one_out(rows, "donor"), probes.leave_one_out(rows, "donor", majority=True), ["fold", "key"])
-    return rounded(bootstrap.delta_rows(both, N_BOOT))
+    return rounded(bootstrap.delta_rows(cut(both), N_BOOT))
 
 
 @query(SQL + S.PREDICTIONS + S.counts("pred", "counts", "tissue") + S.counts("pred", "dc", "tissue, donor") + f"""
@@ -325,14 +326,14 @@ def paired_delta(spark, sf_dir):
 ), v AS (SELECT tissue, avg(f) AS f FROM counts_m WHERE support > 0 GROUP BY tissue)
 SELECT (SELECT round(avg(f), 6) FROM v) AS value, (SELECT count(*) FROM v) AS n_organs, round(quantile_cont(value, 0.025), 6) AS ci_lo, round(quantile_cont(value, 0.975), 6) AS ci_hi, count(*) AS n_boot FROM r""")
 def balanced_bootstrap(spark, sf_dir):
-    return rounded(bootstrap.balanced_row(_pred(spark, sf_dir), N_BOOT))
+    return rounded(bootstrap.balanced_row(cut(_pred(spark, sf_dir)), N_BOOT))
 
 
 @query(SQL + S.PREDICTIONS + S.scoped() + S.replicates(N_BOOT) + """
 , two AS (SELECT 1 AS seed, * FROM draws UNION ALL SELECT 2, scope, replicate, class, value * 0.9 FROM draws)
 SELECT scope, class, round(quantile_cont(value, 0.025), 6) AS ci_lo_pooled, round(quantile_cont(value, 0.975), 6) AS ci_hi_pooled, count(DISTINCT seed) AS n_seeds_pooled FROM two GROUP BY ALL""")
 def pooled_draws(spark, sf_dir):
-    draws = bootstrap.replicate_scores(probes.with_scopes(_pred(spark, sf_dir)), ["scope"], N_BOOT)
+    draws = bootstrap.replicate_scores(probes.with_scopes(cut(_pred(spark, sf_dir))), ["scope"], N_BOOT)
     two = draws.withColumn("seed", F.lit(1)).unionByName(draws.withColumn("value", F.col("value") * 0.9).withColumn("seed", F.lit(2)))
     return rounded(bootstrap.pooled_interval(two, ["scope", "class"]))
 
