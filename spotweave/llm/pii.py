@@ -82,19 +82,32 @@ def _byte(part: str) -> int:
 # Candidates ----------------------------------------------------------------------------
 
 #: At most this many characters of a name or of a domain label belong to a candidate.
-_MASKED = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{<] ?(?:at|AT|@) ?[)\]}>]| at | AT ) ?[A-Za-z0-9-]{1,63}(?: ?(?:[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>]|\.| dot | DOT ) ?[A-Za-z0-9-]{2,63}){1,4}"
-)
-_MASK_HINT = re.compile(r"[(\[{<] ?(?:at|AT|@)| dot | DOT ")
+_MASK_AT = re.compile(r" (?=at |AT )|[(\[{<](?= ?(?:at|AT|@) ?[)\]}>])")
+_MASK_HEAD = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{<] ?(?:at|AT|@) ?[)\]}>]| at | AT ) ?[A-Za-z0-9-]{1,63}")
+_MASK_PART = re.compile(r" ?(?:[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>]|\.| dot | DOT ) ?[A-Za-z0-9-]{2,63}")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])")
 _RUN = re.compile(r"[0-9](?:[\x20().,:/_-]{0,2}[0-9]){6,29}(?![0-9])")
 
 
+def masked(text: str) -> list[tuple[int, int]]:
+    """Obfuscated addresses around every at that could be one's, each with one to four labels after the first."""
+    out = []
+    for m in _MASK_AT.finditer(text):
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        start = end
+        while start > max(0, end - 64) and text[start - 1] in _LOCAL_CHARS:
+            start -= 1
+        part = _MASK_HEAD.match(text, start) if start < end else None
+        for _ in range(4):
+            part = part and _MASK_PART.match(text, part.end())
+            if part:
+                out.append((start, part.end()))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans worth a look, of every kind they could be; they may overlap."""
-    out = []
-    if _MASK_HINT.search(text):
-        out += [("email", m.start(), m.end()) for m in _MASKED.finditer(text)]
+    out = [("email", a, b) for a, b in masked(text)]
     if not _DIGIT.search(text):
         return out
     if text.count(":") > 1:
@@ -119,7 +132,10 @@ _NEAR = {
 }
 _AGAINST = re.compile(r"order|invoice|isbn|issn|version|serial|ticket|track|item|article|ref|doi|sku|batch|part|code|case|page|vol|date|time|license|no\.|nr\.|#$|id:?\s*$", re.I)
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:19|20)[0-9]{2}|[0-9]{1,2}:[0-9]{2}")
-_TLD = re.compile(r"(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$", re.I)
+_TLD = re.compile(r"(?<![A-Za-z0-9-])(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$", re.I)
+_BREAK = re.compile(r"[A-Za-z0-9-](?: \.|\. )")
+#: Words that stand before "at" and a site or a place, and are nobody's name.
+_NO_NAME = re.compile(r"(?:us|me|it|them|him|her|you|look|looks|looked|looking|available|found|hosted|posted|live|online|here|is|are|was|met|meet|visit|shop|page|site|website|arrived|dinner|stay|work|works|start|starts) ", re.I)
 
 
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
@@ -150,6 +166,9 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(sum(c in "([{<" for c in span)),
         float(span.lower().count("dot") + span.lower().count(" at ")),
         float(bool(_TLD.search(span))),
+        float(len(_BREAK.findall(span))),
+        float(bool(_NO_NAME.match(span))),
+        float(kind == "email" and any(c in "._%+-0123456789" for c in re.split(r"[ (\[{<]", span, maxsplit=1)[0])),
     ]
 
 
@@ -207,8 +226,8 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-(self.start + sum(self._walk(t, x) for t in self.model))))
 
 
-def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
-    """(text, kind, start, end, 1 if personal) candidates of written sentences with known contents."""
+def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """(text, personal spans) of written sentences."""
     rng = np.random.default_rng(seed)
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     pick = lambda *x: x[int(rng.integers(len(x)))]
@@ -218,7 +237,7 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         "email": lambda: f"{word()}{pick('.', '_', '')}{word()}{pick(' at ', ' (at) ', '[at]', '(at)', ' [at] ', '{at}', ' AT ')}{word()}{pick(' dot ', ' (dot) ', '[dot]', '.', ' [dot] ', ' DOT ')}{pick('com', 'org', 'net', 'de')}",
         "ip": lambda: ":".join(f"{int(rng.integers(0, 65536)):x}" for _ in range(8)),
         "card": lambda: pick(digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4)), f"{digits(4)} {digits(6)} {digits(5)}"),
-        "phone": lambda: pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)} {digits(5)}"),
+        "phone": lambda: pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}"),
     }
     bad = [
         lambda: f"{pick('order', 'invoice', 'ticket', 'serial', 'tracking', 'ref', 'ISBN')} {digits(int(rng.integers(8, 20)))}",
@@ -234,6 +253,8 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         lambda: " ".join(digits(int(rng.integers(1, 4))) for _ in range(int(rng.integers(4, 9)))),
         lambda: f"{word()} at {word()} dot {word()}{word()} {word()}",
         lambda: f"look at {word()}. {word()}.{word()}",
+        lambda: f"{pick('met', 'dinner', 'arrived', word(), word())} at {word()}. {pick(word(), 'Es', 'De', 'Info', 'It')}",
+        lambda: f"{pick('look', 'visit us', 'contact us', 'write to us', 'mail me', 'found', 'available', 'posted')} at {word()}{word()}{pick('.', ' dot ')}{pick('com', 'org', 'net', 'de')}",
         lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
         lambda: f"{digits(1)}:{digits(2)}, {digits(1)}:{digits(2)}:{digits(2)}",
     ]
@@ -248,17 +269,27 @@ def examples(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         else:
             said, lead = pick(*bad)(), f"{prose(3)} "
         text = f"{lead}{said}{pick('', '.', ',', '!!', '***', '%%%')} {prose(3)}"
-        a, b = len(lead), len(lead) + len(said)
-        for c, lo, hi in candidates(text):
-            out.append((text, c, lo, hi, int(c == kind and lo < b and hi > a and min(hi, b) - max(lo, a) >= 0.9 * (max(hi, b) - min(lo, a)))))
+        out.append((text, [(kind, len(lead), len(lead) + len(said))] if kind else []))
     return out
 
 
+def _same(one: tuple, other: tuple) -> bool:
+    """Spans of one kind that share nine tenths of what both cover."""
+    (k, a, b), (c, lo, hi) = one, other
+    return k == c and lo < b and hi > a and min(hi, b) - max(lo, a) >= 0.9 * (max(hi, b) - min(lo, a))
+
+
+def examples(written: list) -> list[tuple[str, str, int, int, int]]:
+    """(text, kind, start, end, 1 if personal) candidates of the sentences."""
+    return [(text, *c, int(any(_same(s, c) for s in said))) for text, said in written for c in candidates(text)]
+
+
 class Detector:
     """Trees and thresholds; spans() gives base and added spans of a text."""
 
     def __init__(self, n: int = 3000, seed: int = 5, precision: float = PRECISION):
-        train, held = examples(n, seed), examples(n, seed + 1)
+        written = sentences(n, seed + 1)
+        train, held = examples(sentences(n, seed)), examples(written)
         table = lambda rows: (np.array([features(t, k, a, b) for t, k, a, b, _ in rows]), np.array([r[4] for r in rows], float))
         self.trees = BoostedTrees().fit(*table(train))
         x, y = table(held)
@@ -270,7 +301,11 @@ class Detector:
             good = np.cumsum(y[own][order])
             fine = np.flatnonzero(good / np.arange(1, len(good) + 1) >= precision)
             self.threshold[kind] = max(0.5, float(p[own][order][fine[-1]])) if len(fine) else 2.0
-            self.recall[kind] = float((p[own & (y > 0)] >= self.threshold[kind]).mean()) if (own & (y > 0)).any() else 0.0
+        # over all that was written, with or without a candidate
+        got = [(s[0], any(_same(s, c) for c in every)) for t, said in written if said for every in (self.spans(t)[1],) for s in said]
+        for kind in KINDS:
+            hits = [hit for k, hit in got if k == kind]
+            self.recall[kind] = sum(hits) / len(hits) if hits else 0.0
 
     def added(self, text: str, base: list) -> list[tuple[str, int, int]]:
         """Candidates that the trees accept and that touch no base span; of overlapping ones the best."""

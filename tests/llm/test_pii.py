@@ -58,6 +58,21 @@ def test_trees_add_and_spare(detector):
     assert all(r >= 0.8 for r in detector.recall.values())
 
 
+def test_masked_addresses_without_a_hint(detector):
+    found = lambda t: [t[a:b] for k, a, b in detector.spans(t)[1] if k == "email"]
+    assert found("please mail jane.doe at example.com today") == ["jane.doe at example.com"]
+    assert found("please mail jane.doe AT example.com. Thanks") == ["jane.doe AT example.com"]
+    assert found("jane at home. mail jane.doe at mail.example.org") == ["jane.doe at mail.example.org"]
+    for clean in ("we met at noon. Sometimes it rains", "the end at home. Inside it was warm", "please look at example.com today"):
+        assert found(clean) == [], clean
+    assert pii.masked("mail ada at lab.de at once") == [(5, 18)]
+
+
+def test_recall_counts_what_has_no_candidate(monkeypatch):
+    monkeypatch.setattr(pii, "masked", lambda text: [])
+    assert pii.Detector(n=400).recall["email"] == 0
+
+
 def test_spans_keep_base(detector):
     for t in TEXTS:
         base, every = detector.spans(t or "")
