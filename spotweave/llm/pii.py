@@ -86,7 +86,8 @@ _MASK_AT = re.compile(r" (?=at |AT )|[(\[{<](?= ?(?:at|AT|@) ?[)\]}>])")
 _MASK_HEAD = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{<] ?(?:at|AT|@) ?[)\]}>]| at | AT ) ?[A-Za-z0-9-]{1,63}")
 _MASK_PART = re.compile(r" ?(?:[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>]|\.| dot | DOT ) ?[A-Za-z0-9-]{2,63}")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])")
-_RUN = re.compile(r"[0-9](?:[\x20().,:/_-]{0,2}[0-9]){6,29}(?![0-9])")
+_GROUP = re.compile(r"[0-9]+")
+_GAP = re.compile(r"[\x20().,:/_-]{1,2}")
 
 
 def masked(text: str) -> list[tuple[int, int]]:
@@ -105,6 +106,21 @@ def masked(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def digit_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, digits) of every sequence of neighbouring digit groups that has 7 to 19 digits, with a ( or + before it."""
+    groups, out = [m.span() for m in _GROUP.finditer(text)], []
+    for i, (a, _) in enumerate(groups):
+        n, end = 0, a
+        for lo, hi in groups[i : i + 19]:
+            n += hi - lo
+            if n > 19 or lo > a and not _GAP.fullmatch(text, end, lo):
+                break
+            end = hi
+            if n >= 7:
+                out.append((a - (a > 0 and text[a - 1] in "(+"), end, n))
+    return out
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans worth a look, of every kind they could be; they may overlap."""
     out = [("email", a, b) for a, b in masked(text)]
@@ -112,14 +128,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         return out
     if text.count(":") > 1:
         out += [("ip", m.start(), m.end()) for m in _SIX.finditer(text)]
-    for m in _RUN.finditer(text):
-        a, b = m.span()
-        if a and text[a - 1] in "(+":
-            a -= 1
-        n = len(_NOT_DIGIT.sub("", text[a:b]))
+    for a, b, n in digit_spans(text):
         if 13 <= n <= 19:
             out.append(("card", a, b))
-        if 7 <= n <= 15:
+        if n <= 15:
             out.append(("phone", a, b))
     return out
 
@@ -138,12 +150,23 @@ _BREAK = re.compile(r"[A-Za-z0-9-](?: \.|\. )")
 _NO_NAME = re.compile(r"(?:us|me|it|them|him|her|you|look|looks|looked|looking|available|found|hosted|posted|live|online|here|is|are|was|met|meet|visit|shop|page|site|website|arrived|dinner|stay|work|works|start|starts) ", re.I)
 
 
+_CHAIN_LEFT = re.compile(r"(?:[0-9]+[\x20().,:/_-]{1,2})+$")
+_LINK_RIGHT = re.compile(r"([\x20().,:/_-]{1,2})[0-9]")
+
+
+def _link(gap: str) -> float:
+    """0 without a gap, 1 for one that parts numbers, 2 for one that holds a number together."""
+    return 0.0 if not gap else 1.0 if " " in gap or "," in gap else 2.0
+
+
 def features(text: str, kind: str, a: int, b: int) -> list[float]:
     """Format and context of a candidate."""
     span, left, right = text[a:b], text[max(0, a - 32) : a], text[b : b + 16]
     digits = _NOT_DIGIT.sub("", span)
     groups = [len(g) for g in re.split(r"[^0-9]+", span) if g]
     before, after = left[-1:], right[:1]
+    chain, link = _CHAIN_LEFT.search(left), _LINK_RIGHT.match(right)
+    inner = {g for g in re.split(r"[0-9]+", span.lstrip("(+")) if g}
     return [
         float(KINDS.index(kind)),
         float(len(digits)),
@@ -166,6 +189,13 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(sum(c in "([{<" for c in span)),
         float(span.lower().count("dot") + span.lower().count(" at ")),
         float(bool(_TLD.search(span))),
+        _link(re.search(r"[^0-9]+$", left).group() if chain else ""),
+        float(len(_GROUP.findall(chain.group())) if chain else 0),
+        _link(link.group(1) if link else ""),
+        float(span.count("(") != span.count(")")),
+        float(len(inner)),
+        float(any("," in g or "/" in g for g in inner)),
+        float(groups in ([3, 3, 4], [1, 3, 3, 4], [2, 3, 3, 4])),
         float(len(_BREAK.findall(span))),
         float(bool(_NO_NAME.match(span))),
         float(kind == "email" and any(c in "._%+-0123456789" for c in re.split(r"[ (\[{<]", span, maxsplit=1)[0])),
@@ -233,10 +263,12 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]
     pick = lambda *x: x[int(rng.integers(len(x)))]
     word = lambda: "".join(pick(*"aeiou") + pick(*"nrstlmd") for _ in range(int(rng.integers(1, 4))))
     prose = lambda k: " ".join(word() for _ in range(k))
+    checked = lambda d: next(f"{d}{c}" for c in range(10) if luhn(f"{d}{c}"))
+    date = lambda: pick(f"20{digits(2)}-{digits(2)}-{digits(2)}", f"{digits(2)}/{digits(2)}/20{digits(2)}", f"{digits(2)}.{digits(2)}.20{digits(2)}")
     good = {
         "email": lambda: f"{word()}{pick('.', '_', '')}{word()}{pick(' at ', ' (at) ', '[at]', '(at)', ' [at] ', '{at}', ' AT ')}{word()}{pick(' dot ', ' (dot) ', '[dot]', '.', ' [dot] ', ' DOT ')}{pick('com', 'org', 'net', 'de')}",
         "ip": lambda: ":".join(f"{int(rng.integers(0, 65536)):x}" for _ in range(8)),
-        "card": lambda: pick(digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4)), f"{digits(4)} {digits(6)} {digits(5)}"),
+        "card": lambda: (lambda d: pick(d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4)), f"{d[:4]} {d[4:10]} {d[10:15]}"))(pick(digits(16), checked(digits(15)))),
         "phone": lambda: pick(f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}"),
     }
     bad = [
@@ -255,6 +287,8 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]
         lambda: f"look at {word()}. {word()}.{word()}",
         lambda: f"{pick('met', 'dinner', 'arrived', word(), word())} at {word()}. {pick(word(), 'Es', 'De', 'Info', 'It')}",
         lambda: f"{pick('look', 'visit us', 'contact us', 'write to us', 'mail me', 'found', 'available', 'posted')} at {word()}{word()}{pick('.', ' dot ')}{pick('com', 'org', 'net', 'de')}",
+        lambda: pick(" ", ", ", ",").join(digits(int(rng.integers(1, 6))) for _ in range(int(rng.integers(4, 12)))),
+        lambda: " ".join(date() for _ in range(int(rng.integers(1, 4)))),
         lambda: f"{digits(2)}:{digits(2)}:{digits(2)}",
         lambda: f"{digits(1)}:{digits(2)}, {digits(1)}:{digits(2)}:{digits(2)}",
     ]
@@ -262,14 +296,21 @@ def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]
     out = []
     for k in range(n):
         kind = KINDS[k // 2 % 4] if k % 2 else None
-        if kind:
-            said = good[kind]()
-            # a bare digit string is a card number only where the text says so
-            lead = f"{prose(2)} {pick(*hint[kind])} " if rng.random() < 0.4 or kind == "card" and said.isdigit() else f"{prose(3)} "
-        else:
-            said, lead = pick(*bad)(), f"{prose(3)} "
-        text = f"{lead}{said}{pick('', '.', ',', '!!', '***', '%%%')} {prose(3)}"
-        out.append((text, [(kind, len(lead), len(lead) + len(said))] if kind else []))
+        said, between = [(good[kind] if kind else pick(*bad))()], pick(", ", " ", ",", " / ", " or ")
+        # a bare digit string is a card number only where the text says so
+        named = kind and (rng.random() < 0.4 or kind == "card" and said[0].isdigit())
+        if kind in ("card", "phone") and rng.random() < 0.5:
+            said += [good[kind]() for _ in range(int(rng.integers(1, 3)))]
+            said = [x for x in said if named or kind != "card" or not x.isdigit()]
+        lead = f"{prose(2)} {pick(*hint[kind])} " if named else f"{prose(3)} "
+        dated = kind in ("card", "phone") and rng.random() < 0.25
+        text, spans = lead + (date() + pick(" ", ", ") if dated and rng.random() < 0.5 else ""), []
+        for x in said:
+            text += between if spans else ""
+            spans.append((kind, len(text), len(text) + len(x)))
+            text += x
+        text += pick(" ", ", ") + date() if dated else pick("", ".", ",", "!!", "***", "%%%")
+        out.append((f"{text} {prose(3)}", spans if kind else []))
     return out
 
 

@@ -73,6 +73,23 @@ def test_recall_counts_what_has_no_candidate(monkeypatch):
     assert pii.Detector(n=400).recall["email"] == 0
 
 
+def test_lists_of_numbers(detector):
+    found = lambda t: [(k, t[a:b]) for k, a, b in detector.spans(t)[1]]
+    assert found("call 212-555-1234, 212-555-9876 today") == [("phone", "212-555-1234"), ("phone", "212-555-9876")]
+    assert found("(212) 555-1234 (646) 555-9876") == [("phone", "(212) 555-1234"), ("phone", "(646) 555-9876")]
+    assert found("call 212.555.1234 2021-03-04") == [("phone", "212.555.1234")]
+    assert found("+1 (487) 555-7209, 212-555-1234") == [("phone", "+1 (487) 555-7209"), ("phone", "212-555-1234")]
+    for clean in ("12, 345, 6789, 12, 40, 5512, 7", "on 2021-03-04 2021-03-05 2021-03-06 we met", "1 2 3 4 5 6 7 8 9 10 11 12"):
+        assert found(clean) == [], clean
+
+
+def test_digit_spans_are_all_sequences_of_groups():
+    text = "+123-4567, 89 (12345678901234567890) 1.2.3"
+    got = {text[a:b] for a, b, _ in pii.digit_spans(text)}
+    assert got == {"+123-4567", "+123-4567, 89"}
+    assert {n for _, _, n in pii.digit_spans("1 " * 100)} == set(range(7, 20))
+
+
 def test_spans_keep_base(detector):
     for t in TEXTS:
         base, every = detector.spans(t or "")
