@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK = 4096
+#: Components of differences that are held at once.
+PAIRS = 1 << 22
 
 
 def _chunks(df: DataFrame, fold: str, columns: list[str], name: str, chunk: int) -> DataFrame:
@@ -28,6 +30,27 @@ def _matrix(cell) -> np.ndarray:
     return flat.reshape(len(x), -1)
 
 
+def _least(x: np.ndarray, y: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the k nearest columns of every row, ties to the smaller column; d has squared distances up to rounding, inf for none.
+
+    Every column that rounding could place among the k is measured again without cancellation.
+    """
+    slack = 8 * (x.shape[1] + 8) * np.finfo(float).eps * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None])
+    near = np.isfinite(d)
+    if k < len(y):
+        reach = np.partition(d + slack, k - 1, axis=1)[:, k - 1]
+        near &= d - slack <= np.where(np.isfinite(reach), reach, np.inf)[:, None]
+    row, col = np.nonzero(near)
+    dist, step = np.empty(len(row)), max(1, PAIRS // max(1, x.shape[1]))
+    for lo in range(0, len(row), step):
+        i, j = row[lo : lo + step], col[lo : lo + step]
+        dist[lo : lo + step] = np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+    order = np.lexsort((col, dist, row))
+    first = np.searchsorted(row, np.arange(len(x)))
+    order = order[np.arange(len(row)) - first[row] < k]
+    return row[order], col[order], dist[order]
+
+
 def nearest(test: DataFrame, train: DataFrame, k: int, fold: str = "fold", chunk: int = CHUNK, self_join: bool = False) -> DataFrame:
     """(fold, key, rank, other, label, dist): the k nearest training rows of every test row of its fold.
 
@@ -56,16 +79,10 @@ def nearest(test: DataFrame, train: DataFrame, k: int, fold: str = "fold", chunk
                         for r, m in enumerate(mine[lo : lo + 512]):
                             if m in place:
                                 d[r, place[m]] = np.inf
-                    n = min(k + 8, len(y))  # a few more, measured again without cancellation
-                    near = np.sort(np.argpartition(d, n - 1, axis=1)[:, :n], axis=1) if n < len(y) else np.tile(np.arange(len(y)), (len(part), 1))
-                    exact = np.sqrt(((part[:, None, :] - y[near]) ** 2).sum(axis=2))
-                    exact[~np.isfinite(np.take_along_axis(d, near, 1))] = np.inf
-                    best = np.argsort(exact, axis=1, kind="stable")[:, :k]
-                    dist, pick = np.take_along_axis(exact, best, 1), np.take_along_axis(near, best, 1)
-                    row, col = np.nonzero(np.isfinite(dist))
-                    at = pa.array(pick[row, col])
+                    row, col, dist = _least(part, y, d, k)
+                    at = pa.array(col)
                     who = left.field("key").take(pa.array(row + lo))
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("fold")[i].as_py()] * len(row), batch.schema.field("fold").type), who, keys.take(at), labels.take(at), pa.array(dist[row, col])], names=["fold", "key", "other", "label", "dist"])
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("fold")[i].as_py()] * len(row), batch.schema.field("fold").type), who, keys.take(at), labels.take(at), pa.array(dist)], names=["fold", "key", "other", "label", "dist"])
 
     found = work.mapInArrow(run, f"fold {fold_type}, key {key_type}, other {key_type}, label string, dist double")
     order = Window.partitionBy("fold", "key").orderBy("dist", "other")

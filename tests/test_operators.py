@@ -77,6 +77,24 @@ def test_knn_matches_brute_force(spark):
     assert got == {i: (np.argsort(d[i], kind="stable")[:3] + 20).tolist() for i in range(20)}
 
 
+def test_knn_ties_go_to_the_smaller_key(spark):
+    rng = np.random.default_rng(3)
+    copies = rng.normal(size=(2, 4)) * 100
+    y = np.concatenate([copies[rng.integers(0, 2, 400)], rng.normal(size=(20, 4)) + 1e4])
+    x = np.concatenate([copies, y[-2:] + 0.1])
+    row = lambda keys, m: [("f", int(i), str(int(i) % 3), v.tolist()) for i, v in zip(keys, m, strict=True)]
+    kind = "fold string, key long, label string, x array<double>"
+    keys = rng.permutation(len(y))
+    a, b = spark.createDataFrame(row(range(len(x)), x), kind).drop("label"), spark.createDataFrame(row(keys, y), kind)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    want = {i: [int(keys[j]) for j in np.lexsort((keys, d[i]))[:5]] for i in range(len(x))}
+    for chunk in (64, 4096):
+        got = {}
+        for r in knn.nearest(a, b, 5, chunk=chunk).orderBy("key", "rank").collect():
+            got.setdefault(r.key, []).append(r.other)
+        assert got == want
+
+
 def test_metrics(spark):
     pred = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("C", "B")], "y_true string, y_pred string").withColumn("g", F.lit(1))
     m = probes.macro_metrics(probes.class_metrics(probes.class_counts(probes.confusion(pred, ["g"]), ["g"])), ["g"]).first()
