@@ -303,6 +303,14 @@ def normalised_counts(spark, sf_dir):
     return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
 
 
+@query()
+def normalised_counts_all(spark, sf_dir):
+    """The values of normalised_counts, whose SQL names a prefix of the genes, for all genes."""
+    c = _counts(spark, sf_dir)
+    x = counts.expression(c.select("sample_id", "spot").distinct(), c, c.select("gene").distinct())
+    return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
+
+
 @query()
 def gene_dispersion(spark, sf_dir):
     c = _counts(spark, sf_dir)

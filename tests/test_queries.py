@@ -36,6 +36,15 @@ def test_matches_sql(spark, con, name):
     assert plain(registry.queries()[name](spark, SF).toPandas()) == plain(con.execute(registry.oracle_sql()[name]).df())
 
 
+def test_normalised_counts_of_all_genes(spark):
+    sf = SF.replace("0.001", "0.01")  # more than 200 genes
+    got = registry.queries()["normalised_counts_all"](spark, sf).toPandas()
+    assert got.gene.max() > 200
+    want = duckdb.sql(f"""WITH c AS (SELECT l_linenumber::VARCHAR AS sample_id, l_orderkey AS spot, l_partkey AS gene, sum(l_quantity) AS count FROM '{sf}/lineitem.parquet' GROUP BY ALL),
+        t AS (SELECT sample_id, spot, sum(count) AS total FROM c GROUP BY ALL) SELECT sample_id, spot, gene, round(ln(1 + count / total * 1e4), 6) AS value FROM c JOIN t USING (sample_id, spot)""").df()
+    assert plain(got) == plain(want)
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.FLAGSHIP in registry.oracle_sql()
