@@ -195,8 +195,8 @@ def enrichment(spark, sf_dir):
 
 @query()
 def ridge_gcv_folds(spark, sf_dir):
-    x = spots(spark, sf_dir).where("split = 'test'").withColumn("y", F.slice("patch_features", 1, 4)).withColumnRenamed("spot_key", "key")
-    return rounded(biosignal.r2_by_target(biosignal.fold_ridge(x, "gene_features", "y", "donor"), ["fold", "target"], "truth", "guess"))
+    x = spots(spark, sf_dir).where("split = 'test'").withColumnRenamed("spot_key", "key")
+    return rounded(biosignal.r2_by_target(biosignal.fold_ridge(x, "gene_features", "patch_features", "donor"), ["fold", "target"], "truth", "guess"))
 
 
 # Scores --------------------------------------------------------------------------------

@@ -45,6 +45,11 @@ def test_normalised_counts_of_all_genes(spark):
     assert plain(got) == plain(want)
 
 
+def test_ridge_predicts_every_target(spark):
+    got = registry.queries()["ridge_gcv_folds"](spark, SF).groupBy("fold").agg({"target": "collect_set"}).collect()
+    assert got and all(sorted(r[1]) == list(range(32)) for r in got)
+
+
 def test_every_oracle_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
     assert registry.FLAGSHIP in registry.oracle_sql()
