@@ -1,7 +1,8 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
 Vectors become integers, floor(1024 x). Pivots of a bounded sample make Voronoi cells; each
-data cell is summarised by its largest and its k + 1 smallest distances to the pivot. For a
+data cell is summarised by its largest and its k + m smallest distances to the pivot, m being
+the most rows that a queried id has, for none of these is a candidate. For a
 query q and a vector v of cell j, q.v lies within |q| |v - p_j| of q.p_j, so the summaries
 alone give a score that k candidates reach, and a cell whose best possible score is below it
 is not visited. Queries are packed in groups; a group's rows go only to the cells that some
@@ -89,9 +90,12 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
             yield batch_of(schema, batch.column("vec_id"), pa.array(cell), pa.array(far), batch.column("asked"), pa.array(v, pa.list_(pa.float64())))
 
     dealt = stored(rows.mapInArrow(assign, "vec_id long, cell long, far double, asked boolean, v array<double>"), "cells")
-    near = dealt.select("cell", "far").withColumn("m", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("m") <= k + 1)
+    asked = stored(dealt.where("asked").groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
+    own_rows = dealt.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count()
+    most = k + (own_rows.agg(F.max("count")).first()[0] or 0)
+    near = dealt.select("cell", "far").withColumn("m", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("m") <= most)
     least = {}
-    for r in near.collect():  # k + 1 rows a cell
+    for r in near.collect():  # most rows a cell
         least.setdefault(r["cell"], []).append(r["far"])
     sizes = {r["cell"]: (r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row per cell
     if not sizes:
@@ -108,7 +112,7 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
         mid = q @ pivot.T
         sure = np.concatenate([mid[:, j : j + 1] - size[:, None] * c[None] for j, c in enumerate(close)], axis=1)
         slack = 1e-9 * (1 + np.abs(mid).max(axis=1) + size * far.max())
-        floor = np.sort(sure, axis=1)[:, -(k + 1)] - slack if sure.shape[1] > k else np.full(len(q), -np.inf)
+        floor = np.sort(sure, axis=1)[:, -most] - slack if sure.shape[1] >= most else np.full(len(q), -np.inf)
         return own, mid + size[:, None] * far[None] >= floor[:, None]
 
     def pack_queries(table: pa.Table) -> pa.Table:
@@ -128,7 +132,6 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
     cuts = spark.createDataFrame([(c, -(-n // block_rows)) for c, (n, _) in sizes.items()], "cell long, chunks long")
     data = dealt.join(F.broadcast(cuts), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))  # a row per cell
     blocks = data.select("cell", "chunk", "vec_id", "v").groupBy("cell", "chunk").applyInArrow(pack_data, "cell long, dim long, ids binary, v binary")
-    asked = stored(dealt.where("asked").groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
     groups = max(1, -(-asked.count() // query_rows))
     packed = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("g").applyInArrow(pack_queries, "cell long, q_ids binary, q binary")
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])

@@ -101,6 +101,16 @@ def test_top_k(spark, blocks):
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 7, 10)
 
 
+def test_top_k_of_an_id_in_many_rows(spark):
+    rng = np.random.default_rng(5)
+    near, far = np.array([4.0, 0, 0, 0]), np.array([0, 4.0, 0, 0])
+    rows = [(0, near.tolist())] * 30 + [(i, (near * 0.2 + rng.normal(size=4) * 0.01 + (i % 2) * far).tolist()) for i in range(1, 60)]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    got = knn.top_k(df, F.col("vec_id") == 0, k=3, block_rows=4, query_rows=4, pivots=8)
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, 3, 1000)
+
+
 def test_wide_components_stay_exact():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**40, 0.0]])
     assert knn.scores(q, v).tolist() == [[2**60 + 1, (1 << 63) - 1]]
