@@ -8,6 +8,7 @@ Sequences of one bucket are equally long and make uniform batches.
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 from zlib import crc32
 
@@ -18,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, blocks, factorized, ragged
+from .common import batch_of, blocks, ragged
 from .wordbpe import plain_words
 
 SEQUENCE = 4096
 END = 2
-#: Words, and pre-tokens, whose ids a worker remembers; the memory is emptied when full.
-CACHE_ROWS = 200_000
+#: Words and pre-tokens whose ids a worker remembers, over all its tasks.
+MEMORY = 600_000
 #: Text bytes that are encoded at once.
 BLOCK = 2 << 20
 
@@ -37,65 +38,128 @@ def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+class _Codes(dict):
+    """Words to codes, numbered as they come; the ones that were new are listed in `missed`."""
+
+    missed: list[str]
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.missed.append(word)
+        return code
+
+
 class Encoder:
     """Ids by the tokenizers library, which sees each distinct pre-token once and remembers it.
 
     The library merges every pre-token by itself and no pre-token holds white space, so a text's
-    ids are those of its pre-tokens in a row. Pre-tokens that are not known yet go to the library
-    many to a text, with spaces between; each ends with the one token that bears the end-of-word
-    suffix, which tells them apart again. Special strings are cut out first, as the library does.
+    ids are those of its pre-tokens in a row. Words that are not known yet are split into pre-tokens,
+    and those not known go to the library many to a text, with spaces between; each ends with the
+    one token that bears the end-of-word suffix, which tells them apart again. Special strings are
+    cut out first, as the library does. A table holds the ids of all known words in a row; when it is
+    full, the half that occurs in the most blocks stays.
     """
 
-    def __init__(self, path: str):
-        self.path, self._tools, self.words, self.pieces = path, None, {}, {}
+    def __init__(self, path: str, memory: int = MEMORY):
+        with open(path, encoding="utf-8") as f:
+            self.text = f.read()
+        self.memory, self._tools = memory, None
+        self._empty()
+
+    def _empty(self):
+        self.codes, self.flat = _Codes(), np.zeros(0, np.uint32)
+        self.start, self.size, self.used, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), 0
 
     def __getstate__(self):
-        return {"path": self.path, "_tools": None, "words": {}, "pieces": {}}
+        return {"text": self.text, "memory": self.memory}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state | {"_tools": None}
+        self._empty()
 
     def tools(self):
+        """The library's tokenizer, the pre-token pattern, the pattern and the ids of special strings, and which ids end a pre-token."""
         if self._tools is None:
-            import json
-
             from tokenizers import Tokenizer
 
-            with open(self.path, encoding="utf-8") as f:
-                spec = json.load(f)
+            spec = json.loads(self.text)
             pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-            special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
             suffix, vocab = spec["model"]["end_of_word_suffix"], spec["model"]["vocab"]
             last = np.zeros(max(vocab.values()) + 1 + len(special), bool)
             last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-            self._tools = Tokenizer.from_file(self.path), pattern, cut, special, last
+            self._tools = Tokenizer.from_str(self.text), pattern, cut, special, last
         return self._tools
 
-    def _encode(self, pieces: list[str], together: int = 2000) -> None:
-        """Ids of pre-tokens that are not in the cache, as bytes."""
+    def _encoded(self, pieces: list[str], together: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens in a row, and where each ends."""
         library, *_, last = self.tools()
+        found, ends, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         for lo in range(0, len(pieces), together):
             part = pieces[lo : lo + together]
-            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(last[ids]) + 1) * 4
-            raw = ids.tobytes()
-            if len(ends) != len(part):
-                ends, raw = [], b""
-                for p in part:  # a symbol that the vocabulary lacks: one by one
-                    raw += np.array(library.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                    ends.append(len(raw))
-            at = 0
-            for p, e in zip(part, [int(e) for e in ends], strict=True):
-                self.pieces[p] = raw[at:e]
-                at = e
-
-    def _fill(self, missed: list[str]) -> None:
+            ids = np.array(library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stop = np.flatnonzero(last[ids]) + 1
+            if len(stop) != len(part):  # a symbol that the vocabulary lacks: one by one
+                own = [library.encode(p, add_special_tokens=False).ids for p in part]
+                ids, stop = np.array([i for x in own for i in x], np.uint32), np.cumsum([len(x) for x in own])
+            found.append(ids)
+            ends.append(stop + at)
+            at += len(ids)
+        return np.concatenate(found), np.concatenate(ends)
+
+    def _room(self, n: int) -> None:
+        if n > len(self.start):
+            n = max(n, 2 * len(self.start))
+            self.start, self.size, self.used = (np.resize(x, n) if len(x) else np.zeros(n, x.dtype) for x in (self.start, self.size, self.used))
+
+    def _append(self, codes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.start[codes] = np.cumsum(sizes) - sizes + len(self.flat)
+        self.size[codes], self.used[codes] = sizes, 0
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _learn(self, missed: list[str]) -> None:
+        """Ids of words that have a code and no ids yet."""
         _, pattern, _, special, _ = self.tools()
-        split = [[w] if w.isalpha() else [] if w in special else pattern.findall(w) for w in missed]  # letters alone are one pre-token
-        if len(self.pieces) > CACHE_ROWS:
-            self.pieces.clear()
-        self._encode([p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.pieces])
-        get = self.pieces.__getitem__
-        for w, found in zip(missed, split, strict=True):
-            self.words[w] = special[w] if w in special else get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        code, alone, made, cuts = self.codes.__getitem__, [], [], []
+        self.codes.missed = fresh = []
+        for w in missed:
+            found = [w] if w.isalpha() or w in special else pattern.findall(w)  # letters alone are one pre-token
+            if found == [w]:
+                alone.append(w)
+            else:
+                made.append(w)
+                cuts.append(found)
+        parts = np.fromiter(map(code, chain.from_iterable(cuts)), np.int64)
+        alone += fresh
+        self.chars += sum(map(len, missed)) + sum(map(len, fresh))
+        self._room(len(self.codes))
+        plain = [w for w in alone if w not in special]
+        ids, ends = self._encoded(plain)
+        self._append(np.fromiter(map(code, plain), np.int64, len(plain)), ids, np.diff(ends, prepend=0))
+        named = [w for w in alone if w in special]
+        self._append(np.fromiter(map(code, named), np.int64, len(named)), np.array([special[w] for w in named], np.uint32), np.ones(len(named), np.int64))
+        if made:  # of several pre-tokens, all known by now
+            size = self.size[parts].astype(np.int64)
+            last = np.cumsum([len(c) for c in cuts])
+            total = np.concatenate([[0], np.cumsum(size)])[last]
+            self._append(np.fromiter(map(code, made), np.int64, len(made)), self.flat[ragged(self.start[parts], size)], np.diff(total, prepend=0))
+
+    def _trim(self) -> None:
+        """Keep the half of the words, none of them long, that occurred in the most blocks."""
+        words = list(self.codes)
+        short = np.fromiter(map(len, words), np.int64, len(words)) <= 64
+        rank = np.argsort(np.where(short, -self.used[: len(words)], 1), kind="stable")[: self.memory // 2]
+        keep = np.sort(rank[short[rank]])
+        size, used = self.size[keep].astype(np.int64), self.used[keep]
+        ids = self.flat[ragged(self.start[keep], size)]
+        self._empty()
+        self.codes.update((words[k], i) for i, k in enumerate(keep.tolist()))
+        self.chars = sum(map(len, self.codes))
+        self._room(len(keep))
+        at = np.arange(len(keep))
+        self._append(at, ids, size)
+        self.used[at] = used // 2
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -112,21 +176,16 @@ class Encoder:
             counts.append(len(found))
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        code, distinct = factorized(words, texts)
+        if len(self.codes) > self.memory or self.chars > 16 * self.memory:
+            self._trim()
+        self.codes.missed = missed = []
+        code = np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
         del words
-        if len(self.words) > CACHE_ROWS:
-            self.words.clear()
-        known = self.words
-        missed = [w for w in distinct if w not in known]
-        self._fill(missed)
-        parts = [known[w] for w in distinct]
-        for w in missed:
-            if len(w) > 64:
-                del known[w]
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        wide = sizes[code]
-        ids = flat[ragged((np.cumsum(sizes) - sizes)[code], wide)]
+        if missed:
+            self._learn(missed)
+        self.used[code] += 1
+        wide = self.size[code].astype(np.int64)
+        ids = self.flat[ragged(self.start[code], wide)]
         total = np.concatenate([[0], np.cumsum(wide)])
         last = np.cumsum(counts)
         return ids, total[last] - total[last - np.array(counts)]
@@ -137,15 +196,18 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END, w
 
     docs needs doc_id and text; other columns are ignored. Null text is empty: the end id
     alone. Every row is cut by itself, repeated rows and null ids included; an empty table
-    gives no piece. bucket is the length's power of two. sequence_id is unique in a result: the
-    task's number, then a running number.
+    gives no piece. A text of any length is encoded whole, in one piece of work of its own once it
+    exceeds BLOCK bytes. bucket is the length's power of two. sequence_id is unique in a result: the
+    task's number, then a running number; over other partitions it differs, and (doc_id, start) names
+    a sequence for good.
     """
     piece_lengths(0, sequence)
-    encoder = Encoder(path)
+    shared = docs.sparkSession.sparkContext.broadcast(Encoder(path))  # the vocabulary's size bounds it; its memory lasts as long as a worker
     fields = [("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("bucket", pa.int32())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
+        encoder = shared.value
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in blocks(batches, "text", BLOCK):
             ids, counts = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()])

@@ -53,7 +53,9 @@ class WordBPE:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.path = path
+        from tokenizers import Tokenizer
+
+        self.normal = Tokenizer.from_file(path).normalizer
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocab = model["vocab"]
         self.pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -77,10 +79,8 @@ class WordBPE:
     def tools(self):
         """The library's normaliser, the pre-token pattern, and the pattern of special strings."""
         if self._tools is None:
-            from tokenizers import Tokenizer
-
             special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-            self._tools = Tokenizer.from_file(self.path).normalizer, regex.compile(self.pattern), special
+            self._tools = self.normal, regex.compile(self.pattern), special
         return self._tools
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:

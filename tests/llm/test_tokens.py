@@ -94,3 +94,44 @@ def test_empty_tables(spark):
     assert packing.pack(none, P.path("word_bpe_49k.json")).count() == 0
     assert wordbpe.count_tokens(none, P.path("word_bpe_49k.json")).count() == 0
     assert bytebpe.encode_documents(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def random_texts(n, seed=3):
+    """Texts of random code points, of few letters, and of random words, some of them alike."""
+    rng = np.random.default_rng(seed)
+    kinds = ["aeinrst ", "ab ", "'sltd 019.,!?\n\t", "éüßñçœ İıſ", "中文字符 абв", "😀👍🏽‍́ \x00", "<|endoftext|>"]
+    out = []
+    for _ in range(n):
+        alphabet = "".join(kinds[i] for i in rng.integers(0, len(kinds), 2))
+        out.append("".join(alphabet[i] for i in rng.integers(0, len(alphabet), int(rng.integers(0, 200)))))
+    return out + out[: n // 4]
+
+
+def test_random_texts_against_the_libraries(spark):
+    """Random and repeated rows, and one text longer than a block, through all three operators."""
+    texts = [*random_texts(300), "word other " * 450_000]
+    docs = spark.createDataFrame([(i % 250, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counts = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert sorted((r.doc_id, r.n_tokens) for r in wordbpe.count_tokens(docs, P.path("word_bpe_49k.json")).collect()) == sorted((i % 250, n) for i, n in enumerate(counts))
+    packed = packing.pack(docs, P.path("word_bpe_49k.json")).groupBy("doc_id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {k: sum(n + 1 for i, n in enumerate(counts) if i % 250 == k) for k in range(250)}
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    tik = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bytebpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).collect()
+    want = [(i % 250, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()) for i, ids in enumerate(map(tik.encode_ordinary, texts))]
+    assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted(want)
+
+
+def test_encoder_with_a_memory_too_small():
+    """Trimming, long words and pre-tokens shared by words do not change ids."""
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    encoder = packing.Encoder(P.path("word_bpe_49k.json"), memory=40)
+    texts = [*random_texts(60, seed=9), "x" * 900, "it's it it's 's", "<|endoftext|>a<|ENDOFTEXT|>"]
+    for _ in range(2):
+        for k in range(0, len(texts), 5):
+            ids, counts = encoder.encode_batch(texts[k : k + 5])
+            want = [library.encode(t, add_special_tokens=False).ids for t in texts[k : k + 5]]
+            assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert len(encoder.codes) < 40 + 400
