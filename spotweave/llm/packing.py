@@ -38,6 +38,14 @@ def piece_lengths(n: int, most: int = SEQUENCE) -> list[int]:
     return [most] * (n // most) + [1 << b for b in range(most.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def all_pieces(counts: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.ndarray]:
+    """piece_lengths of every count in a row, and how many each count has."""
+    powers = 1 << np.arange(most.bit_length() - 1, -1, -1)
+    times = (counts[:, None] % most & powers) // powers
+    times[:, 0] = counts // most
+    return np.repeat(np.tile(powers, len(counts)), times.ravel()), times.sum(axis=1)
+
+
 class _Codes(dict):
     """Words to codes, numbered as they come; the ones that were new are listed in `missed`."""
 
@@ -211,21 +219,12 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END, w
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in blocks(batches, "text", BLOCK):
             ids, counts = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()])
-            stops = np.cumsum(counts)
-            raw = ids.astype("<u4")
-            raw = np.insert(raw, stops, np.uint32(end)).astype("<u4")  # every document with its end
-            stops = stops + np.arange(1, len(stops) + 1)
-            data, cuts, sizes, crcs = memoryview(raw).cast("B"), [], [], []
-            for lo, hi in zip((stops - counts - 1).tolist(), stops.tolist(), strict=True):
-                own = piece_lengths(hi - lo, sequence)
-                sizes += own
-                cuts.append(len(own))
-                for size in own:
-                    crcs.append(crc32(data[4 * lo : 4 * (lo + size)]))
-                    lo += size
-            size, pieces = np.array(sizes, np.int64), np.array(cuts)
-            row = np.repeat(np.arange(len(pieces)), pieces)
-            at = np.cumsum(size) - size - (stops - counts - 1)[row]
+            raw = np.insert(ids.astype("<u4", copy=False), np.cumsum(counts), np.uint32(end))  # every document with its end
+            size, pieces = all_pieces(counts + 1, sequence)
+            row, stops = np.repeat(np.arange(len(pieces)), pieces), np.cumsum(size)
+            data = memoryview(raw).cast("B")
+            crcs = [crc32(data[lo:hi]) for lo, hi in zip((4 * (stops - size)).tolist(), (4 * stops).tolist(), strict=True)]
+            at = stops - size - (np.cumsum(counts + 1) - counts - 1)[row]
             made = [pa.array(at), pa.array(size), pa.array(crcs, pa.int64()), pa.array((counts + 1)[row]), pa.array(np.arange(len(size)) + number)]
             number += len(size)
             held = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(raw.astype(np.int32)))] * with_ids

@@ -124,6 +124,13 @@ def test_random_texts_against_the_libraries(spark):
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in got) == sorted(want)
 
 
+def test_pieces_of_many_counts():
+    counts = np.array([0, 1, 2, 3, 63, 64, 65, 128, 1000])
+    size, pieces = packing.all_pieces(counts, 64)
+    want = [packing.piece_lengths(n, 64) for n in counts.tolist()]
+    assert size.tolist() == sum(want, []) and pieces.tolist() == list(map(len, want))
+
+
 def test_encoder_with_a_memory_too_small():
     """Trimming, long words and pre-tokens shared by words do not change ids."""
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
