@@ -1,18 +1,22 @@
 """Near-duplicate vectors by dual traversal of cover trees.
 
 Equal vectors collapse to one weighted row. The others are unit vectors under the chord
-distance, dealt to the Voronoi cells of pivots from a bounded sample (the trees' common top
-level) and, within a cell, to blocks of about BLOCK_ROWS rows. Each block gets a cover tree:
-nested levels of centres with halving radii, every node with its true covering radius. Two
-cells whose hyperplane and radii keep all their points farther apart than the threshold are
-never paired; for the other pairs of blocks the trees are walked together. A pair of nodes
-is cut when the centres are farther apart than the threshold plus both radii, and counted as
-a whole when they are closer than the threshold minus both. Single points are decided by
-their cosine in double precision, so pairs are exact.
+distance. Their tree's upper levels are pivots of a bounded sample (see vectors.py); units below
+them are cells and shells of true radii, packed into blocks of about BLOCK_ROWS rows, and every
+block has a cover tree of its own: nested levels of centres with halving radii, each node with
+its true covering radius. Pairs of blocks go to one task each, and only those go that have a pair
+of units within reach. There both trees are walked together, a level at a time: a pair of nodes is
+cut when the centres are farther apart than the threshold plus both radii, and linked as a whole
+when they are closer than the threshold minus both. Single points are decided by their cosine in
+double precision, so pairs are exact. No list of pairs outlives a step: linked points are counted
+and joined as they are found, and what leaves a task is a count and a component for each point.
 """
 
 from __future__ import annotations
 
+import math
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,205 +24,220 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, joined, ragged, stored
 from .components import connected_components
-from .vectors import PIVOTS, SAMPLE_ROWS, Cells, by_length, choose_pivots, finite, sample
+from .vectors import Layout, PivotTree, by_length, finite, sample, within_reach
 
 COSINE = 0.9
 BLOCK_ROWS = 4096
-LEAF = 8
-#: Balls of a larger radius than this and few points are not kept.
-WIDE = 0.25
-#: Balls that are filled at once.
-BALLS = 2048
-#: Radii of the levels below the root.
-RADII = tuple(2.0**-k for k in range(0, 9))
+#: Radii of the levels below the root; points are the last level.
+RADII = tuple(2.0**-k for k in range(0, 7))
+#: Pairs that a step of a walk looks at together, and centres whose balls are filled together.
+STEP, BALLS = 1 << 20, 1024
 _SLACK = 1e-9
 
 
 class CoverTree:
     """Nested levels over unit vectors. Points are reordered so that a node's points are a range.
 
-    start, stop: the node's points; centre: a point; radius: the largest distance from the centre
-    to a point of the node; first, count: its children (count 0: its points are judged singly).
+    levels[k] holds start and stop of each node's points, its centre (a position), its covering radius
+    (the largest distance from the centre to a point of the node) and the first of its children in
+    level k + 1 (one more entry ends the last). Level 0 is the root, the last level the points.
+    A node's centre is the centre of its first child.
     """
 
+    def __init__(self, levels: list[tuple]):
+        self.levels = levels
+
     @classmethod
-    def build(cls, x: np.ndarray, leaf: int = LEAF, radii: tuple = RADII) -> tuple[CoverTree, np.ndarray]:
+    def build(cls, x: np.ndarray, radii: tuple = RADII) -> tuple[CoverTree, np.ndarray]:
         """The tree, and the order of the points in it."""
         n = len(x)
-        order = np.arange(n)
-        nodes = [[0, n, 0, 0.0, 0, 0]]
-        level = [(0, -1)]
-        start_center = [0]
-        while level:
-            after = []
-            for node, depth in level:
-                a, b = nodes[node][:2]
-                centre = start_center[node]
-                own = order[a:b]
-                if b - a == 1:
-                    continue
-                dist = np.sqrt(np.maximum(0, ((x[own] - x[centre]) ** 2).sum(axis=1)))
-                nodes[node][3] = float(dist.max(initial=0.0))
-                if b - a <= leaf or depth + 1 >= len(radii) or nodes[node][3] == 0:
-                    continue
-                groups, depth = cls._split(x, own, centre, dist, depth, radii, leaf)
-                if groups is None:
-                    continue
-                order[a:b] = np.concatenate([g for _, g in groups])
-                nodes[node][4], nodes[node][5] = len(nodes), len(groups)
-                at = a
-                for c, g in groups:
-                    nodes.append([at, at + len(g), 0, 0.0, 0, 0])
-                    start_center.append(c)
-                    after.append((len(nodes) - 1, depth))
-                    at += len(g)
-            level = after
+        narrow = x.astype(np.float32)
+        order, sizes, centre, levels = np.arange(n), np.array([n]), np.array([0]), []
+        for r in (*radii, None):
+            start = np.cumsum(sizes) - sizes
+            dist = np.sqrt(((x[order] - x[np.repeat(centre, sizes)]) ** 2).sum(axis=1))
+            radius = np.maximum.reduceat(dist, start)
+            children, parts, heads, kept = np.ones(len(sizes), np.int64), [], [], []
+            for k, (a, m) in enumerate(zip(start.tolist(), sizes.tolist(), strict=True)):
+                own = order[a : a + m]
+                if m == 1 or (r is not None and radius[k] <= r):
+                    groups = [(int(centre[k]), own)]
+                elif r is None:  # the last level: points, the centre first
+                    groups = [(i, np.array([i])) for i in [int(centre[k]), *own[own != centre[k]].tolist()]]
+                else:
+                    groups = cls._cover(narrow, own, int(centre[k]), r)
+                children[k] = len(groups)
+                heads += [c for c, _ in groups]
+                kept += [len(g) for _, g in groups]
+                parts += [g for _, g in groups]
+            levels.append([start, start + sizes, centre, radius, np.concatenate([[0], np.cumsum(children)])])
+            order, sizes, centre = np.concatenate(parts), np.array(kept), np.array(heads)
+            if len(sizes) == n:
+                break
+        levels.append([np.arange(n), np.arange(n) + 1, centre, np.zeros(n), np.arange(n + 1)])
         where = np.empty(n, np.int64)
         where[order] = np.arange(n)
-        table = np.array(nodes, np.float64)
-        table[:, 2] = where[np.array(start_center)]
-        return cls(table), order
-
-    def __init__(self, table: np.ndarray):
-        self.table, self.radius = table, table[:, 3]
-        self.start, self.stop, self.centre, self.first, self.count = (table[:, k].astype(np.int64) for k in (0, 1, 2, 4, 5))
+        for level in levels:
+            level[2] = where[level[2]]
+        return cls([tuple(level) for level in levels]), order
 
     @staticmethod
-    def _split(x, own, centre, dist, depth, radii, leaf):
-        """Cover a node's points by balls of the next radius that divides them; the node's centre comes first."""
-        for k in range(depth + 1, len(radii)):
-            if dist.max() <= radii[k]:
-                continue
-            r2 = radii[k] ** 2
-            # which point lies in which ball: single precision will do, true radii are measured later
-            points = x[own].astype(np.float32)
-            least = np.float32(1 - radii[k] ** 2 / 2)
-            first = int(np.flatnonzero(own == centre)[0])
-            open_ = np.ones(len(own), bool)
-            groups = []
-            for lo in range(0, len(own), BALLS):
-                if lo and not open_.any():
-                    break
-                order = np.arange(lo, min(lo + BALLS, len(own)))
-                if not lo:
-                    order = np.concatenate([[first], order[order != first]])
-                inside = points[order] @ points.T >= least
-                for c, near in zip(order.tolist(), inside, strict=True):
-                    if open_[c]:
-                        near = near & open_
-                        near[c] = True
-                        open_ &= ~near
-                        members = own[near]
-                        if len(members) <= leaf and radii[k] > WIDE:  # a wide ball of a few points bounds nothing
-                            groups += [(m, members[n : n + 1]) for n, m in enumerate(members)]
-                        else:
-                            groups.append((own[c], members))
-            return groups, k
-        return None, depth
+    def _cover(x, own, centre, r):
+        """A node's points in balls of radius r around some of them, the node's centre first. Single precision will do: true radii are measured."""
+        points, least = x[own], np.float32(1 - r * r / 2)
+        left = np.concatenate([np.flatnonzero(own == centre), np.flatnonzero(own != centre)])
+        groups = []
+        while len(left):
+            heads = left[:BALLS]
+            near = points[heads] @ points[left].T >= least
+            near[np.arange(len(heads)), np.arange(len(heads))] = True
+            open_ = np.ones(len(left), bool)
+            for k, row in enumerate(near):
+                if open_[k]:
+                    inside = np.flatnonzero(row & open_)
+                    open_[inside] = False
+                    members = own[left[inside]]
+                    groups.append((int(own[heads[k]]), members))
+            left = left[open_]
+        return groups
+
+    def level(self, k: int) -> tuple:
+        return self.levels[min(k, len(self.levels) - 1)]
 
 
 class Walk:
-    """Links between two trees (or inside one): weights linked to each point, and spanning pairs."""
+    """Links between two trees (or inside one): weights linked to each point, and components.
+
+    seen, opened, whole and points count the pairs of nodes looked at, those opened, those linked
+    unopened, and the pairs of points decided by cosine; the others were cut.
+    """
 
     def __init__(self, left, right, cosine: float):
         (self.xa, self.wa, self.ta), (self.xb, self.wb, self.tb) = left, right
         self.same = left is right
         self.fa, self.fb = self.xa.astype(np.float32), self.xb.astype(np.float32)
-        self.error = (self.xa.shape[1] + 4) * 2.0**-23
-        self.cosine, self.t = cosine, float(np.sqrt(2 - 2 * cosine))
+        self.error = (self.xa.shape[1] + 4) * 2.0**-23  # of a cosine in single precision
+        self.cosine, self.t = cosine, math.sqrt(2 - 2 * cosine)
         self.na, self.nb = len(self.xa), len(self.xb)
-        self.links_a, self.links_b = np.zeros(self.na + 1, np.int64), np.zeros(self.nb + 1, np.int64)
-        self.single_a, self.single_b = np.zeros(self.na, np.int64), np.zeros(self.nb, np.int64)
+        n = self.na + (0 if self.same else self.nb)
+        self.offset = n - self.nb
+        self.links, self.spans = np.zeros(n, np.int64), np.zeros(n + 1, np.int64)
         self.sum_a, self.sum_b = np.concatenate([[0], np.cumsum(self.wa)]), np.concatenate([[0], np.cumsum(self.wb)])
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        stack = [(0, 0)]
-        while stack:
-            stack += self._visit(*stack.pop())
-
-    def _parts(self, tree, node, open_leaf):
-        """Starts, stops, centres, radii and nodes (-1: a single point) of a node's children; of a leaf: its points, or itself."""
-        if tree.count[node] or not open_leaf:
-            c = np.arange(tree.first[node], tree.first[node] + tree.count[node]) if tree.count[node] else np.array([node])
-            return tree.start[c], tree.stop[c], tree.centre[c], tree.radius[c], c, tree.stop[c] - tree.start[c] == 1
-        p = np.arange(tree.start[node], tree.stop[node])
-        return p, p + 1, p, np.zeros(len(p)), p, np.ones(len(p), bool)
-
-    def _visit(self, a, b):
-        leaves = not self.ta.count[a] and not self.tb.count[b]
-        sa, ea, ca, ra, na, pa_ = self._parts(self.ta, a, leaves)
-        sb, eb, cb, rb, nb, pb_ = self._parts(self.tb, b, leaves)
-        own = self.same and a == b
-        more = []
-        step = max(1, (1 << 21) // max(1, len(cb)))
-        # points and wider nodes apart: what single precision lets through goes by the largest radius of a side
-        sides = [(p, q) for p in (np.flatnonzero(ra == 0), np.flatnonzero(ra > 0)) for q in (np.flatnonzero(rb == 0), np.flatnonzero(rb > 0)) if len(p) and len(q)]
-        for p, q in ((p[lo : lo + step], q) for p, q in sides for lo in range(0, len(p), step)):
-            # single precision with room for its error finds what may be in reach; doubles decide
-            reach = self.t + _SLACK + ra[p] + rb[q].max()
-            least = 1 - reach * reach / 2 - self.error
-            i, j = np.divmod(np.flatnonzero((self.fa[ca[p]] @ self.fb[cb[q]].T) >= least.astype(np.float32)[:, None]), len(q))
-            i, j = p[i], q[j]
-            if own:
-                keep = i <= j
-                i, j = i[keep], j[keep]
-            dist = np.concatenate([[], *[np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", self.xa[ca[i[k : k + 65536]]], self.xb[cb[j[k : k + 65536]]]))) for k in range(0, len(i), 65536)]])
-            keep = dist <= self.t + _SLACK + ra[i] + rb[j]
-            i, j, dist = i[keep], j[keep], dist[keep]
-            point = pa_[i] & pb_[j]
-            whole = (dist + ra[i] + rb[j] <= self.t - _SLACK) & ~point
-            one = point & (i != j) if own else point
-            self._singles(sa[i[one]], sb[j[one]])
-            for k in np.flatnonzero(whole):
-                self._bulk(sa[i[k]], ea[i[k]], sb[j[k]], eb[j[k]], own and i[k] == j[k])
-            rest = ~point & ~whole
-            more += zip(na[i[rest]].tolist(), nb[j[rest]].tolist(), strict=True)
-        return more
-
-    def _singles(self, p, q):
-        if not len(p):
+        self.labels = np.arange(n)
+        self.seen = self.opened = self.whole = self.points = 0
+        a, b = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        for k in range(1, max(len(self.ta.levels), len(self.tb.levels))):
+            rest = [part for pairs in self._children(k, a, b) for part in [self._judge(k, *pairs)] if len(part[0])]
+            if not rest:
+                break
+            a, b = (np.concatenate(side) for side in zip(*rest, strict=True))
+
+    def _children(self, k, a, b):
+        """Pairs of children (level k) of the pairs (a, b), with cosines of their centres; far ones are left out."""
+        up_a, up_b = self.ta.level(k - 1), self.tb.level(k - 1)
+        first_a, first_b = up_a[4], up_b[4]  # a tree that has ended stays at its points
+        ca, cb, ra, rb = self.ta.level(k)[2], self.tb.level(k)[2], self.ta.level(k)[3], self.tb.level(k)[3]
+        size_a, size_b = np.diff(first_a)[a], np.diff(first_b)[b]
+        total = int((size_a * size_b).sum())
+        rows, cols = np.unique(a), np.unique(b)
+        wide_a, wide_b = np.diff(first_a)[rows], np.diff(first_b)[cols]
+        i_all, j_all = ragged(first_a[rows], wide_a), ragged(first_b[cols], wide_b)
+        self.seen += total
+        if len(i_all) * len(j_all) <= 16 * total:  # one product of all with all, then those whose parents are a pair
+            table = np.zeros((len(rows), len(cols)), bool)
+            table[np.searchsorted(rows, a), np.searchsorted(cols, b)] = True
+            of_a, of_b = np.repeat(np.arange(len(rows)), wide_a), np.repeat(np.arange(len(cols)), wide_b)
+            every = bool(table.all())
+            right, reach_b = self.fb[cb[j_all]].T.copy(), rb[j_all].astype(np.float32)
+            step = max(1, STEP // len(j_all))
+            for lo in range(0, len(i_all), step):
+                i = i_all[lo : lo + step]
+                cos = self.fa[ca[i]] @ right
+                reach = np.minimum(2, np.float32(self.t + 1e-6) + ra[i].astype(np.float32)[:, None] + reach_b[None])
+                good = cos >= 1 - np.float32(self.error + 1e-6) - reach * reach / 2
+                if not every:
+                    good &= table[of_a[lo : lo + step]][:, of_b]
+                p, q = np.nonzero(good)
+                yield i[p], j_all[q], cos[p, q]
             return
-        cos = np.concatenate([np.einsum("ij,ij->i", self.xa[p[k : k + 65536]], self.xb[q[k : k + 65536]]) for k in range(0, len(p), 65536)])
-        good = cos >= self.cosine
-        p, q = p[good], q[good]
-        np.add.at(self.single_a, p, self.wb[q])
+        ends = np.cumsum(size_a * size_b)
+        lo = 0
+        while lo < len(a):  # few of many: gathered
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP // 4, side="right")))
+            wide = (size_a * size_b)[lo:hi]
+            pair = np.repeat(np.arange(lo, hi), wide)
+            at = np.arange(len(pair)) - np.repeat(np.cumsum(wide) - wide, wide)
+            i, j = first_a[a[pair]] + at // size_b[pair], first_b[b[pair]] + at % size_b[pair]
+            yield i, j, np.einsum("ij,ij->i", self.fa[ca[i]], self.fb[cb[j]])
+            lo = hi
+
+    def _judge(self, k, i, j, cos):
+        """Cut, link or keep pairs of nodes of level k."""
+        sa, ea, _, ra, _ = self.ta.level(k)
+        sb, eb, _, rb, _ = self.tb.level(k)
+        if self.same:
+            keep = i <= j
+            i, j, cos = i[keep], j[keep], cos[keep]
+        both = ra[i] + rb[j]
+        reach = np.minimum(2, self.t + both + _SLACK)
+        keep = cos + self.error >= 1 - reach * reach / 2
+        i, j, cos, both = i[keep], j[keep], cos[keep], both[keep]
+        single = (ea[i] - sa[i] == 1) & (eb[j] - sb[j] == 1)
+        inner = self.t - both - _SLACK
+        whole = ~single & (inner > 0) & (cos - self.error >= 1 - inner * inner / 2)
+        self._points(sa[i[single]], sb[j[single]], cos[single])
+        self._bulk(i[whole], j[whole], sa, ea, sb, eb)
+        rest = ~single & ~whole
+        self.opened += int(rest.sum())
+        self.whole += int(whole.sum())
+        self.points += int(single.sum())
+        return i[rest].astype(np.int32), j[rest].astype(np.int32)
+
+    def _points(self, p, q, cos):
+        """Pairs of points: sure ones by single precision and its error, the others by doubles."""
         if self.same:
-            np.add.at(self.single_a, q, self.wa[p])
-        else:
-            np.add.at(self.single_b, q, self.wa[p])
-        self.pairs.append((p, q))
-
-    def _bulk(self, a0, a1, b0, b1, own):
-        """All points of two ranges are linked."""
-        wb, wa = self.sum_b[b1] - self.sum_b[b0], self.sum_a[a1] - self.sum_a[a0]
-        self.links_a[a0] += wb
-        self.links_a[a1] -= wb
-        if own:
-            self.single_a[a0:a1] -= self.wa[a0:a1]
-        elif self.same:
-            self.links_a[b0] += wa
-            self.links_a[b1] -= wa
-        else:
-            self.links_b[b0] += wa
-            self.links_b[b1] -= wa
-        p, q = np.arange(a0, a1), np.arange(b0, b1)
-        self.pairs += [(p, np.full(len(p), b0)), (np.full(len(q), a0), q)]
+            other = p != q
+            p, q, cos = p[other], q[other], cos[other]
+        good = cos >= self.cosine + self.error
+        doubt = np.flatnonzero((cos >= self.cosine - self.error) & ~good)
+        for lo in range(0, len(doubt), 65536):
+            d = doubt[lo : lo + 65536]
+            good[d] = np.einsum("ij,ij->i", self.xa[p[d]], self.xb[q[d]]) >= self.cosine
+        p, q = p[good], q[good]
+        if not len(p):
+            return
+        np.add.at(self.links, p, self.wb[q])
+        np.add.at(self.links, q + self.offset, self.wa[p])
+        self.labels = joined(self.labels, p, q + self.offset)
+
+    def _bulk(self, i, j, sa, ea, sb, eb):
+        """All points of two nodes are linked."""
+        if not len(i):
+            return
+        own = (i == j) if self.same else np.zeros(len(i), bool)
+        o = self.offset
+        wb, wa = self.sum_b[eb[j]] - self.sum_b[sb[j]], self.sum_a[ea[i]] - self.sum_a[sa[i]]
+        np.add.at(self.spans, sa[i], wb)
+        np.add.at(self.spans, ea[i], -wb)
+        np.add.at(self.spans, sb[j[~own]] + o, wa[~own])
+        np.add.at(self.spans, eb[j[~own]] + o, -wa[~own])
+        inside = ragged(sa[i[own]], ea[i[own]] - sa[i[own]])
+        np.add.at(self.links, inside, -self.wa[inside])  # a point is no link of its own
+        for lo in range(0, len(i), 4096):
+            a, b = i[lo : lo + 4096], j[lo : lo + 4096]
+            for side, (s, e), move in ((a, (sa, ea), 0), (b, (sb, eb), o)):
+                wide = e[side] - s[side]
+                self.labels = joined(self.labels, np.repeat(sa[a], wide), ragged(s[side], wide) + move)
 
     def result(self):
-        """Positions (those of the right tree after the left's), linked weights, and component labels."""
-        counts = np.cumsum(self.links_a)[:-1] + self.single_a
-        n = self.na
-        if not self.same:
-            counts = np.concatenate([counts, np.cumsum(self.links_b)[:-1] + self.single_b])
-            n += self.nb
-        labels = np.arange(n)
-        if self.pairs:
-            p, q = (np.concatenate(c) for c in zip(*self.pairs, strict=True))
-            labels = joined(labels, p, q if self.same else q + self.na)
-        return counts, labels
+        """Positions (those of the right tree after the left's): linked weights, and component labels."""
+        return self.links + np.cumsum(self.spans)[:-1], self.labels
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("dim", pa.int64()), ("reps", pa.binary()), ("weights", pa.binary()), ("v", pa.binary()), ("tree", pa.binary())])
-_BLOCK_SQL = "block long, size long, dim long, reps binary, weights binary, v binary, tree binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("reps", pa.binary()), ("weights", pa.binary()), ("v", pa.binary()), ("tree", pa.binary())])
+_TILE = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_BLOCK])
+_TILE_SQL = "a long, b long, block long, size long, reps binary, weights binary, v binary, tree binary"
+_LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("label", pa.int64())])
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -233,82 +252,76 @@ def _pack(table: pa.Table) -> pa.Table:
     v = np.array(table.column("v").to_pylist(), table.schema.field("v").type.value_type.to_pandas_dtype())
     tree, order = CoverTree.build(_unit(v))
     reps, weights = table.column("rep").to_numpy()[order], table.column("n").to_numpy()[order]
-    row = (table.column("block")[0].as_py(), len(v), v.shape[1], reps.tobytes(), weights.tobytes(), v[order].tobytes(), tree.table.tobytes())
+    row = (table.column("block")[0].as_py(), len(v), reps.tobytes(), weights.tobytes(), v[order].tobytes(), pickle.dumps(tree.levels))
     return pa.table([[x] for x in row], schema=_BLOCK)
 
 
-def _side(row, name):
-    size, dim, raw = row[f"{name}_size"], row[f"{name}_dim"], row[f"{name}_v"]
-    v = np.frombuffer(raw, np.dtype(f"f{len(raw) // (size * dim)}")).reshape(size, dim)
-    tree = CoverTree(np.frombuffer(row[f"{name}_tree"], np.float64).reshape(-1, 6))
-    return np.frombuffer(row[f"{name}_reps"], np.int64), (_unit(v), np.frombuffer(row[f"{name}_weights"], np.int64), tree)
+def near_blocks(layout: Layout, cosine: float) -> dict[int, np.ndarray]:
+    """For every block the blocks, itself included, that hold a unit within reach of one of its units."""
+    t, out = math.sqrt(2 - 2 * cosine), {}
+    for own in layout.units.values():
+        for block in np.unique(own.block):
+            close = within_reach(own, np.flatnonzero(own.block == block), own, t).any(axis=0)
+            out[int(block)] = np.unique(own.block[close])
+    return out
 
 
-def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rep, links, label) rows of distinct vectors (rep, n, v): partial link counts, and spanning pairs rep-label."""
     spark = distinct.sparkSession
     total = distinct.count()
-    pivots = min(pivots, max(1, total // (2 * block_rows)))  # cells are not smaller than blocks
-    cells = Cells(choose_pivots([_unit(r) for r in sample(distinct, "rep", sample_rows)], pivots))
+    if not total:
+        return spark.createDataFrame([], "rep long, links long, label long")
+    tree = PivotTree([_unit(r) for r in sample(distinct, "rep", total)], math.isqrt(total - 1) + 1)
     kind = distinct.schema["v"].dataType.simpleString()
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("cell", pa.int64()), ("far", pa.float64())])
+    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots
 
     def assign(batches):
         for batch in batches:
             rows = batch.column("v").to_pylist()
             cell, far = np.zeros(len(rows), np.int64), np.zeros(len(rows))
             for at, x in by_length(rows):
-                cell[at], far[at] = cells.assign(_unit(x))
+                cell[at], far[at] = shared.value.assign(_unit(x))
             yield batch_of(schema, batch.column("rep"), batch.column("n"), batch.column("v"), pa.array(cell), pa.array(far))
 
     dealt = stored(distinct.mapInArrow(assign, f"rep long, n long, v {kind}, cell long, far double"), "cells")
-    found = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("far").alias("far")).collect()  # a row per cell
-    cut = {r["cell"]: (-(-r["rows"] // block_rows), r["far"]) for r in found}
-    t = float(np.sqrt(2 - 2 * cosine))
-    pairs = []
-    for a in cut:
-        for b in cut:
-            if a > b or len(cells.pivot(a)) != len(cells.pivot(b)):
-                continue
-            apart = float(np.linalg.norm(cells.pivot(a) - cells.pivot(b)))
-            # a point within t of the other cell is at least apart / 2 - t from its own pivot
-            if a == b or (apart <= cut[a][1] + cut[b][1] + t + _SLACK and apart / 2 - t <= min(cut[a][1], cut[b][1]) + _SLACK):
-                pairs.append((a, cut[a][0], b, cut[b][0]))
-    offset, ahead = {}, 0
-    for c in sorted(cut):
-        offset[c] = ahead
-        ahead += cut[c][0]
-    if not cut:
-        return spark.createDataFrame([], "rep long, links long, label long")
-    sizes = spark.createDataFrame([(c, offset[c], cut[c][0]) for c in cut], "cell long, first long, chunks long")
-    place = dealt.join(F.broadcast(sizes), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep"), F.col("chunks")))  # a row per cell
-    blocks = stored(place.select("block", "rep", "n", "v").groupBy("block").applyInArrow(_pack, _BLOCK_SQL), "blocks")
-    tiles = spark.createDataFrame([(offset[a], m, offset[b], n) for a, m, b, n in pairs], "fa long, m long, fb long, n long").repartition(max(1, min(64, len(pairs))))
-    tiles = tiles.select("fa", "m", "fb", "n", F.explode(F.sequence(F.col("fa"), F.col("fa") + F.col("m") - 1)).alias("a"))
-    tiles = tiles.select("a", F.explode(F.sequence(F.when(F.col("fa") == F.col("fb"), F.col("a")).otherwise(F.col("fb")), F.col("fb") + F.col("n") - 1)).alias("b"))
-    side = lambda name: blocks.select(F.col("block").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("size", "dim", "reps", "weights", "v", "tree")])
-    work = tiles.join(side("a"), "a").join(side("b"), "b")
-    out = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("label", pa.int64())])
-
-    def run(batches):
+    layout = Layout(dealt, "rep", tree, block_rows)
+    blocks = layout.place(dealt).select("block", "rep", "n", "v").groupBy("block").applyInArrow(_pack, _TILE_SQL.removeprefix("a long, b long, "))
+    units = spark.sparkContext.broadcast(layout.units)  # a row per cell and per shell of a large one
+
+    def send(batches):
+        """A block to every pair of blocks that it is needed in."""
+        t = math.sqrt(2 - 2 * cosine)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                reps, left = _side(row, "a")
-                if row["a"] == row["b"]:
-                    right = left
-                else:
-                    more, right = _side(row, "b")
-                    reps = np.concatenate([reps, more])
-                counts, labels = Walk(left, right, cosine).result()
-                some = np.flatnonzero(counts)
-                if len(some):
-                    yield batch_of(out, pa.array(reps[some]), pa.array(counts[some]), pa.array(reps[labels[some]]))
-
-    return work.mapInArrow(run, "rep long, links long, label long")
-
-
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+                row = batch.slice(k, 1)
+                block = row.column("block")[0].as_py()
+                own = next(u for u in units.value.values() if (u.block == block).any())
+                close = within_reach(own, np.flatnonzero(own.block == block), own, t).any(axis=0)
+                for other in np.unique(own.block[close]).tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([min(block, other)]), pa.array([max(block, other)]), *row.columns], schema=_TILE)
+
+    def walk(table: pa.Table) -> pa.Table:
+        found = {row["block"]: row for row in table.to_pylist()}
+        sides, reps = [], []
+        for block in sorted(found):
+            row = found[block]
+            v = np.frombuffer(row["v"], np.dtype(f"f{4 if 'float' in kind else 8}")).reshape(row["size"], -1)
+            sides.append((_unit(v), np.frombuffer(row["weights"], np.int64), CoverTree(pickle.loads(row["tree"]))))
+            reps.append(np.frombuffer(row["reps"], np.int64))
+        counts, labels = Walk(sides[0], sides[-1], cosine).result()
+        reps = np.concatenate(reps)
+        some = np.flatnonzero(counts)
+        return pa.Table.from_batches([batch_of(_LINKS, pa.array(reps[some]), pa.array(counts[some]), pa.array(reps[labels[some]]))])
+
+    # a task for every pair of blocks or so, as long as there are no more than 4096
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * (layout.blocks + 1) // 2))
+    tiles = blocks.mapInArrow(send, _TILE_SQL).repartition(tasks, "a", "b")
+    return tiles.groupBy("a", "b").applyInArrow(walk, "rep long, links long, label long")
+
+
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     vectors needs vec_id and embedding; other columns are ignored. Links are pairs with cosine
@@ -324,7 +337,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = B
     good = F.col("vec_id").isNotNull() & finite() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("h1", F.when(good, F.xxhash64("embedding"))).withColumn("h2", F.when(good, F.xxhash64(F.lit(11), "embedding")))
     distinct = stored(keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("v")), "vectors")
-    part = stored(near_pairs_summary(distinct.select("rep", "n", "v"), cosine, block_rows, pivots, sample_rows), "links")
+    part = stored(near_pairs_summary(distinct.select("rep", "n", "v"), cosine, block_rows), "links")
     links = part.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(part.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
     named = distinct.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -1,29 +1,33 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
-Vectors become integers, floor(1024 x). Pivots of a bounded sample make Voronoi cells; each
-data cell is summarised by its largest and its k + m smallest distances to the pivot, m being
-the most rows that a queried id has, for none of these is a candidate. For a
-query q and a vector v of cell j, q.v lies within |q| |v - p_j| of q.p_j, so the summaries
-alone give a score that k candidates reach, and a cell whose best possible score is below it
-is not visited. Queries are packed in groups; a group's rows go only to the cells that some
-of its queries need, cells are cut into blocks of bounded size, and every block answers
-with its own k best, which are merged by query.
+Vectors become integers, floor(1024 x). Pivots of a bounded sample make Voronoi cells (see
+vectors.py), and cells and shells of large cells are units, summarised by their pivot, the least
+and greatest distance to it and the number of rows. For a query q and a vector v of a unit with pivot
+p, q.v lies within |q| |v - p| of q.p: the summaries alone give a score that enough rows surely
+reach, and a unit whose best possible score is below it is not visited. Units are packed in
+blocks; queries are packed in groups of queries whose pivots are neighbours and go only to the blocks
+that hold a unit some of them need. A block goes once to every bundle of query groups that
+need it, each pair of block and bundle is a task's key, and inside it every query looks at the
+units it needs. Their k best are merged by query.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, stored
-from .vectors import PIVOTS, SAMPLE_ROWS, Cells, by_length, choose_pivots, finite, sample
+from .vectors import Layout, PivotTree, by_length, finite, sample
 
 SCALE = 1024.0
 TOP = 10
 EVERY = 100
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
+#: Rows of a block, queries of a group, and groups that share a copy of a block.
+BLOCK_ROWS, QUERY_ROWS, BUNDLE = 4096, 512, 16
 #: Integer sums up to here are exact in double precision.
 _EXACT = float(1 << 53)
 
@@ -34,15 +38,16 @@ def integers(rows) -> np.ndarray:
 
 
 def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products as longs: in doubles where they are exact there, else in Python's integers, held to the range of long."""
+    """Integer inner products as longs: in doubles where they are exact there, else in Python's integers. Raises if one is no long."""
     most = np.sqrt((q * q).sum(axis=1).max(initial=0)) * np.sqrt((v * v).sum(axis=1).max(initial=0))
     wide = np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * max(1, q.shape[1])
     if most < _EXACT / 2 and wide < _EXACT:
         return (q @ v.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in r] for r in m], dtype=object)
     found = whole(q) @ whole(v).T
-    low, high = -(1 << 63), (1 << 63) - 1
-    return np.array([[min(max(x, low), high) for x in r] for r in found], np.int64).reshape(len(q), len(v))
+    if any(not -(1 << 63) <= x < 1 << 63 for r in found for x in r):
+        raise OverflowError("an inner product exceeds the range of long")
+    return found.astype(np.int64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -52,14 +57,76 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         some = np.flatnonzero(score >= least)
     else:
         some = np.arange(len(score))
-    return some[np.lexsort((ids[some], -score[some].astype(object) if score[some].min(initial=0) == np.iinfo(np.int64).min else -score[some]))][:k]
-
-
-_DATA = pa.schema([("cell", pa.int64()), ("dim", pa.int64()), ("ids", pa.binary()), ("v", pa.binary())])
-_QUERY = pa.schema([("cell", pa.int64()), ("q_ids", pa.binary()), ("q", pa.binary())])
-
-
-def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    return some[np.lexsort((ids[some], ~score[some]))][:k]
+
+
+class Bounds:
+    """What unit summaries say about queries of one length."""
+
+    def __init__(self, units, enough: int):
+        self.units, self.enough = units, enough
+        self.order = np.argsort(units.number)
+
+    def need(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: which units may hold one of its best rows, and the score that `enough` rows surely reach."""
+        u = self.units
+        size = np.sqrt((q * q).sum(axis=1))[:, None]
+        mid = q @ u.pivot.T
+        slack = 1e-9 * (1 + np.abs(mid) + size * u.high[None])
+        most = mid + size * u.high[None] + slack
+        # one row of a unit lies at its least distance, the others at most at its greatest
+        sure = np.concatenate([mid - size * u.low[None] - slack, mid - size * u.high[None] - slack], axis=1)
+        rows = np.concatenate([np.minimum(u.rows, 1), np.maximum(u.rows - 1, 0)])
+        order = np.argsort(-sure, axis=1)
+        at = (np.cumsum(rows[order], axis=1) < self.enough).sum(axis=1)
+        floor = np.full(len(q), -np.inf)
+        some = at < len(rows)
+        floor[some] = np.take_along_axis(sure, order, axis=1)[some, at[some]]
+        return most >= floor[:, None], floor
+
+
+_DATA = pa.schema([("block", pa.int64()), ("dim", pa.int64()), ("units", pa.binary()), ("ids", pa.binary()), ("v", pa.binary())])
+_DATA_SQL = "block long, dim long, units binary, ids binary, v binary"
+_QUERY = pa.schema([("block", pa.int64()), ("bundle", pa.int64()), ("dim", pa.int64()), ("floors", pa.binary()), ("q_ids", pa.binary()), ("q", pa.binary())])
+_QUERY_SQL = "block long, bundle long, dim long, floors binary, q_ids binary, q binary"
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _pack(table: pa.Table) -> pa.Table:
+    """The rows of a block, by unit."""
+    order = np.argsort(table.column("unit").to_numpy(), kind="stable")
+    v = np.array(table.column("v").to_pylist(), np.float64)[order]
+    row = (table.column("block")[0].as_py(), v.shape[1], table.column("unit").to_numpy()[order].tobytes(), table.column("vec_id").to_numpy()[order].tobytes(), v.tobytes())
+    return pa.table([[x] for x in row], schema=_DATA)
+
+
+def visit(units, bounds, ids, v, q_ids, q, floors, k: int):
+    """The k best rows of a block for each query: query_id, vec_id, score. A unit is looked at by the queries that need it."""
+    u, out = bounds.units, []
+    cuts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1], [True]]))
+    at = bounds.order[np.searchsorted(u.number, units[cuts[:-1]], sorter=bounds.order)]
+    for a in range(0, len(q_ids), 64):
+        part, own = q[a : a + 64], q_ids[a : a + 64]
+        size = np.sqrt((part * part).sum(axis=1))[:, None]
+        mid = part @ u.pivot[at].T
+        need = mid + size * u.high[at] + 1e-9 * (1 + np.abs(mid) + size * u.high[at]) >= floors[a : a + 64, None]
+        score, seen = np.zeros((len(part), len(ids)), np.int64), np.repeat(need, np.diff(cuts), axis=1)
+        seen &= ids[None] != own[:, None]
+        if need.all():
+            score = scores(part, v)
+        else:
+            for n, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                asking = np.flatnonzero(need[:, n])
+                if len(asking):
+                    score[asking, lo:hi] = scores(part[asking], v[lo:hi])
+        for i in range(len(part)):
+            some = np.flatnonzero(seen[i])
+            top = some[best(score[i, some], ids[some], k)]
+            out.append((np.full(len(top), own[i]), ids[top], score[i, top]))
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+
+
+def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """The k best rows for every query: query_id, rank (from 1), vec_id, score.
 
     vectors needs vec_id and embedding; is_query is a condition on them. Candidates are all rows
@@ -67,15 +134,17 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
     null, empty, or hold null or non-finite components take no part, nor do rows with a null
     vec_id; vectors of different lengths are no candidates for each other. A row repeated among
     the data counts each time; a repeated query is answered once. With fewer than k candidates all are returned. An
-    empty table gives none.
+    empty table gives none. Scores are exact; one beyond the range of long raises OverflowError.
     """
     spark = vectors.sparkSession
     good = F.col("vec_id").isNotNull() & finite()
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(is_query).alias("asked")).where(good)
     rows = rows.select("vec_id", F.col("embedding").alias("v"), "asked")
     total = rows.count()
-    pivots = min(pivots, max(1, total // (2 * block_rows)))
-    cells = Cells(choose_pivots([integers(r) for r in sample(rows, "vec_id", sample_rows)], pivots))
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    tree = PivotTree([integers(r) for r in sample(rows, "vec_id", total)], math.isqrt(total - 1) + 1)
+    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots
     schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int64()), ("far", pa.float64()), ("asked", pa.bool_()), ("v", pa.list_(pa.float64()))])
 
     def assign(batches):
@@ -84,75 +153,59 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
             cell, far, v = np.zeros(len(found), np.int64), np.zeros(len(found)), [None] * len(found)
             for at, x in by_length(found):
                 x = integers(x)
-                cell[at], far[at] = cells.assign(x)
+                cell[at], far[at] = shared.value.assign(x)
                 for i, r in zip(at.tolist(), x, strict=True):
                     v[i] = r
             yield batch_of(schema, batch.column("vec_id"), pa.array(cell), pa.array(far), batch.column("asked"), pa.array(v, pa.list_(pa.float64())))
 
     dealt = stored(rows.mapInArrow(assign, "vec_id long, cell long, far double, asked boolean, v array<double>"), "cells")
-    asked = stored(dealt.where("asked").groupBy("vec_id").agg(F.first("v").alias("v")), "queries")
+    layout = Layout(dealt, "vec_id", tree, block_rows)
+    asked = stored(dealt.where("asked").groupBy("vec_id").agg(F.first("v").alias("v"), F.first("cell").alias("cell")), "queries")
     own_rows = dealt.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count()
-    most = k + (own_rows.agg(F.max("count")).first()[0] or 0)
-    near = dealt.select("cell", "far").withColumn("m", F.row_number().over(Window.partitionBy("cell").orderBy("far"))).where(F.col("m") <= most)
-    least = {}
-    for r in near.collect():  # most rows a cell
-        least.setdefault(r["cell"], []).append(r["far"])
-    sizes = {r["cell"]: (r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row per cell
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    summary = {}
-    for d in sorted({len(cells.pivot(c)) for c in sizes}):
-        own = sorted(c for c in sizes if len(cells.pivot(c)) == d)
-        summary[d] = (np.array(own), np.array([cells.pivot(c) for c in own]), np.array([sizes[c][1] for c in own]), [np.sort(least[c]) for c in own])
-
-    def needed(q: np.ndarray):
-        """For each query the cells that may hold one of its k best."""
-        own, pivot, far, close = summary[q.shape[1]]
-        size = np.sqrt((q * q).sum(axis=1))
-        mid = q @ pivot.T
-        sure = np.concatenate([mid[:, j : j + 1] - size[:, None] * c[None] for j, c in enumerate(close)], axis=1)
-        slack = 1e-9 * (1 + np.abs(mid).max(axis=1) + size * far.max())
-        floor = np.sort(sure, axis=1)[:, -most] - slack if sure.shape[1] >= most else np.full(len(q), -np.inf)
-        return own, mid + size[:, None] * far[None] >= floor[:, None]
-
-    def pack_queries(table: pa.Table) -> pa.Table:
+    enough = k + (own_rows.agg(F.max("count")).first()[0] or 0)  # none of a query's own rows is a candidate
+    units = spark.sparkContext.broadcast({d: Bounds(u, enough) for d, u in layout.units.items()})  # a row per cell and per shell of a large one
+
+    def ask(table: pa.Table) -> pa.Table:
+        """A group of queries to the blocks that some of them need, each with those that need it."""
         ids, out = table.column("vec_id").to_numpy(), []
+        bundle = table.column("g")[0].as_py() // BUNDLE
         for at, q in by_length(table.column("v").to_pylist()):
-            own, need = needed(q)
-            for j, c in enumerate(own.tolist()):
-                some = np.flatnonzero(need[:, j])
+            bounds = units.value[q.shape[1]]
+            need, floor = bounds.need(q)
+            for block in np.unique(bounds.units.block):
+                some = np.flatnonzero(need[:, bounds.units.block == block].any(axis=1))
                 if len(some):
-                    out.append((c, ids[at[some]].tobytes(), q[some].tobytes()))
-        return pa.table(list(map(list, zip(*out, strict=True))) or [[], [], []], schema=_QUERY)
-
-    def pack_data(table: pa.Table) -> pa.Table:
-        v = np.array(table.column("v").to_pylist(), np.float64)
-        return pa.table([[table.column("cell")[0].as_py()], [v.shape[1]], [table.column("vec_id").to_numpy().tobytes()], [v.tobytes()]], schema=_DATA)
-
-    cuts = spark.createDataFrame([(c, -(-n // block_rows)) for c, (n, _) in sizes.items()], "cell long, chunks long")
-    data = dealt.join(F.broadcast(cuts), "cell").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")))  # a row per cell
-    blocks = data.select("cell", "chunk", "vec_id", "v").groupBy("cell", "chunk").applyInArrow(pack_data, "cell long, dim long, ids binary, v binary")
-    groups = max(1, -(-asked.count() // query_rows))
-    packed = asked.withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).groupBy("g").applyInArrow(pack_queries, "cell long, q_ids binary, q binary")
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def local(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                ids, qs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                v, q = np.frombuffer(row["v"], np.float64).reshape(len(ids), -1), np.frombuffer(row["q"], np.float64).reshape(len(qs), -1)
-                for lo in range(0, len(qs), 64):
-                    s = scores(q[lo : lo + 64], v)
-                    found = []
-                    for own, line in zip(qs[lo : lo + 64], s, strict=True):
-                        other = np.flatnonzero(ids != own)
-                        top = other[best(line[other], ids[other], k)]
-                        found.append((np.full(len(top), own), ids[top], line[top]))
-                    yield batch_of(out, *(pa.array(np.concatenate(c)) for c in zip(*found, strict=True)))
-
-    work = blocks.join(packed, "cell").select("ids", "v", "q_ids", "q")
-    merged = work.mapInArrow(local, "query_id long, vec_id long, score long")
+                    out.append((int(block), bundle, q.shape[1], floor[some].tobytes(), ids[at[some]].tobytes(), q[some].tobytes()))
+        return pa.table(list(map(list, zip(*out, strict=True))) or [[] for _ in _QUERY], schema=_QUERY)
+
+    places, g, held = [], 0, 0
+    for r in sorted(asked.groupBy("cell").count().collect()):  # a row per cell; neighbouring cells share a group
+        if held and held + r["count"] > query_rows:
+            g, held = g + 1, 0
+        pieces = -(-r["count"] // query_rows)
+        places.append((r["cell"], g, pieces))
+        g, held = g + pieces - 1, held + r["count"] if pieces == 1 else query_rows
+    groups = g + 1
+    where = spark.createDataFrame(places, "cell long, first long, pieces long")
+    split = asked.join(F.broadcast(where), "cell").withColumn("g", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces")))
+    packed = stored(split.select("vec_id", "v", "g").groupBy("g").applyInArrow(ask, _QUERY_SQL), "asked-blocks")
+    blocks = layout.place(dealt).select("block", "unit", "vec_id", "v").groupBy("block").applyInArrow(_pack, _DATA_SQL)
+    wanted = spark.read.schema(packed.schema).parquet(packed.stored_path).select("block", "bundle").distinct()
+    data = blocks.join(wanted, "block")
+
+    def local(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            v = np.frombuffer(row["v"], np.float64).reshape(-1, row["dim"])
+            for ask in right.to_pylist():
+                q = np.frombuffer(ask["q"], np.float64).reshape(-1, row["dim"])
+                made = visit(np.frombuffer(row["units"], np.int64), units.value[row["dim"]], np.frombuffer(row["ids"], np.int64), v, np.frombuffer(ask["q_ids"], np.int64), q, np.frombuffer(ask["floors"], np.float64), k)
+                out.append(batch_of(_FOUND, *map(pa.array, made)))
+        return pa.Table.from_batches(out, schema=_FOUND)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * -(-groups // BUNDLE)))
+    left, right = data.repartition(tasks, "block", "bundle").groupBy("block", "bundle"), packed.repartition(tasks, "block", "bundle").groupBy("block", "bundle")
+    merged = left.cogroup(right).applyInArrow(local, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

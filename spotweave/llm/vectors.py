@@ -1,13 +1,25 @@
-"""What the vector operators share: usable rows, pivots of a bounded sample, packed blocks."""
+"""What the vector operators share: usable rows, a tree of pivots, and the layout of rows in blocks.
+
+Pivots come from a bounded sample and form two levels: about rows ** 0.25 top pivots, and under them
+about rows ** 0.5 leaf pivots in all. A row goes down to a leaf's cell and keeps its distance to the
+leaf pivot. Cells with more rows than a block are cut into shells by that distance; a cell or a shell
+is a unit, with the true least and greatest distance of its rows. Small units that follow each other in
+the tree share a block. All bounds between units come from pivots and these distances.
+"""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample that pivots are chosen from, and pivots of each vector length.
-SAMPLE_ROWS, PIVOTS = 2048, 64
+#: Bounds of the sample that pivots are chosen from: at least this many rows, 8 a pivot, and never more than the second.
+SAMPLE_ROWS, SAMPLE_MOST = 2048, 1 << 17
+#: Shells of equal width that a large cell is cut into at first.
+SHELLS = 64
 
 
 def finite(column: str = "embedding") -> F.Column:
@@ -17,54 +29,163 @@ def finite(column: str = "embedding") -> F.Column:
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & good, F.lit(False))
 
 
-def choose_pivots(rows: list[np.ndarray], count: int = PIVOTS) -> dict[int, np.ndarray]:
-    """By vector length, up to `count` pivots: each the sample's point farthest from those before it."""
-    out = {}
-    for d in sorted({len(r) for r in rows}):
-        x = np.array([r for r in rows if len(r) == d], np.float64)
-        take, far = [0], ((x - x[0]) ** 2).sum(axis=1)
-        while len(take) < min(count, len(x)) and far.max() > 0:
-            take.append(int(far.argmax()))
-            far = np.minimum(far, ((x - x[take[-1]]) ** 2).sum(axis=1))
-        out[d] = x[take]
-    return out
+def sample(df: DataFrame, id_column: str, total: int) -> list:
+    """Vectors (column v) for pivots by a hash of the id: 8 for each of rows ** 0.5 pivots, within SAMPLE_ROWS and SAMPLE_MOST."""
+    rows = min(SAMPLE_MOST, max(SAMPLE_ROWS, 8 * math.isqrt(total)))
+    if total > 8 * rows:  # the smallest hashes come from a thin slice of the hash's range
+        share = int(4.0 * rows / total * 2**64)
+        df = df.where(F.xxhash64(id_column) < -(2**63) + share)
+    return [r["v"] for r in df.select("v", F.xxhash64(id_column).alias("_h"), F.col(id_column).alias("_i")).orderBy("_h", "_i").limit(rows).collect()]
 
 
-def sample(df: DataFrame, id_column: str, rows: int = SAMPLE_ROWS) -> list:
-    """At most `rows` vectors (column v), by a hash of the id."""
-    return [r["v"] for r in df.select("v", F.xxhash64(id_column).alias("_h"), F.col(id_column).alias("_i")).orderBy("_h", "_i").limit(rows).collect()]
+def farthest_first(x: np.ndarray, count: int) -> np.ndarray:
+    """Up to `count` distinct rows: the first, then always the one farthest from those before it."""
+    take, far = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(take) < min(count, len(x)) and far.max() > 0:
+        take.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[take[-1]]) ** 2).sum(axis=1))
+    return x[take]
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return ((pivots * pivots).sum(axis=1)[None] - 2 * x @ pivots.T).argmin(axis=1)
+
+
+def by_length(vectors: list):
+    """(rows, matrix) for every length among the vectors."""
+    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
+    for d in np.unique(sizes):
+        rows = np.flatnonzero(sizes == d)
+        yield rows, np.array([vectors[i] for i in rows], np.float64)
 
 
-class Cells:
-    """Voronoi cells of the pivots of each length; lengths without pivots have one cell around zero."""
+class PivotTree:
+    """Two levels of pivots for each vector length; lengths that the sample lacks have one cell around zero."""
 
-    def __init__(self, pivots: dict[int, np.ndarray]):
-        self.pivots, self.first, n = pivots, {}, 0
-        for d, p in pivots.items():
-            self.first[d] = n
-            n += len(p)
+    def __init__(self, rows: list[np.ndarray], count: int):
+        self.tops: dict[int, np.ndarray] = {}
+        self.first: dict[int, np.ndarray] = {}
+        self.pivots: dict[int, np.ndarray] = {}
+        cells = 0
+        for _, x in by_length(rows):
+            d, own = x.shape[1], max(1, round(count * len(x) / len(rows)))
+            tops = farthest_first(x[:4096], math.isqrt(own - 1) + 1)
+            side = _nearest(x, tops)
+            leaves = [farthest_first(np.concatenate([t[None], x[side == j][:4096]]), max(1, round(own * (side == j).mean()))) for j, t in enumerate(tops)]
+            self.tops[d], self.pivots[d] = tops, np.concatenate(leaves)
+            self.first[d] = cells + np.concatenate([[0], np.cumsum([len(p) for p in leaves])])
+            cells += len(self.pivots[d])
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and distance to its pivot for rows of one length."""
         d = x.shape[1]
-        if d not in self.pivots:
+        if d not in self.tops:
             return np.full(len(x), -d), np.sqrt((x * x).sum(axis=1))
-        p = self.pivots[d]
-        cell = ((p * p).sum(axis=1)[None] - 2 * x @ p.T).argmin(axis=1)
-        return cell + self.first[d], np.sqrt(((x - p[cell]) ** 2).sum(axis=1))
+        first, base = self.first[d], self.first[d][0]
+        top, cell = _nearest(x, self.tops[d]), np.zeros(len(x), np.int64)
+        for j in np.unique(top):
+            own = top == j
+            cell[own] = _nearest(x[own], self.pivots[d][first[j] - base : first[j + 1] - base]) + first[j]
+        return cell, np.sqrt(((x - self.pivots[d][cell - base]) ** 2).sum(axis=1))
 
     def pivot(self, cell: int) -> np.ndarray:
         if cell < 0:
             return np.zeros(-cell)
         for d, first in self.first.items():
-            if first <= cell < first + len(self.pivots[d]):
-                return self.pivots[d][cell - first]
+            if first[0] <= cell < first[-1]:
+                return self.pivots[d][cell - first[0]]
         raise KeyError(cell)
 
 
-def by_length(vectors: list):
-    """(rows, matrix) for every length among the vectors."""
-    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-    for d in np.unique(sizes):
-        rows = np.flatnonzero(sizes == d)
-        yield rows, np.array([vectors[i] for i in rows], np.float64)
+@dataclass
+class Units:
+    """Units of one vector length: pivot, least and greatest distance to it, rows, and the block of each.
+
+    Of the pieces of a shell that is dealt by hash, the first has the rows of all.
+    """
+
+    number: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    block: np.ndarray
+
+
+class Layout:
+    """Units and blocks of dealt rows (columns cell, far and an id)."""
+
+    def __init__(self, dealt: DataFrame, id_column: str, tree: PivotTree, block_rows: int):
+        self.id = id_column
+        # rows ** 0.5 cells, and SHELLS rows for each cell that is larger than a block
+        stats = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
+        large = [(c, float(r["high"]) / SHELLS) for c, r in stats.items() if r["n"] > block_rows]
+        self.large = large
+        shells: dict[int, list] = {}
+        if large:
+            for r in self._shelled(dealt).where("shell >= 0").groupBy("cell", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect():
+                shells.setdefault(r["cell"], []).append(r)
+        #: (cell, shell, first unit, pieces): where rows go.
+        self.places: list[tuple[int, int, int, int]] = []
+        cells, spans, blocks, held, dim = [], [], [], block_rows, None
+        block = -1
+
+        def unit(cell, low, high, size, rows):
+            nonlocal block, held, dim
+            own = len(tree.pivot(cell))
+            if held + size > block_rows or own != dim:
+                block, held, dim = block + 1, 0, own
+            held += size
+            cells.append(cell)
+            spans.append((low, high, rows))
+            blocks.append(block)
+
+        for c in sorted(stats):
+            if c not in shells:
+                self.places.append((c, -1, len(cells), 1))
+                unit(c, stats[c]["low"], stats[c]["high"], stats[c]["n"], stats[c]["n"])
+                continue
+            group: list = []
+            for r in [*sorted(shells[c], key=lambda r: r["shell"]), None]:
+                if group and (r is None or sum(g["n"] for g in group) + r["n"] > block_rows):
+                    n = sum(g["n"] for g in group)
+                    pieces = -(-n // block_rows)
+                    self.places += [(c, g["shell"], len(cells), pieces) for g in group]
+                    for k in range(pieces):  # dealt by hash: the first is credited with all rows
+                        unit(c, min(g["low"] for g in group), max(g["high"] for g in group), -(-n // pieces), 0 if k else n)
+                    group = []
+                if r is not None:
+                    group.append(r)
+        self.blocks = block + 1
+        low, high, n = (np.array(x, np.float64) for x in zip(*spans, strict=True)) if spans else (np.zeros(0),) * 3
+        cell, blocks = np.array(cells, np.int64), np.array(blocks, np.int64)
+        dims = np.array([len(tree.pivot(c)) for c in cells], np.int64)
+        self.units = {}
+        for d in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == d)
+            self.units[d] = Units(own, np.array([tree.pivot(c) for c in cell[own].tolist()]), low[own], high[own], n[own], blocks[own])
+
+    def _shelled(self, dealt: DataFrame) -> DataFrame:
+        """Rows with their shell, -1 in cells that are no larger than a block."""
+        if not self.large:
+            return dealt.withColumn("shell", F.lit(-1))
+        widths = dealt.sparkSession.createDataFrame(self.large, "cell long, width double")  # a row per large cell
+        shell = F.when(F.col("width").isNull(), -1).when(F.col("width") == 0, 0).otherwise(F.least(F.floor(F.col("far") / F.col("width")), F.lit(SHELLS - 1)))
+        return dealt.join(F.broadcast(widths), "cell", "left").withColumn("shell", shell.cast("int")).drop("width")
+
+    def place(self, dealt: DataFrame) -> DataFrame:
+        """The rows with their unit and block."""
+        spark = dealt.sparkSession
+        where = spark.createDataFrame(self.places, "cell long, shell int, first long, pieces long")  # a row per cell or shell
+        numbered = [(int(u), int(b)) for own in self.units.values() for u, b in zip(own.number, own.block, strict=True)]
+        rows = self._shelled(dealt).join(F.broadcast(where), ["cell", "shell"])
+        rows = rows.withColumn("unit", F.col("first") + F.pmod(F.xxhash64(self.id), F.col("pieces"))).drop("first", "pieces", "shell")
+        return rows.join(F.broadcast(spark.createDataFrame(numbered, "unit long, block long")), "unit")  # a row per unit
+
+
+def within_reach(one: Units, i: np.ndarray, other: Units, reach: float) -> np.ndarray:
+    """For units i of `one` and all of `other`: True where a pair of rows may be at most `reach` apart."""
+    apart = np.sqrt(np.maximum(0, (one.pivot[i] ** 2).sum(axis=1)[:, None] + (other.pivot**2).sum(axis=1)[None] - 2 * one.pivot[i] @ other.pivot.T))
+    room = reach + 1e-6 * (1 + apart)
+    low, high = one.low[i][:, None], one.high[i][:, None]
+    return (apart - high - other.high[None] <= room) & (low - apart - other.high[None] <= room) & (other.low[None] - apart - high <= room)

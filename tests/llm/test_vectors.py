@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spotweave.llm import covertree, knn
+from spotweave.llm import covertree, knn, vectors
 
 INF = float("inf")
 
@@ -53,11 +53,29 @@ def plain_links(rows, cosine=0.9):
 def test_links_and_components(spark, kind):
     rows = rows_of(1)
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, rep string, n int")
-    got = covertree.near_vectors(df, block_rows=16, pivots=8).collect()
+    got = covertree.near_vectors(df, block_rows=16).collect()
     assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=repr) == plain_links(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+def check_tree(x, tree):
+    """Every level holds all points in ranges; radii cover; a node's centre goes on in its first child; radii shrink."""
+    for k, (start, stop, centre, radius, first) in enumerate(tree.levels):
+        assert start[0] == 0 and stop[-1] == len(x) and (start[1:] == stop[:-1]).all()
+        for a, b, c, r in zip(start, stop, centre, radius, strict=True):
+            assert a <= c < b and np.linalg.norm(x[a:b] - x[c], axis=1).max() <= r + 1e-9
+        if k + 1 < len(tree.levels):
+            below = tree.levels[k + 1]
+            assert (below[2][first[:-1]] == centre).all() and (below[0][first[:-1]] == start).all()
+            if 0 < k + 1 < len(tree.levels) - 1:
+                assert (below[3][below[1] - below[0] > 1] <= covertree.RADII[k] * 1.01).all()  # filled in single precision
+
+
+def built(x, w):
+    tree, order = covertree.CoverTree.build(x)
+    return x[order], w[order], tree
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_walk_counts_like_all_pairs(seed):
     rng = np.random.default_rng(seed)
@@ -66,23 +84,46 @@ def test_walk_counts_like_all_pairs(seed):
     x[60:80] = x[1] + rng.normal(size=(20, 5)) * 0.4
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     w = rng.integers(1, 4, 90)
-    sides = []
-    for part in (slice(0, 50), slice(50, 90)):
-        tree, order = covertree.CoverTree.build(x[part], leaf=4)
-        sides.append((x[part][order], w[part][order], tree))
-        for k in range(len(tree.start)):
-            inside = x[part][order][tree.start[k] : tree.stop[k]]
-            assert np.linalg.norm(inside - x[part][order][tree.centre[k]], axis=1).max() <= tree.radius[k] + 1e-9
-    (a, wa, _), (b, wb, _) = sides
-    counts, _ = covertree.Walk(sides[0], sides[1], 0.9).result()
-    hit = a @ b.T >= 0.9
-    assert counts.tolist() == [*(hit @ wb).tolist(), *(hit.T @ wa).tolist()]
+    sides = [built(x[part], w[part]) for part in (slice(0, 50), slice(50, 90), slice(80, 81))]
+    for side in sides:
+        check_tree(side[0], side[2])
+    for one, other in ((0, 1), (0, 2), (2, 1)):
+        (a, wa, _), (b, wb, _) = sides[one], sides[other]
+        counts, labels = covertree.Walk(sides[one], sides[other], 0.9).result()
+        hit = a @ b.T >= 0.9
+        assert counts.tolist() == [*(hit @ wb).tolist(), *(hit.T @ wa).tolist()]
+        assert all(labels[i] == labels[j + len(a)] for i, j in zip(*np.nonzero(hit), strict=True))
+    a, wa, _ = sides[0]
     counts, _ = covertree.Walk(sides[0], sides[0], 0.9).result()
     hit = a @ a.T >= 0.9
     np.fill_diagonal(hit, False)
     assert counts.tolist() == (hit @ wa).tolist()
 
 
+@pytest.mark.parametrize("kind", ["groups", "dense", "mixed", "random"])
+def test_large_blocks(kind):
+    """4096 vectors: exact counts, nested levels, and most pairs cut or linked unopened where there is structure."""
+    rng = np.random.default_rng(4)
+    n, d = 4096, 32
+    x = rng.normal(size=(n, d))
+    if kind == "groups":
+        x = np.repeat(rng.normal(size=(n // 64, d)), 64, axis=0) + rng.normal(size=(n, d)) * 0.02
+    elif kind == "dense":
+        x = rng.normal(size=d) + rng.normal(size=(n, d)) * 0.1
+    elif kind == "mixed":
+        x[: n // 2] = np.repeat(rng.normal(size=(n // 16, d)), 8, axis=0) + rng.normal(size=(n // 2, d)) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = built(x, np.ones(n, np.int64))
+    check_tree(side[0], side[2])
+    walk = covertree.Walk(side, side, 0.9)
+    counts, _ = walk.result()
+    hit = side[0] @ side[0].T >= 0.9
+    np.fill_diagonal(hit, False)
+    assert counts.tolist() == hit.sum(axis=1).tolist()
+    if kind == "groups":
+        assert len(side[2].levels[2][0]) < n // 8 and walk.seen < n * n // 16 and walk.points < n * n // 64
+
+
 def plain_top(rows, k, every):
     good = [(i, [int(np.floor(1024 * np.float64(x))) for x in v]) for i, v in rows if usable(i, v)]
     out = []
@@ -97,7 +138,7 @@ def plain_top(rows, k, every):
 def test_top_k(spark, blocks):
     rows = rows_of(2)
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, cell string, rank int")
-    got = knn.top_k(df, F.col("vec_id") % 10 == 0, k=7, block_rows=blocks[0], query_rows=blocks[1], pivots=8)
+    got = knn.top_k(df, F.col("vec_id") % 10 == 0, k=7, block_rows=blocks[0], query_rows=blocks[1])
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 7, 10)
 
 
@@ -107,13 +148,43 @@ def test_top_k_of_an_id_in_many_rows(spark):
     rows = [(0, near.tolist())] * 30 + [(i, (near * 0.2 + rng.normal(size=4) * 0.01 + (i % 2) * far).tolist()) for i in range(1, 60)]
     df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
     rows = [(i, np.float32(v).tolist()) for i, v in rows]
-    got = knn.top_k(df, F.col("vec_id") == 0, k=3, block_rows=4, query_rows=4, pivots=8)
+    got = knn.top_k(df, F.col("vec_id") == 0, k=3, block_rows=4, query_rows=4)
     assert sorted(map(tuple, got.collect())) == plain_top(rows, 3, 1000)
 
 
 def test_wide_components_stay_exact():
     q, v = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0], [2.0**40, 0.0]])
-    assert knn.scores(q, v).tolist() == [[2**60 + 1, (1 << 63) - 1]]
+    assert knn.scores(q, v[:1]).tolist() == [[2**60 + 1]]
+    with pytest.raises(OverflowError):
+        knn.scores(q, v)
+
+
+@pytest.mark.parametrize("kind", ["clusters", "random"])
+def test_pivots_cut_what_lies_apart(spark, kind):
+    """20,000 vectors in 64 tight clusters: few rows are visited; random ones stay exact. A cluster of a third is cut in shells."""
+    rng = np.random.default_rng(6)
+    n, d = 20_000, 16
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 64, n))
+    x = rng.normal(size=(64, d))[of] + rng.normal(size=(n, d)) * 0.01 if kind == "clusters" else rng.normal(size=(n, d))
+    x = knn.integers(x)
+    tree = vectors.PivotTree(list(x[:2048]), 142)
+    cell, far = tree.assign(x)
+    dealt = spark.createDataFrame([(i, int(c), float(f)) for i, (c, f) in enumerate(zip(cell, far, strict=True))], "vec_id long, cell long, far double").repartition(3)
+    layout = vectors.Layout(dealt, "vec_id", tree, 1024)
+    rows = {r.vec_id: (r.unit, r.block) for r in layout.place(dealt).collect()}
+    u = layout.units[d]
+    unit = np.array([rows[i][0] for i in range(n)])
+    at = np.argsort(u.number)[np.searchsorted(u.number, unit, sorter=np.argsort(u.number))]
+    assert len(rows) == n and np.bincount([b for _, b in rows.values()]).max() < 1400 and u.rows.sum() == n
+    assert (far >= u.low[at] - 1e-9).all() and (far <= u.high[at] + 1e-9).all()
+    bounds = knn.Bounds(u, 11)
+    need, floor = bounds.need(x[::100])
+    score = x[::100] @ x.T
+    tenth = -np.sort(-score, axis=1)[:, 10]
+    assert (floor <= tenth).all()
+    assert (need[:, at] | (score < tenth[:, None])).all()
+    share = (need @ u.rows).sum() / (len(need) * n)
+    assert share < 0.5 if kind == "clusters" else share <= 1
 
 
 def test_empty_tables(spark):
