@@ -1,26 +1,26 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints are computed where the text is read; equal fingerprints collapse to one row
-before anything is compared. Two fingerprints at most 4 bits apart agree on two of six bit
-blocks at least, so every distinct fingerprint is dealt to its 15 block-pair keys. Inside a
-key the fingerprints are sorted by Gray rank and indexed by a tree: a node holds the bit
-mask that its fingerprints share and their pattern under it, which is the sum of the
-residual masks from the root down. Node pairs whose patterns differ in more than 4 jointly
-shared bits are cut with all that is below them; pairs that cannot differ in more than 4
-bits are linked as a whole, and pairs already in one component are skipped. What leaves a
-task is one edge per linked fingerprint, not all pairs.
-
-Keys with more than `hot_rows` fingerprints are cut into chunks and compared chunk by
-chunk in separate tasks, so no task holds more than 2 * hot_rows of one key.
+before anything is compared. The distinct ones are sorted by Gray rank and split into ranges,
+the index's upper nodes. Every node, a range or a group below it, holds the mask of the bits that
+its fingerprints share and their pattern under it. Two nodes differ at least in the jointly shared
+bits that differ; going down, only the bits that become shared are compared and the differences are
+accumulated. A pair of nodes that differs in more than the allowed bits is cut with all below it:
+pairs of ranges before they are sent anywhere, pairs of groups in the task that has both ranges.
+Pairs that cannot differ in more are linked as a whole, and pairs already in one component are
+skipped. What leaves a task is one edge per linked fingerprint, not all pairs.
+
+Among n evenly spread fingerprints about sum(C(log2 n, i), i <= 4) partners of each are reached, so
+the work of one grows with the fourth power of log n, and no fingerprint is replicated by itself: a range
+goes once to each range it is not cut from.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +31,8 @@ MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
 FANOUT = 4
-HOT_ROWS = 1 << 17
-#: Bits of the six blocks, from the lowest.
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints of a range: a 64th of all within these bounds.
+LEAST_RANGE, MOST_RANGE = 1 << 15, 1 << 21
 
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -80,20 +79,22 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Trees over the fingerprints of each key, all keys of a block at once."""
+    """A tree over the fingerprints of each key, all of one height. Keys are ranges of fingerprints.
+
+    visited and pruned count the pairs of nodes that were compared and those cut.
+    """
 
     def __init__(self, keys: np.ndarray, codes: np.ndarray, fanout: int = FANOUT):
         order = np.lexsort((gray_rank(codes), keys))
-        self.order, self.codes, keys = order, codes[order], keys[order]
+        self.codes, keys, self.fanout = codes[order], keys[order], fanout
         n = len(codes)
-        new = np.ones(n, bool)
-        new[1:] = keys[1:] != keys[:-1]
-        self.new = new
-        root = np.cumsum(new) - 1
+        self.new = np.ones(n, bool)
+        self.new[1:] = keys[1:] != keys[:-1]
+        root = np.cumsum(self.new) - 1
         count = np.bincount(root)
-        place = np.arange(n) - np.flatnonzero(new)[root]
-        #: Per level: shared mask, pattern, first child, children, first leaf (and one end).
-        self.levels = [(np.full(n, _FULL), self.codes, None, None, np.arange(n + 1))]
+        place = np.arange(n) - np.flatnonzero(self.new)[root]
+        #: Per level: shared mask, pattern, first child (and one end), first leaf (and one end).
+        self.levels = [(np.full(n, _FULL), self.codes, None, np.arange(n + 1))]
         low, high, group, leaf = self.codes, self.codes, root, np.arange(n)
         while len(low) > len(count):
             up = place // fanout
@@ -103,132 +104,170 @@ class GrayIndex:
             low, high = np.bitwise_and.reduceat(low, first), np.bitwise_or.reduceat(high, first)
             shared = ~(low ^ high)
             leaf = leaf[first]
-            self.levels.append((shared, low & shared, first, np.diff(np.append(first, len(cut))), np.append(leaf, n)))
+            self.levels.append((shared, low & shared, np.append(first, len(cut)), np.append(leaf, n)))
             group, place = group[first], up[first]
-        self.roots = np.arange(len(low))
+        self.visited = self.pruned = 0
 
-    def links(self, most: int = MAX_BITS, chunk: int = 1 << 17) -> np.ndarray:
-        """Component label of each fingerprint, in index order, by links of at most `most` bits."""
+    def links(self, most: int = MAX_BITS, pairs: list[tuple[int, int]] | None = None, chunk: int = 1 << 13) -> np.ndarray:
+        """Component label of each fingerprint, in index order, by links of at most `most` bits inside the pairs of keys (default: each with itself)."""
         n = len(self.codes)
         labels = np.arange(n)
         segment = np.cumsum(self.new)
-        for step in (1, 2, 3):  # neighbours in Gray order first: most of a dense group joins here
-            if n > step:
-                a = np.arange(n - step)
-                near = (segment[:-step] == segment[step:]) & (np.bitwise_count(self.codes[:-step] ^ self.codes[step:]) <= most)
-                labels = joined(labels, a[near], a[near] + step)
+        pairs = [(k, k) for k in range(int(segment[-1]))] if pairs is None else pairs
+        if all(a == b for a, b in pairs):
+            for step in (1, 2, 3):  # neighbours in Gray order first: most of a dense group joins here
+                if n > step:
+                    a = np.arange(n - step)
+                    near = (segment[:-step] == segment[step:]) & (np.bitwise_count(self.codes[:-step] ^ self.codes[step:]) <= most)
+                    labels = joined(labels, a[near], a[near] + step)
         top = len(self.levels) - 1
-        stack = [(top, self.roots, self.roots)]
-        uniform = self._uniform(labels)
+        a, b = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        shared, pattern = self.levels[top][:2]
+        both = shared[a] & shared[b]
+        stack = [(top, *self._kept(labels, a, b, both, np.bitwise_count((pattern[a] ^ pattern[b]) & both).astype(np.uint8), most))]
+        uniform, settled = self._uniform(labels), 0
         while stack:
-            level, a, b = stack.pop()
-            if len(a) > chunk:
-                half = len(a) // 2
-                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+            level, a, b, both, apart = stack.pop()
+            if not len(a):
                 continue
-            shared, pattern, first, size, leaf = self.levels[level]
-            same = uniform[level]
-            both = shared[a] & shared[b]
-            apart = np.bitwise_count((pattern[a] ^ pattern[b]) & both)
-            keep = (apart <= most) & ~((same[a] >= 0) & (same[a] == same[b]))
-            a, b, both, apart = a[keep], b[keep], both[keep], apart[keep]
             if level == 0:
                 labels = joined(labels, a, b)
                 continue
-            whole = apart + np.bitwise_count(~both) <= most
+            if len(a) > chunk:
+                half = len(a) // 2
+                stack += [(level, a[half:], b[half:], both[half:], apart[half:]), (level, a[:half], b[:half], both[:half], apart[:half])]
+                continue
+            same = uniform[level]
+            open_ = (same[a] < 0) | (same[a] != same[b])
+            whole = open_ & (apart + np.bitwise_count(~both) <= most)
             if whole.any():
+                leaf = self.levels[level][3]
                 for side in (a[whole], b[whole]):
                     labels = joined(labels, np.repeat(leaf[a[whole]], leaf[side + 1] - leaf[side]), ragged(leaf[side], leaf[side + 1] - leaf[side]))
-                a, b = a[~whole], b[~whole]
-            if not len(a):
-                continue
-            wide = size[a] * size[b]
-            pair = np.repeat(np.arange(len(a)), wide)
-            k = np.arange(len(pair)) - np.repeat(np.cumsum(wide) - wide, wide)
-            ca, cb = first[a][pair] + k // size[b][pair], first[b][pair] + k % size[b][pair]
-            real = (ca <= cb) if level > 1 else (ca < cb)
-            stack.append((level - 1, ca[real], cb[real]))
-            if len(stack) % 8 == 0:
+                open_ &= ~whole
+            settled += 1
+            if settled % 64 == 0:
                 uniform = self._uniform(labels)
+            stack.append((level - 1, *self._below(level, a[open_], b[open_], both[open_], apart[open_], most)))
         return labels
 
+    def _kept(self, labels, a, b, both, apart, most):
+        keep = apart <= most
+        self.visited += len(keep)
+        self.pruned += int(len(keep) - keep.sum())
+        return a[keep], b[keep], both[keep], apart[keep]
+
+    def _below(self, level, a, b, both, apart, most):
+        """The children's pairs of pairs of nodes that do not differ too much: the differences so far and those in bits that become shared."""
+        first, (shared, pattern) = self.levels[level][2], self.levels[level - 1][:2]
+        k = np.arange(self.fanout)
+        ia, ib = (np.minimum(first[x][:, None] + k, first[x + 1][:, None] - 1) for x in (a, b))
+        known = (k < (first[a + 1] - first[a])[:, None])[:, :, None] & (k < (first[b + 1] - first[b])[:, None])[:, None, :]
+        if level > 1:
+            joint = shared[ia][:, :, None] & shared[ib][:, None, :]
+            fresh = joint & ~both[:, None, None]
+        else:
+            joint = fresh = ~both[:, None, None]
+        differ = apart[:, None, None] + np.bitwise_count((pattern[ia][:, :, None] ^ pattern[ib][:, None, :]) & fresh)
+        known &= (a != b)[:, None, None] | (k[:, None] <= k if level > 1 else k[:, None] < k)[None]
+        self.visited += int(known.sum())
+        p, i, j = np.nonzero(known & (differ <= most))
+        self.pruned += int(known.sum()) - len(p)
+        return ia[p, i], ib[p, j], joint[p, i, j] if level > 1 else np.full(len(p), _FULL), differ[p, i, j]
+
     def _uniform(self, labels: np.ndarray) -> list[np.ndarray]:
         """Per node the one component that all its fingerprints are in, or -1."""
         out = [labels]
         low = high = labels
-        for _, _, first, _, _ in self.levels[1:]:
-            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+        for _, _, first, _ in self.levels[1:]:
+            low, high = np.minimum.reduceat(low, first[:-1]), np.maximum.reduceat(high, first[:-1])
             out.append(np.where(low == high, low, -1))
         return out
 
 
-def _star_edges(keys, codes, most):
-    index = GrayIndex(keys, codes)
-    labels = index.links(most)
-    moved = np.flatnonzero(labels != np.arange(len(labels)))
-    return index.codes[moved].view(np.int64), index.codes[labels[moved]].view(np.int64)
+_RANGE = pa.schema([("range", pa.int64()), ("shared", pa.int64()), ("pattern", pa.int64()), ("codes", pa.binary())])
+_RANGE_SQL = "range long, shared long, pattern long, codes binary"
+_TILE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("range", pa.int64()), ("codes", pa.binary())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def ranked(distinct: DataFrame) -> DataFrame:
+    """Fingerprints (column fp) with their Gray rank, as a long in the same order."""
+    out = distinct.select("fp", F.col("fp").alias("rank"))
+    for shift in (1, 2, 4, 8, 16, 32):
+        out = out.withColumn("rank", F.col("rank").bitwiseXOR(F.shiftrightunsigned("rank", shift)))
+    return out.withColumn("rank", F.col("rank").bitwiseXOR(F.lit(-(1 << 63))))
 
-def block_keys(fp: str) -> F.Column:
-    """The 15 keys of a fingerprint column: two of the six blocks, with the pair's number."""
-    offsets = np.concatenate([[0], np.cumsum(BLOCKS)[:-1]]).tolist()
-    part = [f"(shiftrightunsigned({fp}, {o}) & {(1 << w) - 1}L)" for o, w in zip(offsets, BLOCKS, strict=True)]
-    return F.expr("array(" + ", ".join(f"({n}L << 22) | ({part[i]} << 11) | {part[j]}" for n, (i, j) in enumerate(combinations(range(6), 2))) + ")")
 
+def gray_ranges(distinct: DataFrame, rows: int, total: int) -> DataFrame:
+    """The fingerprints (column fp) in ranges of about `rows` in Gray order: range, shared mask, pattern, codes; stored."""
 
-def near_edges(distinct: DataFrame, most: int = MAX_BITS, hot_rows: int = HOT_ROWS, run_rows: int = 1 << 19) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that span all links of at most `most` <= 4 bits."""
-    if not 0 <= most <= 4:
-        raise ValueError("the block keys find links of 0 to 4 bits")
-    keyed = distinct.select("fp", F.explode(block_keys("fp")).alias("key"))
-    hot = stored(keyed.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("long").alias("g")), "hot-keys")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("g"))
-    tiles = F.transform(F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda j: F.greatest(chunk, j) * F.col("g") + F.least(chunk, j))
-    dealt = keyed.join(hot, "key", "left").select("fp", "key", F.explode(F.when(F.col("g").isNull(), F.array(F.lit(0).cast("long"))).otherwise(tiles)).alias("tile"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def pack(batches):
+        number, held = TaskContext.get().partitionId() << 24, []
+
+        def full(codes):
+            low, high = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
+            mask = ~(low ^ high)
+            return batch_of(_RANGE, [number], [int(mask.view(np.int64))], [int((low & mask).view(np.int64))], [codes.tobytes()])
 
-    def run(batches):
-        held, rows = [], 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "tile", "fp")]
-            held.append(cols)
-            rows += batch.num_rows
-            if rows < run_rows:
-                continue
-            key, tile, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            inside = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
-            cut = inside[-1] + 1 if len(inside) else 0  # the last key may go on
-            if cut:
-                yield work(key[:cut], tile[:cut], fp[:cut])
-            held, rows = [[key[cut:], tile[cut:], fp[cut:]]], len(key) - cut
-        if rows:
-            yield work(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    def work(key, tile, fp):
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
-        group = np.cumsum(new) - 1
-        many = np.bincount(group)[group] > 1
-        if not many.any():
-            return batch_of(schema, [], [])
-        a, b = _star_edges(group[many], fp[many].view(np.uint64), most)
-        return batch_of(schema, pa.array(a), pa.array(b))
-
-    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE, hot_rows: int = HOT_ROWS) -> DataFrame:
+            held.append(batch.column("fp").to_numpy().view(np.uint64))
+            if sum(map(len, held)) >= rows:
+                yield full(np.concatenate(held))
+                number, held = number + 1, []
+        if held and sum(map(len, held)):
+            yield full(np.concatenate(held))
+
+    dealt = ranked(distinct).repartitionByRange(max(1, -(-total // rows)), "rank").sortWithinPartitions("rank")
+    return stored(dealt.select("fp").mapInArrow(pack, _RANGE_SQL), "gray-ranges")
+
+
+def near_edges(distinct: DataFrame, most: int = MAX_BITS, range_rows: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) that span all links of at most `most` bits."""
+    spark = distinct.sparkSession
+    total = distinct.count()
+    ranges = gray_ranges(distinct, range_rows or max(LEAST_RANGE, min(MOST_RANGE, total // 64)), total)
+    nodes = ranges.select("range", "shared", "pattern").toArrow()  # a row per range
+    name, shared, pattern = (nodes.column(c).to_numpy() for c in ("range", "shared", "pattern"))
+    upper = spark.sparkContext.broadcast((name, shared.view(np.uint64), pattern.view(np.uint64)))
+
+    def send(batches):
+        """A range to every pair of ranges that is not cut."""
+        name, shared, pattern = upper.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, codes = batch.column("range")[k].as_py(), batch.column("codes").slice(k, 1)
+                at = int(np.flatnonzero(name == own)[0])
+                near = np.bitwise_count((pattern ^ pattern[at]) & shared & shared[at]) <= most
+                for other in name[near].tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array([min(own, other)]), pa.array([max(own, other)]), pa.array([own]), codes], schema=_TILE)
+
+    def walk(table: pa.Table) -> pa.Table:
+        codes = [np.frombuffer(c, np.uint64) for _, c in sorted(zip(table.column("range").to_pylist(), table.column("codes").to_pylist(), strict=True))]
+        index = GrayIndex(np.repeat(np.arange(len(codes)), [len(c) for c in codes]), np.concatenate(codes))
+        labels = index.links(most, [(0, len(codes) - 1)])
+        moved = np.flatnonzero(labels != np.arange(len(labels)))
+        return pa.Table.from_batches([batch_of(_EDGE, pa.array(index.codes[moved].view(np.int64)), pa.array(index.codes[labels[moved]].view(np.int64)))])
+
+    # a task for every pair of ranges or so, as long as there are no more than 4096
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, len(name) * (len(name) + 1) // 2))
+    tiles = ranges.select("range", "codes").mapInArrow(send, "a long, b long, range long, codes binary").repartition(tasks, "a", "b")
+    return tiles.groupBy("a", "b").applyInArrow(walk, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE, range_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept.
 
     docs needs doc_id and text; other columns are ignored. Null text counts as no words.
     Documents without words share fingerprint zero and link like any other. A null doc_id
     gets a fingerprint and its component, but never names a component unless no document
-    of it has an id (then null). Repeated rows give repeated result rows. kept: the document
+    of it has an id (then null). Repeated rows give repeated result rows. A text of any length is
+    hashed whole; an empty table gives an empty result. kept: the document
     with the smallest id of its component.
     """
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    parts = connected_components(near_edges(distinct.select("fp"), most, hot_rows))
+    parts = connected_components(near_edges(distinct.select("fp"), most, range_rows))
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     named = stored(named, "parts")
     small = named.groupBy("part").agg(F.min("rep").alias("component_id"))

@@ -56,6 +56,42 @@ def test_index_links_like_all_pairs(seed):
     assert got == plain_components([int(c) for c in index.codes], [int(c) for c in index.codes])
 
 
+def planted(n, seed=11):
+    """Random fingerprints, a tenth of them with a near one, and one dense group."""
+    rng = np.random.default_rng(seed)
+    codes = [int(x) for x in rng.integers(0, 2**64, n, dtype=np.uint64)]
+    codes += [c ^ sum(1 << int(f) for f in rng.choice(64, rng.integers(1, 7), replace=False)) for c in codes[: n // 10]]
+    codes += [codes[0] ^ int(sum(1 << int(f) for f in rng.choice(20, rng.integers(1, 5), replace=False))) for _ in range(n // 10)]
+    return np.array(sorted(set(codes)), np.uint64)
+
+
+def all_links(codes, most=4):
+    hit = np.concatenate([np.argwhere(np.bitwise_count(codes[k : k + 500, None] ^ codes[None]) <= most) + [k, 0] for k in range(0, len(codes), 500)])
+    return simhash.joined(np.arange(len(codes)), hit[:, 0], hit[:, 1])
+
+
+def test_five_thousand_fingerprints():
+    """All links, few comparisons: groups are cut with all below them."""
+    codes = planted(4400)
+    index = simhash.GrayIndex(np.zeros(len(codes), np.int64), codes)
+    labels = index.links(4)
+    assert (labels == all_links(index.codes)).all()
+    pairs = len(codes) * (len(codes) - 1) // 2
+    assert len(codes) > 5000 and index.visited < pairs // 3 and index.pruned > index.visited // 2
+
+
+def test_ranges_hold_every_link(spark):
+    """Over ranges of 400: the components are those of one index, and ranges far apart are not paired."""
+    codes = planted(2500)
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    ranges = simhash.gray_ranges(df, 400, len(codes)).collect()
+    assert len(ranges) >= 7 and sum(len(r.codes) // 8 for r in ranges) == len(codes)
+    edges = simhash.near_edges(df, range_rows=400).collect()
+    at = {int(c): k for k, c in enumerate(codes.view(np.int64))}
+    labels = simhash.joined(np.arange(len(codes)), np.array([at[e.a] for e in edges]), np.array([at[e.b] for e in edges]))
+    assert (labels == all_links(codes)).all()
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, fp string, key long")
 
@@ -72,8 +108,8 @@ def test_documents_against_brute_force(spark):
             u[int(rng.integers(0, 200))] = "changed"
             rows.append((1000 + 7 * i + j, "\n".join(u)))
     rows += [(2000, None), (2001, ""), (2002, " \t\n"), (2003, "one two"), (2004, "ONE  two"), (2005, "w " * 5000), (2005, "w " * 5000)]
-    for hot in (simhash.HOT_ROWS, 3):
-        got = simhash.near_duplicates(frame(spark, [(a, b, "clash", 1) for a, b in rows]), hot_rows=hot).toPandas()
+    for rows_a_range in (None, 7):
+        got = simhash.near_duplicates(frame(spark, [(a, b, "clash", 1) for a, b in rows]), range_rows=rows_a_range).toPandas()
         prints = [plain_print(t) for _, t in rows]
         want = sorted(zip([i for i, _ in rows], [f"{p:016x}" for p in prints], plain_components([i for i, _ in rows], prints), strict=True))
         assert sorted(zip(got.doc_id, got.fingerprint, got.component_id, strict=True)) == want
