@@ -1,40 +1,51 @@
 """Substring deduplication over a compacted de Bruijn graph of word k-mers.
 
 Every window of `k` words is an edge. Edges travel as packed byte planes (7 hash bytes and
-a position), dealt by hash; inside a block of documents equal edges are merged first, so a
-very common passage costs one edge per block, not per document. Where an edge occurs again,
-it is labelled by its source coordinates: the smallest document that holds it, and the
-place there. Back at the document (a join on the document), consecutive edges whose source
-coordinates are consecutive form one nonbranching path and are compacted to one span. A
-last join takes the distinct spans to their source document and compares a 128-bit digest of
-the words there; a span that fails (a hash collision) is not removed.
+a position), dealt by hash in one or more radix levels, so that a bucket is bounded at every size;
+inside a block of documents equal edges are merged first, so a very common passage costs one edge per
+block, not per document. Where an edge occurs again, it is labelled by its source coordinates: the
+smallest document that holds it, and the place there. Back at the document (a join on the document),
+consecutive edges whose source coordinates are consecutive form one nonbranching path and are compacted
+to one span, cut at every GRID-th source place, so that the distinct spans that name a source are bounded
+by its length. A last join takes the distinct spans to their source document and compares a 128-bit digest
+of the words there. A span that fails (a hash collision) is not removed; the documents that have one
+are judged again under another hash, until each of its windows has been judged by one without failure.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, blocks, ragged, stored
+from .common import BLOCK_BYTES, as_bytes, batch_of, blocks, ragged, stored
 
 WORDS = 13
 #: Text bytes of a block in which equal edges are merged before they are sent.
 EDGE_BLOCK = 12 << 20
 #: Edges that one bucket should hold; the number of buckets follows from the table's size.
 BUCKET_EDGES = 1 << 21
-MAX_BUCKETS = 1 << 12
+#: Buckets that one radix level deals to; more buckets take more levels.
+FAN_OUT = 1 << 12
+#: Paths are cut at source places that are multiples of this.
+GRID = 64
 #: Groups of documents for every bucket: a group's occurrences meet in one task.
 DOCUMENT_GROUPS = 8
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTERS = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _letters(seed: int) -> np.ndarray:
+    """Random odd numbers for the bytes, one set for each hash."""
+    return np.random.default_rng([20240229, seed]).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -48,21 +59,21 @@ def _powers(p: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(np.full(max(n, 1), p, np.uint64))
 
 
-def word_hashes(texts: list[bytes], chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], seed: int = 0, chunk: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of all texts, in order, and the number of words of each text."""
-    hashes, counts, part, size = [], [], [], 0
+    hashes, counts, part, size, letters = [], [], [], 0, _letters(seed)
     for k, t in enumerate(texts):
         part.append(t)
         size += len(t)
         if size >= chunk or k == len(texts) - 1:
-            h, c = _hash_chunk(part)
+            h, c = _hash_chunk(part, letters)
             hashes.append(h)
             counts.append(c)
             part, size = [], 0
     return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.int64)])
 
 
-def _hash_chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _hash_chunk(texts: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -73,7 +84,7 @@ def _hash_chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros(len(starts), np.uint64)
     if len(starts):
         inside = np.flatnonzero(~space)
-        value = _LETTERS[data[inside]]
+        value = letters[data[inside]]
         inside -= np.repeat(starts, sizes)
         value *= _powers(_P, int(sizes.max()))[inside]
         out = _mixed(np.add.reduceat(value, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
@@ -107,7 +118,8 @@ def unplanes(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-_EDGES = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("ths", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("sources", pa.binary())])
+_EDGES = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("ths", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary()), ("sources", pa.binary())])
+_EDGES_SQL = "bucket long, ids binary, ths binary, counts binary, hashes binary, places binary, sources binary"
 _SOURCES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("places", pa.binary()), ("owners", pa.binary()), ("sources", pa.binary())])
 _SOURCES_SQL = "doc_id long, th long, places binary, owners binary, sources binary"
 #: Occurrences of many documents in one row: all columns are packed.
@@ -173,14 +185,14 @@ def _first_of(hashes, ids, doc, place):
     return order, row, ids[doc[lead]], place[lead]
 
 
-def edge_rows(docs: DataFrame, buckets: int, parts: int, k: int = WORDS) -> DataFrame:
-    """Packed edges by bucket, and (bucket below 0: a group of documents) what a block finds repeated among its own documents."""
+def edge_rows(docs: DataFrame, buckets: int, parts: int, k: int = WORDS, seed: int = 0) -> DataFrame:
+    """Packed edges by bucket of the first level, and (bucket below 0: a group of documents) what a block finds repeated among its own documents."""
     bits = buckets.bit_length() - 1
 
     def run(batches):
         for batch in blocks(batches, "text", EDGE_BLOCK):
             ids, ths = batch.column("doc_id").to_numpy(), batch.column("th").to_numpy()
-            hashes, doc, place = window_hashes(*word_hashes([t or b"" for t in as_bytes(batch.column("text"))]), k)
+            hashes, doc, place = window_hashes(*word_hashes([t or b"" for t in as_bytes(batch.column("text"))], seed), k)
             if not len(hashes):
                 continue
             order = np.argsort(hashes, kind="stable")
@@ -196,31 +208,33 @@ def edge_rows(docs: DataFrame, buckets: int, parts: int, k: int = WORDS) -> Data
                 send = np.concatenate([send, entry[row & ~later]])
                 settled = _grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later], parts)
                 if settled.num_rows:
-                    yield batch_of(_EDGES, pa.array(-1 - settled.column(0).to_numpy(), pa.int32()), *[settled.column(c) for c in (1, 2, 3, 5, 4)], settled.column(6))
-            bucket = (hashes[send] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(send), np.int64)
-            order = np.lexsort((place[send], doc[send], bucket))
-            send, bucket = send[order], bucket[order]
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            for b in range(buckets):
-                part = send[cuts[b] : cuts[b + 1]]
-                if not len(part):
-                    continue
-                d = doc[part]
-                first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                count = np.diff(np.append(first, len(d)))
-                step = np.diff(place[part], prepend=0)
-                step[first] = place[part][first]
-                row = (b, ids[d[first]].tobytes(), ths[d[first]].tobytes(), planes(count, 4), planes(hashes[part], 7), planes(step, 4), None)
-                yield batch_of(_EDGES, *([x] for x in row))
+                    yield batch_of(_EDGES, pa.array(-1 - settled.column(0).to_numpy().astype(np.int64)), *[settled.column(c) for c in (1, 2, 3, 5, 4)], settled.column(6))
+            yield from _dealt(hashes[send], ids, ths, doc[send], place[send], 0, bits, 0)
 
     rows = docs.where(F.col("doc_id").isNotNull())
-    return rows.mapInArrow(run, "bucket int, ids binary, ths binary, counts binary, hashes binary, places binary, sources binary")
+    return rows.mapInArrow(run, _EDGES_SQL)
 
 
-def _resolve(table: pa.Table, parts: int):
-    """All edges of a bucket: each repeated one to its source coordinates."""
+def _dealt(hashes, ids, ths, doc, place, above: int, bits: int, bucket: int):
+    """Edges (doc: index into ids and ths) to a packed row for each bucket: `bits` bits of the hash below the first `above`."""
+    deal = (hashes >> np.uint64(64 - above - bits)).astype(np.int64) & ((1 << bits) - 1) if bits else np.zeros(len(hashes), np.int64)
+    order = np.lexsort((place, doc, deal))
+    hashes, doc, place, deal = hashes[order], doc[order], place[order], deal[order]
+    cuts = np.flatnonzero(np.concatenate([[True], deal[1:] != deal[:-1], [True]])) if len(deal) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        d, own = doc[lo:hi], place[lo:hi]
+        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+        count = np.diff(np.append(first, len(d)))
+        step = np.diff(own, prepend=0)
+        step[first] = own[first]
+        row = ((bucket << bits) | int(deal[lo]), ids[d[first]].tobytes(), ths[d[first]].tobytes(), planes(count, 4), planes(hashes[lo:hi], 7), planes(step, 4), None)
+        yield batch_of(_EDGES, *([x] for x in row))
+
+
+def _unpacked(rows: list):
+    """ids, ths, and for each edge document (index into them), hash (low 7 bytes) and place, of packed rows."""
     ids, ths, doc, hashes, place, base = [], [], [], [], [], 0
-    for row in table.to_pylist():
+    for row in rows:
         own = np.frombuffer(row["ids"], np.int64)
         count = unplanes(row["counts"], 4).astype(np.int64)
         step = unplanes(row["places"], 4).astype(np.int64)
@@ -232,7 +246,12 @@ def _resolve(table: pa.Table, parts: int):
         ids.append(own)
         ths.append(np.frombuffer(row["ths"], np.int64))
         base += len(own)
-    ids, ths, doc, hashes, place = (np.concatenate(x) for x in (ids, ths, doc, hashes, place))
+    return [np.concatenate(x) for x in (ids, ths, doc, hashes, place)]
+
+
+def _resolve(table: pa.Table, parts: int):
+    """All edges of a bucket: each repeated one to its source coordinates."""
+    ids, ths, doc, hashes, place = _unpacked(table.to_pylist())
     order = np.argsort(hashes)
     h = hashes[order]
     same = h[1:] == h[:-1]
@@ -243,15 +262,58 @@ def _resolve(table: pa.Table, parts: int):
     return pa.Table.from_batches([_grouped(ids, ths, doc[entry][later], place[entry][later], owner[later], source[later], parts)])
 
 
-def repeated_edges(docs: DataFrame, k: int = WORDS, buckets: int | None = None) -> DataFrame:
+def _levels(bits: int) -> list[int]:
+    """Bits of the hash that each radix level deals by; 56 bits travel, so the first 8 belong to the first level."""
+    most, out = FAN_OUT.bit_length() - 1, []
+    while bits > 0:
+        out.append(min(bits, most))
+        bits -= out[-1]
+    return out or [0]
+
+
+def _deeper(edges: DataFrame, above: int, bits: int, hold: int = BUCKET_EDGES) -> DataFrame:
+    """Edges of the buckets of one level dealt to those of the next, at most about `hold` of them at once. Settled ones pass."""
+
+    def run(batches):
+        held, size, now = [], 0, None
+
+        def flush():
+            if held:
+                ids, ths, doc, hashes, place = _unpacked(held)
+                if above < 8:  # the top byte does not travel: of it the levels above know the first bits, and this one none
+                    raise ValueError("the first level deals by 8 bits at least")
+                yield from _dealt(hashes, ids, ths, doc, place, above, bits, now)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["bucket"] < 0:
+                    yield batch_of(_EDGES, *([row[c]] for c in _EDGES.names))
+                    continue
+                if row["bucket"] != now or size >= hold:
+                    yield from flush()
+                    held, size, now = [], 0, row["bucket"]
+                held.append(row)
+                size += len(row["hashes"]) // 7
+        yield from flush()
+
+    count = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << min(above, 12))
+    return edges.repartition(count, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _EDGES_SQL)
+
+
+def repeated_edges(docs: DataFrame, k: int = WORDS, buckets: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, th, places, owners, sources): packed places of repeated windows and their source coordinates, stored."""
     if buckets is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size >> 50:  # no figure is known for this plan
+            size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         buckets = 1
-        while buckets < MAX_BUCKETS and buckets * BUCKET_EDGES < size // 4:
+        while buckets * BUCKET_EDGES < size // 4:
             buckets *= 2
-    parts = buckets * DOCUMENT_GROUPS
-    edges = edge_rows(docs, buckets, parts, k)
+    levels = _levels(buckets.bit_length() - 1)
+    parts = min(buckets, 1 << 24) * DOCUMENT_GROUPS
+    edges = edge_rows(docs, 1 << levels[0], parts, k, seed)
+    for n, bits in enumerate(levels[1:], 1):
+        edges = _deeper(edges, sum(levels[:n]), bits)
 
     def both(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() >= 0:
@@ -286,65 +348,96 @@ def _paths(place, owner, source):
     return place[first], np.diff(np.append(first, len(place))), owner[first], source[first]
 
 
+def _on_grid(start: int, windows: int, source: int) -> list[tuple[int, int, int]]:
+    """A path in pieces (start, windows, source) that end where the source place is a multiple of GRID."""
+    out = []
+    while windows:
+        n = min(windows, GRID - source % GRID)
+        out.append((start, n, source))
+        start, windows, source = start + n, windows - n, source + n
+    return out
+
+
 def _digest(words: list[bytes]) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(words))
 
 
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """Documents with their text compressed, for a shuffle: doc_id, th, z."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("z", pa.binary())])
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in blocks(batches, "text"):
+            yield batch_of(schema, batch.column("doc_id"), batch.column("th"), [None if t is None else squeeze(t) for t in as_bytes(batch.column("text"))])
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, z binary")
+
+
+def _texts(column: pa.Array) -> list[bytes]:
+    """The texts of squeezed documents; null is empty."""
+    restore = zstandard.ZstdDecompressor().decompress
+    return [b"" if z is None else restore(z) for z in column.to_pylist()]
+
+
 def _compact(rows: DataFrame, k: int, with_text: bool) -> DataFrame:
-    """Documents with their repeated edges to one result row each, and one row per compacted path.
+    """Documents with their repeated edges to one result row each, and one row per piece of a compacted path.
 
-    doc rows: n_words, n_removed, kept_sha256; path rows: start, words, owner, source, digest.
+    doc rows: n_words, n_removed, kept_sha256; path rows: seed, start, words, owner, source, digest.
     """
     schema = pa.schema(
         [("doc_id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())]
-        + [("start", pa.int64()), ("words", pa.int64()), ("owner", pa.int64()), ("source", pa.int64()), ("digest", pa.binary())]
+        + [("seed", pa.int32()), ("start", pa.int64()), ("words", pa.int64()), ("owner", pa.int64()), ("source", pa.int64()), ("digest", pa.binary())]
     )
 
     def run(batches):
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "z", BLOCK_BYTES // 2):
             out = []
             for doc_id, th, text, sources, failed in zip(
-                batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), as_bytes(batch.column("text")), batch.column("found").to_pylist(), batch.column("failed").to_pylist(), strict=True
+                batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), _texts(batch.column("z")), batch.column("found").to_pylist(), batch.column("failed").to_pylist(), strict=True
             ):
-                words = (text or b"").split()
+                words = text.split()
                 keep = words
                 if sources:
-                    hashes, _, _ = window_hashes(*word_hashes([text]), k)
                     gone = np.zeros(len(words) + 1, np.int64)
-                    wrong = {(f["start"], f["owner"], f["source"]) for f in failed or ()}
-                    for a, n, owner, source in zip(*(x.tolist() for x in _paths(*_flagged(sources, hashes))), strict=True):
-                        if (a, owner, source) in wrong:
-                            continue
-                        gone[a] += 1
-                        gone[a + n + k - 1] -= 1
-                        out.append((doc_id, th, None, None, None, None, a, n + k - 1, owner, source, _digest(words[a : a + n + k - 1])))
+                    wrong = {(f["seed"], f["start"], f["owner"], f["source"]) for f in failed or ()}
+                    for seed in sorted({s["seed"] for s in sources}):
+                        hashes, _, _ = window_hashes(*word_hashes([text], seed), k)
+                        found = _flagged([s for s in sources if s["seed"] == seed], hashes)
+                        for path in zip(*(x.tolist() for x in _paths(*found)), strict=True):
+                            for a, n, source in _on_grid(path[0], path[1], path[3]):
+                                if (seed, a, path[2], source) in wrong:
+                                    continue
+                                gone[a] += 1
+                                gone[a + n + k - 1] -= 1
+                                out.append((doc_id, th, None, None, None, None, seed, a, n + k - 1, path[2], source, _digest(words[a : a + n + k - 1])))
                     covered = np.cumsum(gone[:-1]) > 0
                     keep = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
                 kept = b" ".join(keep)
-                out.append((doc_id, th, len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text and len(keep) < len(words) else None, None, None, None, None, None))
+                out.append((doc_id, th, len(words), len(words) - len(keep), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text and len(keep) < len(words) else None, *[None] * 6))
             yield batch_of(schema, *zip(*out, strict=True))
 
-    spec = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, kept_text string, start long, words long, owner long, source long, digest binary"
+    spec = "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, kept_text string, seed int, start long, words long, owner long, source long, digest binary"
     return rows.mapInArrow(run, spec)
 
 
 def _failures(paths: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct paths whose words are not those at their source coordinates."""
     asked = paths.groupBy("owner", "source", "words", "digest").agg(F.lit(1).alias("one"))
-    asked = asked.groupBy("owner").agg(F.collect_list(F.struct("source", "words", "digest")).alias("asked"))
+    asked = asked.groupBy("owner").agg(F.collect_list(F.struct("source", "words", "digest")).alias("asked"))  # the grid bounds it by the owner's length
     schema = pa.schema([("owner", pa.int64()), ("source", pa.int64()), ("words", pa.int64()), ("digest", pa.binary())])
 
     def run(batches):
-        for batch in blocks(batches, "text"):
+        for batch in blocks(batches, "z", BLOCK_BYTES // 2):
             out = []
-            for owner, text, asked in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), batch.column("asked").to_pylist(), strict=True):
-                words = (text or b"").split()
+            for owner, text, asked in zip(batch.column("doc_id").to_pylist(), _texts(batch.column("z")), batch.column("asked").to_pylist(), strict=True):
+                words = text.split()
                 out += [(owner, a["source"], a["words"], a["digest"]) for a in asked if _digest(words[a["source"] : a["source"] + a["words"]]) != a["digest"]]
             if out:
                 yield batch_of(schema, *zip(*out, strict=True))
 
     # a document id may stand in several rows: a path fails if it fails in all of them
-    pairs = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("owner")).select("doc_id", "text", "asked")
+    pairs = _squeezed(docs).join(asked, F.col("doc_id") == F.col("owner")).select("doc_id", "z", "asked")
     bad = pairs.mapInArrow(run, "owner long, source long, words long, digest binary")
     rows = docs.groupBy("doc_id").count().where("count > 1").withColumnRenamed("doc_id", "owner")
     counted = bad.groupBy("owner", "source", "words", "digest").count().withColumnRenamed("count", "n")
@@ -356,32 +449,39 @@ def dedup_substrings(docs: DataFrame, k: int = WORDS, buckets: int | None = None
 
     Removes each word covered by a window of k words that also starts in a document of smaller
     id. docs needs doc_id and text; other columns are ignored. Null and empty texts have no
-    words; documents with fewer than k words lose none. Rows that repeat an id do not remove
+    words; documents with fewer than k words lose none; a text of any length is taken whole. Rows that repeat an id do not remove
     each other's words. A null doc_id is neither source nor loses words. An empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
-    edges = repeated_edges(docs, k, buckets).select("doc_id", "th", F.array(F.struct("places", "owners", "sources")).alias("found"))
-    _release(spark)
-    none = F.lit(None).cast("array<struct<start:bigint,owner:bigint,source:bigint>>")
-    out = stored(_compact(docs.join(edges, ["doc_id", "th"], "left").select("doc_id", "th", "text", "found", none.alias("failed")), k, with_text), "paths")
-    _release(spark)
-    paths = out.where("owner is not null")
-    bad = stored(_failures(paths, docs), "failed-paths")
-    if not bad.isEmpty():
-        wrong = paths.join(bad, ["owner", "source", "words", "digest"], "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "owner", "source")).alias("failed"))
-        again = docs.join(edges, ["doc_id", "th"], "left").join(wrong, ["doc_id", "th"], "left")
-        out = _compact(again.select("doc_id", "th", "text", "found", "failed"), k, with_text)
+    found = failed = left = None
+    for seed in range(8):
+        edges = repeated_edges(docs, k, buckets, seed).select("doc_id", "th", F.struct(F.lit(seed).alias("seed"), "places", "owners", "sources").alias("edge"))
+        found = edges if found is None else found.unionByName(edges)
+        gathered = found.groupBy("doc_id", "th").agg(F.collect_list("edge").alias("found")) if seed else edges.select("doc_id", "th", F.array("edge").alias("found"))  # a row per hash
+        rows = _squeezed(docs).join(gathered, ["doc_id", "th"], "left")
+        if failed is None:
+            rows = rows.withColumn("failed", F.lit(None).cast("array<struct<seed:int,start:bigint,owner:bigint,source:bigint>>"))
+        else:
+            rows = rows.join(failed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("seed", "start", "owner", "source")).alias("failed")), ["doc_id", "th"], "left")
+        out = stored(_compact(rows.select("doc_id", "th", "z", "found", "failed"), k, with_text), "paths")
+        paths = out.where(F.col("seed") == seed)
+        bad = _failures(paths, docs)
+        wrong = stored(paths.join(bad, ["owner", "source", "words", "digest"], "left_semi").select("doc_id", "th", "seed", "start", "owner", "source"), "failed-paths")
+        here = wrong.select("doc_id", "th").distinct()
+        left = here if left is None else left.join(here, ["doc_id", "th"], "left_semi")
+        if wrong.isEmpty():
+            break
+        failed = wrong if failed is None else failed.unionByName(wrong)
+        if seed and left.isEmpty():  # each document was judged by some hash without failure; a last pass leaves the failed paths out
+            rows = _squeezed(docs).join(gathered, ["doc_id", "th"], "left").join(failed.groupBy("doc_id", "th").agg(F.collect_list(F.struct("seed", "start", "owner", "source")).alias("failed")), ["doc_id", "th"], "left")
+            out = stored(_compact(rows.select("doc_id", "th", "z", "found", "failed"), k, with_text), "paths")
+            break
+    else:
+        raise RuntimeError("windows collide under every hash")
     return out.where("n_words is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
-def _release(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     """Word counts, removed words and the digest of what stays, for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

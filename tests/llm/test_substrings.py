@@ -52,20 +52,44 @@ def test_against_brute_force(spark, seed):
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == plain(rows)
 
 
-def test_a_false_source_is_not_removed(spark, monkeypatch):
-    rows = [(1, " ".join(f"a{i}" for i in range(20))), (2, " ".join(f"b{i}" for i in range(20))), (3, " ".join(f"a{i}" for i in range(20)))]
+def test_levels_of_buckets(spark, monkeypatch):
+    """More buckets than a level deals to: 8 bits, then 3 more."""
+    monkeypatch.setattr(substrings, "FAN_OUT", 256)
+    rows = rows_of(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    edges = substrings.repeated_edges
-    wrong = [(2, r.th) for r in df.selectExpr("doc_id", "xxhash64(text) th").where("doc_id = 2").collect()]
+    assert substrings._levels(11) == [8, 3] and substrings._levels(0) == [0]
+    got = substrings.dedup_substrings(df.repartition(3), buckets=2048)
+    assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=repr) == plain(rows)
+
+
+def test_paths_on_the_grid():
+    assert substrings._on_grid(5, 70, 60) == [(5, 4, 60), (9, 64, 64), (73, 2, 128)]
+    assert substrings._on_grid(0, 3, 64) == [(0, 3, 64)]
+
+
+@pytest.mark.parametrize("times", [1, 2])
+def test_collisions_are_judged_again(spark, monkeypatch, times):
+    """Windows whose hash falls together with that of another text of smaller id: a false repeat stays, a true one goes."""
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    rows = [(1, a), (2, b), (3, a), (4, a + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    edges, seeds = substrings.repeated_edges, []
+    th = {r.doc_id: r.th for r in df.selectExpr("doc_id", "xxhash64(text) th").collect()}
 
-    def forged(docs, k, buckets):
-        assert buckets is None
+    def forged(docs, k, buckets, seed):
+        seeds.append(seed)
+        found = edges(docs, k, buckets, seed)
+        if seed >= times:
+            return found
         p = [substrings.planes(np.array([3]), 4), substrings.planes(np.array([1]), 8), substrings.planes(np.array([3]), 4)]
-        return edges(docs, k, buckets).unionByName(spark.createDataFrame([(*wrong[0], *map(bytearray, p))], substrings._SOURCES_SQL))
+        q = [substrings.planes(np.arange(8), 4), substrings.planes(np.full(8, 2), 8), substrings.planes(np.arange(8), 4)]
+        wrong = spark.createDataFrame([(2, th[2], *map(bytearray, p)), (3, th[3], *map(bytearray, q))], substrings._SOURCES_SQL)
+        return found.where("doc_id <> 3").unionByName(wrong)
 
     monkeypatch.setattr(substrings, "repeated_edges", forged)
     got = substrings.dedup_substrings(df)
     assert sorted(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == plain(rows)
+    assert seeds == list(range(times + 1))
 
 
 def test_empty_table(spark):
