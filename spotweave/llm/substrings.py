@@ -27,15 +27,15 @@ from .common import BLOCK_BYTES, as_bytes, batch_of, blocks, ragged, stored
 
 WORDS = 13
 #: Text bytes of a block in which equal edges are merged before they are sent.
-EDGE_BLOCK = 12 << 20
+EDGE_BLOCK = 8 << 20
 #: Edges that one bucket should hold; the number of buckets follows from the table's size.
-BUCKET_EDGES = 1 << 21
+BUCKET_EDGES = 1 << 20
 #: Buckets that one radix level deals to; more buckets take more levels.
-FAN_OUT = 1 << 12
+FAN_OUT = 1 << 14
 #: Paths are cut at source places that are multiples of this.
 GRID = 64
 #: Groups of documents for every bucket: a group's occurrences meet in one task.
-DOCUMENT_GROUPS = 8
+DOCUMENT_GROUPS = 4
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -306,8 +306,8 @@ def repeated_edges(docs: DataFrame, k: int = WORDS, buckets: int | None = None,
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size >> 50:  # no figure is known for this plan
             size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = 1
-        while buckets * BUCKET_EDGES < size // 4:
+        buckets = 1 << (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()  # a file's size may tell little of its text's
+        while buckets * BUCKET_EDGES < size // 2:
             buckets *= 2
     levels = _levels(buckets.bit_length() - 1)
     parts = min(buckets, 1 << 24) * DOCUMENT_GROUPS
