@@ -14,9 +14,11 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one, in local mode only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spotweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, joined, ragged, stored
+from .common import batch_of, forget, joined, ragged, stored
 from .components import connected_components
 from .vectors import Layout, PivotTree, by_length, finite, sample, within_reach
 
@@ -318,7 +318,9 @@ def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows:
     # a task for every pair of blocks or so, as long as there are no more than 4096
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * (layout.blocks + 1) // 2))
     tiles = blocks.mapInArrow(send, _TILE_SQL).repartition(tasks, "a", "b")
-    return tiles.groupBy("a", "b").applyInArrow(walk, "rep long, links long, label long")
+    out = stored(tiles.groupBy("a", "b").applyInArrow(walk, "rep long, links long, label long"), "links")
+    forget(dealt)
+    return out
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -337,7 +339,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block_rows: int = B
     good = F.col("vec_id").isNotNull() & finite() & F.coalesce(F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = rows.withColumn("h1", F.when(good, F.xxhash64("embedding"))).withColumn("h2", F.when(good, F.xxhash64(F.lit(11), "embedding")))
     distinct = stored(keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("v")), "vectors")
-    part = stored(near_pairs_summary(distinct.select("rep", "n", "v"), cosine, block_rows), "links")
+    part = near_pairs_summary(distinct.select("rep", "n", "v"), cosine, block_rows)
     links = part.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(part.where("rep <> label").select(F.col("rep").alias("a"), F.col("label").alias("b")))
     named = distinct.select("h1", "h2", "rep", "n").join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")

@@ -10,10 +10,9 @@ table lookups.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +22,14 @@ WINDOW = 256
 WIDTHS = (2, 4)
 FILTERS = 12
 DIM = 8
-#: Labelled rows per language that training reads at most, and bytes taken of each: the sample's bound.
-SAMPLE_ROWS = 600
-SAMPLE_CHARS = 768
-LANGUAGES = 64
+#: Labelled rows that training reads at most, whole: of each language, and of all (but one row of every language always).
+SAMPLE_ROWS, SAMPLE_TOTAL = 400, 20_000
+#: Windows that an epoch draws of each training text.
+DRAWS = 8
 SPLITS, HELD_OUT = 4, 2
 EPOCHS = 12
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII capitals to small letters.
 _SMALL = np.arange(256, dtype=np.uint8)
 _SMALL[65:91] += 32
@@ -67,18 +66,29 @@ class ByteCNN:
         self.last = np.zeros(len(labels), np.float32)
         self.tables = None
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 4e-3, seed: int = 1) -> ByteCNN:
-        """Adam on the mean cross-entropy, classes weighted alike."""
+    def fit(self, x: np.ndarray, y: np.ndarray, owner: np.ndarray | None = None, epochs: int = EPOCHS, batch: int = 64, rate: float = 4e-3, seed: int = 1) -> ByteCNN:
+        """Adam on the mean cross-entropy, classes weighted alike. owner: the text of each window; every epoch draws DRAWS windows of each.
+
+        Half of the windows are cut to a random length, filled with zeros, so that short texts are learned too.
+        """
         rng = np.random.default_rng(seed)
-        weight = (len(y) / len(self.labels) / np.maximum(1, np.bincount(y, minlength=len(self.labels)))).astype(np.float32)
+        held = np.minimum(1, DRAWS / np.bincount(owner)[owner]) if owner is not None else np.ones(len(y))  # how often a window is drawn
+        weight = (held.sum() / len(self.labels) / np.maximum(1e-9, np.bincount(y, held, minlength=len(self.labels)))).astype(np.float32)
         params = [self.embed, *self.filters, self.bias, self.out, self.last]
         first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
         for _ in range(epochs):
             order = rng.permutation(len(y))
-            for lo in range(0, len(y), batch):
+            if owner is not None:
+                drawn = order[np.argsort(owner[order], kind="stable")]
+                begin = np.flatnonzero(np.diff(owner[drawn], prepend=-1))
+                place = np.arange(len(drawn)) - np.repeat(begin, np.diff(np.append(begin, len(drawn))))
+                order = rng.permutation(drawn[place < DRAWS])
+            for lo in range(0, len(order), batch):
                 rows = order[lo : lo + batch]
                 step += 1
-                for p, g, m, v in zip(params, self._gradients(x[rows], y[rows], weight), first, second, strict=True):
+                long = np.where(rng.random(len(rows)) < 0.5, WINDOW, rng.integers(8, WINDOW, len(rows)))
+                part = np.where(np.arange(x.shape[1]) < long[:, None], x[rows], 0)
+                for p, g, m, v in zip(params, self._gradients(part, y[rows], weight), first, second, strict=True):
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
                     p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
@@ -147,29 +157,31 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(SPLITS)) == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 0) -> ByteCNN:
-    """Fit on at most sample_rows labelled rows of each of at most 64 languages, none of them held out.
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, seed: int = 0) -> ByteCNN:
+    """Fit on at most sample_rows labelled rows of each language and `total` of all (one row of every language at least), none held out.
 
-    Which rows are taken goes by a hash of the id; from each, SAMPLE_CHARS characters at a place
-    that goes by the hash too. Without labelled text the network has no language.
+    Which rows are taken goes by a hash of the id; their texts are used whole. A language is never left out.
+    Without labelled text the network has no language.
     """
     from pyspark.sql import Window
 
     usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    mark = F.xxhash64("doc_id")
-    at = F.pmod(F.shiftright(mark, 8), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    part = usable.select("lang", mark.alias("mark"), F.col("text").substr(at, F.lit(SAMPLE_CHARS)).alias("part"))
-    taken = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "part"))).where(F.col("n") <= sample_rows)
-    rows = taken.select("lang", "part").limit(sample_rows * LANGUAGES).collect()  # bounded by the two parameters
+    sizes = usable.groupBy("lang").count().collect()  # a row per language
+    if not sizes:
+        return ByteCNN([], seed)
+    each = max(1, min(sample_rows, total // len(sizes)))
+    # the smallest hashes of a language lie in a slice of the hash's range; no language's rows meet in one task beyond that slice
+    slices = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, int((8 + 4 * each) / r["count"] * 2**64))) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(slices, "lang string, most long")
+    part = usable.withColumn("mark", F.xxhash64("doc_id")).join(F.broadcast(bounds), "lang").where("mark <= most")
+    taken = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))).where(F.col("n") <= each)
+    rows = sorted(taken.select("lang", "text").collect())  # bounded by the two parameters
     labels = sorted({r["lang"] for r in rows})
     net = ByteCNN(labels, seed)
-    if not rows:
-        return net
-    rows.sort(key=lambda r: (r["lang"], r["part"]))
-    x, owner, size = windows([r["part"].encode() for r in rows])
+    x, owner, size = windows([r["text"].encode() for r in rows])
     y = np.array([labels.index(r["lang"]) for r in rows])[owner]
-    real = size >= WINDOW // 8
-    return net.fit(x[real], y[real], seed=seed + 1)
+    real = (size >= WINDOW // 8) | (np.bincount(owner)[owner] == 1)
+    return net.fit(x[real], y[real], owner[real], seed=seed + 1)
 
 
 def identify(docs: DataFrame, net: ByteCNN, keep: list[str] | None = None) -> DataFrame:
@@ -177,7 +189,8 @@ def identify(docs: DataFrame, net: ByteCNN, keep: list[str] | None = None) -> Da
 
     Text that is null, or has no letter, is `und` with score 0, as is everything for a network
     without languages. The whole text is used: all windows. lang, source and ids are no
-    inputs. Repeated rows give repeated results; an empty table gives none.
+    inputs. Of equally likely languages the first by name wins. Repeated rows give repeated results;
+    an empty table gives none.
     """
     keep = keep or ["doc_id"]
     names = [f"_{i}" for i in range(len(keep))]

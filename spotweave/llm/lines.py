@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, blocks, shared_dir, stored
+from .common import as_bytes, batch_of, blocks, forget, shared_dir, stored
 
 #: The bytes stripped at both ends of a line: space and \t \n \v \f \r.
 BLANKS = " \t\n\u000b\f\r"
@@ -86,16 +86,18 @@ class LineRuns:
         A batch must not hold ids below those of earlier batches that share lines with it:
         earlier batches own their lines whatever the ids.
         """
-        lines = line_hashes(batch, min_chars)
+        lines = stored(line_hashes(batch, min_chars), "line-hashes")
         new = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"))
         for run in self.runs():
             new = new.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
         self._write(new, 0)
-        owners = None
-        for run in self.runs():
-            owners = run if owners is None else owners.unionByName(run)
+        # read without their buckets: both sides are dealt anew, so a very common line is a skewed partition that Spark splits
+        paths = [f"{shared_dir(self.spark)}/{t}" for level in self.levels for t in level]
+        owners = self.spark.read.schema("h1 long, h2 long, owner long").parquet(*paths)
         dropped = lines.join(owners, ["h1", "h2"]).where("owner < doc_id")
-        return stored(dropped.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "dropped-lines")
+        out = stored(dropped.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drops")), "dropped-lines")
+        forget(lines)
+        return out
 
     def close(self) -> None:
         self._drop([t for level in self.levels for t in level])
@@ -108,14 +110,16 @@ def dropped_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT,
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else []
     cuts = sorted(set(cuts or []))
     store, out = LineRuns(spark, fanout), []
-    for k in range(len(cuts) + 1):
-        part = docs.where(F.col("doc_id").isNotNull())
-        if k:
-            part = part.where(F.col("doc_id") > cuts[k - 1])
-        if k < len(cuts):
-            part = part.where(F.col("doc_id") <= cuts[k])
-        out.append(store.add(part, min_chars))
-    store.close()
+    try:
+        for k in range(len(cuts) + 1):
+            part = docs.where(F.col("doc_id").isNotNull())
+            if k:
+                part = part.where(F.col("doc_id") > cuts[k - 1])
+            if k < len(cuts):
+                part = part.where(F.col("doc_id") <= cuts[k])
+            out.append(store.add(part, min_chars))
+    finally:
+        store.close()
     every = out[0]
     for more in out[1:]:
         every = every.unionByName(more)
@@ -128,7 +132,8 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, fanout: int = FANOUT, m
     Returns the columns `keep` (default: doc_id) plus n_lines, n_dropped, text (the kept lines
     joined by a line feed) and kept_sha256. Null or empty text is one empty line and stays "".
     A row with a null doc_id keeps all its lines and owns none. Rows that repeat an id are
-    treated alike and never drop each other's lines. Other columns are ignored unless kept.
+    treated alike and never drop each other's lines. Other columns are ignored unless kept. A text of any
+    length is split whole; an empty table gives an empty result.
     """
     docs = docs.withColumn("text", F.col("text").cast("string"))
     keep = keep or ["doc_id"]

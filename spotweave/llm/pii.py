@@ -81,26 +81,25 @@ def _byte(part: str) -> int:
 
 # Candidates ----------------------------------------------------------------------------
 
-#: At most this many characters of a name or of a domain label belong to a candidate.
 _MASK_AT = re.compile(r" (?=at |AT )|[(\[{<](?= ?(?:at|AT|@) ?[)\]}>])")
-_MASK_HEAD = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:[(\[{<] ?(?:at|AT|@) ?[)\]}>]| at | AT ) ?[A-Za-z0-9-]{1,63}")
-_MASK_PART = re.compile(r" ?(?:[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>]|\.| dot | DOT ) ?[A-Za-z0-9-]{2,63}")
+_MASK_HEAD = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:[(\[{<] ?(?:at|AT|@) ?[)\]}>]| at | AT ) ?[A-Za-z0-9-]+")
+_MASK_PART = re.compile(r" ?(?:[(\[{<] ?(?:dot|DOT|\.) ?[)\]}>]|\.| dot | DOT ) ?[A-Za-z0-9-]{2,}")
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Za-z:])")
 _GROUP = re.compile(r"[0-9]+")
 _GAP = re.compile(r"[\x20().,:/_-]{1,2}")
 
 
 def masked(text: str) -> list[tuple[int, int]]:
-    """Obfuscated addresses around every at that could be one's, each with one to four labels after the first."""
+    """Obfuscated addresses around every at that could be one's, ending after each label but the first."""
     out = []
     for m in _MASK_AT.finditer(text):
         end = m.start() - (text[m.start() - 1 : m.start()] == " ")
         start = end
-        while start > max(0, end - 64) and text[start - 1] in _LOCAL_CHARS:
+        while start > 0 and text[start - 1] in _LOCAL_CHARS:
             start -= 1
         part = _MASK_HEAD.match(text, start) if start < end else None
-        for _ in range(4):
-            part = part and _MASK_PART.match(text, part.end())
+        while part:
+            part = _MASK_PART.match(text, part.end())
             if part:
                 out.append((start, part.end()))
     return out
@@ -386,7 +385,8 @@ def find_pii(docs: DataFrame, detector: Detector | None = None, keep: list[str]
 
     The counts and base_sha256 are of the base spans; spans has the added ones too, of the same
     four kinds. Null text is empty: no spans, redacted "". Other columns are ignored unless
-    kept. Repeated rows and null ids give a row each; an empty table gives none.
+    kept. Repeated rows and null ids give a row each; an empty table gives none. A text of any
+    length is searched whole.
     """
     keep = keep or ["doc_id"]
     names = [f"_{i}" for i in range(len(keep))]

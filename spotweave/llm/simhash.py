@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch_of, blocks, joined, ragged, stored
+from .common import as_bytes, batch_of, blocks, forget, joined, ragged, stored
 from .components import connected_components
 
 MAX_BITS = 4
@@ -59,15 +59,16 @@ def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with fp as the signed long of the 64 bits."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, fp, th) with fp as the signed long of the 64 bits and th a hash of the text, which tells rows of one id apart."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("th", pa.int64())])
 
     def run(batches):
         for batch in blocks(batches, "text"):
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(batch.column("text"))], np.uint64)
-            yield batch_of(schema, batch.column("doc_id"), pa.array(fps.view(np.int64)))
+            yield batch_of(schema, batch.column("doc_id"), pa.array(fps.view(np.int64)), batch.column("th"))
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -252,11 +253,15 @@ def near_edges(distinct: DataFrame, most: int = MAX_BITS, range_rows: int | None
     # a task for every pair of ranges or so, as long as there are no more than 4096
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, len(name) * (len(name) + 1) // 2))
     tiles = ranges.select("range", "codes").mapInArrow(send, "a long, b long, range long, codes binary").repartition(tasks, "a", "b")
-    return tiles.groupBy("a", "b").applyInArrow(walk, "a long, b long")
+    out = stored(tiles.groupBy("a", "b").applyInArrow(walk, "a long, b long"), "near-edges")
+    forget(ranges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE, range_rows: int | None = None) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept, part, text_hash.
+
+    part names the component whatever the ids: a fingerprint of it. text_hash is xxhash64 of the text.
 
     docs needs doc_id and text; other columns are ignored. Null text counts as no words.
     Documents without words share fingerprint zero and link like any other. A null doc_id
@@ -271,15 +276,17 @@ def near_duplicates(docs: DataFrame, most: int = MAX_BITS, shingle: int = SHINGL
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("part"))
     named = stored(named, "parts")
     small = named.groupBy("part").agg(F.min("rep").alias("component_id"))
-    label = named.join(small, "part").select("fp", "component_id")
+    label = named.join(small, "part").select("fp", "component_id", "part")
     return prints.join(label, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
         (F.col("doc_id") == F.col("component_id")).alias("kept"),
+        "part",
+        F.col("th").alias("text_hash"),
     )
 
 
 def op4_simhash(spark, sf_dir) -> DataFrame:
     """Fingerprints and near-duplicate components of all documents."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("part", "text_hash")

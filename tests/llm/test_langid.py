@@ -46,11 +46,18 @@ def test_tables_are_the_convolution(net):
 
 
 def test_odd_rows(spark, net):
-    rows = [(1, None), (2, ""), (3, "12 34 !!"), (None, "the and of the"), (5, "der und die " * 20000), (5, "der und die " * 20000)]
+    rows = [(1, None), (2, ""), (3, "12 34 !!"), (6, "½ ² ②"), (None, "the and of the"), (5, "der und die " * 20000), (5, "der und die " * 20000)]
     got = langid.identify(spark.createDataFrame([(*r, "zz", 3.0) for r in rows], "doc_id long, text string, lang string, score double"), net).collect()
     by = {r.doc_id: (r.lang_pred, r.score) for r in got}
-    assert [by[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3
-    assert by[5][0] == "de" and by[None][0] == "en" and len(got) == 6
+    assert [by[k] for k in (1, 2, 3, 6)] == [("und", 0.0)] * 4
+    assert by[5][0] == "de" and by[None][0] == "en" and len(got) == 7
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows: one row of each, none left out; a hot one does not crowd out the rest."""
+    rows = [(i, f"text {'abcdefghij'[i % 10] * 5} {i}", f"l{i % 90:02d}" if i % 3 else "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df, total=50).labels == ["hot", *sorted({r[2] for r in rows} - {"hot"})]
 
 
 def test_no_training_rows(spark):
