@@ -37,11 +37,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id, once if its row repeats. Rows without an id stay."""
+    """One row of each near-duplicate group: the least by id, then by a hash of its text. Rows without an id stay."""
     ship(spark)
-    kept = simhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    once = docs.join(kept, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    found = simhash.near_duplicates(docs.where("doc_id is not null"))
+    kept = found.groupBy("part").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
+    once = docs.withColumn("text_hash", F.xxhash64("text")).join(kept, ["doc_id", "text_hash"], "left_semi")
+    return once.dropDuplicates(["doc_id", "text_hash"]).select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
