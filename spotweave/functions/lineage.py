@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The frame written to the cluster's checkpoint folder and read from there; a local one is set only where none is."""
+    """The frame written to the cluster's checkpoint folder and read from there. In local mode one is made where none is named."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spotweave-')}")
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='spotweave-')}")
     return df.checkpoint()
