@@ -25,7 +25,7 @@ from .wordbpe import plain_words
 SEQUENCE = 4096
 END = 2
 #: Words and pre-tokens whose ids a worker remembers, over all its tasks.
-MEMORY = 600_000
+MEMORY = 400_000
 #: Text bytes that are encoded at once.
 BLOCK = 2 << 20
 
@@ -199,6 +199,17 @@ class Encoder:
         return ids, total[last] - total[last - np.array(counts)]
 
 
+_kept: Encoder | None = None
+
+
+def _lasting(sent: Encoder) -> Encoder:
+    """The one encoder that a worker holds over its tasks: the one sent, unless it has its like already."""
+    global _kept
+    if _kept is None or (_kept.text, _kept.memory) != (sent.text, sent.memory):
+        _kept = sent
+    return _kept
+
+
 def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (0), bucket (and ids).
 
@@ -215,7 +226,7 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END, w
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches):
-        encoder = shared.value
+        encoder = _lasting(shared.value)
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in blocks(batches, "text", BLOCK):
             ids, counts = encoder.encode_batch([t or "" for t in batch.column("text").to_pylist()])
