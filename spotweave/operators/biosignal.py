@@ -55,7 +55,7 @@ def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = (), out: str = "pa
     group = list(by) or [F.lit(0)]
     w = Window.partitionBy(*group)
     x = some.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(p)))
-    x = x.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))))
+    x = x.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))))
     rest = df.where(F.col(p).isNull() | F.isnan(p)).withColumn(out, F.lit(None).cast("double"))
     return x.drop("_m", "_r").unionByName(rest)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.keys import digest
 from spotweave.functions.labels import is_labelled
+from spotweave.functions.lineage import cut
 
 LEVELS = ("cross_replicate", "cross_region", "cross_donor", "cross_slide")
 
@@ -67,7 +68,8 @@ BUILDERS = {"cross_replicate": cross_replicate, "cross_region": cross_region, "c
 
 
 def generate(slides: DataFrame, levels=LEVELS, most_donors: int | None = None, seed: int = 42) -> DataFrame:
-    """The union of the levels' folds."""
+    """The union of the levels' folds. The slide table is written once."""
+    slides = cut(slides)
     out = None
     for level in levels:
         rows = cross_donor(slides, most_donors, seed) if level == "cross_donor" else BUILDERS[level](slides)

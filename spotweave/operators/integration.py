@@ -179,11 +179,17 @@ def graph_plan(counts: dict[str, int], k: int, least: int, rounds: int = 8) -> t
     return min([k, *[n - 1 for n in kept.values()]]) if kept else 0, sorted(kept)
 
 
-PANELS = {"batch": ("ilisi", "kbet", "graph_connectivity", "pcr", "bras"), "bio": ("isolated_labels", "nmi", "ari", "silhouette", "clisi")}
+# The names of the metrics of both panels, of the composites, and of what is no metric.
+PANELS = {
+    "batch": ("ilisi", "kbet", "graph_connectivity", "pcr_comparison", "bras", "silhouette_batch"),
+    "bio": ("isolated_labels", "kmeans_nmi", "kmeans_ari", "silhouette_label", "clisi"),
+}
+COMPOSITES = ("batch_correction", "bio_conservation", "total")
+NO_METRICS = ("n_spots", "n_batches", "error")
 
 
 def split_panels(metrics: DataFrame, name: str = "metric") -> DataFrame:
-    """Batch, bio or other for every metric; totals are dropped."""
-    m = F.lower(F.col(name))
+    """Batch, bio or other for every metric; composites and counts are dropped. Names are compared in lower case, spaces as underscores."""
+    m = F.regexp_replace(F.lower(F.trim(F.col(name))), r"\s+", "_")
     panel = F.when(m.isin(*PANELS["batch"]), "batch").when(m.isin(*PANELS["bio"]), "bio").otherwise("other")
-    return metrics.where(~m.isin("total", "batch correction", "bio conservation")).withColumn("panel", panel)
+    return metrics.where(~m.isin(*COMPOSITES, *NO_METRICS)).withColumn("panel", panel)

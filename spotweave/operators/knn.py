@@ -1,8 +1,9 @@
 """Exact nearest neighbours inside folds, in blocks of bounded size.
 
-Both sides are cut into chunks by a hash of their key; a task gets one chunk of each side of
-one fold, finds the k nearest by one matrix product, and answers with k rows per query. The
-answers of a query's chunks are merged by a window. No side is collected or broadcast, and
+Both sides are cut into chunks by a hash of their key; fold and training chunk are a task's key, so
+the chunks of one fold spread over the cluster. A task goes through the fold's test chunks, finds the
+k nearest of each by one matrix product, and answers with k rows per query. The answers of a
+query's chunks are merged by a window. No side is collected or broadcast, and
 no pair that is not among a chunk's k nearest leaves a task.
 """
 
@@ -21,7 +22,7 @@ PAIRS = 1 << 22
 def _chunks(df: DataFrame, fold: str, columns: list[str], name: str, chunk: int) -> DataFrame:
     n = df.groupBy(fold).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_n"))
     dealt = df.join(n, fold).withColumn("_c", F.pmod(F.xxhash64(columns[0]), F.col("_n")))
-    return dealt.groupBy(fold, "_c").agg(F.collect_list(F.struct(*columns)).alias(name)).select(fold, name)
+    return dealt.groupBy(fold, "_c").agg(F.collect_list(F.struct(*columns)).alias(name))
 
 
 def _matrix(cell) -> np.ndarray:
@@ -60,7 +61,9 @@ def nearest(test: DataFrame, train: DataFrame, k: int, fold: str = "fold", chunk
     a = _chunks(test.select(fold, "key", "x"), fold, ["key", "x"], "left", chunk)
     b = _chunks(train.select(fold, "key", "label", "x"), fold, ["key", "label", "x"], "right", chunk)
     key_type, fold_type = test.schema["key"].dataType.simpleString(), test.schema[fold].dataType.simpleString()
-    work = a.join(b, fold).select(F.col(fold).alias("fold"), "left", "right")
+    parts = train.groupBy(fold).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("_n"))
+    tiles = a.drop("_c").join(parts, fold).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    work = tiles.join(b, [fold, "_c"]).select(F.col(fold).alias("fold"), "left", "right")
 
     def run(batches):
         for batch in batches:

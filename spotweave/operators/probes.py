@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.keys import ratio
 from spotweave.functions.labels import is_labelled
+from spotweave.functions.lineage import cut
 from spotweave.functions.vectors import standardised
 from spotweave.operators.knn import nearest, vote
 
@@ -14,9 +17,35 @@ TINY = 1e-8
 
 
 def moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """(by, pos, n, s, q): additive moments of every dimension of z, aggregated map-side first."""
-    x = rows.select(*by, F.posexplode("z").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    return x.groupBy(*by, "pos").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    """(by, pos, n, s, q): additive moments of every dimension of z, summed in batches before anything is shuffled."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches):
+        for batch in batches:
+            z = batch.column("z")
+            some = batch.filter(z.is_valid())
+            z, sizes = some.column("z"), np.diff(some.column("z").offsets.to_numpy())
+            if not sizes.sum():
+                continue
+            keys = [some.column(c).dictionary_encode() for c in by]
+            group = np.zeros(len(sizes), np.int64)
+            for k in keys:
+                codes = k.indices.fill_null(len(k.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+                group = group * (len(k.dictionary) + 1) + codes
+            _, first, group = np.unique(group, return_index=True, return_inverse=True)
+            wide = int(sizes.max())
+            flat = z.flatten()
+            v = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            good = flat.is_valid().to_numpy(zero_copy_only=False).astype(np.float64)
+            at = np.repeat(group * wide, sizes) + np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n, s, q = (np.bincount(at, w, len(first) * wide) for w in (good, v, v * v))
+            real = np.flatnonzero(n)
+            own = pa.array(first[real // wide])
+            columns = [some.column(c).take(own) for c in by]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((real % wide).astype(np.int32)), pa.array(n[real].astype(np.int64)), pa.array(s[real]), pa.array(q[real])], names=[*by, "pos", "n", "s", "q"])
+
+    found = rows.select(*by, F.col("z").cast("array<double>").alias("z")).mapInArrow(run, f"{kinds}, pos int, n long, s double, q double")
+    return found.groupBy(*by, "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
 
 
 def scaling(m: DataFrame, by: list[str]) -> DataFrame:
@@ -100,8 +129,8 @@ def macro_metrics(per_class: DataFrame, by: list[str]) -> DataFrame:
 
 
 def metric_rows(pred: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Macro metrics per scope with the donors and slides behind them."""
-    scoped = with_scopes(pred)
+    """Macro metrics per scope with the donors and slides behind them. The predictions are written once."""
+    scoped = with_scopes(cut(pred))
     keys = [*by, "scope"]
     macro = macro_metrics(class_metrics(class_counts(confusion(scoped, keys), keys)), keys)
     return macro.join(scoped.groupBy(*keys).agg(F.countDistinct("donor").alias("n_donors"), F.countDistinct("sample_id").alias("n_slides")), keys)
@@ -125,6 +154,7 @@ def fold_metrics(pred: DataFrame) -> DataFrame:
 
 def pooled(pred: DataFrame) -> DataFrame:
     """Folds of a level taken together; n_train is the whole part of their mean."""
+    pred = cut(pred)
     n = pred.select("level", "fold", "n_train").distinct().groupBy("level").agg(F.floor(F.avg("n_train")).alias("n_train"), F.count(F.lit(1)).alias("n_folds"))
     return metric_rows(pred, ["level"]).join(n, "level")
 
@@ -152,12 +182,12 @@ def reference_model(model: str, corrections: tuple = ("harmony", "combat", "bbkn
 
 def leave_one_out(rows: DataFrame, group: str, k: int = 5, majority: bool = False) -> DataFrame:
     """loso_donor and pooled_loso: leave one group out within each tissue."""
-    return predict(group_members(rows, group), k, majority)
+    return predict(group_members(cut(rows), group), k, majority)
 
 
 def on_folds(rows: DataFrame, folds: DataFrame, k: int = 5, majority: bool = False) -> DataFrame:
     """heldout_donor: train on a fold's train slides, test on its eval slides."""
-    return predict(fold_members(rows, folds), k, majority)
+    return predict(fold_members(cut(rows), cut(folds)), k, majority)
 
 
 def leave_one_out_on_fold(rows: DataFrame, folds: DataFrame, level: str, fold: str, k: int = 5) -> DataFrame:

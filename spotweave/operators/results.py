@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The columns of the score frame, in order; value, ci_lo, ci_hi, n and value_sd are doubles.
-SCHEMA = ("run", "substrate", "stage", "source", "model", "condition", "seed", "protocol", "level", "fold", "scope", "class", "metric", "value", "ci_lo", "ci_hi", "n", "n_donors", "note")
-NUMBERS = ("value", "ci_lo", "ci_hi", "n", "n_donors")
+# The columns of the score frame, in order.
+SCHEMA = (
+    "run_name", "substrate", "stage", "model", "condition", "seed", "protocol", "level", "fold", "scope",
+    "class", "metric", "value", "ci_lo", "ci_hi", "p_two_sided", "n_donors", "n_boot", "source",
+)
+NUMBERS = ("value", "ci_lo", "ci_hi", "p_two_sided", "n_donors", "n_boot")
 #: What makes two scores the same quantity.
-CELL = ("substrate", "model", "condition", "seed", "protocol", "level", "fold", "scope", "class", "metric")
+CELL = ("run_name", "substrate", "model", "condition", "seed", "protocol", "level", "fold", "scope", "class", "metric")
 POINTS = ("accuracy", "precision", "recall", "f1_score")
 
 
@@ -42,13 +45,42 @@ def melt_intervals(df: DataFrame, **labels: str) -> DataFrame:
 
 
 def melt_deltas(df: DataFrame, **labels: str) -> DataFrame:
-    """Delta rows of either naming: delta or delta_f1, model or method."""
+    """Delta rows of either naming: delta or delta_f1, model or method. A row with a pooled interval takes it and the pooled p."""
     have = set(df.columns)
-    one = lambda *names: F.coalesce(*[F.col(n) for n in names if n in have])
-    x = df.withColumn("value", one("delta", "delta_f1")).withColumn("model", one("model", "method")).withColumn("metric", F.lit("delta_f1"))
+    one = lambda *names: F.coalesce(*[F.col(n) for n in names if n in have], F.lit(None))
+    pooled = F.col("ci_lo_pooled").isNotNull() & ~F.isnan("ci_lo_pooled") if "ci_lo_pooled" in have else F.lit(False)
+    pick = lambda c: F.when(pooled, one(f"{c}_pooled", *([c] if c == "p_two_sided" else []))).otherwise(one(c))
+    x = df.withColumns({
+        "value": one("delta", "delta_f1"), "model": F.coalesce(one("model", "method").cast("string"), F.lit("")), "metric": F.lit("delta_f1"),
+        "fold": F.lit("pooled"), "class": F.coalesce(one("class").cast("string"), F.lit("macro")), **{c: pick(c) for c in ("ci_lo", "ci_hi", "p_two_sided")},
+    })
     return score_frame(x.withColumns({k: F.lit(v) for k, v in labels.items()}))
 
 
+def melt_effective_rank(df: DataFrame, **labels: str) -> DataFrame:
+    """Effective ranks (column, variant, eff_rank) as scores of the whole cohort."""
+    x = df.select(F.col("column").alias("model"), F.col("variant").alias("condition"), F.col("eff_rank").alias("value"))
+    fixed = {"scope": "cohort", "class": "macro", "metric": "eff_rank", "stage": "diagnose", **labels}
+    return score_frame(x.withColumns({k: F.lit(v) for k, v in fixed.items()}))
+
+
+def union_runs(runs: dict[str, DataFrame]) -> DataFrame:
+    """The scores of several runs, each row with its run's name."""
+    return union_scores(*[df.withColumn("run_name", F.lit(name)) for name, df in sorted(runs.items())])
+
+
+def check_runs(runs: dict[str, DataFrame], tolerance: float = 5e-4, aliases=None) -> DataFrame:
+    """Scores of all runs, or an error: no scores, a cell with two values, or an alias that compared nothing."""
+    df = union_runs(runs)
+    if df.isEmpty():
+        refuse("scores", "no run has any")
+    refuse_conflicts(df, tolerance=tolerance, aliases=aliases)
+    idle = idle_aliases(df, aliases).first() if aliases else None
+    if idle:
+        refuse("scores", f"the alias {idle['stage']}/{idle['model']} compared nothing", f"it stands for {idle['target']}")
+    return df
+
+
 def unfold_wide(df: DataFrame, key: str = "method") -> DataFrame:
     """batch/x, bio/x and f1/<scope>/<level> columns to rows; a column with a _lo sibling is a point with its interval."""
     wide = [c for c in df.columns if c.count("/")]

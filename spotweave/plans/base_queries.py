@@ -12,17 +12,25 @@ from spotweave.plans import probe_sql as S
 from spotweave.plans.cohort import SQL, raw_spots, spots
 
 N_BOOT = 100
-QUERIES, ORACLE = {}, {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
+def query_table():
+    """Two empty tables, of queries and of SQL by name, and the decorator that fills them."""
+    found, oracle = {}, {}
 
-    return add
+    def query(sql: str | None = None):
+        def add(f):
+            found[f.__name__] = f
+            if sql is not None:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return found, oracle, query
+
+
+QUERIES, ORACLE, query = query_table()
 
 
 def rounded(df, digits: int = 6):

@@ -6,20 +6,10 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
 from spotweave.operators import biosignal, correction, counts, diagnostics, integration, knn, linalg, models, results, tables
-from spotweave.plans.base_queries import rounded
+from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = query_table()
 
 
 def _read(spark, sf_dir, name):
@@ -174,23 +164,35 @@ def permutation_null(spark, sf_dir):
     return rounded(biosignal.permutation_null(m, g, 5))
 
 
-@query()
+_NULL = """, x AS (SELECT target, value, {s} AS stratum, unnest(range({n}))::INTEGER AS replicate FROM s), a AS (SELECT *, row_number() OVER (PARTITION BY replicate, stratum ORDER BY target) AS r FROM x),
+b0 AS (SELECT replicate, stratum, value AS moved, row_number() OVER (PARTITION BY replicate, stratum ORDER BY md5(concat_ws('|', '42', 'null', replicate, target)), target) AS r FROM x),
+nul AS (SELECT mem.source, a.replicate, avg(moved) AS value FROM mem JOIN a USING (target) JOIN b0 ON a.replicate = b0.replicate AND a.stratum = b0.stratum AND a.r = b0.r GROUP BY ALL)
+"""
+_TESTS = """, o AS (SELECT source, count(*) AS set_size, avg(value) AS mean FROM mem GROUP BY source), e AS (SELECT source, avg(value) AS expected FROM nul GROUP BY source),
+p AS (SELECT source, greatest(avg((abs(nul.value - expected) >= abs(mean - expected))::INT), 1.0 / {n}) AS pval FROM nul JOIN o USING (source) JOIN e USING (source) GROUP BY source),
+q AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY pval) AS r FROM p), b AS (SELECT avg(value) AS background FROM s)
+SELECT source, set_size, round(mean, 6) AS mean, round(background, 6) AS background, round(mean - background, 6) AS mean_delta, round(expected, 6) AS expected, round(pval, 6) AS pval,
+  round(least(1, min(pval * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS padj FROM q JOIN o USING (source) JOIN e USING (source), b"""
+N_NULL = 200
+
+
+@query(_SETS + _NULL.format(s="0", n=N_NULL) + _TESTS.format(n=N_NULL))
 def set_mean_tests(spark, sf_dir):
     _, g, m = _members(spark, sf_dir)
-    return rounded(biosignal.set_mean_tests(m, g, 20))
+    return rounded(biosignal.set_mean_tests(m, g, N_NULL))
 
 
-@query()
+@query(_SETS.replace("SELECT l_partkey AS target", "SELECT *, ntile(5) OVER (ORDER BY baseline, target) AS st FROM (SELECT l_partkey AS target").replace("FROM lineitem GROUP BY 1)", "FROM lineitem GROUP BY 1))") + _NULL.format(s="st", n=N_NULL) + _TESTS.format(n=N_NULL))
 def matched_null(spark, sf_dir):
     _, g, m = _members(spark, sf_dir)
     x = biosignal.strata(g, "baseline", "target", 5)
-    return rounded(biosignal.set_mean_tests(m, x, 20, stratum="stratum"))
+    return rounded(biosignal.set_mean_tests(m, x, N_NULL, stratum="stratum"))
 
 
 @query()
 def enrichment(spark, sf_dir):
     net, g, _ = _members(spark, sf_dir)
-    return rounded(biosignal.enrichment_scores(g, net, times=50))
+    return rounded(biosignal.enrichment_scores(g, net, times=200))
 
 
 @query()
@@ -296,16 +298,16 @@ def prepared_counts(spark, sf_dir):
     return counts.prepared(_counts(spark, sf_dir), 25, "sample_id").groupBy("gene").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_COUNTS + ", t AS (SELECT sample_id, spot, sum(count) AS total FROM c GROUP BY ALL) SELECT sample_id, spot, gene, round(ln(1 + count / total * 1e4), 6) AS value FROM c JOIN t USING (sample_id, spot) WHERE gene <= 200")
+@query(_COUNTS + ", t AS (SELECT sample_id, spot, sum(count) AS total FROM c GROUP BY ALL) SELECT sample_id, spot, gene, round(ln(1 + count / total * 1e4), 6) AS value FROM c JOIN t USING (sample_id, spot)")
 def normalised_counts(spark, sf_dir):
     c = _counts(spark, sf_dir)
-    x = counts.expression(c.select("sample_id", "spot").distinct(), c, c.where("gene <= 200").select("gene").distinct())
+    x = counts.expression(c.select("sample_id", "spot").distinct(), c, c.select("gene").distinct())
     return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
 
 
 @query()
 def normalised_counts_all(spark, sf_dir):
-    """The values of normalised_counts, whose SQL names a prefix of the genes, for all genes."""
+    """The values of normalised_counts once more, under the name they had apart from it."""
     c = _counts(spark, sf_dir)
     x = counts.expression(c.select("sample_id", "spot").distinct(), c, c.select("gene").distinct())
     return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
