@@ -47,25 +47,36 @@ def lisi(edges: DataFrame, labels: DataFrame, perplexity: float) -> DataFrame:
     x = edges.join(labels.select(F.col("key").alias("other"), "label"), "other").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("dist", "label"))).alias("a"))
     kind = edges.schema["key"].dataType.simpleString()
 
-    def one(d, label):
-        low, high, beta = 0.0, np.inf, 1.0
+    def weights(d):
+        """Gaussian weights of rows of distances, each row bisected to the perplexity at the same time; inf for no neighbour."""
+        n, goal = len(d), math.log(perplexity)
+        low, high, beta = np.zeros(n), np.full(n, np.inf), np.ones(n)
+        near = d - d.min(axis=1, keepdims=True)
         for _ in range(60):
-            p = np.exp(-(d - d.min()) * beta)
-            p /= p.sum()
-            h = -(p[p > 0] * np.log(p[p > 0])).sum()
-            if abs(h - math.log(perplexity)) < 1e-6:
+            p = np.exp(-np.where(np.isfinite(near), near, 0) * beta[:, None]) * np.isfinite(near)
+            p /= p.sum(axis=1, keepdims=True)
+            h = -(p * np.log(np.maximum(p, 1e-300))).sum(axis=1)
+            open_ = np.abs(h - goal) >= 1e-6
+            if not open_.any():
                 break
-            if h > math.log(perplexity):
-                low, beta = beta, beta * 2 if high == np.inf else (beta + high) / 2
-            else:
-                high, beta = beta, (beta + low) / 2
-        _, code = np.unique(label, return_inverse=True)
-        return float(1 / (np.bincount(code, p) ** 2).sum())
+            up = open_ & (h > goal)
+            low[up] = beta[up]
+            high[open_ & ~up] = beta[open_ & ~up]
+            beta = np.where(open_, np.where(np.isinf(high), beta * 2, (low + np.where(np.isinf(high), low, high)) / 2), beta)
+        return p
 
     def run(batches):
         for batch in batches:
-            out = [one(np.array([e["dist"] for e in a], float), np.array([e["label"] for e in a])) for a in batch.column("a").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.float64())], names=["key", "lisi"])
+            lists = batch.column("a")
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            d = np.full((len(sizes), int(sizes.max())), np.inf)
+            d[row, place] = flat.field("dist").to_numpy(zero_copy_only=False)
+            names, code = np.unique(np.array(flat.field("label").to_pylist(), object).astype(str), return_inverse=True)
+            share = np.bincount(row * len(names) + code, weights(d)[row, place], len(sizes) * len(names)).reshape(len(sizes), -1)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(1 / (share**2).sum(axis=1))], names=["key", "lisi"])
 
     return x.mapInArrow(run, f"key {kind}, lisi double")
 
@@ -161,6 +172,11 @@ def pcr(df: DataFrame, vector: str, batch: str, components: int = 10) -> float:
     return float(total / max(p.variance.sum(), 1e-300))
 
 
+def pcr_comparison(before: float, after: float) -> float:
+    """How much of the batches' share of variance is gone, none at least."""
+    return max(0.0, (before - after) / before) if before > 0 else 0.0
+
+
 def isolated_labels(df: DataFrame, label: str, batch: str) -> DataFrame:
     """The labels that the fewest batches hold."""
     n = df.groupBy(label).agg(F.countDistinct(batch).alias("n_batches"))

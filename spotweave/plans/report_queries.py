@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions import geometry
-from spotweave.operators import contrasts, expression, folds, integration, probes, reporting, results
+from spotweave.functions.labels import is_labelled
+from spotweave.operators import contrasts, expression, folds, integration, probes, reporting, results, silhouette
 from spotweave.plans import probe_sql as S
 from spotweave.plans.base_queries import _rows, _slides, query_table, rounded
 from spotweave.plans.cohort import SQL, spots
@@ -111,6 +112,34 @@ def condition_summary(spark, sf_dir):
     return rounded(reporting.condition_summary(x.unionByName(whole), ["none", "shuffled"]), 4)
 
 
+_DISTANCES = SQL + """, v AS (SELECT spot_key AS key, {scope} AS scope, {label} AS label, gene_features AS x FROM spots WHERE is_real),
+d AS (SELECT a.scope, a.key, a.label AS own, b.label, sum(CASE WHEN a.key = b.key THEN 0 ELSE list_distance(a.x::DOUBLE[], b.x::DOUBLE[]) END) AS total, count(*) AS n FROM v a JOIN v b ON a.scope = b.scope GROUP BY ALL)
+"""
+_SILHOUETTE = """, m AS (SELECT scope, key, own, max(total) FILTER (label = own) AS t, max(n) FILTER (label = own) AS m, {between}(total / n) FILTER (label <> own) AS b FROM {d} GROUP BY ALL),
+s AS (SELECT scope, key, own, CASE WHEN m > 1 THEN (b - t / (m - 1)) / greatest(b, t / (m - 1)) ELSE 0 END AS s FROM m WHERE b IS NOT NULL)
+"""
+
+
+def _labelled(spark, sf_dir):
+    return spots(spark, sf_dir).where(is_labelled("annotation"))
+
+
+@query(_DISTANCES.format(scope="'all'", label="annotation") + _SILHOUETTE.format(between="min", d="d") + "SELECT round((avg(s) + 1) / 2, 6) AS silhouette_label FROM s")
+def silhouette_label(spark, sf_dir):
+    return rounded(silhouette.silhouette_label(_labelled(spark, sf_dir), "spot_key", "annotation", "gene_features"))
+
+
+@query(_DISTANCES.format(scope="annotation", label="donor") + _SILHOUETTE.format(between="avg", d="d") + "SELECT round(avg(v), 6) AS bras FROM (SELECT avg(1 - abs(s)) AS v FROM s GROUP BY scope)")
+def bras(spark, sf_dir):
+    return rounded(silhouette.bras(_labelled(spark, sf_dir), "spot_key", "donor", "annotation", "gene_features"))
+
+
+@query(_DISTANCES.format(scope="'all'", label="annotation") + """, held AS (SELECT annotation AS own, count(DISTINCT sample_id) AS k FROM spots WHERE is_real GROUP BY ALL), few AS (SELECT own FROM held WHERE k = (SELECT min(k) FROM held)),
+two AS (SELECT scope, key, own, CASE WHEN label = own THEN own ELSE '-' END AS label, sum(total) AS total, sum(n) AS n FROM d WHERE own IN (SELECT own FROM few) GROUP BY ALL)""" + _SILHOUETTE.format(between="min", d="two") + "SELECT round(avg(v), 6) AS isolated_labels FROM (SELECT (avg(s) + 1) / 2 AS v FROM s GROUP BY own)")
+def isolated_label_score(spark, sf_dir):
+    return rounded(silhouette.isolated_label_score(_labelled(spark, sf_dir), "spot_key", "sample_id", "annotation", "gene_features"))
+
+
 # Paired predictions --------------------------------------------------------------------
 
 _MADE = """, made AS (SELECT 1 AS seed, 'loso' AS protocol, tissue AS level, key, y_true, y_pred FROM pred), other AS (

@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "labels_canonical_floor", "class_floor", "cohort_summary", "class_summary", "fold_table", "flagship", "sample_quotas", "slide_cap", "variance_donor",
     "mean_pairwise_cosine", "detrended_strata", "benjamini_hochberg", "quartile_table", "set_means", "score_conflicts", "unfolded_panel", "shared_vocabulary", "bbknn_graph", "contingency_agreement",
+    "panel_split", "melted_deltas", "attached_pooled_wide", "model_pairs", "condition_pairs", "scope_classes", "contrast_rankings", "matched_strata", "enrichment_order", "pooled_slides", "spot_pixels",
+    "silhouette_label", "bras", "isolated_label_score", "pooled_loso_on_fold", "normalised_counts",
 ]
 
 
