@@ -60,7 +60,7 @@ def effective_rank(spark, sf_dir):
 
 @query()
 def effective_rank_bootstrap(spark, sf_dir):
-    return rounded(diagnostics.effective_rank_table(spots(spark, sf_dir), "gene_features", 200, 3))
+    return rounded(diagnostics.effective_rank_table(spots(spark, sf_dir), "gene_features", 8000, 5))
 
 
 @query()
@@ -72,7 +72,7 @@ def effective_rank_controls(spark, sf_dir):
 
 @query()
 def cca_spectrum(spark, sf_dir):
-    return rounded(diagnostics.canonical_spectrum(spots(spark, sf_dir), "gene_features", "patch_features", "sample_id", permutations=2, report=5))
+    return rounded(diagnostics.canonical_spectrum(spots(spark, sf_dir), "gene_features", "patch_features", "sample_id", permutations=50, report=5))
 
 
 @query()
@@ -414,5 +414,5 @@ def patches_gaussian(spark, sf_dir):
 @query()
 def autoencoder(spark, sf_dir):
     x = spots(spark, sf_dir)
-    net = models.Autoencoder(latent=4, hidden=16, epochs=3, sample=5000).fit(x.where("split = 'train'"), "gene_features", "patch_features", "spot_key")
+    net = models.Autoencoder(latent=4, hidden=16, epochs=30, sample=20000).fit(x.where("split = 'train'"), "gene_features", "patch_features", "spot_key")
     return rounded(net.transform(x, "gene_features", "spot_key").select("key", F.posexplode("z").alias("component", "value")), 4)
