@@ -34,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_embedding_near_dedup": covertree.OP1_SQL, "op2_line_dedup": lines.OP2_SQL, "op5_top_k": knn.OP5_SQL}
+    return {"op1_embedding_near_dedup": covertree.OP1_SQL, "op2_line_dedup": lines.OP2_SQL, "op5_top_k": knn.OP5_SQL, "op7_substring_dedup": substrings.OP7_SQL}

@@ -486,3 +486,24 @@ def op7_substring_dedup(spark, sf_dir) -> DataFrame:
     """Word counts, removed words and the digest of what stays, for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs, with_text=False).drop("kept_text")
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, row, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), g AS (
+  SELECT doc_id, row, pos, word, lead(word, 12) OVER win IS NOT NULL AS whole, concat_ws(' ', word, {leads}) AS gram
+  FROM t WINDOW win AS (PARTITION BY row ORDER BY pos)
+), o AS (
+  SELECT gram, min(doc_id) AS owner FROM g WHERE whole GROUP BY gram
+), j AS (
+  SELECT g.row, g.pos, g.word, CASE WHEN whole AND owner < g.doc_id THEN g.pos END AS hit FROM g LEFT JOIN o USING (gram)
+), c AS (
+  SELECT row, pos, word, max(hit) OVER (PARTITION BY row ORDER BY pos ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM j
+), k AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY row
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (row)
+""".replace("{leads}", ", ".join(f"lead(word, {k}) OVER win" for k in range(1, WORDS)))
