@@ -196,6 +196,36 @@ ORACLE["pooled_loso"] = SQL + _grouped("sample_id") + _COUNTED
 ORACLE["pooled_loso_on_fold"] = SQL + _grouped("sample_id", _ONE_FOLD) + _COUNTED
 
 
+
+
+def _protocol(name: str, level: str, members: str) -> str:
+    """Members of one protocol's folds, named by protocol and level."""
+    return f"SELECT '{name}' AS protocol, {level} AS level, m.* REPLACE ('{name}' || chr(1) || {level} || chr(1) || fold AS fold) FROM ({members}) m"
+
+
+def _members(group: str) -> str:
+    view = _grouped(group).split("), long AS", 1)[0]
+    return view[view.index("SELECT") :].replace("s.gene_features AS z", "s.gene_features AS z, '' AS level0").replace(f"h.{group} AS held, ", "")
+
+
+_ON_FOLDS = "SELECT s.spot_key AS key, s.annotation, s.tissue, s.donor, s.sample_id, f.fold, f.role, s.gene_features AS z, f.level AS level0 FROM spots s JOIN folds f USING (sample_id) WHERE s.is_real"
+_ALL = f""", members AS (
+  {_protocol("loso_donor", "'donor'", _members("donor"))}
+  UNION ALL BY NAME {_protocol("pooled_loso", "'sample_id'", _members("sample_id"))}
+  UNION ALL BY NAME {_protocol("heldout_donor", "level0", _ON_FOLDS)}
+"""
+_BY = "protocol, level, scope"
+_ALL_SCOPED = """, pred2 AS (SELECT split_part(fold, chr(1), 1) AS protocol, split_part(fold, chr(1), 2) AS level, * FROM pred), scoped AS (
+  SELECT protocol, level, 'global' AS scope, donor, sample_id, tissue || ' | ' || y_true AS y_true, tissue || ' | ' || y_pred AS y_pred FROM pred2
+  UNION ALL SELECT protocol, level, tissue, donor, sample_id, y_true, y_pred FROM pred2)
+"""
+ORACLE["all_protocols"] = (
+    SQL + _ALL + S.PREDICTIONS[S.PREDICTIONS.index("), long AS") :] + _ALL_SCOPED + S.counts("scoped", "counts", _BY) + S.MACRO.format(by=_BY)
+    + f""", any_value(n_donors) AS n_donors, any_value(n_slides) AS n_slides FROM counts_m
+JOIN (SELECT {_BY}, count(DISTINCT donor) AS n_donors, count(DISTINCT sample_id) AS n_slides FROM scoped GROUP BY ALL) USING (protocol, level, scope) GROUP BY {_BY}"""
+)
+
+
 # Contrasts -----------------------------------------------------------------------------
 
 _R2 = """WITH g AS (SELECT l_partkey AS target, avg(l_discount) AS r2_refined, CASE WHEN count(*) > 2 THEN avg(l_tax) END AS r2_frozen, avg(l_quantity) / 100 AS r2_pca_control FROM lineitem GROUP BY 1)
