@@ -25,7 +25,7 @@ from .wordbpe import plain_words
 SEQUENCE = 4096
 END = 2
 #: Words and pre-tokens whose ids a worker remembers, over all its tasks.
-MEMORY = 400_000
+MEMORY = 500_000
 #: Text bytes that are encoded at once.
 BLOCK = 2 << 20
 
