@@ -313,13 +313,37 @@ def normalised_counts_all(spark, sf_dir):
     return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
 
 
-@query()
+ORACLE["normalised_counts_all"] = ORACLE["normalised_counts"]
+
+
+def _dispersion_sql(by: str = "", t: str = "") -> str:
+    """View score{t}: (by, gene, mean, score), the quadratic fit by Cramer's rule on sums. t ends the names of its views."""
+    g = by + ", " if by else ""
+    det = lambda a: f"({a[0]}*({a[4]}*{a[8]}-{a[5]}*{a[7]})-{a[1]}*({a[3]}*{a[8]}-{a[5]}*{a[6]})+{a[2]}*({a[3]}*{a[7]}-{a[4]}*{a[6]}))"
+    grid = ["x0", "x1", "x2", "x1", "x2", "x3", "x2", "x3", "x4"]
+    swapped = [[("y" + str(k // 3)) if k % 3 == c else grid[k] for k in range(9)] for c in range(3)]
+    fit = ", ".join(f"{det(swapped[c])} / {det(grid)} AS c{c}" for c in range(3))
+    return f""", size{t} AS (SELECT count(DISTINCT spot)::DOUBLE AS n FROM c
+), mom{t} AS (SELECT {g}gene, sum(count)::DOUBLE / any_value(n) AS mean, (sum(count * count) - sum(count) * sum(count) / any_value(n)) / (any_value(n) - 1) AS var, any_value(n) AS n FROM c, size{t} GROUP BY {g}gene
+), lg{t} AS (SELECT *, log10(mean) - (SELECT avg(log10(mean)) FROM mom{t} WHERE mean > 0 AND var > 0) AS lx, log10(var) AS ly FROM mom{t} WHERE mean > 0 AND var > 0
+), sums{t} AS (SELECT {", ".join(f"sum(lx ** {k}) AS x{k}" for k in range(5))}, {", ".join(f"sum(lx ** {k} * ly) AS y{k}" for k in range(3))} FROM lg{t}
+), fit{t} AS (SELECT {fit} FROM sums{t}
+), sd{t} AS (SELECT lg{t}.*, sqrt(10 ** (c0 + c1 * lx + c2 * lx * lx)) AS sd FROM lg{t}, fit{t}
+), score{t} AS (SELECT {g}gene, any_value(mean) AS mean, (sum(least((count - mean) / sd, sqrt(n)) ** 2) + (any_value(n) - count(*)) * (any_value(mean) / any_value(sd)) ** 2) / (any_value(n) - 1) AS score
+  FROM c JOIN sd{t} USING ({g}gene) GROUP BY {g}gene)
+"""
+
+
+@query(_COUNTS + _dispersion_sql() + "SELECT gene, round(mean, 6) AS mean, round(score, 6) AS score FROM score")
 def gene_dispersion(spark, sf_dir):
     c = _counts(spark, sf_dir)
     return rounded(counts.dispersion(c, c.select("spot").distinct().count()))
 
 
-@query()
+@query(_COUNTS + _dispersion_sql(t="_all") + _dispersion_sql("sample_id") + """, own AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY score DESC, gene) AS r FROM score), shared AS (
+  SELECT gene FROM own WHERE r <= 40 GROUP BY gene ORDER BY count(*) DESC, avg(r), gene LIMIT 20)
+SELECT gene, 'global' AS strategy FROM (SELECT gene FROM score_all ORDER BY score DESC, gene LIMIT 40) UNION ALL SELECT DISTINCT gene, 'per_slide' FROM own WHERE r <= 40
+UNION ALL SELECT gene, 'mixed' FROM (SELECT gene FROM shared UNION SELECT gene FROM own WHERE r <= 20)""")
 def selected_genes(spark, sf_dir):
     c = _counts(spark, sf_dir)
     n = c.select("spot").distinct().count()
