@@ -181,6 +181,8 @@ class ByteBPE:
         self.pattern = pattern
         self.cache: dict[str, tuple] = {}
         self.merged: dict[bytes, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.merged_older: dict[bytes, tuple] = {}
         self._split = None
         self.cuttable = pattern == WORDS_WITH_SPACE
         by_id = np.zeros(int(self.ids.max()) + 1, np.int64)
@@ -188,7 +190,7 @@ class ByteBPE:
         self.place = by_id
 
     def __getstate__(self):
-        return self.__dict__ | {"_split": None, "cache": {}, "merged": {}}
+        return self.__dict__ | {"_split": None, "cache": {}, "merged": {}, "older": {}, "merged_older": {}}
 
     def _segments(self, text: str) -> list[str]:
         """The text cut so that no match of the pattern lies across a cut; the first piece is marked.
@@ -219,10 +221,11 @@ class ByteBPE:
                 continue
             ids = merged.get(piece)
             if ids is None:
-                ids = tuple(merge(piece, ranks))
+                ids = self.merged_older.get(piece) or tuple(merge(piece, ranks))
                 if len(piece) <= 64:
-                    if len(merged) >= CACHE_ROWS:
-                        merged.clear()
+                    if len(merged) >= CACHE_ROWS:  # the memory of before stays until the next time
+                        self.merged_older = merged
+                        self.merged = merged = {}
                     merged[piece] = ids
             known[w] = ids
         at = 0
@@ -242,10 +245,16 @@ class ByteBPE:
         if not words:
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         code, distinct = factorized(words, texts)
-        cache = self.cache
-        if len(cache) > CACHE_ROWS:
-            cache.clear()
-        missed = [w for w in distinct if w not in cache]
+        if len(self.cache) > CACHE_ROWS:  # the memory of before stays until the next time; what is still used moves on
+            self.older, self.cache = self.cache, {}
+        cache, older, missed = self.cache, self.older, []
+        for w in distinct:
+            if w not in cache:
+                ids = older.get(w)
+                if ids is None:
+                    missed.append(w)
+                else:
+                    cache[w] = ids
         self._fill(missed)
         parts = [cache[w] for w in distinct]
         for w in missed:
