@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import bytebpe, covertree, knn, langid, lines, negatives, packing, pii, simhash, substrings, wordbpe
+from . import bytebpe, covertree, knn, langid, lines, negatives, packing, pii, simhash, substrings, warc, wordbpe
 from .common import ship
 
 
@@ -29,10 +29,18 @@ def queries():
         wordbpe.op8_token_counts,
         langid.op9_language_id,
         packing.op10_packing,
+        warc.op11_warc,
         negatives.op13_hard_negatives,
     ]
     return {f.__name__: _shipped(f) for f in found}
 
 
 def oracle_sql():
-    return {"op1_embedding_near_dedup": covertree.OP1_SQL, "op2_line_dedup": lines.OP2_SQL, "op5_top_k": knn.OP5_SQL, "op7_substring_dedup": substrings.OP7_SQL, "op13_hard_negatives": negatives.OP13_SQL}
+    return {
+        "op1_embedding_near_dedup": covertree.OP1_SQL,
+        "op2_line_dedup": lines.OP2_SQL,
+        "op5_top_k": knn.OP5_SQL,
+        "op7_substring_dedup": substrings.OP7_SQL,
+        "op11_warc": warc.OP11_SQL,
+        "op13_hard_negatives": negatives.OP13_SQL,
+    }
