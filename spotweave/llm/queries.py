@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import bytebpe, covertree, knn, langid, lines, negatives, packing, pii, simhash, substrings, warc, wordbpe
+from . import bytebpe, covertree, knn, langid, lines, negatives, packing, pii, simhash, substrings, variants, warc, wordbpe
 from .common import ship
 
 
@@ -30,6 +30,7 @@ def queries():
         langid.op9_language_id,
         packing.op10_packing,
         warc.op11_warc,
+        variants.op12_spelling_variants,
         negatives.op13_hard_negatives,
     ]
     return {f.__name__: _shipped(f) for f in found}
