@@ -43,5 +43,6 @@ def oracle_sql():
         "op5_top_k": knn.OP5_SQL,
         "op7_substring_dedup": substrings.OP7_SQL,
         "op11_warc": warc.OP11_SQL,
+        "op12_spelling_variants": variants.OP12_SQL,
         "op13_hard_negatives": negatives.OP13_SQL,
     }

@@ -241,7 +241,7 @@ WITH tables AS (
   SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM found GROUP BY ALL
 ), hashed AS (
   SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
-           lambda c, b: xor(c >> 8, t[xor(c, b) & 255 + 1])), 4294967295) AS h
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
   FROM counted, tables
 ), words AS (
   SELECT word, sum(k)::BIGINT AS n FROM (

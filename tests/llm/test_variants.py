@@ -121,3 +121,14 @@ def test_words_met_by_many_tasks(spark):
     df = spark.range(0, 2000, 1, 9).select(F.col("id").alias("doc_id"), F.lit("commonword").alias("text"))
     rows = [(i, "commonword") for i in range(2000)]
     assert sorted(map(tuple, variants.spelling_groups(df).collect())) == plain(rows)
+
+
+def test_query_agrees_with_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    documents = duckdb.read_parquet(f"{sf}/documents.parquet")
+    names = "word, form, root, n, n_near, form_n"
+    want = duckdb.query(f"SELECT {names} FROM ({variants.OP12_SQL})").fetchall() if documents is not None else None
+    got = [tuple(r) for r in variants.op12_spelling_variants(spark, sf).select(*names.split(", ")).collect()]
+    assert len(got) > 1000 and sorted(got, key=repr) == sorted(want, key=repr)
