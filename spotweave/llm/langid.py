@@ -22,10 +22,10 @@ WINDOW = 256
 WIDTHS = (2, 4)
 FILTERS = 12
 DIM = 8
-#: Labelled rows that training reads at most, whole: of each language, and of all (but one row of every language always).
+#: Labelled rows that training reads at most: of each language, and of all (but one row of every language always).
 SAMPLE_ROWS, SAMPLE_TOTAL = 400, 20_000
-#: Windows that an epoch draws of each training text.
-DRAWS = 8
+#: Windows that an epoch draws of each training text, and windows of a text that training reads at most.
+DRAWS, SAMPLE_WINDOWS = 8, 48
 SPLITS, HELD_OUT = 4, 2
 EPOCHS = 12
 
@@ -157,29 +157,53 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(SPLITS)) == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, seed: int = 0) -> ByteCNN:
+_TAKEN = pa.schema([("lang", pa.string()), ("mark", pa.int64()), ("x", pa.binary()), ("size", pa.binary())])
+
+
+def _windows_of(most: int):
+    """At most `most` windows of every training text, drawn from the whole text by a generator seeded with its hash."""
+
+    def run(batches):
+        for batch in batches:
+            for lang, mark, text in zip(batch.column("lang").to_pylist(), batch.column("mark").to_pylist(), as_bytes(batch.column("text")), strict=True):
+                starts = np.arange(0, len(text), WINDOW)
+                if len(starts) > most:
+                    starts = np.sort(np.random.default_rng(mark & 0xFFFFFFFF).choice(starts, most, replace=False))
+                parts = [windows([text[at : at + WINDOW]]) for at in starts.tolist()]
+                yield batch_of(_TAKEN, [lang], [mark], [b"".join(p[0].tobytes() for p in parts)], [np.concatenate([p[2] for p in parts]).astype(np.int64).tobytes()])
+
+    return run
+
+
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, total: int = SAMPLE_TOTAL, seed: int = 0, most_windows: int = SAMPLE_WINDOWS) -> ByteCNN:
     """Fit on at most sample_rows labelled rows of each language and `total` of all (one row of every language at least), none held out.
 
-    Which rows are taken goes by a hash of the id; their texts are used whole. A language is never left out.
-    Without labelled text the network has no language.
+    Which rows are taken goes by a hash of id and text, the smallest first; rows of one id and text count once, and rows without an id, or
+    with a shared one, are told apart by their texts. A language is never left out: the smallest of its hashes is always taken. Of
+    each text at most most_windows windows, drawn from all of it, come to the driver: total * most_windows * (WINDOW + 3)
+    bytes at most. Without labelled text the network has no language.
     """
     from pyspark.sql import Window
 
-    usable = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
-    sizes = usable.groupBy("lang").count().collect()  # a row per language
+    usable = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out())
+    usable = usable.select("lang", "text", F.xxhash64("doc_id", "text").alias("mark"))
+    sizes = usable.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n"), F.min("mark").alias("least")).collect()  # a row per language
     if not sizes:
         return ByteCNN([], seed)
     each = max(1, min(sample_rows, total // len(sizes)))
     # the smallest hashes of a language lie in a slice of the hash's range; no language's rows meet in one task beyond that slice
-    slices = [(r["lang"], -(1 << 63) + min((1 << 64) - 1, int((8 + 4 * each) / r["count"] * 2**64))) for r in sizes]
+    slices = [(r["lang"], max(r["least"], -(1 << 63) + min((1 << 64) - 1, int((8 + 4 * each) / max(1, r["n"]) * 2**64)))) for r in sizes]
     bounds = docs.sparkSession.createDataFrame(slices, "lang string, most long")
-    part = usable.withColumn("mark", F.xxhash64("doc_id")).join(F.broadcast(bounds), "lang").where("mark <= most")
-    taken = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark", "text"))).where(F.col("n") <= each)
-    rows = sorted(taken.select("lang", "text").collect())  # bounded by the two parameters
+    part = usable.join(F.broadcast(bounds), "lang").where("mark <= most").dropDuplicates(["lang", "mark"])
+    taken = part.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("n") <= each)
+    drawn = taken.select("lang", "mark", "text").mapInArrow(_windows_of(most_windows), "lang string, mark long, x binary, size binary")
+    rows = sorted(drawn.collect(), key=lambda r: (r["lang"], r["mark"]))  # bounded by the three parameters
     labels = sorted({r["lang"] for r in rows})
     net = ByteCNN(labels, seed)
-    x, owner, size = windows([r["text"].encode() for r in rows])
-    y = np.array([labels.index(r["lang"]) for r in rows])[owner]
+    size = [np.frombuffer(r["size"], np.int64) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in size])
+    x = np.frombuffer(b"".join(r["x"] for r in rows), np.uint8).reshape(len(owner), -1)
+    size, y = np.concatenate(size), np.array([labels.index(r["lang"]) for r in rows])[owner]
     real = (size >= WINDOW // 8) | (np.bincount(owner)[owner] == 1)
     return net.fit(x[real], y[real], owner[real], seed=seed + 1)
 

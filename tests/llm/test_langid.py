@@ -60,6 +60,22 @@ def test_every_language_is_learned(spark):
     assert langid.train(df, total=50).labels == ["hot", *sorted({r[2] for r in rows} - {"hot"})]
 
 
+@pytest.mark.parametrize("key", [None, 9])
+def test_languages_of_rows_with_one_id_or_none(spark, key):
+    rows = [(key, f"viele deutsche Worte {i}", "xx") for i in range(5000)] + [(10 + i, f"some english words {i}", "yy") for i in range(100)]
+    rows += [(key, "always the same row", "zz")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df, sample_rows=20).labels == ["xx", "yy", "zz"]
+
+
+def test_windows_of_long_texts_are_drawn_from_all_of_it(spark):
+    text = "".join(f"{i:06d} " for i in range(20_000))
+    got = spark.createDataFrame([("a", 7, text)], "lang string, mark long, text string").mapInArrow(langid._windows_of(16), "lang string, mark long, x binary, size binary").first()
+    x = np.frombuffer(got["x"], np.uint8).reshape(16, -1)
+    at = [text.index(bytes(r[: langid.WINDOW]).decode()) for r in x]
+    assert at == sorted(set(at)) and at[-1] > len(text) // 2 and (np.frombuffer(got["size"], np.int64) == langid.WINDOW).all()
+
+
 def test_no_training_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     net = langid.train(none)
