@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.keys import digest
 from spotweave.operators.linalg import Moments, cross_moments, log_grid, ridge_gcv
+from spotweave.operators.ranking import equal_parts, global_rank, suffix_minimum
 
 
 def r2_by_target(df: DataFrame, by: list[str], truth: str, guess: str) -> DataFrame:
@@ -38,26 +39,38 @@ def quartiles(df: DataFrame, value: str = "r2_frozen", delta: str = "delta_r2")
 
 def strata(df: DataFrame, baseline: str, key: str, bins: int) -> DataFrame:
     """Equal-count strata by rank of the baseline, ties by key; null where there are fewer rows than bins."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    s = F.ntile(max(bins, 1)).over(Window.orderBy(baseline, key)) - 1
-    return df.withColumn("stratum", F.when((n >= bins) & F.lit(bins >= 2), s))
+    ranked, total = global_rank(df, [baseline, key], "_r")
+    stratum = equal_parts(F.col("_r"), total, bins) if 2 <= bins <= total else F.lit(None).cast("int")
+    return ranked.withColumn("stratum", stratum).drop("_r")
 
 
 def detrended(df: DataFrame, baseline: str, statistic: str, key: str, bins: int) -> DataFrame:
     """The statistic less the mean of its stratum."""
     x = strata(df, baseline, key, bins)
-    return x.withColumn("detrended", F.col(statistic) - F.coalesce(F.avg(statistic).over(Window.partitionBy("stratum")), F.lit(0.0)))
+    means = x.groupBy(F.col("stratum").alias("_s")).agg(F.avg(statistic).alias("_mean"))
+    x = x.join(F.broadcast(means), F.col("stratum").eqNullSafe(F.col("_s")))  # a row per stratum
+    return x.withColumn("detrended", F.col(statistic) - F.coalesce("_mean", F.lit(0.0))).drop("_s", "_mean")
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] = (), out: str = "padj") -> DataFrame:
-    """Adjusted p-values: monotone from the largest down, clipped to [0, 1]; a null p stays null and counts for nothing."""
-    some = df.where(F.col(p).isNotNull() & ~F.isnan(p))
-    group = list(by) or [F.lit(0)]
-    w = Window.partitionBy(*group)
-    x = some.withColumn("_m", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(p)))
-    x = x.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(w.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0))))
+    """Adjusted p-values: monotone from the largest down, clipped to [0, 1]; a null p stays null and counts for nothing.
+
+    With `by` each group is a family of its own. Equal p-values are adjusted alike.
+    """
+    by = list(by)
+    some = df.where(F.col(p).isNotNull() & ~F.isnan(p)).withColumn("_tie", F.monotonically_increasing_id())
+    ranked, total = global_rank(some, [*by, p, "_tie"], "_r", keep=True)
+    ranked = ranked.withColumns({f"_k{i}": F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for i, c in enumerate(by)})  # null is a family too
+    group = [f"_k{i}" for i in range(len(by))]
+    if by:
+        families = ranked.groupBy(*group).agg(F.min("_r").alias("_first"), F.count(F.lit(1)).alias("_m"))
+        ranked = ranked.join(families, group).withColumn("_r", F.col("_r") - F.col("_first") + 1).drop("_first")
+    else:
+        ranked = ranked.withColumn("_m", F.lit(total))
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    x = suffix_minimum(ranked, "_q", group).withColumn(out, F.least(F.lit(1.0), "_least"))
     rest = df.where(F.col(p).isNull() | F.isnan(p)).withColumn(out, F.lit(None).cast("double"))
-    return x.drop("_m", "_r").unionByName(rest)
+    return x.select(*df.columns, out).unionByName(rest)
 
 
 def set_members(net: DataFrame, statistic: DataFrame, least: int) -> DataFrame:

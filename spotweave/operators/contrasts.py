@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.operators import biosignal
+from spotweave.operators.ranking import global_rank
 from spotweave.operators.results import refuse
 
 # Each contrast is the first column less the second.
@@ -45,14 +46,15 @@ def rankings(df: DataFrame, names: list[str], bins: int = 0, key: str = "target"
 def matched_strata(statistic: DataFrame, baseline: DataFrame, bins: int) -> DataFrame:
     """The statistic (target, value) with the stratum of its baseline (target, baseline); null for all if one target has no baseline."""
     x = statistic.join(baseline.select("target", "baseline"), "target", "left")
-    short = F.bool_or(F.col("baseline").isNull() | F.isnan("baseline")).over(Window.partitionBy())
-    return biosignal.strata(x, "baseline", "target", bins).withColumn("_short", short).withColumn("stratum", F.when(~F.col("_short"), F.col("stratum"))).drop("_short")
+    short = x.agg(F.bool_or(F.col("baseline").isNull() | F.isnan("baseline")).alias("_short"))
+    ranked = biosignal.strata(x, "baseline", "target", bins).join(F.broadcast(short))  # one row
+    return ranked.withColumn("stratum", F.when(~F.col("_short"), F.col("stratum"))).drop("_short")
 
 
 def enrichment_order(table: DataFrame, ties: str = "source") -> DataFrame:
     """The table with its rank by adjusted p, p and normalised score, missing values last."""
     last = [F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)).asc_nulls_last() for c in ("padj", "pval", "norm")]
-    return table.withColumn("rank", F.row_number().over(Window.orderBy(*last, ties)))
+    return global_rank(table, [*last, ties])[0].withColumn("rank", F.col("rank").cast("int"))
 
 
 def levels_to_draw(scored: DataFrame, wanted: list[str]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
 from spotweave.operators import sampling
+from spotweave.operators.ranking import global_rank
 
 
 def stripped(gene) -> F.Column:
@@ -38,7 +39,15 @@ def reindexed(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def at_places(rows: DataFrame, order: list[str], places: DataFrame) -> DataFrame:
     """The rows at the places (column place, from 0) of an order."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1).join(places.select("place").distinct(), "place", "left_semi")
+    ranked, _ = global_rank(rows, order, "place")
+    return ranked.withColumn("place", F.col("place") - 1).join(places.select(F.col("place").cast("long").alias("place")).distinct(), "place", "left_semi")
+
+
+def every_nth(rows: DataFrame, order: list[str], step: int, first: int = 0) -> DataFrame:
+    """Every step-th row of an order, from the one at place `first` on."""
+    ranked, _ = global_rank(rows, order, "place")
+    place = F.col("place") - 1
+    return ranked.withColumn("place", place).where((F.col("place") >= first) & (F.pmod(F.col("place") - first, F.lit(step)) == 0))
 
 
 def gene_places(names: list[str], wanted: list[str]) -> list[int]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.keys import digest
+from spotweave.operators.ranking import global_rank
 
 
 def uniform_sample(df: DataFrame, key: str, cap: int, seed: int = 42, purpose: str = "uniform") -> DataFrame:
@@ -45,18 +46,18 @@ def proportional_cap(df: DataFrame, key: str, by: str, fraction: float, seed: in
 
 def train_validation(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
     """Adds `part`: max(2, int(fraction * n)) rows are `val`, the others `train`."""
-    n = df.count()
-    n_val = max(2, int(fraction * n))
-    chosen = df.select(key, digest(seed, "validation", key).alias("_d")).orderBy("_d", key).limit(n_val).select(key, F.lit("val").alias("part"))
-    return df.join(chosen, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    ranked, n = global_rank(df.withColumn("_d", digest(seed, "validation", key)), ["_d", key], "_r")
+    return ranked.withColumn("part", F.when(F.col("_r") <= max(2, int(fraction * n)), "val").otherwise("train")).drop("_d", "_r")
 
 
 def permuted(df: DataFrame, key: str, value: str, by: list[str], seed: int = 42, purpose: str = "permute") -> DataFrame:
-    """`value` shuffled among the rows of each group; with no groups, among all rows."""
-    group = by or [F.lit(0)]
-    a = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(key)))
-    b = df.select(*by, F.col(value).alias("_v"), F.row_number().over(Window.partitionBy(*group).orderBy(digest(seed, purpose, key), key)).alias("_r"))
-    return a.join(b, [*by, "_r"]).withColumn(value, F.col("_v")).drop("_r", "_v")
+    """`value` shuffled among the rows of each group; with no groups, among all rows.
+
+    Both orders have the groups first, so rows of equal rank are of one group, and one join on the rank moves the values.
+    """
+    a, _ = global_rank(df, [*by, key], "_r")
+    b, _ = global_rank(df.select(*by, F.col(key).alias("_k"), F.col(value).alias("_v"), digest(seed, purpose, key).alias("_d")), [*by, "_d", "_k"], "_r")
+    return a.join(b.select("_r", "_v"), "_r").withColumn(value, F.col("_v")).drop("_r", "_v")
 
 
 def top_n(df: DataFrame, score: str, key: str, n: int) -> DataFrame:

@@ -282,7 +282,9 @@ def reindexed_rows(spark, sf_dir):
 
 @query(SQL + "SELECT spot_key, place FROM (SELECT spot_key, (row_number() OVER (ORDER BY sample_id, spot_key) - 1)::INTEGER AS place FROM spots) WHERE place % 10 = 3")
 def rows_at_places(spark, sf_dir):
-    return expression.at_places(spots(spark, sf_dir), ["sample_id", "spot_key"], spark.range(3, 1 << 20, 10).select(F.col("id").alias("place"))).select("spot_key", "place")
+    x = spots(spark, sf_dir)
+    places = spark.range(3, x.count(), 10).select(F.col("id").alias("place"))
+    return expression.at_places(x, ["sample_id", "spot_key"], places).select("spot_key", "place")
 
 
 @query(SQL + "SELECT dataset_id, sample_id, count(*) AS n_spots, min(spot_id) AS first_spot, max(spot_id) AS last_spot FROM spots GROUP BY ALL")
