@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.keys import digest
+from spotweave.functions.lineage import cut
 from spotweave.operators.linalg import Moments, cross_moments, log_grid, ridge_gcv
+from spotweave.operators.nulls import permutation_null, ranking_hits, running_scores, score_null
 from spotweave.operators.ranking import equal_parts, global_rank, suffix_minimum
 
 
@@ -97,27 +98,14 @@ def set_means(members: DataFrame, statistic: DataFrame) -> DataFrame:
     return m.join(F.broadcast(b)).withColumn("mean_delta", F.col("mean") - F.col("background"))  # one row
 
 
-def permutation_null(members: DataFrame, statistic: DataFrame, times: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """(source, replicate, value): set means after shuffling the statistic, the same shuffle for all sets.
-
-    With a stratum the shuffle stays inside it. Replicates are shuffled apart, so each is a group of its own.
-    """
-    by = ["replicate", *([stratum] if stratum else [])]
-    x = statistic.select("target", "value", *([stratum] if stratum else [])).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
-    w = Window.partitionBy(*by)
-    a = x.withColumn("_r", F.row_number().over(w.orderBy("target")))
-    b = x.select(*by, F.col("value").alias("moved"), F.row_number().over(w.orderBy(digest(seed, "null", "replicate", "target"), "target")).alias("_r"))
-    moved = a.join(b, [*by, "_r"]).select("replicate", "target", "moved")
-    return members.select("source", "target").join(moved, "target").groupBy("source", "replicate").agg(F.avg("moved").alias("value"))
-
-
-def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
+def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int = 10_000, seed: int = 42, stratum: str | None = None) -> DataFrame:
     """Observed set means against the permutation null: expected mean, two-sided p floored at 1/times, adjusted p."""
     observed = set_means(members, statistic)
-    null = permutation_null(members, statistic, times, seed, stratum)
+    null = cut(permutation_null(members, statistic, times, seed, stratum))
     expected = null.groupBy("source").agg(F.avg("value").alias("expected"))
     far = null.join(observed.select("source", "mean"), "source").join(expected, "source")
-    p = far.groupBy("source").agg(F.first("expected").alias("expected"), F.avg((F.abs(F.col("value") - F.col("expected")) >= F.abs(F.col("mean") - F.col("expected"))).cast("double")).alias("pval"))
+    slack = 1e-9 * (F.abs("mean") + F.abs("expected"))  # the order of sums makes no difference
+    p = far.groupBy("source").agg(F.first("expected").alias("expected"), F.avg((F.abs(F.col("value") - F.col("expected")) >= F.abs(F.col("mean") - F.col("expected")) - slack).cast("double")).alias("pval"))
     x = observed.join(p, "source").withColumn("pval", F.greatest("pval", F.lit(1.0 / times)))
     return benjamini_hochberg(x, "pval")
 
@@ -127,44 +115,20 @@ def grid_saturation(chosen: DataFrame, low: float, high: float) -> DataFrame:
     return chosen.agg(F.avg((F.col("alpha") <= low).cast("double")).alias("at_low"), F.avg((F.col("alpha") >= high).cast("double")).alias("at_high"))
 
 
-def enrichment_scores(statistic: DataFrame, net: DataFrame, times: int = 200, least: int = 5, seed: int = 42) -> DataFrame:
-    """Running-sum enrichment of every set on the ranked statistic, normalised by a permutation null.
+def enrichment_scores(statistic: DataFrame, net: DataFrame, times: int = 10_000, least: int = 5, seed: int = 42) -> DataFrame:
+    """Running-sum enrichment of every set on the ranked statistic against `times` random sets of its size.
 
-    A task scores some sets against the ranking, which is one row per target and goes to it as
-    a size-checked broadcast; sets are dealt by source. p is floored at 1/times before adjusting.
+    Returns source, set_size, es, norm (es over the mean size of null scores of its sign; null without any), pval (the
+    share of those at least as far out, floored at 1/times) and padj. Sets with fewer than `least` ranked targets are left out.
     """
-    ranked = statistic.where(F.col("value").isNotNull()).orderBy(F.desc("value"), "target").select("target", "value")
-    size = int(str(ranked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 30:
-        raise ValueError("the ranking is too large to send to every task")
-    rows = ranked.collect()
-    names, values = np.array([r["target"] for r in rows]), np.array([float(r["value"]) for r in rows])
-    shared = statistic.sparkSession.sparkContext.broadcast(({n: i for i, n in enumerate(names.tolist())}, np.abs(values)))
-    sets = set_members(net, statistic, least).groupBy("source").agg(F.sort_array(F.collect_set("target")).alias("targets"))
-
-    def score(hit, weight):
-        up = np.where(hit, weight, 0.0)
-        total, miss = up.sum(), len(hit) - hit.sum()
-        run = np.cumsum(up / total if total > 0 else hit / max(1, hit.sum())) - np.cumsum(~hit) / max(1, miss)
-        return run[np.abs(run).argmax()]
-
-    def run(batches):
-        place, weight = shared.value
-        for batch in batches:
-            out = []
-            for source, targets in zip(batch.column("source").to_pylist(), batch.column("targets").to_pylist(), strict=True):
-                hit = np.zeros(len(weight), bool)
-                hit[[place[t] for t in targets if t in place]] = True
-                es = score(hit, weight)
-                rng = np.random.default_rng([seed, int(hit.sum())])
-                null = np.array([score(rng.permutation(hit), weight) for _ in range(times)])
-                side = null[np.sign(null) == np.sign(es)]
-                scale = np.abs(side).mean() if len(side) else np.nan
-                p = float((np.abs(side) >= abs(es)).mean()) if len(side) else 1.0
-                out.append((source, int(hit.sum()), float(es), float(es / scale) if scale else None, max(p, 1 / times)))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["source", "set_size", "es", "norm", "pval"]) if out else batch.schema.empty_table().to_batches()
-
-    return benjamini_hochberg(sets.mapInArrow(run, "source string, set_size long, es double, norm double, pval double"), "pval")
+    ranked, hits, total = ranking_hits(statistic, set_members(net, statistic.where(F.col("value").isNotNull() & ~F.isnan("value")), least))
+    scores = cut(running_scores(hits, total))
+    null = score_null(ranked, scores, times, seed)
+    met = scores.join(null, "set_size", "left").withColumn("_side", F.signum("null_es") == F.signum("es"))
+    size = F.when(F.col("_side"), F.abs("null_es"))
+    out = met.groupBy("source", "set_size", "es").agg(F.avg(size).alias("_mean"), F.avg((size >= F.abs("es")).cast("double")).alias("_p"))
+    out = out.select("source", "set_size", "es", F.when(F.col("_mean") > 0, F.col("es") / F.col("_mean")).alias("norm"), F.greatest(F.coalesce("_p", F.lit(1.0)), F.lit(1.0 / times)).alias("pval"))
+    return benjamini_hochberg(cut(out), "pval")
 
 
 def significant(table: DataFrame, fdr: float = 0.05) -> DataFrame:

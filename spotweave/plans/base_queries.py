@@ -11,7 +11,7 @@ from spotweave.operators import bootstrap, cohort, folds, probes, sampling
 from spotweave.plans import probe_sql as S
 from spotweave.plans.cohort import SQL, raw_spots, spots
 
-N_BOOT = 100
+N_BOOT = 2000
 
 
 def query_table():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
-from spotweave.operators import biosignal, correction, counts, diagnostics, integration, knn, linalg, models, results, tables
+from spotweave.operators import biosignal, correction, counts, diagnostics, integration, knn, linalg, models, nulls, results, tables
 from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 
@@ -157,7 +157,7 @@ def set_coverage(spark, sf_dir):
 
 
 @query(_SETS + """, x AS (SELECT target, value, unnest(range(5))::INTEGER AS replicate FROM s), a AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY target) AS r FROM x),
-b AS (SELECT replicate, value AS moved, row_number() OVER (PARTITION BY replicate ORDER BY md5(concat_ws('|', '42', 'null', replicate, target)), target) AS r FROM x)
+b AS (SELECT replicate, value AS moved, row_number() OVER (PARTITION BY replicate ORDER BY substr(md5(concat_ws('|', '42', 'null', replicate // 4, target)), 8 * (replicate % 4) + 1, 8), target) AS r FROM x)
 SELECT mem.source, a.replicate, round(avg(moved), 6) AS value FROM mem JOIN a USING (target) JOIN b ON a.replicate = b.replicate AND a.r = b.r GROUP BY ALL""")
 def permutation_null(spark, sf_dir):
     _, g, m = _members(spark, sf_dir)
@@ -165,15 +165,15 @@ def permutation_null(spark, sf_dir):
 
 
 _NULL = """, x AS (SELECT target, value, {s} AS stratum, unnest(range({n}))::INTEGER AS replicate FROM s), a AS (SELECT *, row_number() OVER (PARTITION BY replicate, stratum ORDER BY target) AS r FROM x),
-b0 AS (SELECT replicate, stratum, value AS moved, row_number() OVER (PARTITION BY replicate, stratum ORDER BY md5(concat_ws('|', '42', 'null', replicate, target)), target) AS r FROM x),
+b0 AS (SELECT replicate, stratum, value AS moved, row_number() OVER (PARTITION BY replicate, stratum ORDER BY substr(md5(concat_ws('|', '42', 'null', replicate // 4, target)), 8 * (replicate % 4) + 1, 8), target) AS r FROM x),
 nul AS (SELECT mem.source, a.replicate, avg(moved) AS value FROM mem JOIN a USING (target) JOIN b0 ON a.replicate = b0.replicate AND a.stratum = b0.stratum AND a.r = b0.r GROUP BY ALL)
 """
 _TESTS = """, o AS (SELECT source, count(*) AS set_size, avg(value) AS mean FROM mem GROUP BY source), e AS (SELECT source, avg(value) AS expected FROM nul GROUP BY source),
-p AS (SELECT source, greatest(avg((abs(nul.value - expected) >= abs(mean - expected))::INT), 1.0 / {n}) AS pval FROM nul JOIN o USING (source) JOIN e USING (source) GROUP BY source),
+p AS (SELECT source, greatest(avg((abs(nul.value - expected) >= abs(mean - expected) - 1e-9 * (abs(mean) + abs(expected)))::INT), 1.0 / {n}) AS pval FROM nul JOIN o USING (source) JOIN e USING (source) GROUP BY source),
 q AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY pval) AS r FROM p), b AS (SELECT avg(value) AS background FROM s)
 SELECT source, set_size, round(mean, 6) AS mean, round(background, 6) AS background, round(mean - background, 6) AS mean_delta, round(expected, 6) AS expected, round(pval, 6) AS pval,
   round(least(1, min(pval * m / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS padj FROM q JOIN o USING (source) JOIN e USING (source), b"""
-N_NULL = 200
+N_NULL = 10_000
 
 
 @query(_SETS + _NULL.format(s="0", n=N_NULL) + _TESTS.format(n=N_NULL))
@@ -189,10 +189,22 @@ def matched_null(spark, sf_dir):
     return rounded(biosignal.set_mean_tests(m, x, N_NULL, stratum="stratum"))
 
 
+@query(_SETS + """, k AS (SELECT target, value AS v, row_number() OVER (ORDER BY value DESC, target) AS r FROM s), n AS (SELECT count(*) AS n FROM s),
+h AS (SELECT source, r, abs(v) AS w, count(*) OVER (PARTITION BY source) AS k, sum(abs(v)) OVER (PARTITION BY source) AS t, row_number() OVER (PARTITION BY source ORDER BY r) AS i,
+  sum(abs(v)) OVER (PARTITION BY source ORDER BY r ROWS UNBOUNDED PRECEDING) AS c FROM mem JOIN k USING (target)),
+p AS (SELECT source, k, (c - w) / t - (r - i) / (n - k) AS v, 2 * r AS pos FROM h, n UNION ALL SELECT source, k, c / t - (r - i) / (n - k), 2 * r + 1 FROM h, n)
+SELECT source, any_value(k) AS set_size, round(arg_max(v, struct_pack(a := abs(v), b := -pos)), 6) AS es FROM p GROUP BY source""")
+def enrichment_walk(spark, sf_dir):
+    """The running-sum scores alone, without their null."""
+    _, g, m = _members(spark, sf_dir)
+    _, hits, total = nulls.ranking_hits(g, m)
+    return rounded(nulls.running_scores(hits, total))
+
+
 @query()
 def enrichment(spark, sf_dir):
     net, g, _ = _members(spark, sf_dir)
-    return rounded(biosignal.enrichment_scores(g, net, times=200))
+    return rounded(biosignal.enrichment_scores(g, net, times=N_NULL))
 
 
 @query()
@@ -305,17 +317,6 @@ def normalised_counts(spark, sf_dir):
     return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
 
 
-@query()
-def normalised_counts_all(spark, sf_dir):
-    """The values of normalised_counts once more, under the name they had apart from it."""
-    c = _counts(spark, sf_dir)
-    x = counts.expression(c.select("sample_id", "spot").distinct(), c, c.select("gene").distinct())
-    return rounded(x.select("sample_id", "spot", F.explode("genes").alias("gene", "value")))
-
-
-ORACLE["normalised_counts_all"] = ORACLE["normalised_counts"]
-
-
 def _dispersion_sql(by: str = "", t: str = "") -> str:
     """View score{t}: (by, gene, mean, score), the quadratic fit by Cramer's rule on sums. t ends the names of its views."""
     g = by + ", " if by else ""

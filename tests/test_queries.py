@@ -13,7 +13,7 @@ NAMES = [
     "labels_canonical_floor", "class_floor", "cohort_summary", "class_summary", "fold_table", "flagship", "sample_quotas", "slide_cap", "variance_donor",
     "mean_pairwise_cosine", "detrended_strata", "benjamini_hochberg", "quartile_table", "set_means", "score_conflicts", "unfolded_panel", "shared_vocabulary", "bbknn_graph", "contingency_agreement",
     "panel_split", "melted_deltas", "attached_pooled_wide", "model_pairs", "condition_pairs", "scope_classes", "contrast_rankings", "matched_strata", "enrichment_order", "pooled_slides", "spot_pixels",
-    "silhouette_label", "bras", "isolated_label_score", "pooled_loso_on_fold", "normalised_counts",
+    "enrichment_walk", "permutation_null", "silhouette_label", "bras", "isolated_label_score", "pooled_loso_on_fold", "normalised_counts",
 ]
 
 
@@ -40,7 +40,7 @@ def test_matches_sql(spark, con, name):
 
 def test_normalised_counts_of_all_genes(spark):
     sf = SF.replace("0.001", "0.01")  # more than 200 genes
-    got = registry.queries()["normalised_counts_all"](spark, sf).toPandas()
+    got = registry.queries()["normalised_counts"](spark, sf).toPandas()
     assert got.gene.max() > 200
     want = duckdb.sql(f"""WITH c AS (SELECT l_linenumber::VARCHAR AS sample_id, l_orderkey AS spot, l_partkey AS gene, sum(l_quantity) AS count FROM '{sf}/lineitem.parquet' GROUP BY ALL),
         t AS (SELECT sample_id, spot, sum(count) AS total FROM c GROUP BY ALL) SELECT sample_id, spot, gene, round(ln(1 + count / total * 1e4), 6) AS value FROM c JOIN t USING (sample_id, spot)""").df()
