@@ -12,6 +12,7 @@ from spotweave.functions.labels import is_labelled
 from spotweave.functions.lineage import cut
 from spotweave.functions.vectors import standardised
 from spotweave.operators.knn import nearest, vote
+from spotweave.operators.neighbour_index import leave_one_out_neighbours
 
 TINY = 1e-8
 
@@ -181,8 +182,18 @@ def reference_model(model: str, corrections: tuple = ("harmony", "combat", "bbkn
 
 
 def leave_one_out(rows: DataFrame, group: str, k: int = 5, majority: bool = False) -> DataFrame:
-    """loso_donor and pooled_loso: leave one group out within each tissue."""
-    return predict(group_members(cut(rows), group), k, majority)
+    """loso_donor and pooled_loso: leave one group out within each tissue.
+
+    Neighbours come from one index per tissue that serves all its folds, so no row is copied for a fold.
+    """
+    if majority:
+        return predict(group_members(cut(rows), group), k, majority)
+    own = cut(rows.where(is_labelled("annotation")).withColumn("_unit", F.col(group).cast("string")))
+    found, folds = leave_one_out_neighbours(own.select("key", F.col("tissue").alias("domain"), F.col("_unit").alias("unit"), F.col("annotation").alias("label"), "z"), k)
+    guess = vote(found, fold="domain").select(F.col("domain").alias("tissue"), "key", "y_pred")
+    sizes = folds.select(F.col("domain").alias("tissue"), F.col("unit").alias("_unit"), "n_train")
+    out = own.join(guess, ["tissue", "key"]).join(F.broadcast(sizes), ["tissue", "_unit"])  # a row per fold
+    return out.select(F.lit(group).alias("level"), F.concat_ws("|", "tissue", "_unit").alias("fold"), "key", "tissue", "donor", "sample_id", F.col("annotation").alias("y_true"), "y_pred", "n_train")
 
 
 def on_folds(rows: DataFrame, folds: DataFrame, k: int = 5, majority: bool = False) -> DataFrame:
