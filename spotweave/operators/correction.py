@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.lineage import cut
+from spotweave.functions.lineage import cut, drop_cut
 from spotweave.operators.knn import padded_graph
 from spotweave.operators.probes import moments
 
@@ -53,49 +53,151 @@ def bbknn(df: DataFrame, key: str, batch: str, vector: str, per_batch: int = 3)
     return padded_graph(x, per_batch, by_batch=True)
 
 
-def harmony(df: DataFrame, key: str, batch: str, vector: str, clusters: int = 8, rounds: int = 5, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, out: str = "z", seed: int = 42) -> DataFrame:
-    """Soft clusters penalised for batch imbalance, then a ridge offset per cluster and batch, repeated.
+class _Soft:
+    """Soft assignments of rows to centres under the diversity penalty, from parameters alone: any pass can make them again."""
 
-    Each round aggregates cluster x batch sums and is written to the checkpoint folder. Centres start
-    from rows in digest order.
+    def __init__(self, centres, seen, expected, theta: float, sigma: float):
+        # seen, expected: blocks x clusters x batches; a block is judged by the other blocks' sums
+        self.centres, self.theta, self.sigma = centres, theta, sigma
+        rest, due = seen.sum(axis=0)[None] - seen, expected.sum(axis=0)[None] - expected
+        self.penalty = ((np.maximum(due, 0) + 1) / (np.maximum(rest, 0) + 1)) ** theta
+
+    def of(self, u: np.ndarray, batch: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(assignments, distances) of unit vectors."""
+        far = 2 * (1 - u @ self.centres.T)
+        w = np.exp(-(far - far.min(axis=1, keepdims=True)) / self.sigma) * self.penalty[block, :, batch]
+        return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300), far
+
+
+def _units(z: np.ndarray) -> np.ndarray:
+    size = np.sqrt((z * z).sum(axis=1, keepdims=True))
+    return z / np.where(size > 0, size, 1)
+
+
+def _vectors(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _added(part: DataFrame) -> list[np.ndarray]:
+    """The arrays that tasks send, each packed as doubles, added up: a few per task, then one."""
+    names = part.columns
+
+    def add(table):
+        import pyarrow as pa
+
+        return pa.table([[np.sum([np.frombuffer(v, np.float64) for v in table.column(c).to_pylist()], axis=0).tobytes()] for c in names], names=names)
+
+    kinds = ", ".join(f"{c} binary" for c in names)
+    few = part.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("_g").applyInArrow(lambda t: add(t.drop_columns(["_g"])), kinds)
+    rows = few.collect()  # 16 rows at most
+    return [np.sum([np.frombuffer(r[c], np.float64) for r in rows], axis=0) for c in names]
+
+
+def harmony(
+    df: DataFrame, key: str, batch: str, vector: str, clusters: int | None = None, rounds: int = 20, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, out: str = "z", seed: int = 42,
+    inner: int = 20, blocks: int = 20, tolerance: float = 1e-4, inner_tolerance: float = 1e-5, history: list | None = None,
+) -> DataFrame:
+    """Soft clusters penalised for batch imbalance, then a ridge regression on the batches in every cluster, until the objective settles.
+
+    At most `rounds` rounds of at most `inner` passes; both end when the objective's relative change is under its tolerance.
+    A pass is one job: rows are assigned block by block (blocks by a hash of the key, each judged by the sums of the other
+    blocks in the passes before, of which the latest counts 1 / (1 + theta)), and tasks send the sums of clusters, batches and blocks, from which the driver has the next centres and the objective
+    (distance, entropy and diversity terms). Only these sums leave the tasks. Offsets are taken off the original vectors in every round. clusters: a
+    thirtieth of the rows by default, 100 at most. Centres start from rows in digest order. `history` gets the objective of every pass.
     """
+    import pyarrow as pa
+
     from spotweave.functions.keys import digest
-    from spotweave.functions.vectors import dot, unit
 
     spark = df.sparkSession
-    x = df.withColumn(out, F.col(vector).cast("array<double>")).withColumn("_b", F.col(batch).cast("string"))
-    shares = {r["_b"]: r["n"] for r in x.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per batch
-    total = sum(shares.values())
-    first = x.select(unit(F.col(out)).alias("u"), digest(seed, "harmony", key).alias("d")).orderBy("d").limit(clusters).collect()
-    centres = np.array([r["u"] for r in first])
-    penalty = {b: np.ones(len(centres)) for b in shares}
-    lit = lambda v: F.array(*[F.lit(float(a)) for a in v])
+    rows = df.withColumn("_b", F.col(batch).cast("string")).withColumn("_z", F.col(vector).cast("array<double>"))
+    shares = {r["_b"]: r["n"] for r in rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per batch
+    names, total = sorted(shares, key=lambda x: (x is not None, x or "")), sum(shares.values())
+    if not total:
+        return df.withColumn(out, F.col(vector).cast("array<double>"))
+    count = clusters or max(1, min(100, round(total / 30)))
+    share = np.array([shares[b] / total for b in names])
+    first = rows.select("_z", digest(seed, "harmony", key).alias("d")).orderBy("d").limit(count).collect()
+    centres = _units(np.array([r["_z"] for r in first], float))
+    count, dims = centres.shape
+    now = cut(rows.select(F.col(key).alias("_key"), "_b", "_z", F.col("_z").alias("_now"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block")))
+    shape = (blocks, count, len(names))
+
+    def parts(column):
+        return np.array([names.index(b) for b in column.to_pylist()])
+
+    def summed(soft: _Soft, whole: bool):
+        """One pass: cluster x batch sums by block, sums of unit vectors, distance and entropy terms; with `whole` the sums of the original vectors by cluster and batch."""
+
+        def run(batches):
+            seen, unit, terms = np.zeros(shape), np.zeros((count, dims)), np.zeros(2)
+            offsets = np.zeros((count, len(names), dims) if whole else (1,))
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                b, block, u = parts(x.column("_b")), x.column("_block").to_numpy(), _units(_vectors(x.column("_now")))
+                r, far = soft.of(u, b, block)
+                np.add.at(seen, (block, slice(None), b), r)
+                unit += r.T @ u
+                terms += (r * far).sum(), (r * np.log(np.maximum(r, 1e-300))).sum()
+                if whole:
+                    z = _vectors(x.column("_z"))
+                    for i in np.unique(b):
+                        offsets[:, i] += r[b == i].T @ z[b == i]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (seen, unit, terms, offsets)], names=["seen", "unit", "terms", "offsets"])
+
+        seen, unit, terms, offsets = _added(now.select("_b", "_block", "_z", "_now").mapInArrow(run, "seen binary, unit binary, terms binary, offsets binary"))
+        return seen.reshape(shape), unit.reshape(count, dims), terms, offsets
+
+    zero = np.zeros(shape)
+    plain = _Soft(centres, zero, zero, 0.0, sigma)
+    held, unit, terms, _ = summed(plain, False)
+    step = 1 / (1 + theta)  # all blocks move at once, and a full step would overshoot by the penalty's power
+    due = lambda s: s.sum(axis=2, keepdims=True) * share
+    last_round = None
     for _ in range(rounds):
-        c = F.array(*[lit(v) for v in centres])
-        table = spark.createDataFrame([(b, [float(v) for v in p]) for b, p in penalty.items()], "_b string, _p array<double>")
-        soft = F.transform(c, lambda v: F.exp(-2 * (1 - dot(unit(F.col(out)), v)) / sigma))
-        w = x.join(F.broadcast(table), "_b").withColumn("_w", F.zip_with(soft, F.col("_p"), lambda a, b: a * b))  # a row per batch
-        s = F.aggregate("_w", F.lit(1e-300), lambda a, b: a + b)
-        w = w.withColumn("_w", F.transform("_w", lambda a: a / s)).drop("_p")
-        e = w.select("_b", F.posexplode("_w").alias("_k", "_s"), F.col(out).alias("_z")).select("_b", "_k", "_s", F.posexplode("_z").alias("_pos", "_v"))
-        sums = e.groupBy("_b", "_k", "_pos").agg(F.sum(F.col("_s") * F.col("_v")).alias("s"), F.sum("_s").alias("w")).collect()  # batch x cluster x dimension
-        names, dims = sorted(shares), centres.shape[1]
-        s_, w_ = np.zeros((len(names), len(centres), dims)), np.zeros((len(names), len(centres)))
-        for r in sums:
-            i = names.index(r["_b"])
-            s_[i, r["_k"], r["_pos"]], w_[i, r["_k"]] = r["s"], r["w"]
-        mean = s_.sum(axis=0) / np.maximum(w_.sum(axis=0)[:, None], 1e-12)
-        offset = w_[:, :, None] * (s_ / np.maximum(w_[:, :, None], 1e-12) - mean[None]) / (w_[:, :, None] + ridge)
-        expected = w_.sum(axis=0)[None] * np.array([shares[b] / total for b in names])[:, None]
-        penalty = {b: (np.maximum(expected[i], 1e-12) / np.maximum(w_[i], 1e-12)) ** theta for i, b in enumerate(names)}
-        norm = np.sqrt((mean**2).sum(axis=1, keepdims=True))
-        centres = mean / np.where(norm > 0, norm, 1)
-        fix = spark.createDataFrame([(b, [[float(a) for a in v] for v in offset[i]]) for i, b in enumerate(names)], "_b string, _o array<array<double>>")
-        w = w.join(F.broadcast(fix), "_b")  # a row per batch
-        moved = F.aggregate(F.zip_with("_w", "_o", lambda a, o: F.transform(o, lambda v: v * a)), F.transform(out, lambda v: v * 0), lambda acc, o: F.zip_with(acc, o, lambda p, q: p + q))
-        x = w.withColumn(out, F.zip_with(F.col(out), moved, lambda a, b: a - b)).drop("_w", "_o")
-        x = cut(x)
-    return x.drop("_b")
+        last = None
+        for _ in range(inner):
+            centres = _units(unit)
+            soft = _Soft(centres, held, due(held), theta, sigma)
+            seen, unit, terms, offsets = summed(soft, True)
+            held = held + step * (seen - held)
+            o, e = seen.sum(axis=0), due(seen).sum(axis=0)
+            objective = float(terms[0] + sigma * terms[1] + sigma * theta * (o * np.log((o + 1) / (e + 1))).sum())
+            if history is not None:
+                history.append(objective)
+            if last is not None and abs(last - objective) < inner_tolerance * abs(last):
+                break
+            last = objective
+        # ridge regression of the original vectors on the batches, weighted by each cluster's assignments; the intercept stays
+        offsets, weights = offsets.reshape(count, len(names), dims), np.zeros((count, len(names), dims))
+        o = seen.sum(axis=0)
+        for k in range(count):
+            a = np.zeros((len(names) + 1, len(names) + 1))
+            a[0, 0], a[0, 1:], a[1:, 0] = o[k].sum(), o[k], o[k]
+            a[1:, 1:] = np.diag(o[k] + ridge)
+            y = np.concatenate([offsets[k].sum(axis=0)[None], offsets[k]])
+            weights[k] = np.linalg.lstsq(a, y, rcond=None)[0][1:]
+
+        def moved(batches, soft=soft, weights=weights):
+            for x in batches:
+                if not x.num_rows:
+                    continue
+                b, z = parts(x.column("_b")), _vectors(x.column("_z"))
+                r, _ = soft.of(_units(_vectors(x.column("_now"))), b, x.column("_block").to_numpy())
+                for i in np.unique(b):
+                    z = np.where((b == i)[:, None], z - r @ weights[:, i], z)
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, dims).astype(np.int32)), pa.array(z.ravel()))
+                yield pa.RecordBatch.from_arrays([x.column("_key"), x.column("_b"), x.column("_z"), made, x.column("_block")], names=["_key", "_b", "_z", "_now", "_block"])
+
+        kind = df.schema[key].dataType.simpleString()
+        after = cut(now.mapInArrow(moved, f"_key {kind}, _b string, _z array<double>, _now array<double>, _block int"))
+        drop_cut(now)
+        now = after
+        if last_round is not None and abs(last_round - objective) < tolerance * abs(last_round):
+            break
+        last_round = objective
+    return df.join(now.select(F.col("_key").alias(key), F.col("_now").alias(out)), key)
 
 
 def none(df: DataFrame, vector: str, out: str = "z") -> DataFrame:

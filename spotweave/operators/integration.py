@@ -5,38 +5,49 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.functions.lineage import cut
-
-
-def chi_square_tail(x: float, dof: int) -> float:
-    """P(chi-square >= x): the upper regularised incomplete gamma function, by series or continued fraction."""
-    a, x = dof / 2, x / 2
-    if x <= 0 or dof <= 0:
-        return 1.0
-    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
-    if x < a + 1:
-        term = total = 1 / a
-        for n in range(1, 1000):
-            term *= x / (a + n)
-            total += term
-            if term < total * 1e-15:
-                break
-        return max(0.0, 1 - front * total)
-    b, c = x + 1 - a, 1e300
-    d = h = 1 / b
+from spotweave.operators.linalg import moments_by
+from spotweave.operators.parts import connected_parts
+
+
+def chi_square_tail(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
+    """P(chi-square >= x) of whole arrays (or of one number): the upper regularised incomplete gamma function, by series or continued fraction; 1 where there is no degree of freedom."""
+    if np.ndim(x) == 0:
+        return float(chi_square_tail([x], [dof])[0])
+    x, dof = np.asarray(x, float) / 2, np.asarray(dof, float)
+    out = np.ones(len(x))
+    some = (x > 0) & (dof > 0)
+    a, y = dof[some] / 2, x[some]
+    front = np.exp(-y + a * np.log(y) - np.array([math.lgamma(v) for v in a]))
+    series = y < a + 1
+    term = 1 / a
+    total = term.copy()
+    for n in range(1, 1000):
+        term = np.where(series, term * y / (a + n), 0.0)
+        total += term
+        if (term <= total * 1e-15).all():
+            break
+    b, tiny = y + 1 - a, 1e-300
+    b = np.where(b == 0, tiny, b)
+    c, d = np.full(len(y), 1 / tiny), 1 / b
+    h = d.copy()
     for i in range(1, 1000):
         an = -i * (i - a)
-        b += 2
-        d = 1 / (an * d + b or 1e-300)
-        c = b + an / c or 1e-300
-        h *= d * c
-        if abs(d * c - 1) < 1e-15:
+        b = b + 2
+        low = an * d + b
+        d = 1 / np.where(low == 0, tiny, low)
+        c = b + an / c
+        c = np.where(c == 0, tiny, c)
+        step = np.where(series, 1.0, c * d)
+        h = h * step
+        if (np.abs(step - 1) < 1e-15).all():
             break
-    return min(1.0, front * h)
+    out[some] = np.clip(np.where(series, 1 - front * total, front * h), 0, 1)
+    return out
 
 
 def lisi(edges: DataFrame, labels: DataFrame, perplexity: float) -> DataFrame:
@@ -100,24 +111,16 @@ def kbet(edges: DataFrame, batch: DataFrame, label: DataFrame, alpha: float = 0.
 
     @F.pandas_udf("double")
     def tail(s, d):
-        return s.combine(d, lambda a, b: chi_square_tail(float(a), int(b)) if b > 0 else 1.0)
+        return pd.Series(chi_square_tail(s.to_numpy(), d.to_numpy()), index=s.index)
 
     return stat.withColumn("p", tail("stat", "dof")).groupBy("label").agg(F.avg((F.col("p") >= alpha).cast("double")).alias("acceptance"))
 
 
-def graph_connectivity(edges: DataFrame, label: DataFrame, rounds: int = 50) -> DataFrame:
+def graph_connectivity(edges: DataFrame, label: DataFrame) -> DataFrame:
     """Mean over labels of the share of a label's rows in its largest connected part."""
     l = label.select("key", "label")
     x = edges.select(F.col("key").alias("a"), F.col("other").alias("b")).join(l.select(F.col("key").alias("a"), "label"), "a").join(l.select(F.col("key").alias("b"), F.col("label").alias("_l")), "b").where("label = _l and a <> b")
-    both = x.select("a", "b").unionByName(x.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    part = l.select("key", "label", F.col("key").alias("part"))
-    for _ in range(rounds):
-        low = both.join(part.select(F.col("key").alias("b"), "part"), "b").groupBy("a").agg(F.min("part").alias("low"))
-        after = cut(part.join(low, part.key == low.a, "left").select("key", "label", F.least("part", F.coalesce("low", "part")).alias("part"), (F.coalesce("low", "part") < F.col("part")).alias("_moved")))
-        moved = after.where("_moved").limit(1).count()
-        part = after.drop("_moved")
-        if not moved:
-            break
+    part = l.join(connected_parts(x), "key", "left").withColumn("part", F.coalesce("part", "key"))
     size = part.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"))
     return size.groupBy("label").agg((F.max("n") / F.sum("n")).alias("share")).agg(F.avg("share").alias("graph_connectivity"))
 
@@ -159,17 +162,21 @@ def centroid_silhouette(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def pcr(df: DataFrame, vector: str, batch: str, components: int = 10) -> float:
-    """Between-batch share of each principal component, weighted by its variance."""
-    from spotweave.operators.diagnostics import variance_split
-    from spotweave.operators.linalg import PCA
-
-    p = PCA(components).fit(df, vector)
-    z = p.transform(df, vector, "_pc")
-    total = 0.0
-    for k, v in enumerate(p.variance):
-        one = z.select(batch, F.array(F.element_at("_pc", k + 1)).alias("one"))
-        total += v * (variance_split(one, "one", batch).first()["between_fraction"] or 0.0)
-    return float(total / max(p.variance.sum(), 1e-300))
+    """Between-batch share of each principal component, weighted by its variance; all from one Gramian and the sums of every batch."""
+    by = moments_by(df, vector, vector, batch)
+    if not by:
+        return 0.0
+    total = None
+    for m in by.values():
+        total = m if total is None else total + m
+    centred = total.centred()[0]
+    values, vectors = np.linalg.eigh(centred / max(1, total.n - 1))
+    order = np.argsort(values)[::-1][: min(components, total.n)]
+    mean = total.sx / total.n
+    between = sum(m.n * ((m.sx / m.n - mean) @ vectors[:, order]) ** 2 for m in by.values())
+    whole = np.maximum(values[order], 0) * max(1, total.n - 1)
+    share = np.where(whole > 1e-12 * max(whole.max(initial=0), 1e-300), between / np.maximum(whole, 1e-300), 0.0)
+    return float((share * whole).sum() / max(whole.sum(), 1e-300))
 
 
 def pcr_comparison(before: float, after: float) -> float:

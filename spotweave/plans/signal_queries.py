@@ -371,7 +371,7 @@ def combat(spark, sf_dir):
 
 @query()
 def harmony(spark, sf_dir):
-    x = correction.harmony(spots(spark, sf_dir), "spot_key", "donor", "gene_features", clusters=4, rounds=2)
+    x = correction.harmony(spots(spark, sf_dir), "spot_key", "donor", "gene_features")
     return rounded(x.select("spot_key", F.posexplode("z").alias("component", "value")), 4)
 
 
