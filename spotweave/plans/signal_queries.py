@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
-from spotweave.operators import biosignal, correction, counts, diagnostics, integration, knn, linalg, models, nulls, results, tables
+from spotweave.operators import biosignal, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, tables
 from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 
@@ -355,6 +355,45 @@ def selected_genes(spark, sf_dir):
     return out
 
 
+# Spots of several genes: orders as spots of five slides, of which three are the fit split.
+_BASKETS = """WITH every AS (SELECT (l_orderkey % 5)::VARCHAR AS sample_id, l_orderkey AS spot, l_partkey AS gene, sum(l_quantity) AS count FROM lineitem GROUP BY ALL
+), shared AS (SELECT gene FROM every GROUP BY gene HAVING count(DISTINCT sample_id) = (SELECT count(DISTINCT sample_id) FROM every) AND count(*) FILTER (count > 0) >= 3
+), own AS (SELECT * FROM every WHERE sample_id IN ('0', '1', '2')
+), c AS (SELECT * FROM own WHERE gene IN (SELECT gene FROM shared))
+"""
+_KEPT = 120
+
+
+def _baskets(spark, sf_dir):
+    c = _read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 5).cast("string").alias("sample_id"), F.col("l_orderkey").alias("spot"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("count"))
+    every = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spot"))
+    gone = every.select((F.col("spot") * -1).alias("spot")).where("spot % 50 = 0")  # spots that no slide's counts have
+    spots_ = every.unionByName(gone).select((F.abs("spot") % 5).cast("string").alias("sample_id"), "spot")
+    return c, spots_, spots_.where("sample_id in ('0', '1', '2')")
+
+
+@query(_BASKETS + _dispersion_sql().replace("AS n FROM c\n", "AS n FROM own\n") + f""", top AS (SELECT gene, score FROM score ORDER BY score DESC, gene LIMIT {_KEPT}
+), n AS (SELECT count(DISTINCT (sample_id, spot)) AS n FROM own), t AS (SELECT sample_id, spot, sum(count) AS total FROM own GROUP BY ALL
+), v AS (SELECT gene, ln(1 + count / total * 1e4) AS v FROM own JOIN t USING (sample_id, spot) WHERE gene IN (SELECT gene FROM top)
+), m AS (SELECT gene, sum(v) / any_value(n) AS mean, sum(v * v) / any_value(n) AS square FROM v, n GROUP BY gene)
+SELECT gene, (row_number() OVER (ORDER BY gene) - 1)::INTEGER AS place, round(score, 5) AS score, round(mean, 6) AS mean, round(sqrt(square - mean * mean), 6) AS sd FROM top JOIN m USING (gene)""")
+def hvg_scaler(spark, sf_dir):
+    """The genes that the count baseline keeps, and their scaler on the fit spots."""
+    c, _, fit = _baskets(spark, sf_dir)
+    genes = hvg.ranked_genes(c, fit, _KEPT, 3)
+    rows = hvg.sparse_rows(c.join(fit, hvg.SPOT, "left_semi"), genes)
+    out = genes.join(hvg.gene_scaler(rows, genes.count()), "place").select("gene", "place", F.round("score", 5).alias("score"), "mean", "sd")
+    return rounded(out)
+
+
+@query()
+def hvg_pca(spark, sf_dir):
+    """Components of all spots, fitted on the fit spots' counts; spots without counts are zeros."""
+    c, every, fit = _baskets(spark, sf_dir)
+    z = hvg.HvgPca(_KEPT, 4, 3).fit(c, fit).embed(c, every)
+    return rounded(z.select("sample_id", "spot", "found", F.posexplode("z").alias("component", "value")))
+
+
 @query("SELECT p_partkey, p_brand, CASE WHEN r = 0 THEN p_brand ELSE p_brand || '-' || r END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)")
 def unique_names(spark, sf_dir):
     return counts.unique_names(_read(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey")
