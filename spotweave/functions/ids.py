@@ -29,8 +29,8 @@ def fallback_tissue(sample_id: str = "sample_id") -> Column:
 def patient(sample_id: str, pattern: Column) -> Column:
     """Group 1 of the cohort's pattern on the slide id, else the id; patients are not donors."""
     c = F.col(sample_id)
-    found = F.regexp_extract(c, pattern, F.lit(1)) if not isinstance(pattern, str) else F.regexp_extract(c, pattern, 1)
-    return F.when(pattern.isNotNull() & c.rlike(pattern) & (found != ""), found).otherwise(c)
+    found = F.call_function("regexp_extract", c, pattern, F.lit(1))
+    return F.when(pattern.isNotNull() & F.rlike(c, pattern) & (found != ""), found).otherwise(c)
 
 
 def with_registry(spots: DataFrame, registry: DataFrame) -> DataFrame:

@@ -98,8 +98,11 @@ def set_means(members: DataFrame, statistic: DataFrame) -> DataFrame:
     return m.join(F.broadcast(b)).withColumn("mean_delta", F.col("mean") - F.col("background"))  # one row
 
 
-def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int = 10_000, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """Observed set means against the permutation null: expected mean, two-sided p floored at 1/times, adjusted p."""
+def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int = 10_000, seed: int = 42, stratum: str | None = None, families: DataFrame | None = None) -> DataFrame:
+    """Observed set means against the permutation null: expected mean, two-sided p floored at 1/times, adjusted p.
+
+    families (source, family): sets are adjusted within their family; a set of two families is in both.
+    """
     observed = set_means(members, statistic)
     null = cut(permutation_null(members, statistic, times, seed, stratum))
     expected = null.groupBy("source").agg(F.avg("value").alias("expected"))
@@ -107,7 +110,9 @@ def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int = 10_000
     slack = 1e-9 * (F.abs("mean") + F.abs("expected"))  # the order of sums makes no difference
     p = far.groupBy("source").agg(F.first("expected").alias("expected"), F.avg((F.abs(F.col("value") - F.col("expected")) >= F.abs(F.col("mean") - F.col("expected")) - slack).cast("double")).alias("pval"))
     x = observed.join(p, "source").withColumn("pval", F.greatest("pval", F.lit(1.0 / times)))
-    return benjamini_hochberg(x, "pval")
+    if families is None:
+        return benjamini_hochberg(x, "pval")
+    return benjamini_hochberg(cut(x.join(families.select("source", "family").distinct(), "source")), "pval", ["family"])
 
 
 def grid_saturation(chosen: DataFrame, low: float, high: float) -> DataFrame:
@@ -139,12 +144,15 @@ def strongest(table: DataFrame, n: int = 6) -> DataFrame:
     return table.orderBy(F.desc(F.abs("norm")), "source").limit(n)
 
 
-def fold_ridge(rows: DataFrame, x: str, y: str, fold: str, alphas: np.ndarray | None = None) -> DataFrame:
+def fold_ridge(rows: DataFrame, x: str, y: str, fold: str, alphas: np.ndarray | None = None, min_train: int = 2, min_test: int = 1, most: int = 1 << 29) -> DataFrame:
     """Held-out predictions of every fold by GCV ridge on standardised moments: (key, fold, target, truth, guess).
 
-    A fold's training moments are the total minus its own: one pass serves all folds.
+    A fold's training moments are the total minus its own: one pass serves all folds. Rows without targets (or without a vector) are
+    unresolved: they neither train nor test. Folds with fewer rows than min_train or min_test predict nothing. The weights of
+    all folds go to every task: more than `most` bytes are an error.
     """
     spark, alphas = rows.sparkSession, log_grid() if alphas is None else alphas
+    rows = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(fold).isNotNull())
     by = {r[fold]: Moments.of(r.asDict()) for r in cross_moments(rows, x, y, [fold]).collect()}  # a row per fold
     total = None
     for m in by.values():
@@ -152,11 +160,15 @@ def fold_ridge(rows: DataFrame, x: str, y: str, fold: str, alphas: np.ndarray |
     weights = {}
     for name, m in by.items():
         t = total - m
+        if t.n < min_train or m.n < min_test:
+            continue
         mx, my = t.sx / t.n, t.sy / t.n
         xx, xy, yy = t.centred()
         w, _ = ridge_gcv(Moments(t.n, t.sx, t.sy, xx, xy, yy), alphas)
         weights[name] = (w, mx, my)
-    shared = spark.sparkContext.broadcast(weights)  # folds x dimensions x targets
+    if sum(w.nbytes for w, _, _ in weights.values()) > most:
+        raise ValueError("the weights of all folds are too large to send to every task")
+    shared = spark.sparkContext.broadcast(weights)  # its size is checked
     src = rows.select("key", F.col(fold).cast("string").alias("fold"), F.col(x).cast("array<double>").alias("x"), F.col(y).cast("array<double>").alias("y"))
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -167,12 +179,22 @@ def fold_ridge(rows: DataFrame, x: str, y: str, fold: str, alphas: np.ndarray |
             a = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             b = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             names = np.array(batch.column("fold").to_pylist())
-            guess = np.empty_like(b)
+            guess = np.full_like(b, np.nan)
             for f in np.unique(names):
+                if f not in shared.value:
+                    continue
                 w, mx, my = shared.value[f]
                 guess[names == f] = (a[names == f] - mx) @ w + my
             d = b.shape[1]
             at = pa.array(np.repeat(np.arange(batch.num_rows), d))
             yield pa.RecordBatch.from_arrays([batch.column("key").take(at), batch.column("fold").take(at), pa.array(np.tile(np.arange(d), batch.num_rows)), pa.array(b.ravel()), pa.array(guess.ravel())], names=["key", "fold", "target", "truth", "guess"])
 
-    return src.mapInArrow(run, f"key {kind}, fold string, target long, truth double, guess double")
+    return src.mapInArrow(run, f"key {kind}, fold string, target long, truth double, guess double").where(~F.isnan("guess"))
+
+
+def level_r2(predictions: DataFrame, folds: DataFrame) -> DataFrame:
+    """(level, target, n, r2): each target's R2 over the held-out rows of all folds of a level together, not the mean of the folds' own.
+
+    folds: fold, level; a fold of several levels counts in each.
+    """
+    return r2_by_target(predictions.join(F.broadcast(folds.select("fold", "level").distinct()), "fold"), ["level", "target"], "truth", "guess")  # a row per fold

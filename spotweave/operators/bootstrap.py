@@ -124,6 +124,15 @@ def balanced_row(pred: DataFrame, n_boot: int = 200, seed: int = 42) -> DataFram
     return value.join(ranges)
 
 
+def balanced_rows(pred: DataFrame, by: str, n_boot: int = 200, seed: int = 42) -> DataFrame:
+    """balanced_row of every value of `by` (a level or a protocol), with that value."""
+    out = None
+    for r in sorted(pred.select(by).distinct().collect()):  # a row per level
+        own = balanced_row(pred.where(F.col(by) == r[by]), n_boot, seed).withColumn(by, F.lit(r[by]))
+        out = own if out is None else out.unionByName(own)
+    return out if out is not None else balanced_row(pred, n_boot, seed).withColumn(by, F.lit(None).cast("string")).limit(0)
+
+
 def pooled_interval(draws: DataFrame, by: list[str], run: str = "seed", with_p: bool = False) -> DataFrame:
     """Interval of the union of several runs' draws, and how many runs there are."""
     lo, hi = F.percentile("value", 0.025).alias("ci_lo_pooled"), F.percentile("value", 0.975).alias("ci_hi_pooled")

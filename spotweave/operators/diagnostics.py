@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spotweave.functions.ids import patient
 from spotweave.functions.vectors import squared_norm, unit
 from spotweave.operators.linalg import cca, effective_rank, moments_by, projected_correlation
 from spotweave.operators.probes import moments
+from spotweave.operators.results import refuse
 from spotweave.operators.sampling import permuted, uniform_sample
 
 
@@ -37,6 +39,20 @@ def variance_table(df: DataFrame, vectors: list[str], groupings: list[str], cap:
     return out.where("n_groups >= 2")
 
 
+def resolved_grouping(df: DataFrame, name: str, registry: DataFrame | None = None) -> DataFrame:
+    """The rows with the column that a grouping's name stands for, under that name.
+
+    `patient` is read out of the slide's id by its cohort's pattern (registry: dataset_id, donor_pattern), and is the slide where the cohort has none;
+    any other name is a column, and an unknown one is refused.
+    """
+    if name in df.columns:
+        return df
+    if name != "patient" or registry is None:
+        refuse(f"the grouping {name}", "no column has this name", f"any of {sorted(df.columns)}, or patient with a registry")
+    patterns = registry.select("dataset_id", F.col("donor_pattern").alias("_pattern")).dropDuplicates(["dataset_id"])
+    return df.join(F.broadcast(patterns), "dataset_id", "left").withColumn(name, patient("sample_id", F.col("_pattern"))).drop("_pattern")  # a row per cohort
+
+
 def mean_pairwise_cosine(df: DataFrame, vector: str) -> DataFrame:
     """Mean cosine of all pairs of different rows without forming a pair: sums of unit vectors only."""
     u = df.select(unit(F.col(vector)).alias("u"))

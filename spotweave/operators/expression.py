@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
 from spotweave.operators import sampling
-from spotweave.operators.ranking import global_rank
+from spotweave.operators.ranking import global_rank, rank_within
 
 
 def stripped(gene) -> F.Column:
@@ -61,6 +61,18 @@ def spots_by_slide(spots: DataFrame) -> DataFrame:
     return spots.groupBy("dataset_id", "sample_id").agg(F.count(F.lit(1)).alias("n_spots"), F.min("spot_id").alias("first_spot"), F.max("spot_id").alias("last_spot"))
 
 
+def slide_places(spots: DataFrame) -> DataFrame:
+    """Every spot with its slide's size and its place (from 0, by id) inside the slide: what a loop over slides would read, as rows."""
+    ranked = rank_within(spots.select("dataset_id", "sample_id", "spot_id"), ["dataset_id", "sample_id"], ["spot_id"], "place")
+    return ranked.select("dataset_id", "sample_id", "spot_id", (F.col("place") - 1).alias("place"), F.col("_n").alias("n_spots"))
+
+
+def gene_lookup(names: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gene, place) of every wanted gene: its first place among the names (gene, place), -1 where it has none."""
+    first = names.groupBy("gene").agg(F.min("place").alias("_at"))
+    return wanted.select("gene").join(first, "gene", "left").select("gene", F.coalesce("_at", F.lit(-1)).cast("long").alias("place"))
+
+
 def scoring_rows(spots: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """The rows that a panel scores: the labelled ones, `size` of them at most, by class in proportion."""
     return sampling.stratified_sample(spots.where(is_labelled("annotation")), key, "annotation", size, seed=seed)

@@ -10,8 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spotweave.functions.lineage import cut
 from spotweave.operators.linalg import moments_by
 from spotweave.operators.parts import connected_parts
+from spotweave.operators.results import refuse
 
 
 def chi_square_tail(x: np.ndarray, dof: np.ndarray) -> np.ndarray:
@@ -216,3 +218,65 @@ def split_panels(metrics: DataFrame, name: str = "metric") -> DataFrame:
     m = F.regexp_replace(F.lower(F.trim(F.col(name))), r"\s+", "_")
     panel = F.when(m.isin(*PANELS["batch"]), "batch").when(m.isin(*PANELS["bio"]), "bio").otherwise("other")
     return metrics.where(~m.isin(*COMPOSITES, *NO_METRICS)).withColumn("panel", panel)
+
+
+# Neighbours (the row itself among them) that the graph metrics read.
+GRAPH_SIZES = {"ilisi": 90, "clisi": 90, "kbet": 50, "graph_connectivity": 15}
+
+
+def graph_at(graph: DataFrame, size: int) -> DataFrame:
+    """The edges (key, other, dist) of a padded graph (key, rank, other, dist, the row itself at rank 0) cut at `size` neighbours, itself among them."""
+    return graph.where((F.col("rank") > 0) & (F.col("rank") < size) & (F.col("dist") < float("inf"))).select("key", "rank", "other", "dist")
+
+
+def graph_panel(graph: DataFrame, rows: DataFrame) -> DataFrame:
+    """(metric, score) of the metrics that read nothing but a neighbour graph, all from one graph at their own sizes.
+
+    rows: key, batch, label of the graph's rows. A graph narrower than the widest size, or of other rows, is refused.
+    """
+    need = max(GRAPH_SIZES.values())
+    width = graph.groupBy("key").agg(F.max("rank").alias("w")).agg(F.min("w"), F.count(F.lit(1))).first()
+    if width[1] and width[0] + 1 < need:
+        refuse("the graph panel", f"the graph has {width[0] + 1} neighbours a row and {need} are read", "ask for more neighbours")
+    if width[1] != rows.count() or not graph.select("key").distinct().join(rows.select("key"), "key", "left_anti").isEmpty():
+        refuse("the graph panel", "the graph and the labels are not of the same rows")
+    batch, label = rows.select("key", F.col("batch").alias("label")), rows.select("key", "label")
+    n_batch, n_label = rows.agg(F.countDistinct("batch"), F.countDistinct("label")).first()
+    at = {m: graph_at(graph, k) for m, k in GRAPH_SIZES.items()}
+    wide = GRAPH_SIZES["ilisi"] // 3
+    parts = {"clisi": scaled_lisi(lisi(at["clisi"], label, wide), n_label, False), "graph_connectivity": graph_connectivity(at["graph_connectivity"], label)}
+    if n_batch > 1:
+        parts |= {"ilisi": scaled_lisi(lisi(at["ilisi"], batch, wide), n_batch, True), "kbet": kbet(at["kbet"], rows.select("key", "batch"), label).agg(F.avg("acceptance"))}
+    return _scores(parts)
+
+
+def _scores(parts: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, p in parts.items():
+        p = p.toDF("score").select(F.lit(name).alias("metric"), F.col("score").cast("double").alias("score"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def panel(df: DataFrame, key: str, batch: str, label: str, vector: str, before: str | None = None, graph: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(metric, score, panel): batch removal and conservation of labels of one embedding; ten metrics, from one neighbour graph and the coordinates.
+
+    before: the vector that the embedding's share of batch variance is compared with (default: the embedding's own, which gives 0). With
+    one batch only the metrics of labels are there. The graph is built once at the widest size unless one is given.
+    """
+    from spotweave.operators import silhouette
+    from spotweave.operators.knn import padded_graph
+
+    rows = cut(df.select(F.col(key).alias("key"), F.col(batch).cast("string").alias("batch"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("x"), F.col(before or vector).cast("array<double>").alias("y")))
+    if graph is None:
+        graph = cut(padded_graph(rows.select("key", "batch", "x"), max(GRAPH_SIZES.values()) - 1))
+    found = graph_panel(graph, rows)
+    agreement = kmeans_agreement(rows, "x", "label", rows.select("label").distinct().count(), seed)
+    parts = {
+        "isolated_labels": silhouette.isolated_label_score(rows, "key", "batch", "label", "x"), "silhouette_label": silhouette.silhouette_label(rows, "key", "label", "x"),
+        "kmeans_nmi": agreement.select("nmi"), "kmeans_ari": agreement.select("ari"),
+    }
+    if rows.select("batch").distinct().limit(2).count() > 1:
+        now, then = pcr(rows, "x", "batch"), pcr(rows, "y", "batch")
+        parts |= {"bras": silhouette.bras(rows, "key", "batch", "label", "x"), "pcr_comparison": df.sparkSession.createDataFrame([(pcr_comparison(then, now),)], "score double")}
+    return split_panels(found.unionByName(_scores(parts)))

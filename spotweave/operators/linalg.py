@@ -166,13 +166,19 @@ class PCA:
         return df.withColumn(out, affine(F.col(column), self.components.T, -self.mean @ self.components))
 
 
-def affine(x, weights: np.ndarray, bias: np.ndarray):
-    """weights @ x + bias as an array column; weights and bias are small literals."""
-    from spotweave.functions.vectors import dot
-
-    row = lambda w: F.array(*[F.lit(float(v)) for v in w])
-    rows = F.array(*[F.struct(row(w).alias("w"), F.lit(float(b)).alias("b")) for w, b in zip(weights, bias, strict=True)])
-    return F.transform(rows, lambda r: dot(x, r["w"]) + r["b"])
+def affine(x, weights: np.ndarray, bias: np.ndarray, most: int = 1 << 28):
+    """weights @ x + bias as an array column, a batch at a time; a null vector stays null. The weights go to every task: at most `most` bytes."""
+    if weights.nbytes > most:
+        raise ValueError(f"the weights take {weights.nbytes} bytes, more than {most}")
+
+    @F.arrow_udf("array<double>")
+    def apply(column: pa.Array) -> pa.Array:
+        some = column.drop_null()
+        z = some.flatten().to_numpy(zero_copy_only=False).reshape(len(some), -1) @ weights.T + bias
+        ends = np.concatenate([[0], np.cumsum(np.where(column.is_valid().to_numpy(zero_copy_only=False), z.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(z.ravel()), mask=column.is_null())
+
+    return apply((F.col(x) if isinstance(x, str) else x).cast("array<double>"))
 
 
 def ridge_gcv(m: Moments, alphas: np.ndarray):

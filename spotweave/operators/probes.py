@@ -7,12 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spotweave.functions.keys import ratio
+from spotweave.functions.keys import digest, ratio
 from spotweave.functions.labels import is_labelled
 from spotweave.functions.lineage import cut
 from spotweave.functions.vectors import standardised
 from spotweave.operators.knn import nearest, vote
 from spotweave.operators.neighbour_index import leave_one_out_neighbours
+from spotweave.operators.ranking import rank_within as rank_rows_within
+from spotweave.operators.results import refuse
 
 TINY = 1e-8
 
@@ -73,15 +75,31 @@ def group_members(rows: DataFrame, group: str) -> DataFrame:
     return out.withColumn("role", F.when(F.col(group) == F.col("held"), "eval").otherwise("train")).withColumn("level", F.lit(group)).drop("held")
 
 
-def predict(members: DataFrame, k: int = 5, majority: bool = False) -> DataFrame:
+def capped_train(train: DataFrame, fold: str, cap: int, seed: int = 42) -> DataFrame:
+    """At most `cap` training rows of every fold, its classes in proportion: floor shares, then the largest remainders, rows by digest."""
+    n = train.groupBy(fold, "annotation").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy(fold)  # a row per class
+    exact = F.col("_n") * F.lit(cap) / F.col("_all")
+    x = n.withColumn("_all", F.sum("_n").over(own)).withColumn("_share", F.floor(exact)).withColumn("_rest", exact - F.floor(exact))
+    x = x.withColumn("_short", F.lit(cap) - F.sum("_share").over(own)).withColumn("_r", F.row_number().over(own.orderBy(F.desc("_rest"), digest(seed, "remainder", "annotation"))))
+    quota = F.when(F.col("_all") <= cap, F.col("_n")).otherwise(F.col("_share") + (F.col("_r") <= F.col("_short")).cast("long"))
+    quotas = x.select(fold, "annotation", quota.alias("_quota"))
+    ranked = rank_rows_within(train, [fold, "annotation"], [digest(seed, "stratified", "key"), "key"], "_place").drop("_n")
+    return ranked.join(quotas, [fold, "annotation"]).where("_place <= _quota").drop("_place", "_quota")
+
+
+def predict(members: DataFrame, k: int = 5, majority: bool = False, cap: int | None = None) -> DataFrame:
     """Predictions of every evaluated row of every fold in one plan.
 
     members: level, fold, role, key, z, annotation, tissue, donor, sample_id. The scaling is of
-    the fold's training rows. A fold without a side predicts nothing. Returns level, fold, key,
+    the fold's training rows. A fold without a side predicts nothing. `cap` bounds the training rows of a fold, its classes in
+    proportion; the majority is taken of all. Returns level, fold, key,
     tissue, donor, sample_id, y_true, y_pred, n_train.
     """
     members = members.withColumn("_f", F.concat_ws("\u0001", "level", "fold"))
     train, test = members.where("role = 'train'"), members.where("role = 'eval'")
+    if cap is not None and not majority:
+        train = cut(capped_train(train, "_f", cap))
     sizes = train.groupBy("_f").agg(F.count(F.lit(1)).alias("n_train"))
     if majority:
         n = train.groupBy("_f", "annotation").count()
@@ -181,13 +199,14 @@ def reference_model(model: str, corrections: tuple = ("harmony", "combat", "bbkn
     return own if head in corrections and own in models and model != own else "pca"
 
 
-def leave_one_out(rows: DataFrame, group: str, k: int = 5, majority: bool = False) -> DataFrame:
+def leave_one_out(rows: DataFrame, group: str, k: int = 5, majority: bool = False, cap: int | None = None) -> DataFrame:
     """loso_donor and pooled_loso: leave one group out within each tissue.
 
-    Neighbours come from one index per tissue that serves all its folds, so no row is copied for a fold.
+    Neighbours come from one index per tissue that serves all its folds, so no row is copied for a fold; a majority, and training
+    rows that a cap bounds for each fold, go by the folds' own rows.
     """
-    if majority:
-        return predict(group_members(cut(rows), group), k, majority)
+    if majority or cap is not None:
+        return predict(group_members(cut(rows), group), k, majority, cap)
     own = cut(rows.where(is_labelled("annotation")).withColumn("_unit", F.col(group).cast("string")))
     found, folds = leave_one_out_neighbours(own.select("key", F.col("tissue").alias("domain"), F.col("_unit").alias("unit"), F.col("annotation").alias("label"), "z"), k)
     guess = vote(found, fold="domain").select(F.col("domain").alias("tissue"), "key", "y_pred")
@@ -196,9 +215,9 @@ def leave_one_out(rows: DataFrame, group: str, k: int = 5, majority: bool = Fals
     return out.select(F.lit(group).alias("level"), F.concat_ws("|", "tissue", "_unit").alias("fold"), "key", "tissue", "donor", "sample_id", F.col("annotation").alias("y_true"), "y_pred", "n_train")
 
 
-def on_folds(rows: DataFrame, folds: DataFrame, k: int = 5, majority: bool = False) -> DataFrame:
+def on_folds(rows: DataFrame, folds: DataFrame, k: int = 5, majority: bool = False, cap: int | None = None) -> DataFrame:
     """heldout_donor: train on a fold's train slides, test on its eval slides."""
-    return predict(fold_members(cut(rows), cut(folds)), k, majority)
+    return predict(fold_members(cut(rows), cut(folds)), k, majority, cap)
 
 
 def leave_one_out_on_fold(rows: DataFrame, folds: DataFrame, level: str, fold: str, k: int = 5) -> DataFrame:
@@ -207,14 +226,25 @@ def leave_one_out_on_fold(rows: DataFrame, folds: DataFrame, level: str, fold: s
     return leave_one_out(rows.join(some, "sample_id", "left_semi"), "sample_id", k)
 
 
-PROTOCOLS = {"loso_donor": lambda rows, folds, **o: leave_one_out(rows, "donor", **o), "pooled_loso": lambda rows, folds, **o: leave_one_out(rows, "sample_id", **o), "heldout_donor": on_folds}
+PROTOCOLS = {"loso_donor": lambda rows, folds, **o: leave_one_out(rows, "donor", **o), "pooled_loso": lambda rows, folds, **o: leave_one_out(rows, "sample_id", **o), "heldout_donor": on_folds, "pooled_loso_on_fold": leave_one_out_on_fold}
+#: Those that read folds; the last one reads a single fold, named by level and fold.
+FOLD_PROTOCOLS = ("heldout_donor", "pooled_loso_on_fold")
+
+
+def dispatch(protocol: str, rows: DataFrame, folds: DataFrame | None = None, **options) -> DataFrame:
+    """Predictions of a protocol by its name; one that reads folds is refused without them."""
+    if protocol not in PROTOCOLS:
+        refuse(f"the protocol {protocol}", "there is none of this name", f"any of {sorted(PROTOCOLS)}")
+    if protocol in FOLD_PROTOCOLS and folds is None:
+        refuse(f"the protocol {protocol}", "it needs folds")
+    return PROTOCOLS[protocol](rows, folds, **options)
 
 
-def run_protocols(rows: DataFrame, folds: DataFrame, protocols=tuple(PROTOCOLS), **options) -> DataFrame:
+def run_protocols(rows: DataFrame, folds: DataFrame, protocols=("loso_donor", "pooled_loso", "heldout_donor"), **options) -> DataFrame:
     """All protocols in one frame; one that scores nothing is an error."""
     out = None
     for name in protocols:
-        pred = PROTOCOLS[name](rows, folds, **options).withColumn("protocol", F.lit(name))
+        pred = dispatch(name, rows, folds, **options).withColumn("protocol", F.lit(name))
         out = pred if out is None else out.unionByName(pred)
     done = {r["protocol"] for r in out.select("protocol").distinct().collect()}
     if done != set(protocols):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from spotweave.plans import base_queries, report_queries, signal_queries
+from spotweave.plans import base_queries, report_queries, signal_queries, table_queries
 from spotweave.plans.shipping import ship
 
 FLAGSHIP = "flagship"
-MODULES = (base_queries, signal_queries, report_queries)
+MODULES = (base_queries, signal_queries, report_queries, table_queries)
 
 
 def _shipped(query):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
-from spotweave.operators import biosignal, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, tables
+from spotweave.functions.lineage import shared_dir
+from spotweave.operators import arms, biosignal, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, reuse, tables
 from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 
@@ -435,22 +436,46 @@ def _keyed(spark, sf_dir):
 
 @query()
 def integration_panel(spark, sf_dir):
+    """Ten metrics of the location-and-scale correction, one neighbour graph behind four of them."""
+    x = correction.combat(spots(spark, sf_dir).where(is_labelled("annotation")), "sample_id", "gene_features")
+    return rounded(integration.panel(x, "spot_key", "sample_id", "annotation", "z", before="gene_features"), 4)
+
+
+@query(SQL + """, x AS (SELECT spot_key AS key, annotation AS label, gene_features::DOUBLE[] AS x FROM spots WHERE is_real
+), p AS (SELECT a.key, b.key AS other, a.label = b.label AS same, row_number() OVER (PARTITION BY a.key ORDER BY list_distance(a.x, b.x), b.key) AS r FROM x a JOIN x b ON a.key <> b.key
+), edge AS (SELECT key, other FROM p WHERE r < 15 AND same UNION SELECT other, key FROM p WHERE r < 15 AND same
+), reach AS (SELECT key, key AS other FROM x UNION SELECT reach.key, edge.other FROM reach JOIN edge ON edge.key = reach.other
+), part AS (SELECT key, min(other) AS part FROM reach GROUP BY key), size AS (SELECT label, part, count(*) AS n FROM part JOIN x USING (key) GROUP BY ALL)
+SELECT round(avg(share), 6) AS graph_connectivity FROM (SELECT label, max(n) / sum(n) AS share FROM size GROUP BY label)""")
+def graph_connectivity(spark, sf_dir):
     x = spots(spark, sf_dir).where(is_labelled("annotation"))
-    keyed = x.select(F.col("spot_key").alias("key"), F.col("tissue").alias("batch"), F.col("annotation").alias("label"), F.col("gene_features").cast("array<double>").alias("x"))
-    edges = knn.padded_graph(keyed, 30).where("rank > 0 and dist < double('infinity')")
-    b, l = keyed.select("key", F.col("batch").alias("label")), keyed.select("key", "label")
-    n_b, n_l = b.select("label").distinct().count(), l.select("label").distinct().count()
-    parts = {
-        "ilisi": integration.scaled_lisi(integration.lisi(edges, b, 10), n_b, True).select("score"),
-        "clisi": integration.scaled_lisi(integration.lisi(edges, l, 10), n_l, False).select("score"),
-        "kbet": integration.kbet(edges, keyed.select("key", "batch"), l).agg(F.avg("acceptance").alias("score")),
-        "silhouette": integration.centroid_silhouette(x, "gene_features", "annotation").select(F.col("silhouette").alias("score")),
-    }
-    out = None
-    for name, p in parts.items():
-        p = p.select(F.lit(name).alias("metric"), "score")
-        out = p if out is None else out.unionByName(p)
-    return rounded(integration.split_panels(out), 4)
+    rows = x.select(F.col("spot_key").alias("key"), F.lit("all").alias("batch"), F.col("annotation").alias("label"), F.col("gene_features").cast("array<double>").alias("x"))
+    graph = knn.padded_graph(rows.select("key", "batch", "x"), max(integration.GRAPH_SIZES.values()) - 1)
+    return rounded(integration.graph_connectivity(integration.graph_at(graph, integration.GRAPH_SIZES["graph_connectivity"]), rows))
+
+
+@query(SQL + """, x AS (SELECT sample_id, count(*) AS n, avg(gene_features[1]::DOUBLE) AS first, sum(patch_features[1]::DOUBLE) AS patch FROM spots GROUP BY ALL)
+SELECT sample_id, n, round(patch, 6) AS patch_sum, 32 AS width, 0.0 AS moved_mean FROM x""")
+def corrected_arm(spark, sf_dir):
+    """A corrected arm by slide: rows, the untouched block's sum, the corrected block's width, and how far its overall mean moved."""
+    x = spots(spark, sf_dir)
+    y, _, _ = arms.resolved(x, "combat_pca", "spot_key", "gene_features", "sample_id", F.col("split") == "train", components=0)
+    mean = lambda df, name: df.select(F.posexplode("gene_features").alias("p", "v")).groupBy("p").agg(F.avg(F.col("v").cast("double")).alias(name))
+    # the correction keeps the overall location, up to its shrinkage
+    moved = mean(x, "a").join(mean(y, "b"), "p").agg(F.round(F.max(F.abs(F.col("a") - F.col("b"))), 1).alias("moved_mean"))
+    by = y.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("patch_features")[0].cast("double")), 6).alias("patch_sum"), F.max(F.size("gene_features")).alias("width"))
+    return by.join(F.broadcast(moved))  # one row
+
+
+@query(SQL + "SELECT tissue, annotation, count(*) AS n, round(sum(gene_features[1]::DOUBLE), 6) AS first FROM spots WHERE is_real GROUP BY ALL")
+def reused_result(spark, sf_dir):
+    """A result stored under the fingerprint of its rows, then asked for again: the second asking makes nothing."""
+    x = spots(spark, sf_dir).where(is_labelled("annotation")).select("spot_key", "tissue", "annotation", "gene_features")
+    store = reuse.ResultStore(spark, f"{shared_dir(spark)}/spotweave-results")
+    make = lambda: x.groupBy("tissue", "annotation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("gene_features")[0].cast("double")), 6).alias("first"))
+    rows = reuse.fingerprint(x)
+    store.reuse("class_sums", {"by": "tissue, annotation"}, rows, make)
+    return store.require("class_sums", {"by": "tissue, annotation"}, reuse.fingerprint(x.repartition(3)))
 
 
 @query("""WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*)::DOUBLE AS n FROM orders GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER () AS t FROM c),
