@@ -98,23 +98,6 @@ def gaussian(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
     return df.select(key, F.transform(pos, lambda i: F.sqrt(-2 * F.log(u("g1", i))) * F.cos(2 * np.pi * u("g2", i))).alias(column))
 
 
-def canonical_spectrum(df: DataFrame, left: str, right: str, slide: str, ridge: float = 1e-3, report: int = 10, permutations: int = 5, key: str = "spot_key", seed: int = 42) -> DataFrame:
-    """Canonical correlations against two nulls: the right side shuffled among all rows, and within slides.
-
-    All permutations of a null are one plan: the replicate is a key of the shuffle and of the moments.
-    """
-    from spotweave.operators.linalg import moments_of
-
-    s = cca(moments_of(df, left, right), ridge, report)[0]
-    rows = [("data", i, float(v), None) for i, v in enumerate(s)]
-    for name, by in (("global", []), ("within_slide", [slide])):
-        each = df.select(key, slide, left, right).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_k", F.concat_ws("|", "_p", key))
-        moved = permuted(each.select("_k", "_p", slide, left, right), "_k", right, ["_p", *by], seed, name)
-        null = np.array([cca(m, ridge, report)[0] for _, m in sorted(moments_by(moved, left, right, "_p").items())])
-        rows += [(name, i, float(m), float(q)) for i, (m, q) in enumerate(zip(null.mean(axis=0), np.quantile(null, 0.95, axis=0), strict=True))]
-    return df.sparkSession.createDataFrame(rows, "variant string, component int, correlation double, q95 double")
-
-
 def leave_one_slide_out(df: DataFrame, left: str, right: str, slide: str, patient: str, ridge: float = 1e-3, report: int = 10, min_train: int = 50, min_test: int = 20) -> DataFrame:
     """CCA fitted without a slide and measured on it. Moments add up: training is the total minus the slide.
 

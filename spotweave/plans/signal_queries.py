@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
 from spotweave.functions.lineage import shared_dir
-from spotweave.operators import arms, biosignal, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, reuse, tables
+from spotweave.operators import arms, biosignal, canonical, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, reuse, tables
 from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 
@@ -73,7 +73,14 @@ def effective_rank_controls(spark, sf_dir):
 
 @query()
 def cca_spectrum(spark, sf_dir):
-    return rounded(diagnostics.canonical_spectrum(spots(spark, sf_dir), "gene_features", "patch_features", "sample_id", permutations=50, report=5))
+    """Canonical correlations of the views against both nulls, and the shares that slides do not explain."""
+    return rounded(canonical.spectrum_rows(spots(spark, sf_dir), "gene_features", "patch_features", "sample_id", "spot_key"))
+
+
+@query()
+def cca_ceiling(spark, sf_dir):
+    """The whole canonical diagnostic in a row."""
+    return rounded(canonical.ceiling(spots(spark, sf_dir), "gene_features", "patch_features", "sample_id", "donor", "spot_key", min_test=10))
 
 
 @query()
@@ -488,10 +495,10 @@ def contingency_agreement(spark, sf_dir):
 
 @query(SQL + """, a AS (SELECT spot_key, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY spot_key) AS r FROM spots),
 b AS (SELECT patch_features, sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY md5(concat_ws('|', '42', 'patch', spot_key)), spot_key) AS r FROM spots)
-SELECT spot_key, round(patch_features[1]::DOUBLE, 6) AS first FROM a JOIN b USING (sample_id, r)""")
+SELECT spot_key, generate_subscripts(patch_features, 1) - 1 AS pos, round(unnest(patch_features)::DOUBLE, 6) AS value FROM a JOIN b USING (sample_id, r)""")
 def patches_within_sample(spark, sf_dir):
     x = models.transform_patches(spots(spark, sf_dir), "within_sample", "patch_features", "sample_id", "spot_key")
-    return rounded(x.select("spot_key", F.col("patch_features")[0].cast("double").alias("first")))
+    return rounded(x.select("spot_key", F.posexplode("patch_features").alias("pos", "value")).withColumn("value", F.col("value").cast("double")))
 
 
 @query()
