@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spotweave.functions.lineage import cut, drop_cut
 from spotweave.operators.knn import padded_graph
+from spotweave.operators.linalg import summed_arrays
 from spotweave.operators.probes import moments
 
 
@@ -78,21 +79,6 @@ def _vectors(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _added(part: DataFrame) -> list[np.ndarray]:
-    """The arrays that tasks send, each packed as doubles, added up: a few per task, then one."""
-    names = part.columns
-
-    def add(table):
-        import pyarrow as pa
-
-        return pa.table([[np.sum([np.frombuffer(v, np.float64) for v in table.column(c).to_pylist()], axis=0).tobytes()] for c in names], names=names)
-
-    kinds = ", ".join(f"{c} binary" for c in names)
-    few = part.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(16))).groupBy("_g").applyInArrow(lambda t: add(t.drop_columns(["_g"])), kinds)
-    rows = few.collect()  # 16 rows at most
-    return [np.sum([np.frombuffer(r[c], np.float64) for r in rows], axis=0) for c in names]
-
-
 def harmony(
     df: DataFrame, key: str, batch: str, vector: str, clusters: int | None = None, rounds: int = 20, theta: float = 2.0, sigma: float = 0.1, ridge: float = 1.0, out: str = "z", seed: int = 42,
     inner: int = 20, blocks: int = 20, tolerance: float = 1e-4, inner_tolerance: float = 1e-5, history: list | None = None,
@@ -146,7 +132,7 @@ def harmony(
                         offsets[:, i] += r[b == i].T @ z[b == i]
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (seen, unit, terms, offsets)], names=["seen", "unit", "terms", "offsets"])
 
-        seen, unit, terms, offsets = _added(now.select("_b", "_block", "_z", "_now").mapInArrow(run, "seen binary, unit binary, terms binary, offsets binary"))
+        seen, unit, terms, offsets = summed_arrays(now.select("_b", "_block", "_z", "_now").mapInArrow(run, "seen binary, unit binary, terms binary, offsets binary"))
         return seen.reshape(shape), unit.reshape(count, dims), terms, offsets
 
     zero = np.zeros(shape)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spotweave.functions.keys import digest, digest_number
+from spotweave.functions.keys import digest_number
 from spotweave.operators.linalg import PCA
+from spotweave.operators.network import Adversarial, Guided, Trainer
 from spotweave.operators.sampling import permuted
 
 
@@ -22,83 +22,44 @@ def concatenated(df: DataFrame, *vectors: str, out: str = "both") -> DataFrame:
 
 
 class Autoencoder:
-    """A two-layer network from one vector to another through a normalised latent layer, in numpy.
+    """A two-layer network from one vector to another through a normalised latent layer, trained on all rows where they lie."""
 
-    It is trained on a bounded sample (`sample` rows by digest) with Adam and early stopping on a
-    tenth of it; every row is embedded where it lies.
-    """
-
-    def __init__(self, latent: int = 16, hidden: int = 64, sample: int = 20_000, epochs: int = 30, rate: float = 3e-3, seed: int = 42):
-        self.latent, self.hidden, self.sample, self.epochs, self.rate, self.seed = latent, hidden, sample, epochs, rate, seed
-
-    @staticmethod
-    def _norm(h):
-        m, s = h.mean(axis=1, keepdims=True), h.std(axis=1, keepdims=True) + 1e-5
-        return (h - m) / s, s
-
-    def _forward(self, x):
-        a = np.maximum(x @ self.p[0] + self.p[1], 0)
-        z, s = self._norm(a @ self.p[2] + self.p[3])
-        b = np.maximum(z @ self.p[4] + self.p[5], 0)
-        return a, z, s, b, b @ self.p[6] + self.p[7]
+    def __init__(self, latent: int = 16, hidden: int = 64, epochs: int = 30, rate: float = 3e-3, seed: int = 42, batches: int = 8):
+        self.trainer = Trainer(Guided(latent, hidden), batches=batches, epochs=epochs, rate=rate, seed=seed)
 
     def fit(self, df: DataFrame, source: str, target: str, key: str) -> Autoencoder:
-        rows = df.select(F.col(source).alias("x"), F.col(target).alias("y"), digest(self.seed, "autoencoder", key).alias("d")).orderBy("d").limit(self.sample).collect()
-        x, y = np.array([r["x"] for r in rows], float), np.array([r["y"] for r in rows], float)
-        self.mx, self.sx = x.mean(0), np.where(x.std(0) < 1e-8, 1, x.std(0))
-        my, sy = y.mean(0), np.where(y.std(0) < 1e-8, 1, y.std(0))
-        x, y = (x - self.mx) / self.sx, (y - my) / sy
-        rng = np.random.default_rng(self.seed)
-        sizes = [(x.shape[1], self.hidden), (self.hidden, self.latent), (self.latent, self.hidden), (self.hidden, y.shape[1])]
-        self.p = [w for i, o in sizes for w in (rng.normal(0, i**-0.5, (i, o)), np.zeros(o))]
-        m, v, t, best, kept, waited = [np.zeros_like(w) for w in self.p], [np.zeros_like(w) for w in self.p], 0, np.inf, None, 0
-        cut = max(1, len(x) // 10)
-        vx, vy, x, y = x[:cut], y[:cut], x[cut:], y[cut:]
-        self.history = []
-        for _ in range(self.epochs):
-            for lo in range(0, len(x), 128):
-                i = rng.integers(0, len(x), min(128, len(x)))
-                t += 1
-                for w, g, a, b in zip(self.p, self._gradients(x[i], y[i]), m, v, strict=True):
-                    a += 0.1 * (g - a)
-                    b += 0.001 * (g * g - b)
-                    w -= self.rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
-            loss = float(((self._forward(vx)[-1] - vy) ** 2).mean())
-            self.history.append(loss)
-            if loss < best:
-                best, kept, waited = loss, [w.copy() for w in self.p], 0
-            else:
-                waited += 1
-                if waited >= 5:
-                    break
-        self.p = kept
+        self.trainer.fit(df, source, target, key)
+        self.history = self.trainer.history
         return self
 
-    def _gradients(self, x, y):
-        a, z, s, b, guess = self._forward(x)
-        d = 2 * (guess - y) / y.size
-        g6, g7 = b.T @ d, d.sum(0)
-        db = (d @ self.p[6].T) * (b > 0)
-        g4, g5 = z.T @ db, db.sum(0)
-        dz = db @ self.p[4].T
-        dh = (dz - dz.mean(1, keepdims=True) - z * (dz * z).mean(1, keepdims=True)) / s
-        g2, g3 = a.T @ dh, dh.sum(0)
-        da = (dh @ self.p[2].T) * (a > 0)
-        return [x.T @ da, da.sum(0), g2, g3, g4, g5, g6, g7]
-
     def transform(self, df: DataFrame, source: str, key: str) -> DataFrame:
         """(key, z): the latent layer of every row."""
-        kind = df.schema[key].dataType.simpleString()
-        model = self
-
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                    z = model._forward((x - model.mx) / model.sx)[1]
-                    yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(z), pa.list_(pa.float64()))], names=["key", "z"])
+        return self.trainer.transform(df, source, key)
+
+
+class DomainAdversarial:
+    """The same network with a discriminator of slides behind a reversed gradient, asked only about slides of the row's tissue."""
+
+    def __init__(self, latent: int = 16, hidden: int = 64, judge: int = 32, epochs: int = 30, rate: float = 3e-3, strength: float = 0.5, smoothing: float = 0.1, seed: int = 42, batches: int = 8):
+        self.options, self.net = {"epochs": epochs, "rate": rate, "seed": seed, "batches": batches}, (latent, hidden, judge)
+        self.smoothing, self.strength = smoothing, strength
+
+    def fit(self, df: DataFrame, source: str, target: str, key: str, slide: str, tissue: str) -> DomainAdversarial:
+        pairs = df.select(slide, tissue).distinct().collect()  # a row per slide
+        slides, tissues = sorted({r[slide] for r in pairs}), sorted({r[tissue] for r in pairs})
+        valid = np.zeros((len(tissues), len(slides)), bool)
+        for r in pairs:
+            valid[tissues.index(r[tissue]), slides.index(r[slide])] = True
+        spark = df.sparkSession
+        code = lambda names, a, b: F.broadcast(spark.createDataFrame([(v, i) for i, v in enumerate(names)], f"{a} {df.schema[a].dataType.simpleString()}, {b} int"))
+        rows = df.join(code(slides, slide, "_domain"), slide).join(code(tissues, tissue, "_context"), tissue)  # a row per slide and per tissue
+        self.trainer = Trainer(Adversarial(*self.net, valid, self.smoothing, self.strength), **self.options)
+        self.trainer.fit(rows, source, target, key, "_domain", "_context", len(slides), len(tissues))
+        self.history = self.trainer.history
+        return self
 
-        return df.select(F.col(key).alias("key"), F.col(source).cast("array<double>").alias("x")).mapInArrow(run, f"key {kind}, z array<double>")
+    def transform(self, df: DataFrame, source: str, key: str) -> DataFrame:
+        return self.trainer.transform(df, source, key)
 
 
 def transform_patches(df: DataFrame, strategy: str, vector: str, sample: str, key: str, seed: int = 42) -> DataFrame:
@@ -119,4 +80,4 @@ def transform_patches(df: DataFrame, strategy: str, vector: str, sample: str, ke
 
 
 PATCH_TRANSFORMS = ("none", "within_sample", "global", "gaussian")
-EMBEDDERS = {"pca": pca_embedding}
+EMBEDDERS = {"pca": pca_embedding, "ae": Autoencoder, "cdann": DomainAdversarial}

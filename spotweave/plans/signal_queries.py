@@ -510,5 +510,13 @@ def patches_gaussian(spark, sf_dir):
 @query()
 def autoencoder(spark, sf_dir):
     x = spots(spark, sf_dir)
-    net = models.Autoencoder(latent=4, hidden=16, epochs=30, sample=20000).fit(x.where("split = 'train'"), "gene_features", "patch_features", "spot_key")
+    net = models.Autoencoder(latent=4, hidden=16, epochs=10, batches=4).fit(x.where("split = 'train'"), "gene_features", "patch_features", "spot_key")
+    return rounded(net.transform(x, "gene_features", "spot_key").select("key", F.posexplode("z").alias("component", "value")), 4)
+
+
+@query()
+def domain_adversarial(spark, sf_dir):
+    """The latent layer of the network that is kept from telling slides apart."""
+    x = spots(spark, sf_dir)
+    net = models.DomainAdversarial(latent=4, hidden=16, judge=8, epochs=10, batches=4).fit(x.where("split = 'test'"), "gene_features", "patch_features", "spot_key", "sample_id", "tissue")
     return rounded(net.transform(x, "gene_features", "spot_key").select("key", F.posexplode("z").alias("component", "value")), 4)
