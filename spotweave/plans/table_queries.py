@@ -13,6 +13,7 @@ from spotweave.operators import biosignal, correction, diagnostics, expression,
 from spotweave.plans import probe_sql as S
 from spotweave.plans.base_queries import N_BOOT, _pred, query_table, rounded
 from spotweave.plans.cohort import SQL, spots
+from spotweave.sources import arrays
 from spotweave.sources import tables as sources
 
 QUERIES, ORACLE, query = query_table()
@@ -276,3 +277,12 @@ def combat_rounds(spark, sf_dir):
 def fold_names(spark, sf_dir):
     """The folds that a protocol on folds is dispatched over."""
     return folds.BUILDERS["cross_slide"](folds.annotated_slides(spots(spark, sf_dir))).select("level", "fold").distinct()
+
+
+@query("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, round(embedding[3]::DOUBLE, 6) AS first, round(list_sum(embedding[3:10])::DOUBLE, 4) AS total FROM embeddings")
+def array_rows(spark, sf_dir):
+    """The embeddings written as numpy files by the tasks that hold them, and columns 2 to 9 read back by ranges of rows."""
+    place = f"{shared_dir(spark)}/spotweave-arrays-{uuid.uuid4().hex}"
+    index = cut(arrays.write_arrays(_read(spark, sf_dir, "embeddings"), place, "embedding", ["vec_id"], 64))
+    x = arrays.read_parts(spark, place, index, columns="2:10", range_bytes=1 << 20)
+    return x.select("row", F.round(F.col("v")[0], 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
