@@ -126,18 +126,23 @@ def _paths(words: DataFrame) -> DataFrame:
 
 
 def _edges(paths: DataFrame) -> DataFrame:
-    """(node, head, label, child, other, other_n): steps between nodes, and the last edge of each word, with the word in place of a child."""
+    """(node, head, label, child, heads, other, other_n): steps between nodes, with the code points that go on from the child, and the last edge of each word, with the word in place of a child.
+
+    A step to a node where nothing goes on is left out: a state there has no way to use up its rest.
+    """
     edge = """filter(transform(path, (x, i) -> if(i = 0, null, struct(path[i - 1].node as node,
         substring(text, path[i - 1].depth + 1, x.depth - path[i - 1].depth) as label, x.node as child, i = size(path) - 1 as last))), x -> x is not null)"""
     rows = paths.select("word", "n", F.explode(F.expr(edge)).alias("e")).select("word", "n", "e.*")
-    steps = rows.where("not last").select("node", "label", "child").distinct()
+    on = paths.select("text", F.explode("path").alias("x")).where("x.depth < char_length(text)").select(F.col("x.node").alias("child"), F.expr("substring(text, x.depth + 1, 1)").alias("head"))
+    heads = on.groupBy("child").agg(F.array_join(F.sort_array(F.collect_set("head")), "").alias("heads"))  # an alphabet at most
+    steps = rows.where("not last").select("node", "label", "child").distinct().join(heads, "child")
     ends = rows.where("last").select("node", "label", F.col("word").alias("other"), F.col("n").alias("other_n"))
     both = steps.unionByName(ends, allowMissingColumns=True)
-    return both.select("node", F.substring("label", 1, 1).alias("head"), "label", "child", "other", "other_n")
+    return both.select("node", F.substring("label", 1, 1).alias("head"), "label", "child", "heads", "other", "other_n")
 
 
-#: What a step leaves of the rest: nothing at a word's end, something elsewhere.
-_GOES_ON = "(child is null) = (rest = '')"
+#: What a step leaves of the rest: nothing at a word's end, elsewhere something that goes on from the node.
+_GOES_ON = "if(child is null, rest = '', rest <> '' and contains(heads, substring(rest, 1, 1)))"
 
 
 def _edited(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -152,14 +157,14 @@ def _edited(paths: DataFrame, edges: DataFrame) -> DataFrame:
     replaced, added = "own <> '' and startswith(substring(own, 2), substring(label, 2))", "more and startswith(own, substring(label, 2))"
     met = seeds.join(edges, "node").where(f"head <> substring(own, 1, 1) and (({replaced}) or ({added}))")
     rests = f"array(if({replaced}, substring(own, char_length(label) + 1), null), if({added}, substring(own, char_length(label)), null))"
-    return met.select("word", "n", "child", "other", "other_n", F.explode(F.expr(rests)).alias("rest")).where(f"rest is not null and {_GOES_ON}")
+    return met.select("word", "n", "child", "heads", "other", "other_n", F.explode(F.expr(rests)).alias("rest")).where(f"rest is not null and {_GOES_ON}").drop("heads")
 
 
 def _advanced(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Next level: the rest of the word lies along an edge."""
     now = states.select("word", "n", F.col("child").alias("node"), F.col("rest").alias("own"), F.substring("rest", 1, 1).alias("head"))
     met = now.join(edges, ["node", "head"]).where("startswith(own, label)")
-    return met.select("word", "n", "child", "other", "other_n", F.expr("substring(own, char_length(label) + 1)").alias("rest")).where(_GOES_ON)
+    return met.select("word", "n", "child", "heads", "other", "other_n", F.expr("substring(own, char_length(label) + 1)").alias("rest")).where(_GOES_ON).drop("heads")
 
 
 def near_words(words: DataFrame) -> DataFrame:
