@@ -4,8 +4,8 @@ Equal vectors collapse to one weighted row. The others are unit vectors under th
 distance. Their tree's upper levels are pivots of a bounded sample (see vectors.py); units below
 them are cells and shells of true radii, packed into blocks of about BLOCK_ROWS rows, and every
 block has a cover tree of its own: nested levels of centres with halving radii, each node with
-its true covering radius. Pairs of blocks go to one task each, and only those go that have a pair
-of units within reach. There both trees are walked together, a level at a time: a pair of nodes is
+its true covering radius. Pairs of cells within reach are joined with their groups, and those within reach with
+their blocks; only such pairs of blocks go to a task each. There both trees are walked together, a level at a time: a pair of nodes is
 cut when the centres are farther apart than the threshold plus both radii, and linked as a whole
 when they are closer than the threshold minus both. Single points are decided by their cosine in
 double precision, so pairs are exact. No list of pairs outlives a step: linked points are counted
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, forget, joined, ragged, stored
 from .components import connected_components
-from .vectors import Layout, PivotTree, by_length, finite, sample, within_reach
+from .vectors import Layout, PivotTree, block_of, by_length, finite, sample
 
 COSINE = 0.9
 BLOCK_ROWS = 4096
@@ -235,8 +235,7 @@ class Walk:
 
 
 _BLOCK = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("reps", pa.binary()), ("weights", pa.binary()), ("v", pa.binary()), ("tree", pa.binary())])
-_TILE = pa.schema([("a", pa.int64()), ("b", pa.int64()), *_BLOCK])
-_TILE_SQL = "a long, b long, block long, size long, reps binary, weights binary, v binary, tree binary"
+_BLOCK_SQL = "block long, size long, reps binary, weights binary, v binary, tree binary"
 _LINKS = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("label", pa.int64())])
 
 
@@ -256,26 +255,16 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table([[x] for x in row], schema=_BLOCK)
 
 
-def near_blocks(layout: Layout, cosine: float) -> dict[int, np.ndarray]:
-    """For every block the blocks, itself included, that hold a unit within reach of one of its units."""
-    t, out = math.sqrt(2 - 2 * cosine), {}
-    for own in layout.units.values():
-        for block in np.unique(own.block):
-            close = within_reach(own, np.flatnonzero(own.block == block), own, t).any(axis=0)
-            out[int(block)] = np.unique(own.block[close])
-    return out
-
-
 def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rep, links, label) rows of distinct vectors (rep, n, v): partial link counts, and spanning pairs rep-label."""
     spark = distinct.sparkSession
-    total = distinct.count()
+    total, longest = distinct.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not total:
         return spark.createDataFrame([], "rep long, links long, label long")
-    tree = PivotTree([_unit(r) for r in sample(distinct, "rep", total)], math.isqrt(total - 1) + 1)
+    tree = PivotTree([_unit(r) for r in sample(distinct, "rep", total, longest)], math.isqrt(total - 1) + 1)
     kind = distinct.schema["v"].dataType.simpleString()
     schema = pa.schema([("rep", pa.int64()), ("n", pa.int64()), ("v", pa.list_(pa.float32() if "float" in kind else pa.float64())), ("cell", pa.int64()), ("far", pa.float64())])
-    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots
+    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots, within SENT bytes
 
     def assign(batches):
         for batch in batches:
@@ -287,20 +276,10 @@ def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows:
 
     dealt = stored(distinct.mapInArrow(assign, f"rep long, n long, v {kind}, cell long, far double"), "cells")
     layout = Layout(dealt, "rep", tree, block_rows)
-    blocks = layout.place(dealt).select("block", "rep", "n", "v").groupBy("block").applyInArrow(_pack, _TILE_SQL.removeprefix("a long, b long, "))
-    units = spark.sparkContext.broadcast(layout.units)  # a row per cell and per shell of a large one
-
-    def send(batches):
-        """A block to every pair of blocks that it is needed in."""
-        t = math.sqrt(2 - 2 * cosine)
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                block = row.column("block")[0].as_py()
-                own = next(u for u in units.value.values() if (u.block == block).any())
-                close = within_reach(own, np.flatnonzero(own.block == block), own, t).any(axis=0)
-                for other in np.unique(own.block[close]).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([min(block, other)]), pa.array([max(block, other)]), *row.columns], schema=_TILE)
+    blocks = layout.place(dealt).select("block", "rep", "n", "v").groupBy("block").applyInArrow(_pack, _BLOCK_SQL)
+    # a row for every block and group that it may have a link with
+    near = layout.near_groups(math.sqrt(2 - 2 * cosine)).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "group", "other", "other_pieces")
+    near = stored(near.select(block_of(F.col("group"), F.col("piece")).alias("block"), "other", "other_pieces"), "near")
 
     def walk(table: pa.Table) -> pa.Table:
         found = {row["block"]: row for row in table.to_pylist()}
@@ -317,8 +296,12 @@ def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows:
 
     # a task for every pair of blocks or so, as long as there are no more than 4096
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * (layout.blocks + 1) // 2))
-    tiles = blocks.mapInArrow(send, _TILE_SQL).repartition(tasks, "a", "b")
+    # a block to every pair of blocks that it is needed in
+    sent = blocks.join(near, "block").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_pieces") - 1))).withColumn("to", block_of(F.col("other"), F.col("piece")))
+    tiles = sent.select(F.least("block", "to").alias("a"), F.greatest("block", "to").alias("b"), *_BLOCK.names).repartition(tasks, "a", "b")
     out = stored(tiles.groupBy("a", "b").applyInArrow(walk, "rep long, links long, label long"), "links")
+    layout.close()
+    forget(near)
     forget(dealt)
     return out
 

@@ -1,14 +1,13 @@
 """Exact top-k by inner product as a Voronoi kNN join.
 
 Vectors become integers, floor(1024 x). Pivots of a bounded sample make Voronoi cells (see
-vectors.py), and cells and shells of large cells are units, summarised by their pivot, the least
-and greatest distance to it and the number of rows. For a query q and a vector v of a unit with pivot
-p, q.v lies within |q| |v - p| of q.p: the summaries alone give a score that enough rows surely
-reach, and a unit whose best possible score is below it is not visited. Units are packed in
-blocks; queries are packed in groups of queries whose pivots are neighbours and go only to the blocks
-that hold a unit some of them need. A block goes once to every bundle of query groups that
-need it, each pair of block and bundle is a task's key, and inside it every query looks at the
-units it needs. Their k best are merged by query.
+vectors.py), summarised by their pivot, the least and greatest distance to it, how near the nearest rows surely are,
+and the number of rows. For a query q and a vector v of a cell with pivot p, q.v lies within |q| |v - p| of q.p: the
+summaries alone give a score that enough rows surely reach, and how far from the pivot a row must lie to
+have it. Queries are packed in groups whose pivots are neighbours and go only to the nodes that hold a cell some of them need; a
+join sends them on to the blocks of those groups of a large cell's shells that reach so far. A block goes once to every
+bundle of query groups that need it, each pair of block and bundle is a task's key, and inside it every query
+looks at the cells it needs. Their k best are merged by query.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, stored
-from .vectors import Layout, PivotTree, by_length, finite, sample
+from .vectors import Layout, PivotTree, block_of, by_length, finite, sample
 
 SCALE = 1024.0
 TOP = 10
@@ -61,55 +60,59 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class Bounds:
-    """What unit summaries say about queries of one length."""
+    """What the summaries of cells of one length say about queries."""
 
-    def __init__(self, units, enough: int):
-        self.units, self.enough = units, enough
-        self.order = np.argsort(units.number)
+    def __init__(self, cells, enough: int):
+        self.cells, self.enough = cells, enough
+        #: Cells are ordered by node: the first cell of each.
+        self.first = np.flatnonzero(np.diff(cells.node, prepend=-1))
+        self.step = max(1, (1 << 21) // len(cells.number))
 
     def need(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each query: which units may hold one of its best rows, and the score that `enough` rows surely reach."""
-        u = self.units
+        """For queries and cells: how far from the pivot one of the best rows lies at least (inf where the cell can have none), and the score that `enough` rows surely reach."""
+        c = self.cells
         size = np.sqrt((q * q).sum(axis=1))[:, None]
-        mid = q @ u.pivot.T
-        slack = 1e-9 * (1 + np.abs(mid) + size * u.high[None])
-        most = mid + size * u.high[None] + slack
-        # one row of a unit lies at its least distance, the others at most at its greatest
-        sure = np.concatenate([mid - size * u.low[None] - slack, mid - size * u.high[None] - slack], axis=1)
-        rows = np.concatenate([np.minimum(u.rows, 1), np.maximum(u.rows - 1, 0)])
+        mid = q @ c.pivot.T
+        slack = 1e-9 * (1 + np.abs(mid) + size * c.high[None])
+        # one row of a cell lies at its least distance, the inner ones no farther than they do, the others at most at its greatest
+        one, inner = np.minimum(c.rows, 1), np.minimum(c.inner_rows, c.rows)
+        sure = np.concatenate([mid - size * far[None] - slack for far in (c.low, c.inner, c.high)], axis=1)
+        rows = np.concatenate([one, inner - one, c.rows - inner])
         order = np.argsort(-sure, axis=1)
         at = (np.cumsum(rows[order], axis=1) < self.enough).sum(axis=1)
         floor = np.full(len(q), -np.inf)
         some = at < len(rows)
         floor[some] = np.take_along_axis(sure, order, axis=1)[some, at[some]]
-        return most >= floor[:, None], floor
+        gap = floor[:, None] - mid - slack
+        least = np.where(gap > 0, gap / np.maximum(size, 1e-300), -np.inf)
+        return np.where(least <= c.high[None], least, np.inf), floor
 
 
-_DATA = pa.schema([("block", pa.int64()), ("dim", pa.int64()), ("units", pa.binary()), ("ids", pa.binary()), ("v", pa.binary())])
-_DATA_SQL = "block long, dim long, units binary, ids binary, v binary"
-_QUERY = pa.schema([("block", pa.int64()), ("bundle", pa.int64()), ("dim", pa.int64()), ("floors", pa.binary()), ("q_ids", pa.binary()), ("q", pa.binary())])
-_QUERY_SQL = "block long, bundle long, dim long, floors binary, q_ids binary, q binary"
+_DATA = pa.schema([("block", pa.int64()), ("dim", pa.int64()), ("cells", pa.binary()), ("starts", pa.binary()), ("highs", pa.binary()), ("ids", pa.binary()), ("v", pa.binary())])
+_DATA_SQL = "block long, dim long, cells binary, starts binary, highs binary, ids binary, v binary"
+_QUERY = pa.schema([("node", pa.int64()), ("bundle", pa.int64()), ("dim", pa.int64()), ("least", pa.float64()), ("floors", pa.binary()), ("q_ids", pa.binary()), ("q", pa.binary())])
+_QUERY_SQL = "node long, bundle long, dim long, least double, floors binary, q_ids binary, q binary"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """The rows of a block, by unit."""
-    order = np.argsort(table.column("unit").to_numpy(), kind="stable")
+    """The rows of a block by cell, and where each cell begins and how far it reaches there."""
+    order = np.argsort(table.column("cell").to_numpy(), kind="stable")
     v = np.array(table.column("v").to_pylist(), np.float64)[order]
-    row = (table.column("block")[0].as_py(), v.shape[1], table.column("unit").to_numpy()[order].tobytes(), table.column("vec_id").to_numpy()[order].tobytes(), v.tobytes())
+    cells, starts = np.unique(table.column("cell").to_numpy()[order], return_index=True)
+    highs = np.maximum.reduceat(table.column("far").to_numpy()[order], starts)
+    row = (table.column("block")[0].as_py(), v.shape[1], cells.tobytes(), starts.astype(np.int64).tobytes(), highs.tobytes(), table.column("vec_id").to_numpy()[order].tobytes(), v.tobytes())
     return pa.table([[x] for x in row], schema=_DATA)
 
 
-def visit(units, bounds, ids, v, q_ids, q, floors, k: int):
-    """The k best rows of a block for each query: query_id, vec_id, score. A unit is looked at by the queries that need it."""
-    u, out = bounds.units, []
-    cuts = np.flatnonzero(np.concatenate([[True], units[1:] != units[:-1], [True]]))
-    at = bounds.order[np.searchsorted(u.number, units[cuts[:-1]], sorter=bounds.order)]
+def visit(pivots, starts, highs, ids, v, q_ids, q, floors, k: int):
+    """The k best rows of a block for each query: query_id, vec_id, score. A cell's part of the block is looked at by the queries that need it."""
+    cuts, out = np.append(starts, len(ids)), []
     for a in range(0, len(q_ids), 64):
         part, own = q[a : a + 64], q_ids[a : a + 64]
         size = np.sqrt((part * part).sum(axis=1))[:, None]
-        mid = part @ u.pivot[at].T
-        need = mid + size * u.high[at] + 1e-9 * (1 + np.abs(mid) + size * u.high[at]) >= floors[a : a + 64, None]
+        mid = part @ pivots.T
+        need = mid + size * highs + 1e-9 * (1 + np.abs(mid) + size * highs) >= floors[a : a + 64, None]
         score, seen = np.zeros((len(part), len(ids)), np.int64), np.repeat(need, np.diff(cuts), axis=1)
         seen &= ids[None] != own[:, None]
         if need.all():
@@ -140,11 +143,11 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
     good = F.col("vec_id").isNotNull() & finite()
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(is_query).alias("asked")).where(good)
     rows = rows.select("vec_id", F.col("embedding").alias("v"), "asked")
-    total = rows.count()
+    total, longest = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    tree = PivotTree([integers(r) for r in sample(rows, "vec_id", total)], math.isqrt(total - 1) + 1)
-    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots
+    tree = PivotTree([integers(r) for r in sample(rows, "vec_id", total, longest)], math.isqrt(total - 1) + 1)
+    shared = spark.sparkContext.broadcast(tree)  # rows ** 0.5 pivots, within SENT bytes
     schema = pa.schema([("vec_id", pa.int64()), ("cell", pa.int64()), ("far", pa.float64()), ("asked", pa.bool_()), ("v", pa.list_(pa.float64()))])
 
     def assign(batches):
@@ -163,19 +166,24 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
     asked = stored(dealt.where("asked").groupBy("vec_id").agg(F.first("v").alias("v"), F.first("cell").alias("cell")), "queries")
     own_rows = dealt.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").count()
     enough = k + (own_rows.agg(F.max("count")).first()[0] or 0)  # none of a query's own rows is a candidate
-    units = spark.sparkContext.broadcast({d: Bounds(u, enough) for d, u in layout.units.items()})  # a row per cell and per shell of a large one
+    layout.measure_inner(enough)
+    known = spark.sparkContext.broadcast({d: Bounds(c, enough) for d, c in layout.cells.items()})  # pivots: their size is bounded
 
     def ask(table: pa.Table) -> pa.Table:
-        """A group of queries to the blocks that some of them need, each with those that need it."""
+        """A group of queries to the nodes that some of them need, each with those that need it."""
         ids, out = table.column("vec_id").to_numpy(), []
         bundle = table.column("g")[0].as_py() // BUNDLE
-        for at, q in by_length(table.column("v").to_pylist()):
-            bounds = units.value[q.shape[1]]
-            need, floor = bounds.need(q)
-            for block in np.unique(bounds.units.block):
-                some = np.flatnonzero(need[:, bounds.units.block == block].any(axis=1))
-                if len(some):
-                    out.append((int(block), bundle, q.shape[1], floor[some].tobytes(), ids[at[some]].tobytes(), q[some].tobytes()))
+        for every, vectors in by_length(table.column("v").to_pylist()):
+            bounds = known.value[vectors.shape[1]]
+            nodes, large = bounds.cells.node[bounds.first], bounds.cells.large[bounds.first]
+            for lo in range(0, len(every), bounds.step):
+                at, q = every[lo : lo + bounds.step], vectors[lo : lo + bounds.step]
+                least, floor = bounds.need(q)
+                least = np.minimum.reduceat(least, bounds.first, axis=1)
+                for n in np.flatnonzero((least < np.inf).any(axis=0)).tolist():
+                    some = np.flatnonzero(least[:, n] < np.inf)
+                    far = float(least[some, n].min()) if large[n] else -math.inf
+                    out.append((int(nodes[n]), bundle, q.shape[1], far, floor[some].tobytes(), ids[at[some]].tobytes(), q[some].tobytes()))
         return pa.table(list(map(list, zip(*out, strict=True))) or [[] for _ in _QUERY], schema=_QUERY)
 
     places, g, held = [], 0, 0
@@ -188,23 +196,33 @@ def top_k(vectors: DataFrame, is_query, k: int = TOP, block_rows: int = BLOCK_RO
     groups = g + 1
     where = spark.createDataFrame(places, "cell long, first long, pieces long")
     split = asked.join(F.broadcast(where), "cell").withColumn("g", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("pieces")))
-    packed = stored(split.select("vec_id", "v", "g").groupBy("g").applyInArrow(ask, _QUERY_SQL), "asked-blocks")
-    blocks = layout.place(dealt).select("block", "unit", "vec_id", "v").groupBy("block").applyInArrow(_pack, _DATA_SQL)
-    wanted = spark.read.schema(packed.schema).parquet(packed.stored_path).select("block", "bundle").distinct()
+    packed = stored(split.select("vec_id", "v", "g").groupBy("g").applyInArrow(ask, _QUERY_SQL), "asked-nodes")
+    parts = layout.groups().groupBy("node", "group").agg(F.max("high").alias("high"), F.max("pieces").alias("pieces"))
+
+    def at_blocks(asking: DataFrame) -> DataFrame:
+        """What is asked of a node, for each block of its groups that reach far enough."""
+        x = asking.join(parts, "node").where("high >= least").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        return x.withColumn("block", block_of(F.col("group"), F.col("piece"))).drop("node", "least", "group", "high", "pieces", "piece")
+
+    blocks = layout.place(dealt).select("block", "cell", "far", "vec_id", "v").groupBy("block").applyInArrow(_pack, _DATA_SQL)
+    wanted = at_blocks(spark.read.schema(packed.schema).parquet(packed.stored_path).select("node", "bundle", "least")).distinct()
     data = blocks.join(wanted, "block")
 
     def local(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
             v = np.frombuffer(row["v"], np.float64).reshape(-1, row["dim"])
+            c = known.value[row["dim"]].cells
+            pivots = c.pivot[np.searchsorted(c.number, np.frombuffer(row["cells"], np.int64))]
+            part = pivots, np.frombuffer(row["starts"], np.int64), np.frombuffer(row["highs"], np.float64), np.frombuffer(row["ids"], np.int64), v
             for ask in right.to_pylist():
                 q = np.frombuffer(ask["q"], np.float64).reshape(-1, row["dim"])
-                made = visit(np.frombuffer(row["units"], np.int64), units.value[row["dim"]], np.frombuffer(row["ids"], np.int64), v, np.frombuffer(ask["q_ids"], np.int64), q, np.frombuffer(ask["floors"], np.float64), k)
+                made = visit(*part, np.frombuffer(ask["q_ids"], np.int64), q, np.frombuffer(ask["floors"], np.float64), k)
                 out.append(batch_of(_FOUND, *map(pa.array, made)))
         return pa.Table.from_batches(out, schema=_FOUND)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * -(-groups // BUNDLE)))
-    left, right = data.repartition(tasks, "block", "bundle").groupBy("block", "bundle"), packed.repartition(tasks, "block", "bundle").groupBy("block", "bundle")
+    left, right = data.repartition(tasks, "block", "bundle").groupBy("block", "bundle"), at_blocks(packed).repartition(tasks, "block", "bundle").groupBy("block", "bundle")
     merged = left.cogroup(right).applyInArrow(local, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -159,9 +159,10 @@ def test_wide_components_stay_exact():
         knn.scores(q, v)
 
 
+@pytest.mark.parametrize("size", [1024, 128])
 @pytest.mark.parametrize("kind", ["clusters", "random"])
-def test_pivots_cut_what_lies_apart(spark, kind):
-    """20,000 vectors in 64 tight clusters: few rows are visited; random ones stay exact. A cluster of a third is cut in shells."""
+def test_pivots_cut_what_lies_apart(spark, kind, size):
+    """20,000 vectors in 64 tight clusters: few rows are visited; random ones stay exact. With small blocks the cells of a cluster of a third are cut in shells."""
     rng = np.random.default_rng(6)
     n, d = 20_000, 16
     of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 64, n))
@@ -170,23 +171,57 @@ def test_pivots_cut_what_lies_apart(spark, kind):
     tree = vectors.PivotTree(list(x[:2048]), 142)
     cell, far = tree.assign(x)
     dealt = spark.createDataFrame([(i, int(c), float(f)) for i, (c, f) in enumerate(zip(cell, far, strict=True))], "vec_id long, cell long, far double").repartition(3)
-    layout = vectors.Layout(dealt, "vec_id", tree, 1024)
-    rows = {r.vec_id: (r.unit, r.block) for r in layout.place(dealt).collect()}
-    u = layout.units[d]
-    unit = np.array([rows[i][0] for i in range(n)])
-    at = np.argsort(u.number)[np.searchsorted(u.number, unit, sorter=np.argsort(u.number))]
-    assert len(rows) == n and np.bincount([b for _, b in rows.values()]).max() < 1400 and u.rows.sum() == n
-    assert (far >= u.low[at] - 1e-9).all() and (far <= u.high[at] + 1e-9).all()
-    bounds = knn.Bounds(u, 11)
-    need, floor = bounds.need(x[::100])
+    layout = vectors.Layout(dealt, "vec_id", tree, size)
+    rows = {r.vec_id: r.block for r in layout.place(dealt).collect()}
+    c = layout.cells[d]
+    group = {(r.group, r.cell): r for r in layout.groups().collect()}
+    block = np.array([rows[i] for i in range(n)])
+    own = [group[b >> 32, k] for b, k in zip(block.tolist(), cell.tolist(), strict=True)]
+    low, high = np.array([g.low for g in own]), np.array([g.high for g in own])
+    assert len(rows) == n and np.unique(block, return_counts=True)[1].max() < size * 1.4 and c.rows.sum() == n
+    assert all((b & 0xFFFFFFFF) < g.pieces for b, g in zip(block.tolist(), own, strict=True))
+    assert (far >= low - 1e-9).all() and (far <= high + 1e-9).all()
+    at = np.searchsorted(c.number, cell)
+    layout.measure_inner(11)
+    for k in range(len(c.number)):
+        assert c.inner_rows[k] == (far[at == k] <= c.inner[k]).sum() and c.inner[k] <= c.high[k]
+    assert c.large.any() == (c.rows.max() > size) and (size == 1024 or c.large.any())
+    assert (c.inner[c.large] < c.high[c.large]).all()
+    bounds = knn.Bounds(c, 11)
+    least, floor = bounds.need(x[::100])
     score = x[::100] @ x.T
     tenth = -np.sort(-score, axis=1)[:, 10]
     assert (floor <= tenth).all()
-    assert (need[:, at] | (score < tenth[:, None])).all()
-    share = (need @ u.rows).sum() / (len(need) * n)
+    sent = least[:, at] <= high[None]  # a row goes where its group reaches far enough
+    assert ((least[:, at] <= far[None]) | (score < tenth[:, None])).all() and (sent | (score < tenth[:, None])).all()
+    share = sent.mean()
     assert share < 0.5 if kind == "clusters" else share <= 1
 
 
+@pytest.mark.parametrize("sent", [vectors.PLACES_SENT, 0])
+def test_groups_of_large_cells_meet(spark, monkeypatch, sent):
+    """Few cells of many blocks: shells, pieces of equal distance, and the join that is no broadcast."""
+    monkeypatch.setattr(vectors, "PLACES_SENT", sent)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 4)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=4) + rng.normal(size=(90, 4)) * 0.3, np.eye(4)[rng.integers(0, 4, 60)] * rng.choice([-1.0, 1.0], (60, 1)), rng.normal(size=(40, 4))])
+    rows = [(i, np.float32(v).tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = covertree.near_vectors(df, block_rows=4).collect()
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in got], key=repr) == plain_links(rows)
+    found = knn.top_k(df, F.col("vec_id") % 10 == 0, k=3, block_rows=4, query_rows=4)
+    assert sorted(map(tuple, found.collect())) == plain_top(rows, 3, 10)
+
+
+def test_pivots_stay_within_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SENT", 8 * 8 * 5)
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))], "vec_id long, v array<double>")
+    found = vectors.sample(df, "vec_id", 300, 8)
+    tree = vectors.PivotTree([np.array(v) for v in found], 18)
+    assert len(found) == 5 and sum(len(p) for p in tree.pivots.values()) <= 5
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert covertree.near_vectors(df).count() == 0
