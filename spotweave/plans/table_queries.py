@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from spotweave.functions import ids
 from spotweave.functions.labels import is_labelled
 from spotweave.functions.lineage import cut, shared_dir
-from spotweave.operators import biosignal, correction, diagnostics, expression, folds, probes, reporting, results, tables
+from spotweave.operators import attempts, biosignal, correction, diagnostics, expression, folds, integration, knn, probes, reporting, results, tables
 from spotweave.plans import probe_sql as S
 from spotweave.plans.base_queries import N_BOOT, _pred, query_table, rounded
 from spotweave.plans.cohort import SQL, spots
 from spotweave.sources import arrays
 from spotweave.sources import tables as sources
+from spotweave.sources.artefacts import Artefacts
 
 QUERIES, ORACLE, query = query_table()
 
@@ -286,3 +287,51 @@ def array_rows(spark, sf_dir):
     index = cut(arrays.write_arrays(_read(spark, sf_dir, "embeddings"), place, "embedding", ["vec_id"], 64))
     x = arrays.read_parts(spark, place, index, columns="2:10", range_bytes=1 << 20)
     return x.select("row", F.round(F.col("v")[0], 6).alias("first"), F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query(_SCORED + """SELECT 'scores' AS what, 'there' AS state, count(*) AS n FROM r UNION ALL SELECT 'deltas', 'there', count(*) FROM r WHERE fold IS NULL
+UNION ALL SELECT 'intervals', 'pending', 0 UNION ALL SELECT 'ablation', 'pending', 0""")
+def artefact_states(spark, sf_dir):
+    """Tables of a run that has come half way: two that a stage left, one it leaves only when asked to, one of a stage that has not begun."""
+    x = _scored(spark, sf_dir)
+    run = Artefacts(spark, f"{shared_dir(spark)}/spotweave-run-{uuid.uuid4().hex}")
+    run.write(x, "score", "scores")
+    run.write(x.where("fold is null"), "score", "deltas")
+    asked = {"scores": run.read("score", "scores", "scores"), "deltas": run.read("score", "deltas", "deltas"), "intervals": run.read("score", "intervals", "intervals", required=False), "ablation": run.read("ablate", "rows", "ablation")}
+    out = run.pending_table().select("what", F.lit("pending").alias("state"), F.lit(0).cast("long").alias("n"))
+    for name, rows in asked.items():
+        if rows is not None:
+            out = out.unionByName(rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), F.lit("there").alias("state"), "n"))
+    return out
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT * FROM ({_combat_sql(5)})), n AS (SELECT * FROM ({SQL} SELECT spot_key, generate_subscripts(gene_features, 1) - 1 AS component, unnest(gene_features)::DOUBLE AS value FROM spots))
+SELECT 'combat' AS method, component, round(avg(value * value), 4) AS square FROM c GROUP BY component UNION ALL SELECT 'none', component::INTEGER, round(avg(value * value), 4) FROM n GROUP BY component""")
+def compared_methods(spark, sf_dir):
+    """Second moments of every component with and without a correction, each method made once and kept apart from the others' failures."""
+    x = spots(spark, sf_dir)
+    methods = {
+        "none": lambda: x.select(F.col("gene_features").cast("array<double>").alias("z")),
+        "combat": lambda: correction.combat(x, "sample_id", "gene_features", rounds=5, tolerance=0.0).select("z"),
+    }
+    score = lambda df: df.select(F.posexplode("z").alias("component", "value")).groupBy("component").agg(F.round(F.avg(F.col("value") * F.col("value")), 4).alias("square"))
+    return attempts.compared(spark, methods, score).drop("crash")
+
+
+@query(SQL + """, x AS (SELECT 'genes' AS of, spot_key AS key, annotation AS label, gene_features::DOUBLE[] AS x FROM spots WHERE is_real UNION ALL SELECT 'patches', spot_key, annotation, patch_features::DOUBLE[] FROM spots WHERE is_real
+), p AS (SELECT of, a.key, b.key AS other, a.label = b.label AS same, row_number() OVER (PARTITION BY of, a.key ORDER BY list_distance(a.x, b.x), b.key) AS r FROM x a JOIN x b USING (of) WHERE a.key <> b.key
+), edge AS (SELECT of, key, other FROM p WHERE r < 15 AND same UNION SELECT of, other, key FROM p WHERE r < 15 AND same
+), reach AS (SELECT of, key, key AS other FROM x UNION SELECT reach.of, reach.key, edge.other FROM reach JOIN edge ON edge.of = reach.of AND edge.key = reach.other
+), part AS (SELECT of, key, min(other) AS part FROM reach GROUP BY ALL), size AS (SELECT of, label, part, count(*) AS n FROM part JOIN x USING (of, key) GROUP BY ALL)
+SELECT of AS representation, (SELECT count(*) FROM x WHERE x.of = s.of) AS n_rows, round(avg(share), 6) AS graph_connectivity FROM (SELECT of, label, max(n) / sum(n) AS share FROM size GROUP BY of, label) s GROUP BY of""")
+def representation_connectivity(spark, sf_dir):
+    """The driver over representations with one metric: how connected each one's neighbour graph is."""
+    x = spots(spark, sf_dir).where(is_labelled("annotation"))
+
+    def score(df, column):
+        rows = df.select(F.col("spot_key").alias("key"), F.lit("all").alias("batch"), F.col("annotation").alias("label"), F.col(column).cast("array<double>").alias("x"))
+        size = integration.GRAPH_SIZES["graph_connectivity"]
+        return integration.graph_connectivity(integration.graph_at(knn.padded_graph(rows.select("key", "batch", "x"), size - 1), size), rows)
+
+    out = attempts.scored_representations(x, "spot_key", {"genes": "gene_features", "patches": "patch_features"}, score)
+    return rounded(out.drop("embedding"))

@@ -14,6 +14,7 @@ NAMES = [
     "mean_pairwise_cosine", "detrended_strata", "benjamini_hochberg", "quartile_table", "set_means", "score_conflicts", "unfolded_panel", "shared_vocabulary", "bbknn_graph", "contingency_agreement",
     "panel_split", "melted_deltas", "attached_pooled_wide", "model_pairs", "condition_pairs", "scope_classes", "contrast_rankings", "matched_strata", "enrichment_order", "pooled_slides", "spot_pixels",
     "enrichment_walk", "permutation_null", "silhouette_label", "bras", "isolated_label_score", "pooled_loso_on_fold", "normalised_counts",
+    "artefact_states", "compared_methods", "representation_connectivity",
 ]
 
 
