@@ -23,43 +23,148 @@ PACK, MOST = 8192, 1 << 26
 PER_DIGEST = 4
 
 
-def _packed(df: DataFrame, place: str, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """Rows as lists of up to PACK rows each, in order of the place (from 1)."""
+def _packed(df: DataFrame, place: str, columns: dict[str, str], by: list[str] = ()) -> DataFrame:
+    """Rows in binaries of up to PACK places each: the columns, by their numpy types, in order of the place (from 1); text as its bytes and their ends."""
     x = df.withColumn("_part", F.floor((F.col(place) - 1) / PACK))
-    return x.groupBy(*by, "_part").agg(F.sort_array(F.collect_list(F.struct(place, *columns))).alias("rows"))
+    kinds = ", ".join(f"{c} binary" for c in columns)
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = table.sort_by(place)
+        out = [rows.column(c).slice(0, 1) for c in (*by, "_part")]
+        for c, kind in columns.items():
+            v = rows.column(c).combine_chunks()
+            if kind == "text":
+                raw = [t.encode() for t in v.to_pylist()]
+                out.append(pa.array([np.array([len(raw), *map(len, raw)], np.int32).tobytes() + b"".join(raw)], pa.binary()))
+            else:
+                out.append(pa.array([v.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()))
+        return pa.table(out, names=[*by, "_part", *columns])
+
+    head = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    return x.select(*by, "_part", *dict.fromkeys([place, *columns])).groupBy(*by, "_part").applyInArrow(pack, f"{head}_part long, {kinds}")
 
 
 def _to_every(df: DataFrame, keys: int) -> DataFrame:
-    return df.withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1))))
+    """The rows for every key, dealt so that keys seldom share a task."""
+    return df.withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1)))).repartition(8 * keys, "_key")
 
 
-def _column(table: pa.Table, name: str) -> pa.Array:
-    """A field of the rows of a packed side, in order of the parts."""
+def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """A packed column, in order of the parts; for text a matrix of bytes, each text ended by 0x80, and the lengths."""
     order = np.argsort(table.column("_part").to_numpy(), kind="stable")
-    lists = table.column("rows").combine_chunks().take(pa.array(order))
-    return lists.flatten().field(name)
+    cells = [table.column(name)[i].as_buffer() for i in order.tolist()]
+    if kind != "text":
+        return np.concatenate([np.frombuffer(c, kind) for c in cells]) if cells else np.zeros(0, kind)
+    sizes, raw = [], []
+    for c in cells:
+        n = int(np.frombuffer(c, np.int32, 1)[0])
+        sizes.append(np.frombuffer(c, np.int32, n, 4))
+        raw.append(np.frombuffer(c, np.uint8, -1, 4 * (n + 1)))
+    return ended(np.concatenate([np.zeros(0, np.uint8), *raw]), np.concatenate([np.zeros(0, np.int32), *sizes]))
+
+
+def ended(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts that follow each other in `raw` as rows of bytes, each ended by 0x80 and then zeros, and their lengths."""
+    out = np.zeros((len(sizes), int(sizes.max(initial=0)) + 1), np.uint8)
+    start = np.cumsum(sizes, dtype=np.int64) - sizes
+    for k in range(out.shape[1] - 1):
+        some = np.flatnonzero(sizes > k)
+        out[some, k] = raw[start[some] + k]
+    out[np.arange(len(sizes)), sizes] = 0x80
+    return out, sizes
 
 
 def _keys(df: DataFrame, times: int) -> int:
-    return max(1, min(times, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Tasks that share the replicates: a few for every core, as each is sent the whole statistic."""
+    return max(1, min(times, 4 * df.sparkSession.sparkContext.defaultParallelism))
+
+
+_SHIFTS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(4, 4, 4).reshape(64).astype(np.uint32)
+_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint32)
+_START = np.array([0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476], np.uint32)
 
 
-def shuffled_means(targets: list[bytes], value: np.ndarray, stratum: np.ndarray, sets: list[np.ndarray], replicates: list[int], seed) -> np.ndarray:
-    """(replicates, sets) means of the sets' values after shuffling them inside strata; targets are in order, sets hold places."""
-    groups = [np.flatnonzero(stratum == s) for s in np.unique(stratum)]
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    sizes = np.array([len(s) for s in sets])
+def digest_numbers(head: bytes, text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(PER_DIGEST, texts) uint32: the digests md5(head + text) as big-endian numbers, whole arrays at a time; texts as `ended` gives them.
+
+    A text that does not fit in one block of md5 with the head is digested by the library.
+    """
+    out, h = np.empty((PER_DIGEST, len(sizes)), np.uint32), len(head)
+    for lo in range(0, len(sizes), PACK):
+        part, size = text[lo : lo + PACK, : max(0, 56 - h)], sizes[lo : lo + PACK]
+        n = len(size)
+        block = np.zeros((n, 64), np.uint8)
+        block[:, : min(h, 56)] = np.frombuffer(head[:56], np.uint8)
+        block[:, h : h + part.shape[1]] = part
+        words = np.ascontiguousarray(block.view("<u4").T)
+        words[14] = (size + h) * 8
+        used = min(14, -(-(h + part.shape[1]) // 4))
+        a, b, c, d = (np.full(n, v, np.uint32) for v in _START)
+        f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
+        for i in range(64):
+            if i < 16:
+                g = i
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+            elif i < 32:
+                g = (5 * i + 1) % 16
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+            elif i < 48:
+                g = (3 * i + 5) % 16
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                g = (7 * i) % 16
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+            f += a
+            f += _SINES[i]
+            if g < used or g == 14:
+                f += words[g]
+            np.left_shift(f, _SHIFTS[i], out=t)
+            f >>= np.uint32(32) - _SHIFTS[i]
+            f |= t
+            f += b
+            a, d, c, b, f = d, c, b, f, a
+        for k, v in enumerate((a, b, c, d)):
+            v += _START[k]
+            out[k, lo : lo + n] = v.byteswap()
+        for i in np.flatnonzero(size + h > 55).tolist():
+            out[:, lo + i] = np.frombuffer(md5(head + text[lo + i, : size[i]].tobytes()).digest(), ">u4")
+    return out
+
+
+def shuffled_means(text: np.ndarray, length: np.ndarray, value: np.ndarray, stratum: np.ndarray | None, places: np.ndarray, sizes: np.ndarray, replicates: list[int], seed) -> np.ndarray:
+    """(replicates, sets) means of the sets' values after shuffling them inside strata; targets are in order, sets hold places one set after another."""
+    n = len(value)
+    if stratum is not None:  # strata follow each other, targets in order inside them
+        order = np.argsort(stratum, kind="stable")
+        text, length, value, stratum = text[order], length[order], value[order], stratum[order]
+        where = np.empty(n, np.int64)
+        where[order] = np.arange(n)
+        places = where[places]
+    cuts = [0, *(np.flatnonzero(np.diff(stratum)) + 1).tolist(), n] if stratum is not None and n else [0, n]
     starts = np.cumsum(sizes) - sizes
-    out, block, numbers = np.empty((len(replicates), len(sets))), None, None
-    for n, r in enumerate(replicates):
+    out, block, numbers = np.empty((len(replicates), len(sizes))), None, None
+    at, moved, taken = np.empty(n, np.uint64), np.empty(n), np.empty(len(places))
+    for i, r in enumerate(replicates):
         if r // PER_DIGEST != block:
             block = r // PER_DIGEST
-            head = f"{seed}|null|{block}|".encode()
-            numbers = np.frombuffer(b"".join([md5(head + t).digest() for t in targets]), ">u4").reshape(-1, PER_DIGEST).astype(np.uint32)
-        moved = np.empty_like(value)
-        for g in groups:
-            moved[g] = value[g[np.argsort(numbers[g, r % PER_DIGEST], kind="stable")]]
-        out[n] = np.add.reduceat(moved[flat], starts) / sizes if len(sets) else 0.0
+            numbers = digest_numbers(f"{seed}|null|{block}|".encode(), text, length)
+        # a number above its place: sorting puts places in the order of their numbers, ties by place
+        np.copyto(at, numbers[r % PER_DIGEST])
+        at <<= np.uint64(32)
+        at |= np.arange(n, dtype=np.uint64)
+        for lo, hi in zip(cuts, cuts[1:]):
+            at[lo:hi].sort()
+        at &= np.uint64(0xFFFFFFFF)
+        np.take(value, at.view(np.int64), out=moved, mode="clip")
+        np.take(moved, places, out=taken, mode="clip")
+        out[i] = np.add.reduceat(taken, starts) / sizes if len(sizes) else 0.0
     return out
 
 
@@ -73,21 +178,23 @@ def permutation_null(members: DataFrame, statistic: DataFrame, times: int, seed:
     ranked, total = global_rank(statistic.select("target", F.col("value").cast("double").alias("value"), group.alias("stratum")), ["target"], "place")
     if total > MOST:
         raise ValueError(f"more than {MOST} targets")
-    keys = _keys(statistic, -(-times // PER_DIGEST))
-    left = _packed(ranked.withColumn("name", F.col("target").cast("string")), "place", ["name", "value", "stratum"])
+    blocks = -(-times // PER_DIGEST)
+    keys = _keys(statistic, blocks)
+    columns = {"name": "text", "value": "f8"} | ({"stratum": "i8"} if stratum else {})
+    left = _packed(ranked.withColumn("name", F.col("target").cast("string")), "place", columns)
     own = members.select("source", "target").distinct().join(ranked.select("target", "place"), "target")
-    right = _packed(own, "place", [], ["source"])
+    right = _packed(own.withColumn("own", F.col("place") - 1), "place", {"own": "i4"}, ["source"])
     kind = members.schema["source"].dataType.simpleString()
-    blocks = -(-times // PER_DIGEST)
 
     def run(key, data: pa.Table, sets: pa.Table) -> pa.Table:
-        names = [n.encode() for n in _column(data, "name").to_pylist()]
-        value, strata = (_column(data, c).to_numpy(zero_copy_only=False) for c in ("value", "stratum"))
-        of: dict = {}
-        for source, places in zip(sets.column("source").to_pylist(), sets.column("rows").to_pylist(), strict=True):
-            of.setdefault(source, []).extend(p["place"] - 1 for p in places)
         replicates = [r for b in range(int(key[0].as_py()), blocks, keys) for r in range(b * PER_DIGEST, min(times, (b + 1) * PER_DIGEST))]
-        means = shuffled_means(names, value, strata, [np.array(p) for p in of.values()], replicates, seed)
+        of: dict = {}
+        for i, source in enumerate(sets.column("source").to_pylist()):
+            of.setdefault(source, []).append(np.frombuffer(sets.column("own")[i].as_buffer(), "i4"))
+        sizes = np.array([sum(map(len, p)) for p in of.values()], np.int64)
+        places = np.concatenate([np.zeros(0, np.int64), *(np.concatenate(p) for p in of.values())])
+        strata = _column(data, "stratum", "i8") if stratum else None
+        means = shuffled_means(*_column(data, "name", "text"), _column(data, "value", "f8"), strata, places, sizes, replicates, seed)
         at = pa.array(np.tile(np.arange(len(of)), len(replicates)))
         source = pa.array(list(of), sets.schema.field("source").type).take(at)
         return pa.table({"source": source, "replicate": pa.array(np.repeat(np.array(replicates, np.int32), len(of)), pa.int32()), "value": pa.array(means.ravel())})
@@ -127,23 +234,28 @@ def running_scores(hits: DataFrame, total: int) -> DataFrame:
 def drawn_scores(weight: np.ndarray, size: int, replicate: int, seed: int) -> float:
     """The running-sum score of `size` hits drawn at random from the ranking."""
     n = len(weight)
-    at = np.sort(np.random.default_rng([seed, size, replicate]).choice(n, size, replace=False, shuffle=False))
+    at = np.random.default_rng([seed, size, replicate]).choice(n, size, replace=False, shuffle=False)
+    at.sort()
     w = weight[at]
     total = w.sum()
     up = np.cumsum(w) / total if total > 0 else np.arange(1, size + 1) / size
     missed = (at - np.arange(size)) / max(1, n - size)
-    points = np.concatenate([np.stack([np.concatenate([[0.0], up[:-1]]) - missed, up - missed], axis=1).ravel()])
-    return float(points[np.abs(points).argmax()])
+    after = up - missed
+    before = np.concatenate([[0.0], up[:-1]])
+    before -= missed
+    i, j = np.abs(before).argmax(), np.abs(after).argmax()
+    first, second = float(before[i]), float(after[j])
+    return first if (abs(first), -i) >= (abs(second), -j) else second  # of equal extremes the first counts
 
 
 def score_null(ranked: DataFrame, sizes: DataFrame, times: int, seed: int = 42) -> DataFrame:
     """(set_size, replicate, null_es) for every size: running-sum scores of random hits. Sets of one size share their null."""
     keys = _keys(ranked, times)
-    left = _packed(ranked, "rank", ["weight"])
-    right = sizes.select("set_size").distinct().withColumns({"_part": F.lit(0), "rows": F.lit(0)})
+    left = _packed(ranked, "rank", {"weight": "f8"})
+    right = sizes.select("set_size").distinct()
 
     def run(key, data: pa.Table, asked: pa.Table) -> pa.Table:
-        weight = _column(data, "weight").to_numpy(zero_copy_only=False)
+        weight = _column(data, "weight", "f8")
         if len(weight) > MOST:
             raise ValueError(f"more than {MOST} targets")
         found = [(k, r, drawn_scores(weight, k, r, seed)) for k in sorted(asked.column("set_size").to_pylist()) if k <= len(weight) for r in range(int(key[0].as_py()), times, keys)]

@@ -88,3 +88,23 @@ def test_empty_tables(spark):
     net = spark.createDataFrame([], "source string, target string")
     assert biosignal.enrichment_scores(stat, net, times=10).count() == 0
     assert biosignal.set_mean_tests(biosignal.set_members(net, stat, 1), stat, 10).count() == 0
+
+
+def test_digests_of_whole_arrays():
+    texts = [b"", b"g1", "\u00e9t\u00e9".encode(), b"x" * 43, b"x" * 44, b"x" * 45, b"y" * 300, *(str(i).encode() for i in range(9000))]
+    text, sizes = nulls.ended(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int32))
+    for head in (b"42|null|0|", b"42|null|2499|", b"z" * 70):
+        want = np.frombuffer(b"".join(md5(head + t).digest() for t in texts), ">u4").reshape(-1, 4).T
+        assert (nulls.digest_numbers(head, text, sizes) == want).all()
+
+
+def test_the_statistic_is_sent_to_few_tasks(data, spark):
+    """The statistic travels once for each task that shares the replicates: that number does not follow the shuffle partitions."""
+    _, _, stat, _ = data
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        assert nulls._keys(stat, 10_000) == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert nulls._keys(stat, 3) == 3
