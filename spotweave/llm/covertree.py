@@ -5,7 +5,7 @@ distance. Their tree's upper levels are pivots of a bounded sample (see vectors.
 them are cells and shells of true radii, packed into blocks of about BLOCK_ROWS rows, and every
 block has a cover tree of its own: nested levels of centres with halving radii, each node with
 its true covering radius. Pairs of cells within reach are joined with their groups, and those within reach with
-their blocks; only such pairs of blocks go to a task each. There both trees are walked together, a level at a time: a pair of nodes is
+their blocks. Blocks are dealt to a few sides, a task gets the blocks of two sides and walks the pairs among them. Both trees of a pair are walked together, a level at a time: a pair of nodes is
 cut when the centres are farther apart than the threshold plus both radii, and linked as a whole
 when they are closer than the threshold minus both. Single points are decided by their cosine in
 double precision, so pairs are exact. No list of pairs outlives a step: linked points are counted
@@ -32,6 +32,8 @@ BLOCK_ROWS = 4096
 RADII = tuple(2.0**-k for k in range(0, 7))
 #: Pairs that a step of a walk looks at together, and centres whose balls are filled together.
 STEP, BALLS = 1 << 20, 1024
+#: Blocks of a side, of which a task holds two.
+SIDE_BLOCKS = 64
 _SLACK = 1e-9
 
 
@@ -255,6 +257,12 @@ def _pack(table: pa.Table) -> pa.Table:
     return pa.table([[x] for x in row], schema=_BLOCK)
 
 
+def sides_of(blocks: int, cores: int) -> int:
+    """Sides that blocks are dealt to: pairs of sides are tasks, one and a half for every core, and a side has about SIDE_BLOCKS blocks at most."""
+    few = next(t for t in range(1, cores + 3) if t * (t + 1) >= 3 * cores)
+    return max(1, min(blocks, max(few, -(-blocks // SIDE_BLOCKS))))
+
+
 def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(rep, links, label) rows of distinct vectors (rep, n, v): partial link counts, and spanning pairs rep-label."""
     spark = distinct.sparkSession
@@ -281,25 +289,36 @@ def near_pairs_summary(distinct: DataFrame, cosine: float = COSINE, block_rows:
     near = layout.near_groups(math.sqrt(2 - 2 * cosine)).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "group", "other", "other_pieces")
     near = stored(near.select(block_of(F.col("group"), F.col("piece")).alias("block"), "other", "other_pieces"), "near")
 
-    def walk(table: pa.Table) -> pa.Table:
-        found = {row["block"]: row for row in table.to_pylist()}
-        sides, reps = [], []
-        for block in sorted(found):
-            row = found[block]
-            v = np.frombuffer(row["v"], np.dtype(f"f{4 if 'float' in kind else 8}")).reshape(row["size"], -1)
-            sides.append((_unit(v), np.frombuffer(row["weights"], np.int64), CoverTree(pickle.loads(row["tree"]))))
-            reps.append(np.frombuffer(row["reps"], np.int64))
-        counts, labels = Walk(sides[0], sides[-1], cosine).result()
-        reps = np.concatenate(reps)
-        some = np.flatnonzero(counts)
-        return pa.Table.from_batches([batch_of(_LINKS, pa.array(reps[some]), pa.array(counts[some]), pa.array(reps[labels[some]]))])
-
-    # a task for every pair of blocks or so, as long as there are no more than 4096
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4096, layout.blocks * (layout.blocks + 1) // 2))
-    # a block to every pair of blocks that it is needed in
-    sent = blocks.join(near, "block").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_pieces") - 1))).withColumn("to", block_of(F.col("other"), F.col("piece")))
-    tiles = sent.select(F.least("block", "to").alias("a"), F.greatest("block", "to").alias("b"), *_BLOCK.names).repartition(tasks, "a", "b")
-    out = stored(tiles.groupBy("a", "b").applyInArrow(walk, "rep long, links long, label long"), "links")
+    width = np.dtype(f"f{4 if 'float' in kind else 8}")
+
+    def walk(sent: pa.Table, asked: pa.Table) -> pa.Table:
+        at = {block: i for i, block in enumerate(sent.column("block").to_pylist())}
+
+        def side(block):
+            size, reps, weights, v, levels = (sent.column(c)[at[block]].as_py() for c in _BLOCK.names[1:])
+            return np.frombuffer(reps, np.int64), (_unit(np.frombuffer(v, width).reshape(size, -1)), np.frombuffer(weights, np.int64), CoverTree(pickle.loads(levels)))
+
+        found, last = [], None
+        for a, b in sorted(zip(asked.column("a").to_pylist(), asked.column("b").to_pylist(), strict=True)):
+            if a != last:
+                last, left = a, side(a)
+            right = left if a == b else side(b)
+            counts, labels = Walk(left[1], right[1], cosine).result()
+            reps = left[0] if a == b else np.concatenate([left[0], right[0]])
+            some = np.flatnonzero(counts)
+            found.append(batch_of(_LINKS, pa.array(reps[some]), pa.array(counts[some]), pa.array(reps[labels[some]])))
+        return pa.Table.from_batches(found, _LINKS)
+
+    # blocks are dealt to `sides` and a task gets two sides, so a block is sent `sides` times and not once for every other block
+    sides = sides_of(layout.blocks, spark.sparkContext.defaultParallelism)
+    pairs = near.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other_pieces") - 1))).select(F.col("block").alias("a"), block_of(F.col("other"), F.col("piece")).alias("b")).where("a <= b")
+    one, two = (F.pmod(F.xxhash64(c), F.lit(sides)) for c in ("a", "b"))
+    pairs = pairs.withColumns({"s": F.least(one, two), "t": F.greatest(one, two)})
+    needs = pairs.select(F.col("a").alias("block"), "s", "t").unionByName(pairs.select(F.col("b").alias("block"), "s", "t")).distinct()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * sides * (sides + 1))
+    dealt_to = lambda x: x.repartition(tasks, "s", "t").groupBy("s", "t")
+    tiles = dealt_to(blocks.join(needs, "block")).cogroup(dealt_to(pairs.toDF("a", "b", "s2", "t2").select(F.col("s2").alias("s"), F.col("t2").alias("t"), "a", "b")))
+    out = stored(tiles.applyInArrow(walk, "rep long, links long, label long"), "links")
     layout.close()
     forget(near)
     forget(dealt)

@@ -226,3 +226,21 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert covertree.near_vectors(df).count() == 0
     assert knn.top_k(df, F.col("vec_id") % 10 == 0).count() == 0
+
+
+def test_a_block_is_sent_to_few_tasks():
+    """What is sent of a block grows with the sides, which keep to the cores until a side is full."""
+    assert [covertree.sides_of(b, 12) for b in (1, 3, 16, 73, 300)] == [1, 3, 6, 6, 6]
+    assert covertree.sides_of(64 * 100, 12) == 100 and covertree.sides_of(64 * 100 + 1, 12) == 101
+
+
+def test_many_blocks_on_few_sides(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([centres[i % 12] + 0.05 * rng.normal(size=8) for i in range(300)]).reshape(-1, 8)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    monkeypatch.setattr(covertree, "SIDE_BLOCKS", 7)
+    got = {r.vec_id: r.n_links for r in covertree.near_vectors(df, block_rows=16).collect()}
+    assert [got[i] for i in range(300)] == links.tolist()
