@@ -1,6 +1,7 @@
 """Harmony against a plain version, connected parts, and principal components regression."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +127,18 @@ def test_principal_components_regression(spark):
 def test_chi_square_tails_of_arrays():
     got = integration.chi_square_tail([0.0, 3.841458820694124, 18.307038053275146, 500.0, 5.0, 0.01], [3, 1, 10, 4, 0, 7])
     assert got[:3].tolist() == pytest.approx([1.0, 0.05, 0.05]) and got[3] < 1e-100 and got[4] == 1.0 and got[5] == pytest.approx(1.0, abs=1e-6)
+
+
+def test_one_row_of_sums_reaches_the_driver(spark, monkeypatch):
+    from spotweave.operators.linalg import summed_arrays
+
+    def run(batches):
+        for x in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.array([v, 2.0 * v]).tobytes() for v in x.column("id").to_pylist()], pa.binary())], names=["a"])
+
+    kind, rows = type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: rows.append(collect(self)) or rows[-1])
+    part = spark.range(0, 40, 1, 40).mapInArrow(run, "a binary")
+    assert summed_arrays(part)[0].tolist() == [780.0, 1560.0] and [len(r) for r in rows] == [1]
+    assert not summed_arrays(part.where("false"))
