@@ -103,6 +103,7 @@ def set_mean_tests(members: DataFrame, statistic: DataFrame, times: int = 10_000
 
     families (source, family): sets are adjusted within their family; a set of two families is in both.
     """
+    members = cut(members)
     observed = set_means(members, statistic)
     null = cut(permutation_null(members, statistic, times, seed, stratum))
     expected = null.groupBy("source").agg(F.avg("value").alias("expected"))

@@ -21,6 +21,8 @@ from spotweave.operators.ranking import global_rank
 PACK, MOST = 8192, 1 << 26
 #: Replicates that one digest serves: it has four numbers of 32 bits.
 PER_DIGEST = 4
+#: Texts that are digested at a time: enough to hide what a call costs, few enough for the cache.
+LANES = 16384
 
 
 def _packed(df: DataFrame, place: str, columns: dict[str, str], by: list[str] = ()) -> DataFrame:
@@ -90,8 +92,8 @@ def digest_numbers(head: bytes, text: np.ndarray, sizes: np.ndarray) -> np.ndarr
     A text that does not fit in one block of md5 with the head is digested by the library.
     """
     out, h = np.empty((PER_DIGEST, len(sizes)), np.uint32), len(head)
-    for lo in range(0, len(sizes), PACK):
-        part, size = text[lo : lo + PACK, : max(0, 56 - h)], sizes[lo : lo + PACK]
+    for lo in range(0, len(sizes), LANES):
+        part, size = text[lo : lo + LANES, : max(0, 56 - h)], sizes[lo : lo + LANES]
         n = len(size)
         block = np.zeros((n, 64), np.uint8)
         block[:, : min(h, 56)] = np.frombuffer(head[:56], np.uint8)
@@ -150,7 +152,7 @@ def shuffled_means(text: np.ndarray, length: np.ndarray, value: np.ndarray, stra
     cuts = [0, *(np.flatnonzero(np.diff(stratum)) + 1).tolist(), n] if stratum is not None and n else [0, n]
     starts = np.cumsum(sizes) - sizes
     out, block, numbers = np.empty((len(replicates), len(sizes))), None, None
-    at, moved, taken = np.empty(n, np.uint64), np.empty(n), np.empty(len(places))
+    at, moved, taken, every = np.empty(n, np.uint64), np.empty(n), np.empty(len(places)), np.arange(n, dtype=np.uint64)
     for i, r in enumerate(replicates):
         if r // PER_DIGEST != block:
             block = r // PER_DIGEST
@@ -158,7 +160,7 @@ def shuffled_means(text: np.ndarray, length: np.ndarray, value: np.ndarray, stra
         # a number above its place: sorting puts places in the order of their numbers, ties by place
         np.copyto(at, numbers[r % PER_DIGEST])
         at <<= np.uint64(32)
-        at |= np.arange(n, dtype=np.uint64)
+        at |= every
         for lo, hi in zip(cuts, cuts[1:]):
             at[lo:hi].sort()
         at &= np.uint64(0xFFFFFFFF)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotweave.functions.labels import is_labelled
-from spotweave.functions.lineage import shared_dir
+from spotweave.functions.lineage import cut, shared_dir
 from spotweave.operators import arms, biosignal, canonical, correction, counts, diagnostics, hvg, integration, knn, linalg, models, nulls, results, reuse, tables
 from spotweave.plans.base_queries import query_table, rounded
 from spotweave.plans.cohort import SQL, spots
@@ -148,7 +148,7 @@ mem AS (SELECT * FROM mem0 WHERE source IN (SELECT source FROM mem0 GROUP BY sou
 
 def _members(spark, sf_dir):
     net = _read(spark, sf_dir, "part").select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("target"))
-    g = _genes(spark, sf_dir)
+    g = cut(_genes(spark, sf_dir))  # read several times by every test
     return net, g, biosignal.set_members(net, g, 5)
 
 

@@ -108,3 +108,19 @@ def test_the_statistic_is_sent_to_few_tasks(data, spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert nulls._keys(stat, 3) == 3
+
+
+def test_members_are_made_once(spark, data):
+    _, _, stat, net = data
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    g = stat.where("value is not null")
+    members = biosignal.set_members(net, g, 2).localCheckpoint()
+    counted = members.mapInArrow(count, members.schema)
+    assert biosignal.set_mean_tests(counted, g, 8).count() == 5
+    assert made.value == members.count()
