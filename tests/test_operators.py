@@ -94,6 +94,35 @@ def test_knn_ties_go_to_the_smaller_key(spark):
         assert got == want
 
 
+def test_knn_rows_travel_to_a_few_sides(spark):
+    rng = np.random.default_rng(5)
+    n, k = 3000, 4
+    x = np.round(rng.normal(size=(n, 3)), 1)  # many ties
+    name = [f"r{i:05d}" for i in rng.permutation(n)]
+    fold = rng.integers(0, 2, n)
+    df = spark.createDataFrame([(f"f{f}", m, f"l{i % 3}" if i % 5 else None, v.tolist()) for i, (f, m, v) in enumerate(zip(fold, name, x, strict=True))], "fold string, key string, label string, x array<double>").repartition(6)
+    sides = 4 * spark.sparkContext.defaultParallelism
+    work = knn._work(df.drop("label"), df, "fold", 32).select("fold", "_a", "_c").collect()
+    assert len({(r["fold"], r["_a"]) for r in work}) <= sides + 1
+    assert len(work) <= (sides + 1) * (n // 32 // 2 + 10)  # chunks grow with the rows, sides do not
+    got = {}
+    for r in knn.nearest(df.drop("label"), df, k, chunk=32, self_join=True).collect():
+        got.setdefault(r.key, {})[r["rank"]] = (r.other, r.label, r.dist)
+    label = {m: f"l{i % 3}" if i % 5 else None for i, m in enumerate(name)}
+    for i in range(0, n, 37):
+        own = [j for j in range(n) if fold[j] == fold[i] and j != i]
+        d = {j: np.sqrt(((x[i] - x[j]) ** 2).sum()) for j in own}
+        want = sorted(own, key=lambda j: (d[j], name[j]))[:k]
+        assert got[name[i]] == {r + 1: (name[j], label[name[j]], d[j]) for r, j in enumerate(want)}
+
+
+def test_padded_graph_of_few_rows(spark):
+    df = spark.createDataFrame([(i, "b", [float(i), 0.0]) for i in range(3)], "key long, batch string, x array<double>")
+    got = sorted((r.key, r["rank"], r.other, r.dist) for r in knn.padded_graph(df, 4).collect())
+    inf = float("inf")
+    assert got[:5] == [(0, 0, 0, 0.0), (0, 1, 1, 1.0), (0, 2, 2, 2.0), (0, 3, 0, inf), (0, 4, 0, inf)] and len(got) == 15
+
+
 def test_metrics(spark):
     pred = spark.createDataFrame([("A", "A"), ("A", "B"), ("B", "B"), ("C", "B")], "y_true string, y_pred string").withColumn("g", F.lit(1))
     m = probes.macro_metrics(probes.class_metrics(probes.class_counts(probes.confusion(pred, ["g"]), ["g"])), ["g"]).first()
