@@ -156,3 +156,14 @@ def test_moments_of_ragged_and_null_vectors(spark):
     got = sorted(map(tuple, moments(df, ["g", "h"]).select("g", "h", "pos", "n", "s", "q").collect()), key=repr)
     assert got == sorted([("a", 1, 0, 2, 4.0, 10.0), ("a", 1, 1, 1, 2.0, 4.0), ("a", 1, 2, 1, 5.0, 25.0), ("b", None, 0, 1, 4.0, 16.0)], key=repr)
     assert moments(df.where(F.lit(False)), ["g"]).count() == 0
+
+
+def test_conditions_are_summed_before_scopes_are_compared(spark):
+    rows = [("p", "x", s, c, v) for s in ("global", "a", "b") for c, v in (("none", 1.0), ("shuffled", 3.0), ("none", 2.0))]
+    df = spark.createDataFrame(rows, "protocol string, level string, scope string, condition string, f1_score double")
+    out = reporting.condition_summary(df, ["none", "shuffled"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Aggregate")  # the one task over all sees means, not rows
+    assert sorted(map(tuple, out.collect())) == [("p", "x", "a", 1.5, 3.0), ("p", "x", "b", 1.5, 3.0)]
+    alone = reporting.condition_summary(df.where("scope = 'global'"), ["none", "shuffled"])
+    assert [tuple(r) for r in alone.collect()] == [("p", "x", "global", 1.5, 3.0)]
