@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spotweave.functions.lineage import cut
-from spotweave.operators.knn import _least
+from spotweave.operators.knn import STRIP, _least
 
 #: Pivots come from at most SAMPLE_MOST rows; a piece of a cell has about PIECE rows, a group of queries ASKED.
 SAMPLE_LEAST, SAMPLE_MOST, PIECE, ASKED = 1024, 1 << 16, 4096, 512
 #: Bytes of pivots and cell counts that are sent to every task.
 SENT = 1 << 28
+#: Bytes of queries that a group of them sends out at most, however many cells they go to.
+OUT = 1 << 25
 TINY = 1e-8
 
 
@@ -177,8 +179,9 @@ def leave_one_out_neighbours(rows: DataFrame, k: int, piece: int = PIECE) -> tup
             cell, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for d in set(domains.tolist()):
                 own = np.flatnonzero(domains == d)
-                x = _matrix(batch.column("z").take(pa.array(own))) / cells.value[d].sd
-                cell[own] = _apart(x, cells.value[d].pivots).argmin(axis=1)
+                x, pivots = _matrix(batch.column("z").take(pa.array(own))) / cells.value[d].sd, cells.value[d].pivots
+                for lo in range(0, len(own), step := max(1, STRIP // len(pivots))):
+                    cell[own[lo : lo + step]] = _apart(x[lo : lo + step], pivots).argmin(axis=1)
                 far[own] = np.sqrt(((x - cells.value[d].pivots[cell[own]]) ** 2).sum(axis=1))
             yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(schema.field(c).type) for c in schema.names[:5]), pa.array(cell), pa.array(far)], schema=schema)
 
@@ -219,24 +222,27 @@ def leave_one_out_neighbours(rows: DataFrame, k: int, piece: int = PIECE) -> tup
             out.append((domain, c, unit, ids[some].tobytes(), z[some].tobytes(), mean.tobytes(), sd.tobytes()))
         return pa.table(list(map(list, zip(*out, strict=True))) or [[] for _ in _ASKED], schema=_ASKED)
 
-    def local(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for row in left.to_pylist():
-            keys, units, labels = np.frombuffer(row["keys"], np.int64), np.array(row["units"], object), np.array(row["labels"], object)
-            z = np.frombuffer(row["z"], np.float64).reshape(len(keys), -1)
-            for a in right.to_pylist():
-                mean, sd = np.frombuffer(a["mean"], np.float64), np.frombuffer(a["sd"], np.float64)
-                other = np.flatnonzero(units != a["unit"])
-                q_keys, y = np.frombuffer(a["keys"], np.int64), (z[other] - mean) / sd
-                x = (np.frombuffer(a["z"], np.float64).reshape(len(q_keys), -1) - mean) / sd
-                if len(other):
-                    r, c, dist = _least(x, y, _apart(x, y) ** 2, k)
-                    out.append(pa.table({"domain": pa.array([row["domain"]] * len(r), pa.string()), "key": pa.array(q_keys[r]), "other": pa.array(keys[other][c]), "label": pa.array(labels[other][c].tolist(), pa.string()), "dist": pa.array(dist)}))
-        empty = pa.table({"domain": pa.array([], pa.string()), "key": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "label": pa.array([], pa.string()), "dist": pa.array([], pa.float64())})
-        return pa.concat_tables(out or [empty])
+    def local(batches):
+        """Pieces, each followed by the queries that need it: one piece is held, its queries pass."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                z = np.frombuffer(row["z"], np.float64)
+                own = np.frombuffer(row["keys"], np.int64)
+                if row["units"] is not None:
+                    held, keys, units, labels = z.reshape(len(own), -1), own, np.array(row["units"], object), np.array(row["labels"], object)
+                    continue
+                mean, sd = np.frombuffer(row["mean"], np.float64), np.frombuffer(row["sd"], np.float64)
+                other = np.flatnonzero(units != row["unit"])
+                if not len(other):
+                    continue
+                x, y = (z.reshape(len(own), -1) - mean) / sd, (held[other] - mean) / sd
+                r, c, dist = _least(x, y, _apart(x, y) ** 2, k)
+                yield pa.RecordBatch.from_arrays([pa.array([row["domain"]] * len(r), pa.string()), pa.array(own[r]), pa.array(keys[other][c]), pa.array(labels[other][c].tolist(), pa.string()), pa.array(dist)], names=["domain", "key", "other", "label", "dist"])
 
     group = ["domain", "unit", "_g"]
-    sizes = stats.groupBy("domain", "unit").agg(F.ceil(F.sum("n") / ASKED).cast("long").alias("_parts"))
+    widest = max(x.pivots.size for x in index.values()) * 8
+    sizes = stats.groupBy("domain", "unit").agg(F.ceil(F.sum("n") / max(1, min(ASKED, OUT // widest))).cast("long").alias("_parts"))
     asking = dealt.join(F.broadcast(sizes), ["domain", "unit"]).withColumn("_g", F.pmod(F.xxhash64("key"), F.col("_parts")))
     scaled = folds.join(F.broadcast(sizes), ["domain", "unit"]).withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
     asked = asking.select(*group, "key", "z").groupBy(*group).cogroup(scaled.select(*group, "mean", "sd").groupBy(*group)).applyInArrow(ask, _ASKED_SQL)
@@ -244,6 +250,10 @@ def leave_one_out_neighbours(rows: DataFrame, k: int, piece: int = PIECE) -> tup
     tile = ["domain", "cell", "piece"]
     held = dealt.join(F.broadcast(where), ["domain", "cell"]).withColumn("piece", F.pmod(F.xxhash64("key"), F.col("pieces")))
     packed = held.select(*tile, "key", "unit", "label", "z").groupBy(*tile).applyInArrow(pack, _PIECE_SQL)
-    answers = packed.groupBy(*tile).cogroup(asked.groupBy(*tile)).applyInArrow(local, found)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    held_rows = packed.select(*tile, F.lit(0).alias("_asks"), "keys", "z", "units", "labels", none("unit", "string"), none("mean", "binary"), none("sd", "binary"))
+    asks = asked.select(*tile, F.lit(1).alias("_asks"), "keys", "z", none("units", "array<string>"), none("labels", "array<string>"), "unit", "mean", "sd")
+    met = held_rows.unionByName(asks).repartition(*tile).sortWithinPartitions(*tile, "_asks")
+    answers = met.mapInArrow(local, found)
     order = Window.partitionBy("domain", "key").orderBy("dist", "other")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), folds

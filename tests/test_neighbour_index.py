@@ -77,3 +77,17 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "key long, domain string, unit string, label string, z array<double>")
     found, folds = leave_one_out_neighbours(df, 5)
     assert found.count() == 0 and folds.count() == 0
+
+
+def test_queries_stream_past_a_piece(spark, monkeypatch):
+    """No task gathers all queries of a piece: only the asking is a cogroup; a group that asks is small where there are many cells."""
+    monkeypatch.setattr(neighbour_index, "OUT", 1)
+    rows = some_rows(4)
+    df = spark.createDataFrame(rows, "key long, domain string, unit string, label string, z array<double>").repartition(3)
+    found, _ = leave_one_out_neighbours(df, 2, 16)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") == 1 and "MapInArrow" in plan.replace("FlatMapCoGroupsInArrow", "")
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.key, []).append(r.other)
+    assert got == {key: [x[0] for x in near] for key, near in plain(rows, 2).items()}
