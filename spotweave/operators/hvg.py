@@ -28,7 +28,7 @@ def ranked_genes(counts: DataFrame, fit: DataFrame, n_top: int, min_expressed: i
     counts: of all slides; fit: sample_id, spot. The vocabulary is that of all slides, the ranking that of the fit spots. Ties of the score go to the smaller gene.
     """
     shared = vocabulary(counts, min_expressed).select("gene")
-    own = counts.join(fit.select(*SPOT).distinct(), SPOT, "left_semi")
+    own = cut(counts.join(fit.select(*SPOT).distinct(), SPOT, "left_semi"))
     n = own.select(*SPOT).distinct().count()
     if n < 2:
         raise ValueError(f"{n} of the fit spots have counts; two are needed to rank genes")

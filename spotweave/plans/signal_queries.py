@@ -354,7 +354,7 @@ def gene_dispersion(spark, sf_dir):
 SELECT gene, 'global' AS strategy FROM (SELECT gene FROM score_all ORDER BY score DESC, gene LIMIT 40) UNION ALL SELECT DISTINCT gene, 'per_slide' FROM own WHERE r <= 40
 UNION ALL SELECT gene, 'mixed' FROM (SELECT gene FROM shared UNION SELECT gene FROM own WHERE r <= 20)""")
 def selected_genes(spark, sf_dir):
-    c = _counts(spark, sf_dir)
+    c = cut(_counts(spark, sf_dir))  # read by every strategy, twice by each
     n = c.select("spot").distinct().count()
     out = None
     for s in ("global", "per_slide", "mixed"):
@@ -375,6 +375,7 @@ _KEPT = 120
 def _baskets(spark, sf_dir):
     c = _read(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 5).cast("string").alias("sample_id"), F.col("l_orderkey").alias("spot"), F.col("l_partkey").alias("gene")).agg(F.sum("l_quantity").alias("count"))
     every = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("spot"))
+    c = cut(c)  # read several times: the vocabulary, the ranking and the rows
     gone = every.select((F.col("spot") * -1).alias("spot")).where("spot % 50 = 0")  # spots that no slide's counts have
     spots_ = every.unionByName(gone).select((F.abs("spot") % 5).cast("string").alias("sample_id"), "spot")
     return c, spots_, spots_.where("sample_id in ('0', '1', '2')")
