@@ -23,6 +23,8 @@ PACK, MOST = 8192, 1 << 26
 PER_DIGEST = 4
 #: Texts that are digested at a time: enough to hide what a call costs, few enough for the cache.
 LANES = 16384
+#: Hits from which a random set is scored in blocks.
+MANY = 8192
 
 
 def _packed(df: DataFrame, place: str, columns: dict[str, str], by: list[str] = ()) -> DataFrame:
@@ -233,21 +235,46 @@ def running_scores(hits: DataFrame, total: int) -> DataFrame:
     return points.groupBy("source").agg(F.max("_k").alias("set_size"), F.max_by("p.v", F.struct(F.abs("p.v"), -F.col("p.at"))).alias("es"))
 
 
+def _first_extreme(before: np.ndarray, after: np.ndarray) -> float:
+    """The value furthest from zero among those right before and right after hits; of equal extremes the first counts."""
+    i, j = np.abs(before).argmax(), np.abs(after).argmax()
+    first, second = float(before[i]), float(after[j])
+    return first if (abs(first), -i) >= (abs(second), -j) else second
+
+
 def drawn_scores(weight: np.ndarray, size: int, replicate: int, seed: int) -> float:
-    """The running-sum score of `size` hits drawn at random from the ranking."""
+    """The running-sum score of `size` hits drawn at random from the ranking.
+
+    Many hits are summed in blocks: in a block the sum stays between its start less all misses there and its end without them, so only blocks
+    that may hold the extreme are walked.
+    """
     n = len(weight)
-    at = np.random.default_rng([seed, size, replicate]).choice(n, size, replace=False, shuffle=False)
+    at, misses = np.random.default_rng([seed, size, replicate]).choice(n, size, replace=False, shuffle=False).astype(np.int32), max(1, n - size)
     at.sort()
-    w = weight[at]
-    total = w.sum()
-    up = np.cumsum(w) / total if total > 0 else np.arange(1, size + 1) / size
-    missed = (at - np.arange(size)) / max(1, n - size)
-    after = up - missed
-    before = np.concatenate([[0.0], up[:-1]])
-    before -= missed
-    i, j = np.abs(before).argmax(), np.abs(after).argmax()
-    first, second = float(before[i]), float(after[j])
-    return first if (abs(first), -i) >= (abs(second), -j) else second  # of equal extremes the first counts
+    w = weight.take(at, mode="clip")
+    if size < MANY:
+        total = w.sum()
+        up = np.cumsum(w) / total if total > 0 else np.arange(1, size + 1) / size
+        missed = (at - np.arange(size)) / misses
+        return _first_extreme(np.concatenate([[0.0], up[:-1]]) - missed, up - missed)
+    start = np.arange(0, size, 1 << int(np.log2(np.sqrt(size) / 8)))
+    step, end = int(start[1]), np.append(start[1:], size) - 1
+    sums = np.add.reduceat(w, start)
+    if not sums.sum() > 0:
+        w = np.ones(size)
+        sums = np.add.reduceat(w, start)
+    up = np.concatenate([[0.0], np.cumsum(sums)])
+    total = up[-1]
+    up /= total
+    low, high = (at[start] - start) / misses, (at[end] - end) / misses
+    found = max(np.abs(up[:-1] - low).max(), np.abs(up[1:] - high).max())
+    look = np.flatnonzero(np.maximum(up[1:] - low, high - up[:-1]) >= found - 1e-9)  # far more than sums are off
+    i = start[look][:, None] + np.arange(step)
+    part = np.where(i < size, w.take(i, mode="clip"), 0.0)
+    i = np.minimum(i, size - 1)
+    rest = up[look][:, None] - (at[i] - i) / misses
+    run = np.cumsum(part, axis=1)
+    return _first_extreme(((run - part) / total + rest).ravel(), (run / total + rest).ravel())
 
 
 def score_null(ranked: DataFrame, sizes: DataFrame, times: int, seed: int = 42) -> DataFrame:

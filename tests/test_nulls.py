@@ -124,3 +124,21 @@ def test_members_are_made_once(spark, data):
     counted = members.mapInArrow(count, members.schema)
     assert biosignal.set_mean_tests(counted, g, 8).count() == 5
     assert made.value == members.count()
+
+
+@pytest.mark.parametrize("kind", ["normal", "equal", "zero", "skewed"])
+def test_large_sets_walk_few_hits(kind, monkeypatch):
+    """The extreme of a large random set is that of the whole walk, but only blocks that may hold it are walked."""
+    rng = np.random.default_rng(4)
+    n = 300_000
+    weight = {"normal": np.abs(rng.normal(size=n)), "equal": np.ones(n), "zero": np.zeros(n), "skewed": rng.exponential(size=n) ** 4}[kind]
+    walked = []
+    extreme = nulls._first_extreme
+    monkeypatch.setattr(nulls, "_first_extreme", lambda before, after: walked.append(len(before)) or extreme(before, after))
+    for size in (nulls.MANY, 12_345, 100_000, n):
+        for r in range(3):
+            hit = np.zeros(n, bool)
+            hit[np.random.default_rng([7, size, r]).choice(n, size, replace=False, shuffle=False)] = True
+            want = walk(hit, weight if weight.any() else np.ones(n))
+            assert nulls.drawn_scores(weight, size, r, 7) == pytest.approx(want, abs=1e-9)
+            assert kind == "skewed" or size == n or walked[-1] < size / 2
