@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spotweave.functions.ids import patient
+from spotweave.functions.keys import digest_number
 from spotweave.functions.vectors import squared_norm, unit
-from spotweave.operators.linalg import cca, effective_rank, moments_by, projected_correlation
+from spotweave.operators.linalg import cca, effective_rank, moments_by, moments_of, projected_correlation, spectrum_rank
 from spotweave.operators.probes import moments
 from spotweave.operators.results import refuse
 from spotweave.operators.sampling import permuted, uniform_sample
@@ -89,13 +90,30 @@ def shuffled_columns(df: DataFrame, column: str, key: str, seed: int = 42) -> Da
     return x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("a")).select(key, F.col("a.v").alias(column))
 
 
-def gaussian(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
-    """A control: standard normal vectors of the same shape, by Box-Muller on digests."""
-    from spotweave.functions.keys import digest_number
-
+def normal_vector(column: str, key: str, seed: int = 42) -> Column:
+    """A standard normal vector of the column's length, by Box-Muller on digests."""
     pos = F.sequence(F.lit(0), F.size(column) - 1)
     u = lambda p, i: (digest_number(seed, p, F.col(key), i) + 1) / F.lit(4294967297.0)
-    return df.select(key, F.transform(pos, lambda i: F.sqrt(-2 * F.log(u("g1", i))) * F.cos(2 * np.pi * u("g2", i))).alias(column))
+    return F.transform(pos, lambda i: F.sqrt(-2 * F.log(u("g1", i))) * F.cos(2 * np.pi * u("g2", i)))
+
+
+def gaussian(df: DataFrame, column: str, key: str, seed: int = 42) -> DataFrame:
+    """A control: standard normal vectors of the same shape."""
+    return df.select(key, normal_vector(column, key, seed).alias(column))
+
+
+def control_ranks(df: DataFrame, column: str, key: str, components: int = 8, seed: int = 42) -> DataFrame:
+    """Effective rank of the controls: normal vectors, every dimension shuffled by itself, and the first principal components.
+
+    One pass gives the moments of the rows and of the normal vectors. Those of the components are the rows' own, projected, so no row is embedded
+    and a task never holds more than one Python worker.
+    """
+    m = moments_of(df.select(column, normal_vector(column, key, seed).alias("_normal")), column, "_normal")
+    if m is None:
+        raise ValueError("no rows to fit")
+    rows, _, normal = m.centred()
+    rows = [("gaussian", spectrum_rank(normal, m.n)), ("shuffled", effective_rank(shuffled_columns(df, column, key, seed), column)), (f"pca{components}", spectrum_rank(rows, m.n, components))]
+    return df.sparkSession.createDataFrame(rows, "variant string, eff_rank double")
 
 
 def leave_one_slide_out(df: DataFrame, left: str, right: str, slide: str, patient: str, ridge: float = 1e-3, report: int = 10, min_train: int = 50, min_test: int = 20) -> DataFrame:

@@ -66,9 +66,7 @@ def effective_rank_bootstrap(spark, sf_dir):
 
 @query()
 def effective_rank_controls(spark, sf_dir):
-    x = spots(spark, sf_dir)
-    made = {"gaussian": diagnostics.gaussian(x, "gene_features", "spot_key"), "shuffled": diagnostics.shuffled_columns(x, "gene_features", "spot_key"), "pca8": models.pca_embedding(x, "gene_features", 8, out="gene_features")}
-    return rounded(spark.createDataFrame([(k, linalg.effective_rank(v, "gene_features")) for k, v in made.items()], "variant string, eff_rank double"))
+    return rounded(diagnostics.control_ranks(spots(spark, sf_dir), "gene_features", "spot_key", 8))
 
 
 @query()

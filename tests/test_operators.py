@@ -161,6 +161,19 @@ def test_linear_algebra_against_numpy(spark):
     assert r[:2] == pytest.approx(np.abs([np.corrcoef(c @ wx[:, k], (y - y.mean(0)) @ wy[:, k])[0, 1] for k in range(2)]), abs=1e-6)
 
 
+def test_controls_take_one_worker_a_task(spark, monkeypatch):
+    """The ranks are those of the controls made one by one; no pass embeds rows in a worker before it sums them in another."""
+    x, df = vectors(spark)
+    df = df.select("key", F.when(F.col("key") != 3, F.col("z")).alias("z"))  # a row without a vector
+    made = {"gaussian": diagnostics.gaussian(df, "z", "key"), "shuffled": diagnostics.shuffled_columns(df, "z", "key"), "pca2": models.pca_embedding(df, "z", 2, out="z")}
+    want = {k: linalg.effective_rank(v, "z") for k, v in made.items()}
+    passes, sums = [], linalg.cross_moments
+    monkeypatch.setattr(linalg, "cross_moments", lambda frame, *rest: passes.append(frame) or sums(frame, *rest))
+    got = {r.variant: r.eff_rank for r in diagnostics.control_ranks(df, "z", "key", 2).collect()}
+    assert got == pytest.approx(want)
+    assert len(passes) == 2 and not any("EvalPython" in p._jdf.queryExecution().executedPlan().toString() for p in passes)
+
+
 def test_variance_and_cosine(spark):
     x, df = vectors(spark)
     r = diagnostics.variance_split(df, "z", "sample_id").first()
