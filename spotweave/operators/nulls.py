@@ -3,12 +3,16 @@
 Replicates are keys of one plan: each key's task gets the statistic in packed rows of its order, and what it
 needs of the sets, and works off its replicates in numpy. A replicate costs a sort of the statistic (set means, where
 one shuffle serves all sets) or as many draws as the set has members (running-sum scores, which change at hits
-only). Nothing of the statistic or of the sets passes through the driver.
+only). Shuffles inside strata are dealt by strata too: a task holds a slice of whole strata, and sums of sets add over
+slices. Nothing of the statistic or of the sets passes through the driver.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from hashlib import md5
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 from spotweave.operators.ranking import global_rank
 
 #: Rows of a packed row, and rows of a statistic that a task holds at most.
-PACK, MOST = 8192, 1 << 26
+PACK, MOST = 16384, 1 << 26
+#: Slices that strata are dealt to, and members of sets whose values are taken at a time.
+SLICES, STRIP = 16, 1 << 17
 #: Replicates that one digest serves: it has four numbers of 32 bits.
 PER_DIGEST = 4
 #: Texts that are digested at a time: enough to hide what a call costs, few enough for the cache.
@@ -28,7 +34,7 @@ MANY = 8192
 
 
 def _packed(df: DataFrame, place: str, columns: dict[str, str], by: list[str] = ()) -> DataFrame:
-    """Rows in binaries of up to PACK places each: the columns, by their numpy types, in order of the place (from 1); text as its bytes and their ends."""
+    """Rows in binaries of up to PACK places each: the columns, by their numpy types, in order of the place (from 1); text as its bytes and their ends, runs as (long, times)."""
     x = df.withColumn("_part", F.floor((F.col(place) - 1) / PACK))
     kinds = ", ".join(f"{c} binary" for c in columns)
 
@@ -40,6 +46,10 @@ def _packed(df: DataFrame, place: str, columns: dict[str, str], by: list[str] =
             if kind == "text":
                 raw = [t.encode() for t in v.to_pylist()]
                 out.append(pa.array([np.array([len(raw), *map(len, raw)], np.int32).tobytes() + b"".join(raw)], pa.binary()))
+            elif kind == "runs":
+                runs = v.to_numpy(zero_copy_only=False).astype(np.int64)
+                at = np.flatnonzero(np.diff(runs, prepend=~runs[0]))
+                out.append(pa.array([np.stack([runs[at], np.diff(at, append=len(runs))], axis=1).tobytes()], pa.binary()))
             else:
                 out.append(pa.array([v.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()))
         return pa.table(out, names=[*by, "_part", *columns])
@@ -54,17 +64,10 @@ def _to_every(df: DataFrame, keys: int) -> DataFrame:
 
 
 def _column(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    """A packed column, in order of the parts; for text a matrix of bytes, each text ended by 0x80, and the lengths."""
+    """A packed column, in order of the parts."""
     order = np.argsort(table.column("_part").to_numpy(), kind="stable")
     cells = [table.column(name)[i].as_buffer() for i in order.tolist()]
-    if kind != "text":
-        return np.concatenate([np.frombuffer(c, kind) for c in cells]) if cells else np.zeros(0, kind)
-    sizes, raw = [], []
-    for c in cells:
-        n = int(np.frombuffer(c, np.int32, 1)[0])
-        sizes.append(np.frombuffer(c, np.int32, n, 4))
-        raw.append(np.frombuffer(c, np.uint8, -1, 4 * (n + 1)))
-    return ended(np.concatenate([np.zeros(0, np.uint8), *raw]), np.concatenate([np.zeros(0, np.int32), *sizes]))
+    return np.concatenate([np.frombuffer(c, kind) for c in cells]) if cells else np.zeros(0, kind)
 
 
 def ended(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,9 +81,9 @@ def ended(raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _keys(df: DataFrame, times: int) -> int:
-    """Tasks that share the replicates: a few for every core, as each is sent the whole statistic."""
-    return max(1, min(times, 4 * df.sparkSession.sparkContext.defaultParallelism))
+def _keys(df: DataFrame, times: int, share: float = 1.0) -> int:
+    """Tasks that share the replicates of this share of the statistic: a few for every core, as each is sent all of the share."""
+    return max(1, min(times, math.ceil(4 * share) * df.sparkSession.sparkContext.defaultParallelism))
 
 
 _SHIFTS = np.repeat([[7, 12, 17, 22], [5, 9, 14, 20], [4, 11, 16, 23], [6, 10, 15, 21]], 4, axis=0).reshape(4, 4, 4).reshape(64).astype(np.uint32)
@@ -142,34 +145,66 @@ def digest_numbers(head: bytes, text: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return out
 
 
-def shuffled_means(text: np.ndarray, length: np.ndarray, value: np.ndarray, stratum: np.ndarray | None, places: np.ndarray, sizes: np.ndarray, replicates: list[int], seed) -> np.ndarray:
-    """(replicates, sets) means of the sets' values after shuffling them inside strata; targets are in order, sets hold places one set after another."""
-    n = len(value)
-    if stratum is not None:  # strata follow each other, targets in order inside them
-        order = np.argsort(stratum, kind="stable")
-        text, length, value, stratum = text[order], length[order], value[order], stratum[order]
-        where = np.empty(n, np.int64)
-        where[order] = np.arange(n)
-        places = where[places]
-    cuts = [0, *(np.flatnonzero(np.diff(stratum)) + 1).tolist(), n] if stratum is not None and n else [0, n]
-    starts = np.cumsum(sizes) - sizes
-    out, block, numbers = np.empty((len(replicates), len(sizes))), None, None
-    at, moved, taken, every = np.empty(n, np.uint64), np.empty(n), np.empty(len(places)), np.arange(n, dtype=np.uint64)
-    for i, r in enumerate(replicates):
+def _sliced(batches: Iterator[pa.RecordBatch], n: int) -> tuple[list, np.ndarray, list[int], pa.Array, np.ndarray, np.ndarray]:
+    """What packed rows hold of a slice of n targets: texts (one pair of `ended` a packed row), values, the bounds of strata, the sets, their sizes and places.
+
+    All is copied out, so no batch is kept. A long text widens the texts of its own packed row only.
+    """
+    value, texts, runs, own, kind = np.empty(n), {}, {}, {}, pa.null()
+    for batch in batches:
+        kind = batch.schema.field("source").type
+        for i, (part, source) in enumerate(zip(batch.column("_part").to_pylist(), batch.column("source").to_pylist())):
+            name, values, strata, places = (batch.column(c)[i].as_buffer() for c in ("name", "value", "stratum", "own"))
+            if places is not None:
+                own.setdefault(source, []).append((part, np.frombuffer(places, np.int32).copy()))
+                continue
+            m = int(np.frombuffer(name, np.int32, 1)[0])
+            texts[part] = ended(np.frombuffer(name, np.uint8, -1, 4 * (m + 1)), np.frombuffer(name, np.int32, m, 4).copy())
+            value[part * PACK : part * PACK + m] = np.frombuffer(values)
+            runs[part] = np.frombuffer(strata, np.int64).reshape(-1, 2).copy()
+    run = np.concatenate([np.zeros((0, 2), np.int64), *(runs[k] for k in sorted(runs))])
+    last = np.flatnonzero(np.diff(run[:, 0], append=~run[-1:, 0]))
+    cuts = [0, *np.cumsum(run[:, 1])[last].tolist()]
+    sizes = np.array([sum(len(x) for _, x in p) for p in own.values()], np.int64)
+    places, at = np.empty(sizes.sum(), np.int32), 0
+    for p in own.values():
+        for _, x in sorted(p, key=lambda e: e[0]):
+            places[at : at + len(x)] = x
+            at += len(x)
+    return [texts[k] for k in sorted(texts)], value, cuts, pa.array(own, kind), sizes, places
+
+
+def shuffled_sums(texts: list, value: np.ndarray, cuts: list[int], sizes: np.ndarray, places: np.ndarray, replicates: list[int], seed) -> Iterator[tuple[int, np.ndarray]]:
+    """(replicate, sums of the sets' values after shuffling them inside strata); targets are in order of stratum and target, sets hold places one set after another.
+
+    A target takes four numbers and one place to sort; what members need is taken a strip at a time.
+    """
+    n, ends, strips = len(value), np.cumsum(sizes), []
+    for lo in range(0, len(places), STRIP):
+        hi = min(lo + STRIP, len(places))
+        some = slice(int(np.searchsorted(ends, lo, "right")), int(np.searchsorted(ends - sizes, hi, "left")))
+        strips.append((lo, hi, some, np.maximum((ends - sizes)[some] - lo, 0)))
+    numbers, at, lane, block = np.empty((PER_DIGEST, n), np.uint32), np.empty(n, np.uint64), np.arange(PACK, dtype=np.uint64), None
+    for r in replicates:
         if r // PER_DIGEST != block:
-            block = r // PER_DIGEST
-            numbers = digest_numbers(f"{seed}|null|{block}|".encode(), text, length)
+            block, lo = r // PER_DIGEST, 0
+            for text, length in texts:
+                numbers[:, lo : lo + len(length)] = digest_numbers(f"{seed}|null|{block}|".encode(), text, length)
+                lo += len(length)
         # a number above its place: sorting puts places in the order of their numbers, ties by place
-        np.copyto(at, numbers[r % PER_DIGEST])
-        at <<= np.uint64(32)
-        at |= every
-        for lo, hi in zip(cuts, cuts[1:]):
+        for lo in range(0, n, PACK):
+            a = at[lo : lo + PACK]
+            a[:] = numbers[r % PER_DIGEST, lo : lo + PACK]
+            a <<= np.uint64(32)
+            a |= lane[: len(a)] + np.uint64(lo)
+        for lo, hi in pairwise(cuts):
             at[lo:hi].sort()
-        at &= np.uint64(0xFFFFFFFF)
-        np.take(value, at.view(np.int64), out=moved, mode="clip")
-        np.take(moved, places, out=taken, mode="clip")
-        out[i] = np.add.reduceat(taken, starts) / sizes if len(sizes) else 0.0
-    return out
+        out = np.zeros(len(sizes))
+        for lo, hi, some, starts in strips:
+            i = at.take(places[lo:hi], mode="clip")
+            i &= np.uint64(0xFFFFFFFF)
+            out[some] += np.add.reduceat(value.take(i.view(np.int64), mode="clip"), starts)
+        yield r, out
 
 
 def permutation_null(members: DataFrame, statistic: DataFrame, times: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
@@ -179,32 +214,35 @@ def permutation_null(members: DataFrame, statistic: DataFrame, times: int, seed:
     their own). Replicate r orders targets by number r % 4 of md5(seed|null|r // 4|target), ties by target.
     """
     group = F.coalesce(F.col(stratum).cast("long"), F.lit(-1)) if stratum else F.lit(0).cast("long")
-    ranked, total = global_rank(statistic.select("target", F.col("value").cast("double").alias("value"), group.alias("stratum")), ["target"], "place")
-    if total > MOST:
-        raise ValueError(f"more than {MOST} targets")
-    blocks = -(-times // PER_DIGEST)
-    keys = _keys(statistic, blocks)
-    columns = {"name": "text", "value": "f8"} | ({"stratum": "i8"} if stratum else {})
-    left = _packed(ranked.withColumn("name", F.col("target").cast("string")), "place", columns)
-    own = members.select("source", "target").distinct().join(ranked.select("target", "place"), "target")
-    right = _packed(own.withColumn("own", F.col("place") - 1), "place", {"own": "i4"}, ["source"])
+    rows = statistic.select("target", F.col("value").cast("double").alias("value"), group.alias("stratum"), F.pmod(group, F.lit(SLICES)).cast("int").alias("_slice"))
+    ranked, total = global_rank(rows, ["_slice", "stratum", "target"], "place")
+    slices = {r["_slice"]: r for r in ranked.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"), (F.min("place") - 1).alias("_before")).collect()}  # SLICES rows at most
+    if any(s["n"] > MOST for s in slices.values()):
+        raise ValueError(f"more than {MOST} targets in a slice of strata")
+    spark, blocks, jobs = statistic.sparkSession, -(-times // PER_DIGEST), []
+    for k, s in sorted(slices.items()):
+        keys = _keys(statistic, blocks, s["n"] / total)
+        jobs += [(k, s["n"], range(i, blocks, keys)) for i in range(keys)]
+    before = spark.createDataFrame([(k, s["_before"]) for k, s in slices.items()], "_slice int, _before long")
+    ranked = ranked.join(F.broadcast(before), "_slice").withColumn("place", F.col("place") - F.col("_before"))  # a row per slice
+    left = _packed(ranked.withColumn("name", F.col("target").cast("string")), "place", {"name": "text", "value": "f8", "stratum": "runs"}, ["_slice"])
+    own = members.select("source", "target").distinct().join(ranked.select("target", "_slice", "place"), "target")
+    right = _packed(own.withColumn("own", F.col("place") - 1), "place", {"own": "i4"}, ["_slice", "source"])
+    dealt = spark.createDataFrame([(job[0], i) for i, job in enumerate(jobs)], "_slice int, _key int")
+    rows = left.unionByName(right, allowMissingColumns=True).join(F.broadcast(dealt), "_slice")  # a row per task
     kind = members.schema["source"].dataType.simpleString()
 
-    def run(key, data: pa.Table, sets: pa.Table) -> pa.Table:
-        replicates = [r for b in range(int(key[0].as_py()), blocks, keys) for r in range(b * PER_DIGEST, min(times, (b + 1) * PER_DIGEST))]
-        of: dict = {}
-        for i, source in enumerate(sets.column("source").to_pylist()):
-            of.setdefault(source, []).append(np.frombuffer(sets.column("own")[i].as_buffer(), "i4"))
-        sizes = np.array([sum(map(len, p)) for p in of.values()], np.int64)
-        places = np.concatenate([np.zeros(0, np.int64), *(np.concatenate(p) for p in of.values())])
-        strata = _column(data, "stratum", "i8") if stratum else None
-        means = shuffled_means(*_column(data, "name", "text"), _column(data, "value", "f8"), strata, places, sizes, replicates, seed)
-        at = pa.array(np.tile(np.arange(len(of)), len(replicates)))
-        source = pa.array(list(of), sets.schema.field("source").type).take(at)
-        return pa.table({"source": source, "replicate": pa.array(np.repeat(np.array(replicates, np.int32), len(of)), pa.int32()), "value": pa.array(means.ravel())})
-
-    sides = [_to_every(x, keys).groupBy("_key") for x in (left, right)]
-    return sides[0].cogroup(sides[1]).applyInArrow(run, f"source {kind}, replicate int, value double")
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, n, own_blocks = jobs[key[0].as_py()]
+        texts, value, cuts, sources, sizes, places = _sliced(batches, n)
+        replicates = [r for b in own_blocks for r in range(b * PER_DIGEST, min(times, (b + 1) * PER_DIGEST))] if len(sources) else []
+        for r, sums in shuffled_sums(texts, value, cuts, sizes, places, replicates, seed):
+            yield pa.RecordBatch.from_arrays([sources, pa.array(np.full(len(sums), r, np.int32)), pa.array(sums), pa.array(sizes)], names=["source", "replicate", "total", "size"])
+
+    sums = rows.repartitionById(max(1, len(jobs)), "_key").groupBy("_key").applyInArrow(run, f"source {kind}, replicate int, total double, size long")
+    if stratum:
+        sums = sums.groupBy("source", "replicate").agg(F.sum("total").alias("total"), F.sum("size").alias("size"))
+    return sums.select("source", "replicate", (F.col("total") / F.col("size")).alias("value"))
 
 
 def ranking_hits(statistic: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, int]:

@@ -1,9 +1,16 @@
 """Permutation nulls against brute force."""
 
+import functools
+import inspect
+import tracemalloc
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark import AccumulatorParam
+from pyspark.sql import GroupedData
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from spotweave.operators import biosignal, nulls
 
@@ -142,3 +149,75 @@ def test_large_sets_walk_few_hits(kind, monkeypatch):
             want = walk(hit, weight if weight.any() else np.ones(n))
             assert nulls.drawn_scores(weight, size, r, 7) == pytest.approx(want, abs=1e-9)
             assert kind == "skewed" or size == n or walked[-1] < size / 2
+
+
+def test_shuffles_in_strata_of_any_number(spark):
+    """Strata that share a slice, negative and large ones and rows without one; names that are longer than a block of md5; sets that lie in some strata only."""
+    strata = [0, 16, -16, None, 3, 10**12]
+    names = [f"g{i:03d}" + "x" * (60 if i % 7 == 0 else 0) for i in range(90)]
+    value = np.random.default_rng(5).normal(size=90)
+    sets = {"first": list(range(0, 90, 6)), "mixed": list(range(0, 90, 4)), "all": list(range(90)), None: [3, 9, 10]}
+    stat = spark.createDataFrame([(names[i], float(value[i]), strata[i % 6]) for i in range(90)], "target string, value double, stratum long").repartition(4)
+    net = spark.createDataFrame([(s, names[i]) for s, m in sets.items() for i in m], "source string, target string").repartition(3)
+    got = {(r.source, r.replicate): r.value for r in nulls.permutation_null(net, stat, 6, 42, "stratum").collect()}
+    assert len(got) == 6 * len(sets)
+    for r in range(6):
+        moved = np.empty(90)
+        for s in range(6):
+            own = sorted(range(s, 90, 6), key=lambda i: names[i])
+            number = {i: md5(f"42|null|{r // 4}|{names[i]}".encode()).hexdigest()[8 * (r % 4) : 8 * (r % 4) + 8] for i in own}
+            moved[own] = value[sorted(own, key=lambda i: (number[i], names[i]))]
+        for s, m in sets.items():
+            assert got[s, r] == pytest.approx(moved[m].mean())
+
+
+def test_sums_by_strips(monkeypatch):
+    """Members that are looked up a few at a time sum to the same: sets end inside strips, on their bounds, and span several."""
+    rng, n = np.random.default_rng(6), 500
+    sizes = np.array([1, 6, 7, 14, 100, 3, 200])
+    places = np.concatenate([np.sort(rng.choice(n, k, replace=False)) for k in sizes]).astype(np.int32)
+    texts = [nulls.ended(np.frombuffer(b"".join(b"%03d" % i for i in range(lo, hi)), np.uint8), np.full(hi - lo, 3, np.int32)) for lo, hi in ((0, 300), (300, n))]
+    value = rng.normal(size=n)
+    run = lambda: [x for _, x in nulls.shuffled_sums(texts, value, [0, 120, n], sizes, places, [2, 5, 7], 42)]
+    whole = run()
+    monkeypatch.setattr(nulls, "STRIP", 7)
+    assert np.allclose(whole, run(), rtol=1e-12, atol=1e-12)
+
+
+@pytest.mark.parametrize(("stratum", "each"), [("stratum", 35), (None, 75)])
+def test_a_task_holds_one_slice_of_strata(spark, monkeypatch, stratum, each):
+    """What a worker allocates at most: shuffles in strata need a stratum at a time, and a target takes its text once and a few numbers."""
+
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    peak, n = spark.sparkContext.accumulator(0, Most()), 200_000
+
+    def traced(apply):
+        def apply_traced(self, func, schema):
+            @functools.wraps(func)
+            def run(*args):
+                import pandas  # noqa: F401 - a worker's first call loads it
+
+                tracemalloc.start()
+                out = func(*args)
+                out = out if isinstance(out, pa.Table) else list(out)
+                peak.add(tracemalloc.get_traced_memory()[1])
+                tracemalloc.stop()
+                return out if isinstance(out, pa.Table) else iter(out)
+
+            run.__signature__ = inspect.signature(func)
+            return apply(self, run if func.__name__ == "run" else func, schema)
+
+        return apply_traced
+
+    for cls in (GroupedData, PandasCogroupedOps):
+        monkeypatch.setattr(cls, "applyInArrow", traced(cls.applyInArrow))
+    stat = spark.range(n).selectExpr("id AS target", "id * 0.5 AS value", "id % 5 AS stratum")
+    net = spark.range(n).selectExpr("id % 25 AS source", "id AS target")
+    assert nulls.permutation_null(net, stat, 8, 42, stratum).count() == 25 * 8
+    assert 0 < peak.value < each * n
