@@ -100,12 +100,12 @@ def digest_numbers(head: bytes, text: np.ndarray, sizes: np.ndarray) -> np.ndarr
     for lo in range(0, len(sizes), LANES):
         part, size = text[lo : lo + LANES, : max(0, 56 - h)], sizes[lo : lo + LANES]
         n = len(size)
-        block = np.zeros((n, 64), np.uint8)
+        used = max(1, min(14, -(-(h + part.shape[1]) // 4)))
+        block = np.zeros((n, 4 * used), np.uint8)
         block[:, : min(h, 56)] = np.frombuffer(head[:56], np.uint8)
         block[:, h : h + part.shape[1]] = part
-        words = np.ascontiguousarray(block.view("<u4").T)
-        words[14] = (size + h) * 8
-        used = min(14, -(-(h + part.shape[1]) // 4))
+        words = dict(enumerate(np.ascontiguousarray(block.view("<u4").T)))
+        words[14] = ((size + h) * 8).astype(np.uint32)
         a, b, c, d = (np.full(n, v, np.uint32) for v in _START)
         f, t = np.empty(n, np.uint32), np.empty(n, np.uint32)
         for i in range(64):
@@ -130,7 +130,7 @@ def digest_numbers(head: bytes, text: np.ndarray, sizes: np.ndarray) -> np.ndarr
                 f ^= c
             f += a
             f += _SINES[i]
-            if g < used or g == 14:
+            if g in words:
                 f += words[g]
             np.left_shift(f, _SHIFTS[i], out=t)
             f >>= np.uint32(32) - _SHIFTS[i]
